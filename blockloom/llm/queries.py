@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, simhash
 from .common import table
 
 QUERIES = {
     "op3_mix": lambda spark, d: mixing.op3_mix(table(spark, d, "documents")),
+    "op7_decontaminate": lambda spark, d: decontaminate.op7_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op8_simhash": lambda spark, d: simhash.op8_simhash(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op3_mix": mixing.OP3_SQL}
