@@ -13,7 +13,7 @@ def documents(spark):
     """Maker of a documents table with an extra column."""
 
     def make(rows):
-        full = [(i, t, *(rest or ("en", "s"))) for i, t, *rest in rows]
+        full = [(i, t, *rest, *("en", "s")[len(rest):]) for i, t, *rest in rows]
         return spark.createDataFrame([(*r[:4], 0, "x") for r in full], "doc_id long, text string, lang string, source string, n_chars long, size string")
 
     return make
