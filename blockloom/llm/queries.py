@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, pii, simhash, topk
+from . import chat, decontaminate, language, licenses, mixing, pii, simhash, topk
 from .common import table
 
 QUERIES = {
     "op2_language": lambda spark, d: language.op2_language(table(spark, d, "documents")),
     "op3_mix": lambda spark, d: mixing.op3_mix(table(spark, d, "documents")),
+    "op4_chat": lambda spark, d: chat.op4_chat(table(spark, d, "conversations")),
     "op5_topk": lambda spark, d: topk.op5_topk(table(spark, d, "embeddings")),
+    "op6_licenses": lambda spark, d: licenses.op6_licenses(table(spark, d, "documents")),
     "op7_decontaminate": lambda spark, d: decontaminate.op7_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_simhash": lambda spark, d: simhash.op8_simhash(table(spark, d, "documents")),
     "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
 }
-ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL}
+ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL, "op6_licenses": licenses.oracle()}
