@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, licenses, mixing, pii, simhash, topk
+from . import chat, decontaminate, hmm, language, licenses, mixing, pii, simhash, topk
 from .common import table
 
 QUERIES = {
+    "op1_hmm": lambda spark, d: hmm.op1_hmm(table(spark, d, "documents")),
     "op2_language": lambda spark, d: language.op2_language(table(spark, d, "documents")),
     "op3_mix": lambda spark, d: mixing.op3_mix(table(spark, d, "documents")),
     "op4_chat": lambda spark, d: chat.op4_chat(table(spark, d, "conversations")),
