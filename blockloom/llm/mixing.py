@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, most: int = MOST, offset: float = OFFSET) -> DataFrame:
     """Gives every document of (doc_id, text, source) its number of copies in the mix.
 
-    Returns the carried columns with size, source_size, target and copies. A document's expected copies are its
+    Returns the carried columns with `_size`, `_source_size`, `_target` and `_copies`. A document's expected copies are its
     source's target over its source's size. Within a source documents stand by size, so that the words taken stay
     near the target, not only the documents; ties go by the hash of doc_id, then doc_id. Copies are the whole numbers
     that the running sum of expected copies, started at the offset, crosses at the document.
@@ -59,16 +59,17 @@ def mix(docs: DataFrame, carry: list[str], weights: tuple[int, ...] = WEIGHTS, m
     kept = docs.select(*[F.col(c) for c in carry], *[c for c in ("doc_id", "source") if c not in carry], words(F.col("text")).alias("_size"))
     place = ranked(kept.withColumn("_draw", F.md5(F.col("doc_id").cast("string").cast("binary"))), ["source"], [F.col("_size"), F.col("_draw"), F.col("doc_id")], "_place")
     goal = targets(place.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, most)
-    goal = goal.withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.select(*[F.col(c).alias(f"_{c}") for c in goal.columns])
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     both = place.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
     copies = F.floor(F.col("_place") * F.col("_rate") + offset) - F.floor((F.col("_place") - 1) * F.col("_rate") + offset)
-    return both.select(*carry, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    return both.select(*carry, "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
 
 
 def op3_mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    return mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = mix(docs, ["doc_id"])
+    return found.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 OP3_SQL = r"""
@@ -100,3 +101,9 @@ SELECT doc_id, size, source_size, target,
        CAST(floor(place * rate + CAST(0.6180339887498949 AS DOUBLE)) - floor((place - 1) * rate + CAST(0.6180339887498949 AS DOUBLE)) AS BIGINT) * size AS taken
 FROM p
 """
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, each as often as it is taken, with `copy` counting from 1."""
+    taken = mix(docs, docs.columns).where("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))

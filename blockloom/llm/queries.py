@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hmm, language, licenses, mixing, pii, simhash, topk
+from . import chat, decontaminate, hmm, language, licenses, mixing, pii, repeats, simhash, topk
 from .common import table
 
 QUERIES = {
@@ -15,5 +15,6 @@ QUERIES = {
     "op7_decontaminate": lambda spark, d: decontaminate.op7_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op8_simhash": lambda spark, d: simhash.op8_simhash(table(spark, d, "documents")),
     "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
+    "op10_repeats": lambda spark, d: repeats.op10_repeats(table(spark, d, "documents")),
 }
 ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL, "op6_licenses": licenses.oracle()}

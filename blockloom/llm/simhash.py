@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, stored
+from .common import batch, stored, with_row_index
 from .components import components
 
 #: Fingerprints whose variants are made at a time, and variants that a bucket holds on average.
@@ -166,3 +166,12 @@ def as_hex(fp: Column) -> Column:
 def op8_simhash(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; shingles of 4 words, links at 4 bits."""
     return near_duplicates(docs, width=4, radius=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """The documents with one of each group of near-duplicates: the one of least doc_id, null last."""
+    rows = with_row_index(docs, "_row")
+    marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius)
+    named = rows.select("_row", F.col("doc_id").alias("_id")).join(marked.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_kept")).select(F.col("_kept._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").drop("_row")
