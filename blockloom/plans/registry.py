@@ -1,4 +1,7 @@
 """All queries of the texture operators with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from blockloom.plans import scalars, tables
+
+MODULES = (scalars, tables)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: s for m in MODULES for name, s in m.SQL.items()}
