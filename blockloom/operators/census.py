@@ -72,7 +72,7 @@ def tangent_search(texels: DataFrame, keys: list[str], value: str, k: int = 7, s
     out = ends.withColumn("best", F.struct(error(F.col("s"), F.col("e")).alias("error"), F.lit(0).alias("moved"), F.col("s").alias("s"), F.col("e").alias("e")))
     for r in range(1, steps + 1):
         s, e = F.col("best.s"), F.col("best.e")
-        step = F.shiftright(F.col("e") - F.col("s"), r + 2)
+        step = F.shiftright(e - s, r + 2)
         tries = [F.struct(error(F.greatest(s + i * step, ch.number(0)), F.least(e + j * step, ch.number(255))).alias("error"), F.lit(1).alias("moved"), F.greatest(s + i * step, ch.number(0)).alias("s"), F.least(e + j * step, ch.number(255)).alias("e")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1))]
         fair = F.array_min(F.filter(F.array(*tries), lambda t: t["s"] <= t["e"]))
         stay = F.struct(F.col("best.error").alias("error"), F.lit(0).alias("moved"), s.alias("s"), e.alias("e"))

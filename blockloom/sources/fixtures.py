@@ -25,9 +25,14 @@ def texels(spark: SparkSession, d: str) -> DataFrame:
 
 def codes(spark: SparkSession, d: str, size: int) -> DataFrame:
     """(vec_id, block, c): compressed blocks of so many bytes, 64 bytes from each embedding's low digits."""
+    return coded(embeddings(spark, d), size)
+
+
+def coded(vectors: DataFrame, size: int) -> DataFrame:
     byte = lambda x: F.pmod(F.floor((x.cast("double") + 1) * 1048576), F.lit(256)).cast("long")
-    each = embeddings(spark, d).select("vec_id", F.transform("embedding", byte).alias("e"))
-    return each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(64 // size - 1).cast("long")))).select("vec_id", "block", F.slice("e", (F.col("block") * size + 1).cast("int"), size).alias("c"))
+    each = vectors.select("vec_id", F.transform("embedding", byte).alias("e"))
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(64 // size - 1).cast("long"))))
+    return each.select("vec_id", "block", F.slice("e", (F.col("block") * size + 1).cast("int"), size).alias("c"))
 
 
 SQL_BLOCKS = "blk AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5 + 0.5))) AS BIGINT)) AS e FROM embeddings)"
