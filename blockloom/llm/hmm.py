@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, in_fold, stored
+from .simhash import shuffles_removed
 
 #: Bytes of text that share a vocabulary, and tokens that are worked on together.
 BLOCK, SLICE = 16 << 20, 400_000
@@ -278,7 +279,8 @@ def op1_hmm(docs: DataFrame) -> DataFrame:
     """
     held_out = in_fold("doc_id", 5, 1)
     blocks = stored(encode(docs, ~held_out), "blocks")
-    counts = stored(word_counts(blocks), "counts")
-    model = train(blocks, counts)
+    with shuffles_removed(docs.sparkSession):
+        counts = stored(word_counts(blocks), "counts")
+        model = train(blocks, counts)
     found = score(blocks, counts, model)
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
