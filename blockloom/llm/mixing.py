@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked
+from .common import WORD, ranked, with_row_index
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -105,5 +105,7 @@ FROM p
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, each as often as it is taken, with `copy` counting from 1."""
-    taken = mix(docs, docs.columns).where("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))
+    rows = with_row_index(docs, "_row")
+    taken = mix(rows.select("_row", "doc_id", "source", "text"), ["_row"]).where("_copies > 0")
+    both = rows.join(taken.select(F.col("_row").alias("_of"), "_copies"), F.col("_row") == F.col("_of"))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))
