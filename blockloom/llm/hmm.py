@@ -240,6 +240,8 @@ def score(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
     found = asked.join(counts, "word", "left").select(F.col("block").alias("_block"), "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    with shuffles_removed(blocks.sparkSession):
+        found = stored(found, "found")
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         m, out = shared.value, []
