@@ -15,20 +15,28 @@ from .common import batch, stored
 from .simhash import shuffles_removed
 
 #: Bytes of a string that counts as repeated, and of the grams of which each string's least hash is its anchor.
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 24
 #: Bytes of text of a block, per bucket, and that are hashed together; strings that are sorted together.
-BLOCK, BUCKET, STEP, SORTED = 8 << 20, 32 << 20, 1 << 18, 2_000_000
+BLOCK, BUCKET, STEP, SORTED = 1 << 20, 8 << 20, 1 << 18, 250_000
+#: Bytes of stretches that are compared together.
+LOT = 1 << 20
 #: A gram of more blocks than this is dealt by the string around it instead of by itself.
-HOT = 32
+HOT = 512
 BASE, SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 INVERSE = pow(BASE, -1, 1 << 64)
 NOBODY = np.iinfo(np.int64).max
 
 
+KNOWN: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first n powers modulo 2^64; they are kept for the next call."""
+    if base not in KNOWN or len(KNOWN[base]) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        KNOWN[base] = np.cumprod(out, dtype=np.uint64)
+    return KNOWN[base][:n]
 
 
 class Hashes:
@@ -38,7 +46,10 @@ class Hashes:
         n = len(data)
         self.data, self.down = data, powers(INVERSE, n + 1)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n + 1)[:n], out=self.prefix[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= powers(BASE, n + 1)[:n]
+        np.cumsum(terms, out=self.prefix[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
@@ -61,6 +72,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def gram_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The mixed hashes of the grams at these places, a byte of all of them at a time."""
+    out = np.zeros(len(place), np.uint64)
+    for k, x in enumerate(powers(BASE, GRAM)):
+        out += (data[place + k].astype(np.uint64) + np.uint64(1)) * x
+    return mixed(out)
+
+
 @dataclass(frozen=True)
 class Runs:
     """Neighbouring strings (first to last start) with the same anchor, a gram's place, and the gram's hash."""
@@ -104,7 +123,7 @@ def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     head = np.array([len(a.tobytes()) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
 
 
 def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
@@ -134,12 +153,19 @@ def blocks(docs: DataFrame) -> DataFrame:
                 if size >= BLOCK:
                     yield flush()
                     number, ids, texts, size = number + 1, [], [], 0
+            pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("_text")).mapInArrow(run, "block long, doc_id array<long>, size long, data binary")
 
 
+def given_back(table: pa.Table) -> pa.Table:
+    """The table, after the allocator has handed what it keeps for later back to the machine."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal keys together, the first key leading, and where each group starts in it."""
     order = np.lexsort(keys[::-1])
@@ -204,18 +230,24 @@ def byte_places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def same_bytes(data: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the stretches of these sizes at p and q are the same, byte for byte."""
-    differ = data[byte_places(p, size)] != data[byte_places(q, size)]
-    return np.add.reduceat(differ, np.cumsum(size) - size) == 0 if len(size) else np.zeros(0, bool)
+    """Whether the stretches of these sizes at p and q are the same, byte for byte; a bounded number of bytes at a time."""
+    out, total, at = np.zeros(len(size), bool), np.cumsum(size), 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, side="right")))
+        some = size[at:upto]
+        differ = data[byte_places(p[at:upto], some)] != data[byte_places(q[at:upto], some)]
+        out[at:upto] = np.add.reduceat(differ, np.cumsum(some) - some, dtype=np.int64) == 0
+        at = upto
+    return out
 
 
-def collapsed(data: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+def collapsed(hashes: Hashes, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     """For each stretch the first one with the same keys and bytes; hashes find it, bytes verify it."""
-    order, first = groups_of(*keys, size, Hashes(data).of(start, start + size))
+    order, first = groups_of(*keys, size, hashes.of(start, start + size))
     leader = np.empty(len(order), np.int64)
     leader[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
     follows = np.flatnonzero(leader != np.arange(len(leader)))
-    wrong = follows[~same_bytes(data, start[follows], start[leader[follows]], size[follows])]
+    wrong = follows[~same_bytes(hashes.data, start[follows], start[leader[follows]], size[follows])]
     leader[wrong] = wrong  # equal hashes of different bytes: they stay apart and are told apart by the sort
     return leader
 
@@ -250,8 +282,9 @@ def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
             gram = np.concatenate([found.gram[keep[~apart]], np.repeat(found.gram[alone], n)])
             single = np.arange(len(first)) >= (~apart).sum()
             stretch = last - first + LENGTH
-            leader = collapsed(data, first, stretch, gram, anchor - first)
-            route = np.where(single, mixed(Hashes(data).of(first, first + stretch)), gram)
+            hashes = Hashes(data)
+            leader = collapsed(hashes, first, stretch, gram, anchor - first)
+            route = np.where(single, mixed(hashes.of(first, first + stretch)), gram)
             lead = np.flatnonzero(leader == np.arange(len(leader)))
             lead = lead[np.argsort(bucket_of(route[lead], bits), kind="stable")]
             number = np.empty(len(leader), np.int64)
@@ -260,13 +293,13 @@ def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
             least = np.full(len(lead), NOBODY)
             doc = run_docs(lengths, first)
             np.minimum.at(least, number, ids[doc])
-            out.append(batch(CONTEXTS, kind=[PIECES], block=[row["block"]], bucket=[-1], first=[0], blob=[pack(first.astype(np.int32), number.astype(np.int32), (last - first + 1).astype(np.uint8), least)]))
+            out.append(batch(CONTEXTS, kind=[PIECES], block=[row["block"]], bucket=[-1], first=[0], blob=[pack(np.diff(first, prepend=0).astype(np.int32), number.astype(np.int32), (last - first + 1).astype(np.uint8), least)]))
             bucket = bucket_of(route[lead], bits)
             for s, e in cuts(bucket):
                 some = lead[s:e]
-                blob = pack(gram[some], (anchor - first)[some].astype(np.uint8), stretch[some].astype(np.uint8), least[s:e], data[byte_places(first[some], stretch[some])])
+                blob = pack((anchor - first)[some].astype(np.uint8), stretch[some].astype(np.uint8), least[s:e], data[byte_places(first[some], stretch[some])])
                 out.append(batch(CONTEXTS, kind=[STRETCHES], block=[row["block"]], bucket=[int(bucket[s])], first=[s], blob=[blob]))
-        return pa.Table.from_batches(out, CONTEXTS)
+        return given_back(pa.Table.from_batches(out, CONTEXTS))
 
     return texts.select("block", "doc_id", "data").groupBy("block").cogroup(flags.groupBy("flag_of")).applyInArrow(run, "kind int, block long, bucket long, first long, blob binary")
 
@@ -331,7 +364,8 @@ def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray) -> tuple[n
 
 def least_holders(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, offset: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For every string of every stretch, one stretch after the other, the least document id that any stretch gives it."""
-    leader = collapsed(data, start, size, gram, offset)
+    hashes = Hashes(data)
+    leader = collapsed(hashes, start, size, gram, offset)
     held = np.full(len(start), NOBODY)
     np.minimum.at(held, leader, least)
     strings = size - LENGTH + 1
@@ -343,7 +377,6 @@ def least_holders(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: n
     answer = [np.repeat(held[lead[~several]], strings[lead[~several]])]
     first_of[lead[~several]] = np.cumsum(strings[lead[~several]]) - strings[lead[~several]]
     done = len(answer[0])
-    hashes = Hashes(data)
     todo = lead[several]
     edge = np.flatnonzero(np.concatenate([[True], gram[todo][1:] != gram[todo][:-1]])) if len(todo) else np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(strings[todo])])
@@ -369,16 +402,35 @@ def least_holders(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: n
     return np.concatenate(answer)[byte_places(first_of[leader], strings)]
 
 
+def lots(gram: np.ndarray, size: np.ndarray):
+    """Stretches in lots of a bounded number of bytes, all those of a gram in the same one."""
+    order, begin = groups_of(gram)
+    end = np.append(begin[1:], len(order))
+    total = np.cumsum(size[order])
+    at = 0
+    while at < len(begin):
+        done = total[begin[at] - 1] if begin[at] else 0
+        upto = max(at + 1, int(np.searchsorted(total[end - 1], done + LOT, side="right")))
+        yield order[begin[at] : end[upto - 1]]
+        at = upto
+
+
 def answers(stretches: DataFrame) -> DataFrame:
     """For each block's stretches, those strings that a document with a smaller id than the block's own holders has."""
 
     def meet(rows: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py(), np.uint64, np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("blob")]
-        gram, offset, size, least, data = (np.concatenate(x) for x in zip(*parts))
+        parts = [unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("blob")]
+        offset, size, least, data = (np.concatenate(x) for x in zip(*parts))
         size = size.astype(np.int64)
         start = np.cumsum(size) - size
+        gram = gram_hashes(data, start + offset)
         strings = size - LENGTH + 1
-        found = least_holders(data, start, size, gram, offset, least)
+        found = np.empty(int(strings.sum()), np.int64)
+        first_of = np.cumsum(strings) - strings
+        for lot in lots(gram, size):
+            places = byte_places(start[lot], size[lot])
+            own = np.cumsum(size[lot]) - size[lot]
+            found[byte_places(first_of[lot], strings[lot])] = least_holders(data[places], own, size[lot], gram[lot], offset[lot], least[lot])
         owner, number = np.repeat(np.arange(len(size)), strings), byte_places(np.zeros(len(size), np.int64), strings)
         new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])])
         begin = np.flatnonzero(new)
@@ -388,7 +440,7 @@ def answers(stretches: DataFrame) -> DataFrame:
         row_first = np.cumsum([0, *(len(p[0]) for p in parts)])
         cut = np.searchsorted(owner[begin], row_first)
         blobs = [pack((owner[begin[s:e]] - f + r).astype(np.int32), number[begin[s:e]].astype(np.uint8), length[s:e].astype(np.uint8), found[begin[s:e]]) for s, e, f, r in zip(cut, cut[1:], row_first, rows.column("first").to_pylist())]
-        return pa.Table.from_batches([batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=rows.column("block").combine_chunks(), bucket=rows.column("bucket").combine_chunks(), first=rows.column("first").combine_chunks(), blob=blobs)])
+        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=rows.column("block").combine_chunks(), bucket=rows.column("bucket").combine_chunks(), first=rows.column("first").combine_chunks(), blob=blobs)]))
 
     return stretches.groupBy("bucket").applyInArrow(meet, "kind int, block long, bucket long, first long, blob binary")
 
@@ -401,6 +453,7 @@ def removed(lengths: np.ndarray, ids: list, pieces: bytes | None, replies: list[
     change = np.zeros(int(lengths.sum()) + 1, np.int32)
     if pieces is not None:
         first, number, strings, least = unpack(pieces, np.int32, np.int32, np.uint8, np.int64)
+        first = np.cumsum(first, dtype=np.int64)
         own = np.array([np.iinfo(np.int64).min if i is None else i for i in ids], np.int64)[run_docs(lengths, first)] if len(first) else np.zeros(0, np.int64)
         local = np.flatnonzero(least[number] < own)
         np.add.at(change, first[local], 1)
@@ -435,8 +488,9 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     total = texts.agg(F.sum("size")).first()[0] or 0
     bits = max(0, total // BUCKET).bit_length()
     with shuffles_removed(spark):
-        made = stored(contexts(texts, shared_grams(texts, bits, hot), bits), "contexts")
-    replies = answers(made.where(F.col("kind") == STRETCHES))
+        flags = stored(shared_grams(texts, bits, hot), "flags")
+        made = stored(contexts(texts, flags, bits), "contexts")
+        replies = stored(answers(made.where(F.col("kind") == STRETCHES)), "answers")
     both = made.where(F.col("kind") == PIECES).unionByName(replies).select(F.col("block").alias("_block"), "kind", "blob")
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
@@ -453,7 +507,7 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 kept.append(data[at : at + n][~own].tobytes() if counts[-1] else data[at : at + n].tobytes())
                 at += n
             out.append(batch(RESULT, doc_id=row["doc_id"], n_bytes=lengths, n_removed=counts, n_spans=spans, kept=kept))
-        return pa.Table.from_batches(out, RESULT)
+        return given_back(pa.Table.from_batches(out, RESULT))
 
     return texts.groupBy("block").cogroup(both.groupBy("_block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

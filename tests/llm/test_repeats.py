@@ -67,6 +67,17 @@ def test_many_blocks_buckets_and_hot_grams(spark, documents, monkeypatch):
     assert sorted(repr((*r[:4], hashlib.sha256(r.kept).hexdigest())) for r in got) == plain(rows)
 
 
+def test_lots_are_whole_groups(monkeypatch):
+    draw = np.random.default_rng(1)
+    gram, size = draw.integers(0, 40, 500).astype(np.uint64), draw.integers(50, 80, 500)
+    for most in (1, 1000, 10**9):
+        monkeypatch.setattr(repeats, "LOT", most)
+        some = list(repeats.lots(gram, size))
+        assert sorted(np.concatenate(some).tolist()) == list(range(500))
+        assert sum(len(set(gram[x].tolist())) for x in some) == len(set(gram.tolist()))
+        assert all(size[x].sum() <= most or len(set(gram[x].tolist())) == 1 for x in some)
+
+
 def test_suffix_sort():
     draw = np.random.default_rng(2)
     data = draw.integers(97, 99, 3000).astype(np.uint8)
