@@ -23,8 +23,16 @@ DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
 WRAP = "\"'`.,;:!?()[]{}<>|*$#&%=~"
 SHORTEST, LONGEST = 6, 128
-BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+)\s*\Z")
+BEFORE = re.compile(r"\S+")
 AFTER = re.compile(r"\s*(\S+)")
+#: Secrets by their key: quoted, or as a long run. The runs end at quotes or are taken whole, so it is linear as well.
+KEYED = re.compile(
+    r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?(?:[_-][a-z0-9_-]{0,32})?[\"']?\s{0,8}(?::=|=>|[:=])\s{0,8}"
+    r"(?:([\"'])(?P<quoted>[^\s\"']++)\1|(?P<bare>[A-Za-z0-9_+/.=-]{16,}+))"
+)
+LETTER = re.compile(r"[A-Za-z]")
+#: Length of a quoted secret; digits of a bare one.
+SECRET, SECRET_DIGITS = 8, 4
 #: Characters around an identifier that its lexical patterns look at.
 AROUND = 64
 #: Rounds of scoring; confidence and number of distinct known identifiers from which a pattern is trusted.
@@ -68,6 +76,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def keyed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the secrets that follow a key such as `token =`, but for those that lie within a base span."""
+    out = []
+    for m in KEYED.finditer(text) if DIGIT.search(text) else ():
+        name = "quoted" if m["quoted"] else "bare"
+        value, (s, e) = m[name], m.span(name)
+        fine = len(value) >= SECRET if name == "quoted" else len(DIGIT.findall(value)) >= SECRET_DIGITS
+        if fine and LETTER.search(value) and DIGIT.search(value) and not any(b <= s and e <= f for _, b, f in base):
+            out.append((KINDS.index("id"), s, e))
+    return out
+
+
 def shape(value: str) -> str:
     """What an identifier looks like: letters a, digits 9, the rest as it is; runs of letters and digits by length."""
     runs = re.sub(r"[^\W\d_]+", lambda m: f"a{len(m[0])}", re.sub(r"[0-9]+", lambda m: f"9x{len(m[0])}", value))
@@ -75,17 +95,23 @@ def shape(value: str) -> str:
 
 
 def context(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns that a span lies in: the word before, both words before, and the words on both sides."""
-    m = BEFORE.search(text[max(0, start - AROUND) : start])
+    """The lexical contexts that a span lies in: the word before, both words before, and the words on both sides.
+
+    Marks that stand alone before the span, as in `key = "`, are no words.
+    """
+    words = [w for m in BEFORE.finditer(text[max(0, start - AROUND) : start]) if (w := m[0].lower().strip(WRAP))]
     n = AFTER.match(text[end : end + AROUND])
-    clean = lambda w: (w or "^").lower().strip(WRAP) or w
-    one, two, after = clean(m and m[2]), clean(m and m[1]), clean(n and n[1])
+    two, one = ["^", "^", *words][-2:]
+    after = n and (n[1].lower().strip(WRAP) or n[1]) or "^"
     return [f"{one} _", f"{two} {one} _", f"{one} _ {after}"]
 
 
-def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """All identifiers of a text with their patterns: the seeds, which the fixed patterns found, and other tokens with digits."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
+def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
+    """All identifiers of a text with their patterns: the seeds, which fixed patterns found, and other tokens with digits.
+
+    A pattern is a context alone, which takes in identifiers of any form, or a context with a form.
+    """
+    out, taken = [], sorted((s, e) for _, s, e in seeds)
     spans = [(s, e, True) for s, e in taken]
     k, reach = 0, 0
     for m in TOKEN.finditer(text) if DIGIT.search(text) else ():
@@ -99,27 +125,29 @@ def occurrences(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         if SHORTEST <= len(value) <= LONGEST and sum(c.isdigit() for c in value) >= 4:
             spans.append((m.start() + lead, m.start() + lead + len(value), False))
     for s, e, seed in spans:
-        form = shape(text[s:e])
-        out.append({"start": s, "end": e, "seed": seed, "value": text[s:e], "patterns": [f"{p} | {form}" for p in context(text, s, e)]})
+        form, around = shape(text[s:e]), context(text, s, e)
+        out.append({"start": s, "end": e, "seed": seed, "value": text[s:e], "patterns": [*around, *(f"{p} | {form}" for p in around)]})
     return out
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
-FOUND_SQL = "_base array<struct<kind:int,start:bigint,end:bigint>>, _found array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
+FOUND_SQL = "_base array<struct<kind:int,start:bigint,end:bigint>>, _keyed array<struct<kind:int,start:bigint,end:bigint>>, _found array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
 
 
 def extract(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The carried columns with `_base`, the fixed patterns' spans, and `_found`, all identifiers and their patterns."""
+    """The carried columns with `_base`, the fixed patterns' spans, `_keyed`, secrets by their keys, and `_found`, all identifiers and their patterns."""
 
     def run(batches):
         for b in batches:
-            base, found = [], []
+            base, keyed, found = [], [], []
             for t in texts(b.column(b.num_columns - 1)):
                 own = base_spans(t)
+                secrets = keyed_spans(t, own)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-                found.append(occurrences(t, own))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, SPAN), pa.array(found, FOUND)], names=[*b.schema.names[:-1], "_base", "_found"])
+                keyed.append([{"kind": k, "start": s, "end": e} for k, s, e in secrets])
+                found.append(occurrences(t, own + secrets))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, SPAN), pa.array(keyed, SPAN), pa.array(found, FOUND)], names=[*b.schema.names[:-1], "_base", "_keyed", "_found"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     return docs.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(run, f"{fields}, {FOUND_SQL}")
@@ -130,10 +158,11 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUS
 
     edges: distinct (pattern, value, seed). A pattern is scored by the mean score of its identifiers, with one unknown
     identifier added; an identifier that is no seed gets the score of its best trusted pattern. Scores pass to and fro
-    for some rounds, so patterns that share identifiers with trusted ones gain. What a round finds is written, so that
+    for some rounds, so patterns that share identifiers with trusted ones gain; seeds and identifiers that an earlier
+    round found alike are its support. A context without a form so brings in new forms. What a round finds is written, so that
     each join deals both of its sides anew and Spark can split a pattern that holds much of the graph.
     """
-    enough = F.sum(F.col("seed").cast("long")) >= support
+    enough = F.sum((F.col("score") > 0).cast("long")) >= support
 
     def score(scored: DataFrame) -> DataFrame:
         found = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), enough.alias("enough"))
@@ -150,7 +179,8 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUS
 def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns with `_base` and `_spans`, arrays of (kind, start, end) in code points, by kind, then start.
 
-    `_spans` holds the base spans and those of kind 4 (id) that trusted patterns discover; an id overlaps no base span.
+    `_spans` holds the base spans and those of kind 4 (id): secrets by their keys, and what trusted patterns discover,
+    which overlaps neither. A secret may hold a base span, but lies in none.
     The pattern graph covers all documents. Null texts are empty; repeated rows and null ids stay rows of their own;
     an empty table gives an empty result.
     """
@@ -161,7 +191,8 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     unknown = each.where(~F.col("seed")).select("_at", "start", "end", F.explode("patterns").alias("pattern"))
     new = unknown.join(trusted, "pattern", "left_semi").groupBy("_at").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("_new"))
     both = kept.drop("_found").join(new.withColumnRenamed("_at", "_of"), F.col("_at") == F.col("_of"), "left")
-    return both.select(*carry, F.array_sort("_base").alias("_base"), F.array_sort(F.when(F.col("_new").isNull(), F.col("_base")).otherwise(F.concat("_base", "_new"))).alias("_spans"))
+    known = F.concat("_base", "_keyed")
+    return both.select(*carry, F.array_sort("_base").alias("_base"), F.array_sort(F.when(F.col("_new").isNull(), known).otherwise(F.concat(known, "_new"))).alias("_spans"))
 
 
 def written(spans: Column) -> Column:
@@ -195,7 +226,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_id (what the patterns added)."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_id (secrets and what the patterns added)."""
     found = find_spans(docs, ["doc_id"])
     count = lambda k: F.size(F.filter("_spans", lambda x: x["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]

@@ -41,6 +41,31 @@ def test_bootstrap_and_digest(spark, documents):
     assert pii.op9_pii(documents(rows)).count() == len(rows)
 
 
+def test_bootstrap_finds_forms_of_no_base_pattern(spark, documents):
+    new = [f"zk-{4100 + k}-qx{k}" for k in range(24)]
+    rows = [(i - 900, f"the ticket for user{i}@mail.org was opened") for i in range(200)]
+    rows += [(100 + i, f"a ticket for {v} was closed") for i, v in enumerate(new)]
+    rows += [(200 + i, f"see parcel {v} at once") for i, v in enumerate(new)]
+    rows += [(300, "see parcel WW/77/2210 at once"), (301, "about ww-7712-ab7 here")]
+    got = {r.doc_id: r.spans for r in pii.op9_pii(documents(rows)).collect()}
+    assert all(got[100 + i] == f"id:13:{13 + len(v)}" for i, v in enumerate(new))  # by the context of the seeds, whatever the form
+    assert all(got[200 + i] == f"id:11:{11 + len(v)}" for i, v in enumerate(new))  # by identifiers that a round found
+    assert got[300] == "id:11:21" and got[301] == ""
+
+
+def test_keyed_secrets(spark, documents):
+    rows = [(k, f'é word token = "{hashlib.sha1(bytes([k])).hexdigest()}" more') for k in range(3)]
+    rows += [(10, "API_KEY: 'Zx81kk20' and password=\"a1b2c3d4e5\""), (11, 'the token = "word" or secret: none'), (12, "secret_key => abcd1234efgh5678ij.")]
+    rows += [(13, 'token = "4111111111111111aa"'), (14, 'password = "joe7@mail.org"'), (15, 'x = "0123456789abcdef"')]
+    got = {r.doc_id: r for r in pii.op9_pii(documents(rows)).collect()}
+    assert [(got[k].spans, got[k].n_id, got[k].base_sha256) for k in range(3)] == [("id:16:56", 1, hashlib.sha256(b"").hexdigest())] * 3
+    assert got[10].spans == "id:10:18,id:34:44" and got[11].spans == "" and got[12].spans == "id:14:33"
+    assert got[13].spans == "card:9:25,id:9:27" and got[14].spans == "email:12:25" and got[15].spans == ""
+    assert pii.mask(documents(rows[:1])).first().text == 'é word token = "<id>" more'
+    pii.keyed_spans("token=" * 100000 + "1", [])
+    pii.keyed_spans("token='" * 100000 + "1", [])  # no squares
+
+
 def test_mask(spark, documents):
     rows = [(1, "mail x.y@z.org or +1 (017) 555-7713 é 4111 1111 1111 1111."), (2, None), (3, "clean"), (3, "clean")]
     got = pii.mask(documents(rows))
