@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pytest
 
 from blockloom.llm import language
 from blockloom.llm.common import table
@@ -26,6 +29,16 @@ def test_odd_texts(spark, documents):
     assert kept.columns == documents(rows).columns and kept.count() == len(rows) + 4
 
 
+def test_keep_known_learns_from_every_label(spark, documents):
+    rows = [(i, "der hund und die katze " * (i % 7 + 1) if zlib.crc32(str(i).encode()) % 4 == 2 else "the cat and the dog " * (i % 7 + 1)) for i in range(160)]
+    rows = [(i, t, t[:3]) for i, t in rows]
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language, "predict", lambda docs, model, plain=language.predict: seen.append(model) or plain(docs, model))
+        assert language.keep_known(documents(rows)).count() == len(rows)
+    assert seen[0].names == ["der", "the"]  # all rows of one label are in the quarter that op2_language holds out
+
+
 def test_nothing_to_learn(spark, documents):
     assert language.op2_language(documents([])).collect() == []
     assert [r.lang_pred for r in language.op2_language(documents([(1, "a b", None)])).collect()] == ["und"]
