@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch, stored, with_row_index
 from .components import components
@@ -21,19 +22,32 @@ PER_PASS, MOST_PASSES = 1 << 24, 8
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Variants fall into parts by three parities over these bits: linear, so a part's masks follow from a fingerprint's part.
 PARITIES = (0x9249249249249249, 0xC30C30C30C30C30C, 0xF0F00F0FA55AA55A)
+#: Share of common shingles from which texts are near-duplicates in the pipeline.
+SIMILAR = 0.8
+#: Least hashes under BANDS x BAND permutations: a pair at SIMILAR agrees in all of some band but for (1 - 0.8^4)^32 < 5e-8.
+BANDS, BAND = 32, 4
+SALTS, FACTORS, MIXERS = np.random.default_rng(64).integers(0, 1 << 64, (3, BANDS * BAND), dtype=np.uint64) | np.array([[0], [1], [1]], dtype=np.uint64)
+#: Shingles whose permuted hashes are in memory at a time.
+PERMUTED = 2048
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The 64-bit SimHash of the shingles of so many words, repeats included; 0 without words."""
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The hash of each shingle of so many words, repeats included; one of all words in a shorter text, none without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line, ends, at = b" ".join(words), [], -1
     for w in words:
         ends.append(at := at + len(w) + 1)
     starts = [0, *(e + 1 for e in ends[:-1])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], dtype=np.uint64)
+    return np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], dtype=np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a text's shingles; 0 without any."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):  # a very long text takes no more memory than this many shingles
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -41,16 +55,41 @@ def fingerprint(text: bytes | None, width: int) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, carry: list[str], width: int) -> DataFrame:
-    """The carried columns and the fingerprint `fp` of each text (a signed long)."""
-    shape = docs.select(*carry).schema.add("fp", "long")
-    names = list(carry)
+def bands(distinct: np.ndarray) -> np.ndarray:
+    """A hash of each band of the least permuted hashes of a set of shingles (MinHash)."""
+    least = np.full(BANDS * BAND, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(distinct), PERMUTED):
+        least = np.minimum(least, ((distinct[at : at + PERMUTED, None] ^ SALTS) * FACTORS).min(0))
+    mixed = ((least ^ (least >> np.uint64(29))) * MIXERS).reshape(BANDS, BAND).sum(1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(32))) * SPREAD + np.arange(BANDS, dtype=np.uint64)
+
+
+def fingerprints(docs: DataFrame, carry: list[str], width: int, banded: bool = False) -> DataFrame:
+    """The carried columns and the fingerprint `fp` of each text (a signed long).
+
+    If banded, the set of its shingles follows: `key`, a hash of it, `size`, and `bands`; no bands without words.
+    """
+    schema = docs.select(*carry).schema.add("fp", "long")
+    names = [*carry, "fp"]
+    if banded:
+        schema = schema.add("key", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))
+        names += ["key", "size", "bands"]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([fingerprint(t.as_py(), width) for t in b.columns[-1]], pa.int64())], names=[*names, "fp"])
+            fp, key, size, some = [], [], [], []
+            for t in b.columns[-1]:
+                hashes = shingles(t.as_py(), width)
+                fp.append(fingerprint(hashes))
+                if banded:
+                    distinct = np.unique(hashes)
+                    key.append(xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63))
+                    size.append(len(distinct))
+                    some.append(bands(distinct).view(np.int64) if len(distinct) else [])
+            more = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(some, pa.list_(pa.int64()))] if banded else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64()), *more], names=names)
 
-    return docs.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(run, shape)
+    return docs.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -142,18 +181,83 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
+    """Those of the stored pairs (a, b) of doc_ids whose sets of shingles have at least this Jaccard similarity."""
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([np.unique(shingles(t.as_py(), width)).tobytes() for t in b.columns[1]], pa.binary())], names=["doc_id", "set"])
+
+    def alike(batches):
+        for b in batches:
+            kept = []
+            for x, y in zip(b.columns[2], b.columns[3]):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common >= similar * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    of = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(named, "doc_id", "left_semi")
+    of = stored(of.mapInArrow(sets, "doc_id long, set binary"), "sets")
+    left = stored(pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a"), "left")
+    both = left.join(of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return stored(both.mapInArrow(alike, "a long, b long"), "verified")
+
+
+def similar_links(kept: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
+    """Links (a, b) between doc_ids; joined up they tie all texts whose sets of shingles are this similar.
+
+    Equal sets are linked to one of them, which stands for all. Of those, texts that share a band are candidates, and
+    each is compared by its shingles. First, one text of each bucket meets the others, another one by chance in each
+    band, so that a large group of near copies becomes one without its pairs being spelled out; then the pairs of a
+    bucket that are not joined up yet meet.
+    """
+    first = stored(kept.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
+    same = kept.where("size > 0").join(first, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    each = kept.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", F.explode("bands").alias("band"))
+    each = stored(each, "bands")
+    buckets = each.groupBy("band").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "size")).alias("c"), F.count("*").alias("n"))
+    buckets = stored(buckets.where("n > 1").select("band", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "buckets")
+    met = stored(each.join(buckets, "band"), "met")
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similar - 1e-9
+    pairs = met.where((F.col("doc_id") != F.col("centre")) & fits("size", "centre_size"))
+    pairs = stored(pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
+    stars = verified(pairs, docs, width, similar)
+    named = components(stars)
+    joined = met.join(named, met["doc_id"] == named["node"], "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("group"))
+    joined = stored(joined, "joined")
+    apart = joined.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band")
+    left = stored(joined.join(apart, "band", "left_semi"), "apart")
+    one, two = (left.select("band", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "size", "group")]) for k in (1, 2))
+    rest = one.join(two, "band").where((F.col("doc_id1") < F.col("doc_id2")) & (F.col("group1") != F.col("group2")) & fits("size1", "size2"))
+    rest = rest.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return same.unionByName(stars).unionByName(verified(stored(rest, "rest"), docs, width, similar))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, similar: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach from the document.
 
-    Null texts, and texts without words, have fingerprint 0 and are linked like any other. Repeated rows are rows of
-    one group. A null doc_id takes part, but names no component: one with null ids only has a null component_id. An
-    empty table gives an empty result; other columns are not looked at.
+    Texts are linked whose fingerprints are at most radius bits apart; with similar, those as well whose shingles have
+    at least this Jaccard similarity, for which a doc_id is neither null nor repeated. Null texts, and texts without
+    words, have fingerprint 0 and are linked like any other. Repeated rows are rows of one group. A null doc_id takes
+    part, but names no component: one with null ids only has a null component_id. An empty table gives an empty
+    result; other columns are not looked at.
     """
-    kept = stored(fingerprints(docs, ["doc_id"], width), "fingerprints")
+    kept = stored(fingerprints(docs, ["doc_id"], width, similar is not None), "fingerprints")
     ids = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     named = components(ball_links(ids, radius))
     member = ids.join(named, ids["fp"] == named["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     member = stored(member, "members")
+    if similar is not None:
+        links = stored(similar_links(kept, docs, width, similar), "similar")
+        of = stored(kept.select("doc_id", "fp").join(member, "fp").select("doc_id", "component"), "groups")
+        for end in ("a", "b"):
+            links = links.join(of.select(F.col("doc_id").alias(end), F.col("component").alias(f"_{end}")), end)
+        upper = components(links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+        upper = upper.withColumnRenamed("component", "_top")
+        member = member.join(upper, member["component"] == upper["node"], "left").select("fp", "low", F.coalesce("_top", "component").alias("component"))
+        member = stored(member, "members")
     lowest = member.groupBy("component").agg(F.min("low").alias("component_id"))
     of = member.join(lowest, "component").select(F.col("fp").alias("_fp"), "component_id")
     return kept.join(of, kept["fp"] == of["_fp"]).select("doc_id", "fp", "component_id")
@@ -168,10 +272,10 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs, width=4, radius=4).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, similar: float = SIMILAR) -> DataFrame:
     """The documents with one of each group of near-duplicates: the one of least doc_id, null last."""
     rows = with_row_index(docs, "_row")
-    marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius)
+    marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius, similar)
     named = rows.select("_row", F.col("doc_id").alias("_id")).join(marked.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_kept")).select(F.col("_kept._row").alias("_row"))
     return rows.join(first, "_row", "left_semi").drop("_row")

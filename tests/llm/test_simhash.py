@@ -52,6 +52,28 @@ def test_same_as_all_pairs(spark, documents):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_keep_one_finds_edited_copies(spark, documents):
+    draw = random.Random(8)
+    words, rows = [f"w{i}" for i in range(500)], []
+    for _ in range(30):
+        base = [draw.choice(words) for _ in range(draw.choice([4, 60, 200]))]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(4):  # chains: each copy is an edit of the one before
+            base = list(base)
+            for _ in range(1 + len(base) // 100):
+                base[draw.randrange(len(base))] = draw.choice(words)
+            rows.append((len(rows), " ".join(base).upper()))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    fp = [plain_fingerprint(t, 5) for _, t in rows]
+    pairs = list(combinations(range(len(rows)), 2))
+    like = [(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    bits = [(i, j) for i, j in pairs if (fp[i] ^ fp[j]).bit_count() <= 4]
+    want = set(plain_components(range(len(rows)), like + bits).values())
+    assert len(want) < len(set(plain_components(range(len(rows)), bits).values())) - 30
+    rows += [(900, None), (901, ""), (None, rows[0][1])]
+    assert sorted((r.doc_id for r in simhash.keep_one(documents(rows)).collect()), key=str) == sorted([*want, 900], key=str)
+
+
 def test_passes_do_not_change_links(spark, monkeypatch):
     draw = random.Random(2)
     fps = []
