@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,8 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, stored
-from .simhash import shuffles_removed
+from .common import batch, shuffles_removed, stored
 
 #: Bytes of a string that counts as repeated, and of the grams of which each string's least hash is its anchor.
 LENGTH, GRAM = 50, 24
@@ -20,8 +20,10 @@ LENGTH, GRAM = 50, 24
 BLOCK, BUCKET, STEP, SORTED = 1 << 20, 8 << 20, 1 << 18, 250_000
 #: Bytes of stretches that are compared together.
 LOT = 1 << 20
-#: A gram of more blocks than this is dealt by the string around it instead of by itself.
-HOT = 512
+#: A gram with more different surroundings than this is dealt by the strings around it instead of by itself.
+HOT = 1024
+#: Added to the anchor's place of a string that is dealt by itself.
+ALONE = 128
 BASE, SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 INVERSE = pow(BASE, -1, 1 << 64)
 NOBODY = np.iinfo(np.int64).max
@@ -54,10 +56,10 @@ class Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
-    def common(self, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes at p and q, up to most, by binary search over hashes."""
         found = np.zeros(len(p), np.int64)
-        step = 1 << (most.bit_length() - 1)
+        step = 1 << (int(most.max(initial=1)).bit_length() - 1)
         while step:
             a, b = p + found, q + found
             fits = np.flatnonzero(found + step <= most)
@@ -80,21 +82,39 @@ def gram_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def stretch_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hashes of these stretches, each of less than 128 bytes; the prefix hashes are those of a piece at a time."""
+    out = np.empty(len(start), np.uint64)
+    order = np.argsort(start // STEP, kind="stable")
+    edge = np.searchsorted(start[order] // STEP, np.arange(len(data) // STEP + 2))
+    for k, (s, e) in enumerate(zip(edge, edge[1:])):
+        if s < e:
+            some, at = order[s:e], k * STEP
+            begin = start[some] - at
+            out[some] = Hashes(data[at : at + STEP + 127]).of(begin, begin + size[some])
+    return out
+
+
 @dataclass(frozen=True)
 class Runs:
-    """Neighbouring strings (first to last start) with the same anchor, a gram's place, and the gram's hash."""
+    """Neighbouring strings with the same anchor, a gram in them.
+
+    first: where the first one starts; strings: how many; offset: where in the first one the gram stands; gram, whole:
+    hashes of the gram and of all the bytes.
+    """
 
     first: np.ndarray
-    last: np.ndarray
-    anchor: np.ndarray
+    strings: np.ndarray
+    offset: np.ndarray
     gram: np.ndarray
+    whole: np.ndarray
 
 
 def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
     """All strings of LENGTH bytes within each document. Equal strings have the same anchor at the same place in them."""
     width = LENGTH - GRAM + 1
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    parts = []
+    upto = np.cumsum(lengths)
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for at in range(0, len(data) - LENGTH + 1, STEP):
         piece = Hashes(data[at : at + STEP + LENGTH - 1])
         start = np.arange(len(piece.data) - GRAM + 1)
@@ -108,15 +128,12 @@ def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         place = (least & low).astype(np.int64)
         begin = np.arange(at, at + len(place))
-        place[begin + LENGTH > ends[at : at + len(place)]] = -1
+        place[begin + LENGTH > upto[np.searchsorted(upto, begin, side="right")]] = -1
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        last = np.append(first[1:], len(place)) - 1
+        strings = np.diff(np.append(first, len(place)))
         kept = place[first] >= 0
-        first, last = first[kept], last[kept]
-        parts.append((first + at, last + at, place[first] + at, gram[place[first]]))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64))
+        first, strings = first[kept], strings[kept]
+        parts.append(((first + at).astype(np.int32), strings.astype(np.uint8), (place[first] - first).astype(np.uint8), gram[place[first]], piece.of(first, first + strings + LENGTH - 1)))
     return Runs(*(np.concatenate(x) for x in zip(*parts)))
 
 
@@ -185,42 +202,51 @@ def cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge, edge[1:]))
 
 
-def distinct_grams(found: Runs, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams in order, whether several documents of the block have each, and each run's place among them."""
-    order, first = groups_of(found.gram, doc)
-    grams, place = np.unique(found.gram, return_inverse=True)
-    return grams, np.bincount(place[order[first]], minlength=len(grams)) > 1, place
-
-
 def run_docs(lengths: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(lengths), start, side="right")
 
 
+def distinct_grams(found: Runs, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams in order, whether several documents of the block have each, and how many surroundings each has.
+
+    Surroundings are counted by the power of two that is not below their number.
+    """
+    grams, place = np.unique(found.gram, return_inverse=True)
+    count = lambda key: np.bincount(place[(o := groups_of(found.gram, key))[0][o[1]]], minlength=len(grams))
+    return grams, count(doc) > 1, np.ceil(np.log2(np.maximum(count(found.whole), 1))).astype(np.uint8)
+
+
 def shared_grams(texts: DataFrame, bits: int, hot_from: int = HOT) -> DataFrame:
-    """(flag_of, bucket, shared, hot): for each block, of its distinct grams in order, which other documents have too."""
+    """(flag_of, bucket, n, shared, hot): for each block, of its distinct grams in order, which other documents have too.
+
+    A hot gram has more surroundings than hot_from, each block's counted by themselves.
+    """
 
     def emit(batches):
-        shape = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("several", pa.binary())])
+        shape = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("grams", pa.binary()), ("several", pa.binary()), ("around", pa.binary())])
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 lengths, data = unpack(blob.as_py(), np.int64, np.uint8)
                 found = runs(data, lengths)
-                grams, several, _ = distinct_grams(found, run_docs(lengths, found.first))
+                grams, several, around = distinct_grams(found, run_docs(lengths, found.first))
                 bucket = bucket_of(grams, bits)
                 some = cuts(bucket)
-                yield batch(shape, bucket=[int(bucket[s]) for s, _ in some], block=[block] * len(some), grams=[grams[s:e].astype(np.uint32).tobytes() for s, e in some], several=[np.packbits(several[s:e]).tobytes() for s, e in some])
+                packed = [[x(s, e) for s, e in some] for x in (lambda s, e: grams[s:e].astype(np.uint32).tobytes(), lambda s, e: np.packbits(several[s:e]).tobytes(), lambda s, e: around[s:e].tobytes())]
+                yield batch(shape, bucket=[int(bucket[s]) for s, _ in some], block=[block] * len(some), grams=packed[0], several=packed[1], around=packed[2])
 
     def meet(rows: pa.Table) -> pa.Table:
         grams = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("grams")]
         several = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(g)) for x, g in zip(rows.column("several"), grams)]
+        around = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("around")])
         _, place, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
         inside = np.bincount(place, weights=np.concatenate(several), minlength=len(count)) > 0
+        many = np.bincount(place, weights=np.exp2(around, dtype=np.float64), minlength=len(count)) > hot_from
         edge = np.cumsum([0, *map(len, grams)])
-        shared, hot = ((count > 1) | inside)[place], (count > hot_from)[place]
+        shared, hot = ((count > 1) | inside)[place], many[place]
         bits_of = lambda x: pa.array([np.packbits(x[s:e]).tobytes() for s, e in zip(edge, edge[1:])], pa.binary())
-        return pa.table({"flag_of": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array([len(g) for g in grams], pa.int64()), "shared": bits_of(shared), "hot": bits_of(hot)})
+        return given_back(pa.table({"flag_of": rows.column("block"), "bucket": rows.column("bucket"), "n": pa.array([len(g) for g in grams], pa.int64()), "shared": bits_of(shared), "hot": bits_of(hot)}))
 
-    asked = texts.select("block", "data").mapInArrow(emit, "bucket long, block long, grams binary, several binary")
+    asked = texts.select("block", "data").mapInArrow(emit, "bucket long, block long, grams binary, several binary, around binary")
     return asked.groupBy("bucket").applyInArrow(meet, "flag_of long, bucket long, n long, shared binary, hot binary")
 
 
@@ -241,79 +267,16 @@ def same_bytes(data: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray)
     return out
 
 
-def collapsed(hashes: Hashes, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """For each stretch the first one with the same keys and bytes; hashes find it, bytes verify it."""
-    order, first = groups_of(*keys, size, hashes.of(start, start + size))
-    leader = np.empty(len(order), np.int64)
-    leader[order] = np.repeat(order[first], np.diff(np.append(first, len(order))))
-    follows = np.flatnonzero(leader != np.arange(len(leader)))
-    wrong = follows[~same_bytes(hashes.data, start[follows], start[leader[follows]], size[follows])]
-    leader[wrong] = wrong  # equal hashes of different bytes: they stay apart and are told apart by the sort
-    return leader
-
-
-CONTEXTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("blob", pa.binary())])
-PIECES, STRETCHES, ANSWERS = 0, 1, 2
-
-
-def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
-    """The stretches around shared grams (kind 1, by bucket), and where in the block each occurs (kind 0)."""
+def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the suffixes at these places by their first bytes, length of them, within each group.
 
-    def run(block: pa.Table, flags: pa.Table) -> pa.Table:
-        out = []
-        flags = flags.sort_by("bucket")
-        size = flags.column("n").to_pylist()
-        bits_of = lambda name: np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(flags.column(name), size))]).astype(bool)
-        shared, hot = bits_of("shared"), bits_of("hot")
-        for row in block.to_pylist():
-            lengths, data = unpack(row["data"], np.int64, np.uint8)
-            ids = np.array([NOBODY if i is None else i for i in row["doc_id"]], np.int64)
-            found = runs(data, lengths)
-            grams, place = np.unique(found.gram, return_inverse=True)
-            keep = np.flatnonzero(shared[place]) if len(place) else np.zeros(0, np.int64)
-            apart = hot[place[keep]]
-            # strings around a hot gram each go alone
-            alone = keep[apart]
-            n = found.last[alone] - found.first[alone] + 1
-            each = byte_places(found.first[alone], n)
-            first = np.concatenate([found.first[keep[~apart]], each])
-            last = np.concatenate([found.last[keep[~apart]], each])
-            anchor = np.concatenate([found.anchor[keep[~apart]], np.repeat(found.anchor[alone], n)])
-            gram = np.concatenate([found.gram[keep[~apart]], np.repeat(found.gram[alone], n)])
-            single = np.arange(len(first)) >= (~apart).sum()
-            stretch = last - first + LENGTH
-            hashes = Hashes(data)
-            leader = collapsed(hashes, first, stretch, gram, anchor - first)
-            route = np.where(single, mixed(hashes.of(first, first + stretch)), gram)
-            lead = np.flatnonzero(leader == np.arange(len(leader)))
-            lead = lead[np.argsort(bucket_of(route[lead], bits), kind="stable")]
-            number = np.empty(len(leader), np.int64)
-            number[lead] = np.arange(len(lead))
-            number = number[leader]
-            least = np.full(len(lead), NOBODY)
-            doc = run_docs(lengths, first)
-            np.minimum.at(least, number, ids[doc])
-            out.append(batch(CONTEXTS, kind=[PIECES], block=[row["block"]], bucket=[-1], first=[0], blob=[pack(np.diff(first, prepend=0).astype(np.int32), number.astype(np.int32), (last - first + 1).astype(np.uint8), least)]))
-            bucket = bucket_of(route[lead], bits)
-            for s, e in cuts(bucket):
-                some = lead[s:e]
-                blob = pack((anchor - first)[some].astype(np.uint8), stretch[some].astype(np.uint8), least[s:e], data[byte_places(first[some], stretch[some])])
-                out.append(batch(CONTEXTS, kind=[STRETCHES], block=[row["block"]], bucket=[int(bucket[s])], first=[s], blob=[blob]))
-        return given_back(pa.Table.from_batches(out, CONTEXTS))
-
-    return texts.select("block", "doc_id", "data").groupBy("block").cogroup(flags.groupBy("flag_of")).applyInArrow(run, "kind int, block long, bucket long, first long, blob binary")
-
-
-def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts the suffixes at these places by their first LENGTH bytes within each group (groups lie together).
-
-    Returns the order and, for each sorted suffix, whether it differs from the one before it. A bottom-up mergesort:
-    every suffix finds its rank in the neighbouring run by binary search, each comparison being a binary search for
-    the common extension. Suffixes found equal are then verified byte for byte; where hashes have lied, that group is
-    sorted by its bytes.
+    Groups lie together, and all suffixes of one have the same length. Returns the order and, for each sorted suffix,
+    whether it differs from the one before it. A bottom-up mergesort: every suffix finds its rank in the neighbouring
+    run by binary search, each comparison being a binary search for the common extension. Suffixes found equal are then
+    verified byte for byte; where hashes have lied, that group is sorted by its bytes.
     """
     data, n = hashes.data, len(place)
-    whole = hashes.of(place, place + LENGTH)
+    whole = hashes.of(place, place + length)
     order = np.arange(n)
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, n))
@@ -324,7 +287,7 @@ def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray) -> tuple[n
         out = np.zeros(len(a), np.int8)
         other = np.flatnonzero(whole[a] != whole[b])
         p, q = place[a[other]], place[b[other]]
-        longest = hashes.common(p, q, LENGTH - 1)
+        longest = hashes.common(p, q, length[a[other]] - 1)
         out[other] = np.where(data[p + longest] < data[q + longest], -1, 1)
         return out
 
@@ -352,97 +315,241 @@ def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray) -> tuple[n
     new = np.ones(n, bool)
     new[1:] = (group[1:] != group[:-1]) | (whole[order[1:]] != whole[order[:-1]])
     same = np.flatnonzero(~new)
-    lied = same[~same_bytes(data, place[order[same]], place[order[same - 1]], np.full(len(same), LENGTH))]
+    lied = same[~same_bytes(data, place[order[same]], place[order[same - 1]], length[same])]
     for g in np.unique(start[lied]):
         own = slice(g, end[g])
-        text = [data[p : p + LENGTH].tobytes() for p in place[order[own]]]
+        text = [data[p : p + k].tobytes() for p, k in zip(place[order[own]], length[own])]
         by_bytes = sorted(range(len(text)), key=text.__getitem__)
         order[own] = order[own][by_bytes]
         new[own] = [k == 0 or text[by_bytes[k]] != text[by_bytes[k - 1]] for k in range(len(text))]
     return order, new
 
 
-def least_holders(data: np.ndarray, start: np.ndarray, size: np.ndarray, gram: np.ndarray, offset: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """For every string of every stretch, one stretch after the other, the least document id that any stretch gives it."""
-    hashes = Hashes(data)
-    leader = collapsed(hashes, start, size, gram, offset)
-    held = np.full(len(start), NOBODY)
-    np.minimum.at(held, leader, least)
-    strings = size - LENGTH + 1
-    lead = np.flatnonzero(leader == np.arange(len(leader)))
-    order, first = groups_of(gram[lead])
-    lead, n = lead[order], np.diff(np.append(first, len(order)))
-    several = np.repeat(n > 1, n)
-    first_of = np.full(len(start), -1)
-    answer = [np.repeat(held[lead[~several]], strings[lead[~several]])]
-    first_of[lead[~several]] = np.cumsum(strings[lead[~several]]) - strings[lead[~several]]
-    done = len(answer[0])
-    todo = lead[several]
-    edge = np.flatnonzero(np.concatenate([[True], gram[todo][1:] != gram[todo][:-1]])) if len(todo) else np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(strings[todo])])
-    at = 0
-    while at < len(edge):  # whole groups at a time, a bounded number of strings (or one group)
-        upto = max(at + 1, int(np.searchsorted(total[np.append(edge, len(todo))], total[edge[at]] + SORTED, side="right")) - 1)
-        some = todo[edge[at] : edge[upto] if upto < len(edge) else len(todo)]
-        n = strings[some]
-        place, owner = byte_places(start[some], n), np.repeat(some, n)
-        inside = offset[owner].astype(np.int64) - (place - start[owner])  # where the gram stands in the string
-        together, begins = groups_of(gram[owner], inside)
-        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(together))))
-        sorted_, new = suffix_sort(hashes, place[together], group)
-        member = together[sorted_]
-        equal = np.flatnonzero(new)
-        low = np.minimum.reduceat(held[owner[member]], equal)
-        result = np.empty(len(place), np.int64)
-        result[member] = np.repeat(low, np.diff(np.append(equal, len(member))))
-        first_of[some] = done + np.cumsum(n) - n
-        answer.append(result)
-        done += len(result)
-        at = upto
-    return np.concatenate(answer)[byte_places(first_of[leader], strings)]
-
-
-def lots(gram: np.ndarray, size: np.ndarray):
-    """Stretches in lots of a bounded number of bytes, all those of a gram in the same one."""
-    order, begin = groups_of(gram)
+def lots(group: np.ndarray, size: np.ndarray, most: int):
+    """What the arrays tell of in lots of a bounded sum of sizes, all those of a group in the same one."""
+    order, begin = groups_of(group)
     end = np.append(begin[1:], len(order))
     total = np.cumsum(size[order])
     at = 0
     while at < len(begin):
         done = total[begin[at] - 1] if begin[at] else 0
-        upto = max(at + 1, int(np.searchsorted(total[end - 1], done + LOT, side="right")))
+        upto = max(at + 1, int(np.searchsorted(total[end - 1], done + most, side="right")))
         yield order[begin[at] : end[upto - 1]]
         at = upto
 
 
-def answers(stretches: DataFrame) -> DataFrame:
-    """For each block's stretches, those strings that a document with a smaller id than the block's own holders has."""
+def leaders(data: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each stretch the first one that has the same keys and bytes.
 
-    def meet(rows: pa.Table) -> pa.Table:
+    Hashes of all bytes deal stretches that can be equal side by side; suffix sorts of a bounded number of bytes tell
+    which are. A group of any size is first sorted in parts, then what is left of each part together.
+    """
+    leader = np.arange(len(start))
+    order, first = groups_of(*keys, size, whole)
+    n = np.diff(np.append(first, len(order)))
+    key = np.empty(len(order), np.int64)
+    key[order] = np.repeat(np.arange(len(first)), n)
+
+    def settle(some: np.ndarray) -> None:
+        own = size[some]
+        sorted_, new = suffix_sort(Hashes(data[byte_places(start[some], own)]), np.cumsum(own) - own, key[some], own)
+        member, head = some[sorted_], np.flatnonzero(new)
+        leader[member] = np.repeat(member[head], np.diff(np.append(head, len(member))))
+
+    todo = order[np.repeat(n > 1, n)]
+    total, at = np.cumsum(size[todo]), 0
+    while at < len(todo):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LOT, side="right")))
+        settle(todo[at:upto])
+        at = upto
+    head = todo[leader[todo] == todo]
+    head = head[np.bincount(key[head], minlength=1)[key[head]] > 1]
+    if len(head):
+        part = leader.copy()
+        for some in lots(key[head], size[head], LOT):
+            settle(head[some])
+        leader = leader[part]
+    return leader
+
+
+CONTEXTS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("first", pa.int64()), ("blob", pa.binary())])
+CONTEXTS_SQL = "kind int, block long, bucket long, first long, blob binary"
+PIECES, STRETCHES, ANSWERS, SINGLES, FOLDED = range(5)
+
+
+def stretches_blob(offset: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray, start: np.ndarray) -> bytes:
+    return pack(offset.astype(np.uint8), size.astype(np.uint8), least, data[byte_places(start, size)])
+
+
+def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
+    """The stretches around shared grams, by bucket, the strings around hot ones, and where in the block each occurs."""
+
+    def run(block: pa.Table, flags: pa.Table) -> pa.Table:
+        out = []
+        flags = flags.sort_by("bucket")
+        size = flags.column("n").to_pylist()
+        bits_of = lambda name: np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(flags.column(name), size))]).astype(bool)
+        shared, hot = bits_of("shared"), bits_of("hot")
+        for row in block.to_pylist():
+            lengths, data = unpack(row["data"], np.int64, np.uint8)
+            ids = np.array([NOBODY if i is None else i for i in row["doc_id"]], np.int64)
+            found = runs(data, lengths)
+            grams, place = np.unique(found.gram, return_inverse=True)
+            keep = np.flatnonzero(shared[place]) if len(place) else np.zeros(0, np.int64)
+            apart = hot[place[keep]]
+            whole_ones, alone = keep[~apart], keep[apart]
+            # strings around a hot gram each go alone
+            n = found.strings[alone].astype(np.int64)
+            each = byte_places(found.first[alone].astype(np.int64), n)
+            offset = np.repeat(found.offset[alone].astype(np.int64) + found.first[alone], n) - each + ALONE
+            first = np.concatenate([found.first[whole_ones].astype(np.int64), each])
+            strings = np.concatenate([found.strings[whole_ones], np.ones(len(each), np.uint8)])
+            offset = np.concatenate([found.offset[whole_ones], offset.astype(np.uint8)])
+            single = stretch_hashes(data, each, np.full(len(each), LENGTH))
+            whole, route = np.concatenate([found.whole[whole_ones], single]), np.concatenate([found.gram[whole_ones], mixed(single)])
+            stretch = strings.astype(np.int64) + LENGTH - 1
+            leader = leaders(data, first, stretch, whole, route, offset)
+            lead = np.flatnonzero(leader == np.arange(len(leader)))
+            kind = np.where(offset[lead] >= ALONE, SINGLES, STRETCHES)
+            bucket = bucket_of(route[lead], bits)
+            order = np.lexsort((bucket, kind))
+            lead, kind, bucket = lead[order], kind[order], bucket[order]
+            number = np.empty(len(leader), np.int64)
+            number[lead] = np.arange(len(lead))
+            number = number[leader]
+            least = np.full(len(lead), NOBODY)
+            np.minimum.at(least, number, ids[run_docs(lengths, first)])
+            out.append(batch(CONTEXTS, kind=[PIECES], block=[row["block"]], bucket=[-1], first=[0], blob=[pack(np.diff(first, prepend=0).astype(np.int32), number.astype(np.int32), strings, least)]))
+            for s, e in cuts(bucket + (kind == SINGLES) * (1 << 40)):
+                some = lead[s:e]
+                out.append(batch(CONTEXTS, kind=[int(kind[s])], block=[row["block"]], bucket=[int(bucket[s])], first=[s], blob=[stretches_blob(offset[some], stretch[some], least[s:e], data, first[some])]))
+        return given_back(pa.Table.from_batches(out, CONTEXTS))
+
+    return texts.select("block", "doc_id", "data").groupBy("block").cogroup(flags.groupBy("flag_of")).applyInArrow(run, CONTEXTS_SQL)
+
+
+@dataclass(frozen=True)
+class Stretches:
+    """The stretches of some rows, one after the other; cut: where each row's begin."""
+
+    offset: np.ndarray
+    size: np.ndarray
+    least: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
+    cut: np.ndarray
+
+    @staticmethod
+    def of(rows: pa.Table) -> Stretches:
         parts = [unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("blob")]
         offset, size, least, data = (np.concatenate(x) for x in zip(*parts))
         size = size.astype(np.int64)
-        start = np.cumsum(size) - size
-        gram = gram_hashes(data, start + offset)
-        strings = size - LENGTH + 1
-        found = np.empty(int(strings.sum()), np.int64)
-        first_of = np.cumsum(strings) - strings
-        for lot in lots(gram, size):
-            places = byte_places(start[lot], size[lot])
-            own = np.cumsum(size[lot]) - size[lot]
-            found[byte_places(first_of[lot], strings[lot])] = least_holders(data[places], own, size[lot], gram[lot], offset[lot], least[lot])
-        owner, number = np.repeat(np.arange(len(size)), strings), byte_places(np.zeros(len(size), np.int64), strings)
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])])
-        begin = np.flatnonzero(new)
-        length = np.diff(np.append(begin, len(found)))
-        useful = found[begin] < least[owner[begin]]
-        begin, length = begin[useful], length[useful]
-        row_first = np.cumsum([0, *(len(p[0]) for p in parts)])
-        cut = np.searchsorted(owner[begin], row_first)
-        blobs = [pack((owner[begin[s:e]] - f + r).astype(np.int32), number[begin[s:e]].astype(np.uint8), length[s:e].astype(np.uint8), found[begin[s:e]]) for s, e, f, r in zip(cut, cut[1:], row_first, rows.column("first").to_pylist())]
+        return Stretches(offset, size, least, data, np.cumsum(size) - size, np.cumsum([0, *(len(p[0]) for p in parts)]))
+
+    def met(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What deals each stretch (its gram, or itself), its leader, and the least document id of each leader's."""
+        whole = stretch_hashes(self.data, self.start, self.size)
+        alone = self.offset >= ALONE
+        route = np.where(alone, mixed(whole), gram_hashes(self.data, self.start + self.offset % ALONE))
+        leader = leaders(self.data, self.start, self.size, whole, route, self.offset)
+        held = np.full(len(leader), NOBODY)
+        np.minimum.at(held, leader, self.least)
+        return route, leader, held
+
+
+def least_holders(x: Stretches, route: np.ndarray, lead: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(stretch, first string, strings, least document id) for all strings of the different stretches `lead`.
+
+    Where a gram has one stretch only, that has all strings; else the suffixes of all strings around it are sorted.
+    """
+    strings = x.size[lead] - LENGTH + 1
+    _, place, n = np.unique(route[lead], return_inverse=True, return_counts=True)
+    lone, several = lead[n[place] == 1], lead[n[place] > 1]
+    out = [(lone, np.zeros(len(lone), np.int64), x.size[lone] - LENGTH + 1, held[lone])]
+    for some in lots(route[several], x.size[several] - LENGTH + 1, SORTED):
+        some = several[some]
+        size = x.size[some]
+        n, start = size - LENGTH + 1, np.cumsum(size) - size
+        place, owner = byte_places(start, n), np.repeat(np.arange(len(some)), n)
+        number = place - start[owner]
+        inside = x.offset[some][owner].astype(np.int64) - number  # where the gram stands in the string
+        together, begins = groups_of(route[some][owner], inside)
+        group = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(together))))
+        sorted_, new = suffix_sort(Hashes(x.data[byte_places(x.start[some], size)]), place[together], group, np.full(len(together), LENGTH))
+        member, equal = together[sorted_], np.flatnonzero(new)
+        low = np.minimum.reduceat(held[some][owner[member]], equal)
+        result = np.empty(len(place), np.int64)
+        result[member] = np.repeat(low, np.diff(np.append(equal, len(member))))
+        begin = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (result[1:] != result[:-1])]))
+        out.append((some[owner[begin]], number[begin], np.diff(np.append(begin, len(result))), result[begin]))
+    return tuple(np.concatenate(y) for y in zip(*out))
+
+
+def joined(of: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked number, in order, the places in `of` that hold it: (place, which was asked)."""
+    order = np.argsort(of, kind="stable")
+    low, high = np.searchsorted(of[order], asked), np.searchsorted(of[order], asked, side="right")
+    return order[byte_places(low, high - low)], np.repeat(np.arange(len(asked)), high - low)
+
+
+def answers(stretches: DataFrame) -> DataFrame:
+    """For each row's stretches, those strings that a document with a smaller id than the row's own holders has."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        x = Stretches.of(rows)
+        route, leader, held = x.met()
+        of, at, length, holder = least_holders(x, route, np.flatnonzero(leader == np.arange(len(leader))), held)
+        reply, member = joined(of, leader)
+        useful = holder[reply] < x.least[member]
+        reply, member = reply[useful], member[useful]
+        cut = np.searchsorted(member, x.cut)
+        blobs = [pack((member[s:e] - f + r).astype(np.int32), at[reply[s:e]].astype(np.uint8), length[reply[s:e]].astype(np.uint8), holder[reply[s:e]]) for s, e, f, r in zip(cut, cut[1:], x.cut, rows.column("first").to_pylist())]
         return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=rows.column("block").combine_chunks(), bucket=rows.column("bucket").combine_chunks(), first=rows.column("first").combine_chunks(), blob=blobs)]))
 
-    return stretches.groupBy("bucket").applyInArrow(meet, "kind int, block long, bucket long, first long, blob binary")
+    return stretches.groupBy("bucket").applyInArrow(meet, CONTEXTS_SQL)
+
+
+def folded(singles: DataFrame, folds: int) -> DataFrame:
+    """Strings around hot grams of several blocks as one row for each bucket and fold, and where each block's went.
+
+    So a string that all blocks hold meets itself in two steps, of as many folds and as many blocks of a fold.
+    """
+
+    def meet(rows: pa.Table) -> pa.Table:
+        x = Stretches.of(rows)
+        _, leader, held = x.met()
+        lead = np.flatnonzero(leader == np.arange(len(leader)))
+        number = np.empty(len(leader), np.int32)
+        number[lead] = np.arange(len(lead))
+        name = -1 - rows.column("_fold")[0].as_py()
+        where = pack(np.array(rows.column("block")), np.array(rows.column("first")), np.diff(x.cut), number[leader], x.least, held[lead])
+        bucket = rows.column("bucket")[0].as_py()
+        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[STRETCHES, FOLDED], block=[name] * 2, bucket=[bucket] * 2, first=[0, 0], blob=[stretches_blob(x.offset[lead], x.size[lead], held[lead], x.data, x.start[lead]), where])]))
+
+    dealt = singles.withColumn("_fold", F.pmod(F.xxhash64("block"), F.lit(folds)))
+    return dealt.groupBy("bucket", "_fold").applyInArrow(meet, CONTEXTS_SQL)
+
+
+def unfolded(where: DataFrame, replies: DataFrame) -> DataFrame:
+    """What was answered to folds, as answers to their blocks."""
+
+    def run(where: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for row in where.to_pylist():
+            block, first, n, number, least, held = unpack(row["blob"], np.int64, np.int64, np.int64, np.int32, np.int64, np.int64)
+            held = held.copy()
+            for x in told.column("blob"):
+                of, _, _, holder = unpack(x.as_py(), np.int32, np.uint8, np.uint8, np.int64)
+                held[of] = holder
+            member = np.flatnonzero(held[number] < least)
+            edge = np.cumsum(np.concatenate([[0], n]))
+            cut = np.searchsorted(member, edge)
+            blobs = [pack((member[s:e] - f + r).astype(np.int32), np.zeros(e - s, np.uint8), np.ones(e - s, np.uint8), held[number[member[s:e]]]) for s, e, f, r in zip(cut, cut[1:], edge, first)]
+            out.append(batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=block, bucket=[row["bucket"]] * len(blobs), first=first, blob=blobs))
+        return given_back(pa.Table.from_batches(out, CONTEXTS))
+
+    told = replies.select(F.col("block").alias("_of"), F.col("bucket").alias("_in"), "blob")
+    return where.groupBy("block", "bucket").cogroup(told.groupBy("_of", "_in")).applyInArrow(run, CONTEXTS_SQL)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -475,22 +582,27 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each whole text without bytes in repeated strings.
 
     A byte goes if a string of LENGTH bytes around it also starts in a document with a smaller doc_id. Every string
-    has an anchor, the gram in it of least hash, so equal strings meet through their anchors. First it is found which
-    grams several documents hold; then stretches of text around those, some 65 bytes each, meet by gram, equal ones as
-    one; where a gram still has different stretches around it, the suffixes of all strings are sorted. A gram that many
-    blocks hold is not gathered: the strings around it are dealt by themselves.
+    has an anchor, the gram in it of least hash, so equal strings meet through their anchors: these only deal the work.
+    First it is found which grams several documents hold; then stretches of text around those, some 65 bytes each, meet
+    by gram, and mergesorts of suffixes tell which of them, and which strings of different ones, are equal. A gram with
+    very many surroundings is not gathered: the strings around it are dealt by themselves, in two steps, so that
+    neither a gram nor a string gathers what grows with the corpus in one task.
 
     Null texts are empty. Rows with the same doc_id take nothing from each other; a null doc_id neither takes nor gives.
-    Texts shorter than a string stay whole. An empty table gives an empty result; other columns are not looked at.
+    Texts shorter than a string stay whole; a text of many megabytes is a block of its own. An empty table gives an
+    empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     texts = stored(blocks(docs), "blocks")
-    total = texts.agg(F.sum("size")).first()[0] or 0
+    total, n = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     bits = max(0, total // BUCKET).bit_length()
     with shuffles_removed(spark):
         flags = stored(shared_grams(texts, bits, hot), "flags")
         made = stored(contexts(texts, flags, bits), "contexts")
-        replies = stored(answers(made.where(F.col("kind") == STRETCHES)), "answers")
+        folds = stored(folded(made.where(F.col("kind") == SINGLES), math.isqrt(n) + 1), "folds")
+        replies = stored(answers(made.where(F.col("kind") == STRETCHES).unionByName(folds.where(F.col("kind") == STRETCHES))), "answers")
+        told = stored(unfolded(folds.where(F.col("kind") == FOLDED), replies.where("block < 0")), "unfolded")
+    replies = replies.where("block >= 0").unionByName(told)
     both = made.where(F.col("kind") == PIECES).unionByName(replies).select(F.col("block").alias("_block"), "kind", "blob")
 
     def run(block: pa.Table, told: pa.Table) -> pa.Table:

@@ -67,12 +67,11 @@ def test_many_blocks_buckets_and_hot_grams(spark, documents, monkeypatch):
     assert sorted(repr((*r[:4], hashlib.sha256(r.kept).hexdigest())) for r in got) == plain(rows)
 
 
-def test_lots_are_whole_groups(monkeypatch):
+def test_lots_are_whole_groups():
     draw = np.random.default_rng(1)
     gram, size = draw.integers(0, 40, 500).astype(np.uint64), draw.integers(50, 80, 500)
     for most in (1, 1000, 10**9):
-        monkeypatch.setattr(repeats, "LOT", most)
-        some = list(repeats.lots(gram, size))
+        some = list(repeats.lots(gram, size, most))
         assert sorted(np.concatenate(some).tolist()) == list(range(500))
         assert sum(len(set(gram[x].tolist())) for x in some) == len(set(gram.tolist()))
         assert all(size[x].sum() <= most or len(set(gram[x].tolist())) == 1 for x in some)
@@ -84,7 +83,7 @@ def test_suffix_sort():
     data[1000:1200] = data[200:400]
     place = draw.permutation(2900)[:700]
     group = np.sort(draw.integers(0, 5, 700))
-    order, new = repeats.suffix_sort(repeats.Hashes(data), place, group)
+    order, new = repeats.suffix_sort(repeats.Hashes(data), place, group, np.full(700, 50))
     text = [(g, data[p : p + 50].tobytes()) for g, p in zip(group.tolist(), place.tolist())]
     assert [text[k] for k in order] == sorted(text)
     assert new.tolist() == [k == 0 or text[order[k]] != text[order[k - 1]] for k in range(700)]
@@ -93,9 +92,46 @@ def test_suffix_sort():
 def test_hashes_that_lie_are_found_out(monkeypatch):
     monkeypatch.setattr(repeats.Hashes, "of", lambda self, s, e: np.zeros(len(s), np.uint64))
     data = np.frombuffer(b"x" * 60 + b"y" * 60 + b"x" * 60, np.uint8)
-    order, new = repeats.suffix_sort(repeats.Hashes(data), np.array([0, 60, 120]), np.zeros(3, int))
+    order, new = repeats.suffix_sort(repeats.Hashes(data), np.array([0, 60, 120]), np.zeros(3, int), np.full(3, 50))
     assert [int(data[[0, 60, 120][k]]) for k in order] == [120, 120, 121] and new.tolist() == [True, False, True]
 
 
+def test_parts_of_a_group_are_sorted_together(monkeypatch):
+    draw = np.random.default_rng(3)
+    kinds = draw.integers(97, 123, (5, 60)).astype(np.uint8)
+    pick = draw.integers(0, 5, 400)
+    data, start, size = kinds[pick].ravel(), np.arange(400) * 60, np.full(400, 60)
+    for most in (60, 1000, 10**9):
+        monkeypatch.setattr(repeats, "LOT", most)
+        for whole in (repeats.stretch_hashes(data, start, size), np.zeros(400, np.uint64)):
+            assert repeats.leaders(data, start, size, whole).tolist() == [int(np.flatnonzero(pick == k)[0]) for k in pick]
+
+
+def test_a_phrase_with_many_surroundings_in_one_block(spark, documents):
+    draw = random.Random(6)
+    piece = lambda: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=40))
+    phrase = "all rights are reserved by whoever"
+    rows = [(i, phrase.join(piece() for _ in range(700))) for i in range(4)]
+    rows += [(i, phrase.join(rows[i % 4][1].split(phrase)[k : k + 40])) for i, k in ((10, 5), (11, 300), (12, 610))]
+    docs = documents(rows)
+    blocks = repeats.stored(repeats.blocks(docs), "blocks")
+    flags = repeats.shared_grams(blocks, 0).collect()
+    assert any(np.unpackbits(np.frombuffer(r.hot, np.uint8), count=r.n).any() for r in flags)
+    assert sorted(repr(tuple(r)) for r in repeats.op10_repeats(docs).collect()) == plain(rows)
+
+
+def test_text_of_several_megabytes(spark, documents):
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(2000)]
+    long = " ".join(draw.choice(words) for _ in range(400_000))
+    assert len(long) > 2 << 20
+    rows = [(5, long), (3, long[700_000:700_300]), (9, long[:100] + "-" * 200 + long[2_000_000:2_000_100]), (7, "=" * 1_500_000), (8, "=" * 60)]
+    got = {r.doc_id: r for r in repeats.deduplicated(documents(rows)).collect()}
+    want = long.encode()
+    assert got[3].n_removed == 0 and bytes(got[5].kept) == want[:700_000] + want[700_300:] and got[5].n_spans == 1
+    assert bytes(got[9].kept) == b"-" * 200 and got[9].n_spans == 2
+    assert got[7].n_removed == 0 and got[8].n_removed == 60
+
+
 def test_empty(spark, documents):
     assert repeats.op10_repeats(documents([])).collect() == []
