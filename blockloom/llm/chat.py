@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import pyarrow as pa
@@ -120,6 +121,12 @@ def opened(role: int) -> str:
 
 
 CLOSED = "<|end|>\n"
+MARKER = re.compile(r"<(\\*)\|")
+
+
+def escaped(text: str | None) -> str:
+    """A text in which nothing reads as a marker: `<|` gets a backslash between, `<\\|` one more, and so on."""
+    return MARKER.sub(r"<\\\1|", text or "")
 
 
 def retrace(batches):
@@ -139,7 +146,7 @@ def retrace(batches):
             cost, merged, inserted = step(role, before, at)
             empties = "".join(opened(i) + CLOSED for i in inserted)
             piece = "\n" if merged else (CLOSED if before != START else "") + empties + opened(at)
-            piece += r["text"] or ""
+            piece += escaped(r["text"])
             more = closing(at) if final else ()
             if final:
                 piece += CLOSED + "".join(opened(i) + CLOSED for i in more)
@@ -156,7 +163,8 @@ def repair(turns: DataFrame) -> DataFrame:
     with either. A turn can join the open message (cost 1), change its role (2), or be led in or followed by empty
     messages (3 each); a role that is none of the three must change. The costs of a conversation's turns add up to the
     least possible; among equals the way is fixed by the order of states. The rendered pieces of a conversation, in
-    order of turn, joined up, are the repaired conversation.
+    order of turn, joined up, are the repaired conversation. `<|` in a text is written `<\\|`, and `<\\|` with one more
+    backslash, so that texts can't forge turns and can be read back.
 
     Turns are dealt by range, so a conversation of any length spreads over tasks: each task sums up its part as a 4 by
     4 matrix of least costs, the parts' matrices are joined per conversation, and each task retraces its own part.
