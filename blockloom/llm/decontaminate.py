@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import set_aside, texts
 
 #: Edits allowed as a share of an item's length; characters of the items of one scan.
 ERRORS, BLOCK = 0.05, 4_000_000
@@ -117,8 +117,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
     itself; the documents' other columns pass through.
     """
     shape = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-    found = docs.withColumn("_items", F.lit(None).cast("array<struct<item_id:bigint,distance:int>>"))
-    at = docs.columns.index("text")
+    found = docs.drop("_items").withColumn("_items", F.lit(None).cast("array<struct<item_id:bigint,distance:int>>"))
+    at = found.columns.index("text")
     for items in blocks(benchmark, block):
 
         def run(batches, items=items):
@@ -136,7 +136,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, bl
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    return find_items(docs, benchmark).where("_items is null").drop("_items")
+    return find_items(set_aside(docs, "text"), benchmark).where("_items is null").drop("_items").toDF(*docs.columns)
 
 
 def op7_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

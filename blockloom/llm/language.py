@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, texts
+from .common import in_fold, set_aside, texts
 
 #: Hashed n-grams are counted in so many features; texts are looked at in slices of so many characters.
 FEATURES, SLICE = 1 << 16, 1 << 20
-#: Rows of the labelled sample on which the classifier is fitted, over all languages together.
-SAMPLE = 6000
+#: Rows of the labelled sample on which the classifier is fitted, over all languages together; of each at least so many.
+SAMPLE, EACH = 6000, 20
 #: Follow-the-regularised-leader: step, its offset, both penalties, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 2e-3, 1e-3, 3
 #: Below this no language is sure enough for a document to be kept by `keep_known`.
 LEAST = 0.35
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category; numerals and marks are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -114,7 +115,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
     """Fits a model on the rows of (doc_id, text, lang) that learn holds for and whose text and lang are not null.
 
     Document frequencies come from all these rows. The classifier is fitted on a sample of at most about `sample` rows,
-    as many of each language, chosen by a hash of doc_id and text; a fifth of it sets the temperature.
+    as many of each language (EACH at least), chosen by a hash of doc_id and text; a fifth of it sets the temperature.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     known = known.where(learn) if learn is not None else known
@@ -137,7 +138,7 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
     idf = np.log((1 + sum(per_lang.values())) / (1 + df)) + 1
 
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1 << 30, (sample // len(names) << 30) // n))) for name, n in per_lang.items()])
+    share = F.coalesce(*[F.when(F.col("lang") == name, F.lit(min(1 << 30, (max(EACH, sample // len(names)) << 30) // n))) for name, n in per_lang.items()])
     chosen = known.where(part < share).select("lang", (F.pmod(part, F.lit(5)) == 0).alias("apart"), F.col("text").cast("binary").alias("text"))
 
     def features(batches):
@@ -161,8 +162,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `_lang` and `_score`: the most probable learned language of each whole text and its probability.
 
     Only the text is looked at. A null text, one without a letter, and any text where nothing was learned is `und` with
-    score 0. Rows and other columns pass through as they are.
+    score 0. Of equally probable languages the first by name counts. Repeated rows are rows of their own, an empty table
+    gives an empty one, and other columns pass through, but for those named `_lang` and `_score`, which are replaced.
     """
+    docs = docs.drop("_lang", "_score")
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -177,8 +180,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents in one of the languages that their labels teach."""
-    found = predict(docs, train(docs))
-    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score")
+    rows = set_aside(docs, "doc_id", "text", "lang")
+    found = predict(rows, train(rows))
+    return found.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score").toDF(*docs.columns)
 
 
 def op2_language(docs: DataFrame) -> DataFrame:

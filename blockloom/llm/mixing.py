@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, with_row_index
+from .common import WORD, ranked, set_aside, with_row_index
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -104,8 +104,14 @@ FROM p
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each as often as it is taken, with `copy` counting from 1."""
-    rows = with_row_index(docs, "_row")
+    """The documents that the mix takes, each as often as it is taken, with `copy` counting from 1.
+
+    Where documents have a column of that name, the new one gets as many underscores as make it another.
+    """
+    rows = with_row_index(set_aside(docs, "doc_id", "source", "text"), "_row")
+    name = "copy"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     taken = mix(rows.select("_row", "doc_id", "source", "text"), ["_row"]).where("_copies > 0")
     both = rows.join(taken.select(F.col("_row").alias("_of"), "_copies"), F.col("_row") == F.col("_of"))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("copy"))
+    return both.select(*[c for c in rows.columns if c != "_row"], F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).toDF(*docs.columns, name)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, with_row_index
+from .common import set_aside, stored, texts, with_row_index
 
 KINDS = ("email", "ip", "card", "phone", "id")
 HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -203,7 +203,8 @@ def written(spans: Column) -> Column:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
-    rows = with_row_index(docs, "_row")
+    named = set_aside(docs, "text", "n_chars")
+    rows = with_row_index(named, "_row")
     spans = find_spans(rows, ["_row"]).where(F.size("_spans") > 0).select(F.col("_row").alias("_r"), "_spans")
     both = rows.join(spans, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
     at = docs.columns.index("text")
@@ -221,8 +222,10 @@ def mask(docs: DataFrame) -> DataFrame:
                 out.append("".join([*parts, t[done:]]) if spans else t)
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 : -1]], names=b.schema.names[:-1])
 
-    masked = both.mapInArrow(run, docs.schema)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+    masked = both.mapInArrow(run, named.schema)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return masked.toDF(*docs.columns)
 
 
 def op9_pii(docs: DataFrame) -> DataFrame:

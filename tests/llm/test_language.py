@@ -29,6 +29,14 @@ def test_odd_texts(spark, documents):
     assert kept.columns == documents(rows).columns and kept.count() == len(rows) + 4
 
 
+def test_no_letter_is_und(spark, documents):
+    rows = [(i, "the cat and the dog", "en") for i in range(20)]
+    odd = ["½ ² ①", "½ 12", "Ⅷ ⅳ", "\u0301\u0300", "१२३", "_ __"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op2_language(documents([*rows, *((100 + k, t, None) for k, t in enumerate(odd)), (200, "½ a", None), (201, "ª", None), (202, "字", None)])).collect()}
+    assert all(got[100 + k] == ("und", 0.0) for k in range(len(odd)))
+    assert all(got[k][0] == "en" for k in (200, 201, 202))
+
+
 def test_keep_known_learns_from_every_label(spark, documents):
     rows = [(i, "der hund und die katze " * (i % 7 + 1) if zlib.crc32(str(i).encode()) % 4 == 2 else "the cat and the dog " * (i % 7 + 1)) for i in range(160)]
     rows = [(i, t, t[:3]) for i, t in rows]
