@@ -34,9 +34,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
+    if OPEN:
+        OPEN[-1].append(found)
     return found
 
 
+#: Tables stored within scratch blocks that are open.
+OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """At its end, tables that were stored within are deleted, but for those handed to what it gives (keep)."""
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    OPEN.append([])
+    try:
+        yield keep
+    finally:
+        made = OPEN.pop()
+        removed(*[t for t in made if not any(t is k for k in kept)])
+        if OPEN:
+            OPEN[-1].extend(kept)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for df in tables:

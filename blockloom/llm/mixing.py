@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ranked, set_aside, with_row_index
+from .common import WORD, ranked, scratch, set_aside, stored, with_row_index
 
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (5, 2, 1)
@@ -112,6 +112,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     name = "copy"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    taken = mix(rows.select("_row", "doc_id", "source", "text"), ["_row"]).where("_copies > 0")
+    with scratch() as keep:
+        taken = keep(stored(mix(rows.select("_row", "doc_id", "source", "text"), ["_row"]).where("_copies > 0").select("_row", "_copies"), "taken"))
     both = rows.join(taken.select(F.col("_row").alias("_of"), "_copies"), F.col("_row") == F.col("_of"))
     return both.select(*[c for c in rows.columns if c != "_row"], F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).toDF(*docs.columns, name)

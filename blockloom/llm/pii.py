@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_aside, stored, texts, with_row_index
+from .common import scratch, set_aside, stored, texts, with_row_index
 
 KINDS = ("email", "ip", "card", "phone", "id")
 HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -19,12 +21,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-#: White-space separated tokens that hold a digit; what surrounds an identifier in a token; the length of an identifier.
-TOKEN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*+")
+#: Candidates: white-space separated tokens with a digit or an @, as every seed has one; what surrounds them in a token.
+HINT = re.compile(r"[0-9@]")
+TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 WRAP = "\"'`.,;:!?()[]{}<>|*$#&%=~"
-SHORTEST, LONGEST = 6, 128
-BEFORE = re.compile(r"\S+")
-AFTER = re.compile(r"\s*(\S+)")
+WHOLE = re.compile(r"\S+")
+#: Words, forms and values that are longer than this go by their hash.
+LONG = 128
 #: Secrets by their key: quoted, or as a long run. The runs end at quotes or are taken whole, so it is linear as well.
 KEYED = re.compile(
     r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?(?:[_-][a-z0-9_-]{0,32})?[\"']?\s{0,8}(?::=|=>|[:=])\s{0,8}"
@@ -33,8 +36,6 @@ KEYED = re.compile(
 LETTER = re.compile(r"[A-Za-z]")
 #: Length of a quoted secret; digits of a bare one.
 SECRET, SECRET_DIGITS = 8, 4
-#: Characters around an identifier that its lexical patterns look at.
-AROUND = 64
 #: Rounds of scoring; confidence and number of distinct known identifiers from which a pattern is trusted.
 ROUNDS, TRUST, SUPPORT = 3, 0.8, 4
 
@@ -94,39 +95,63 @@ def shape(value: str) -> str:
     return f"hex{len(value)}" if len(value) >= 16 and re.fullmatch(r"[0-9a-f]+", value) and not value.isdigit() else runs
 
 
-def context(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts that a span lies in: the word before, both words before, and the words on both sides.
+def short(x: str) -> str:
+    """A name of bounded length for a text of any length."""
+    return x if len(x) <= LONG else f"#{hashlib.sha256(x.encode('utf-8', 'surrogatepass')).hexdigest()}"
 
-    Marks that stand alone before the span, as in `key = "`, are no words.
-    """
-    words = [w for m in BEFORE.finditer(text[max(0, start - AROUND) : start]) if (w := m[0].lower().strip(WRAP))]
-    n = AFTER.match(text[end : end + AROUND])
-    two, one = ["^", "^", *words][-2:]
-    after = n and (n[1].lower().strip(WRAP) or n[1]) or "^"
-    return [f"{one} _", f"{two} {one} _", f"{one} _ {after}"]
+
+class Words:
+    """The white-space separated tokens of a text, to look up what stands around a span."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tokens = [m.span() for m in WHOLE.finditer(text)]
+        self.words = [(e, w) for s, e in self.tokens if (w := text[s:e].lower().strip(WRAP))]
+
+    def before(self, start: int) -> list[str]:
+        """The two last words before a place, `^` where there are less; marks that stand alone, as in `key = "`, are none."""
+        k = bisect_right(self.tokens, (start,)) - 1
+        own = self.text[self.tokens[k][0] : start].lower().strip(WRAP) if k >= 0 and self.tokens[k][1] > start else ""
+        n = bisect_right(self.words, (start, chr(0x10FFFF)))
+        return ["^", "^", *(w for _, w in self.words[max(0, n - 2) : n]), *([own] if own else [])][-2:]
+
+    def after(self, end: int) -> str:
+        """The word that follows a place, or the marks that stand there alone."""
+        k = bisect_right(self.tokens, (end,)) - 1
+        if k < 0 or self.tokens[k][1] <= end:
+            k += 1
+        if k == len(self.tokens):
+            return "^"
+        own = self.text[max(end, self.tokens[k][0]) : self.tokens[k][1]]
+        return own.lower().strip(WRAP) or own
+
+    def context(self, start: int, end: int) -> list[str]:
+        """The lexical contexts that a span lies in: the word before, both words before, and the words on both sides."""
+        two, one = map(short, self.before(start))
+        return [f"{one} _", f"{two} {one} _", f"{one} _ {short(self.after(end))}"]
 
 
 def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
-    """All identifiers of a text with their patterns: the seeds, which fixed patterns found, and other tokens with digits.
+    """All identifiers of a text with their patterns: the seeds, which fixed patterns found, and other candidates.
 
     A pattern is a context alone, which takes in identifiers of any form, or a context with a form.
     """
     out, taken = [], sorted((s, e) for _, s, e in seeds)
     spans = [(s, e, True) for s, e in taken]
     k, reach = 0, 0
-    for m in TOKEN.finditer(text) if DIGIT.search(text) else ():
+    for m in TOKEN.finditer(text) if HINT.search(text) else ():
         while k < len(taken) and taken[k][0] < m.end():
             reach = max(reach, taken[k][1])
             k += 1
         if reach > m.start():
             continue
         lead = len(m[0]) - len(m[0].lstrip(WRAP))
-        value = m[0].strip(WRAP)
-        if SHORTEST <= len(value) <= LONGEST and sum(c.isdigit() for c in value) >= 4:
+        if value := m[0].strip(WRAP):
             spans.append((m.start() + lead, m.start() + lead + len(value), False))
+    words = Words(text) if spans else None
     for s, e, seed in spans:
-        form, around = shape(text[s:e]), context(text, s, e)
-        out.append({"start": s, "end": e, "seed": seed, "value": text[s:e], "patterns": [*around, *(f"{p} | {form}" for p in around)]})
+        form, around = short(shape(text[s:e])), words.context(s, e)
+        out.append({"start": s, "end": e, "seed": seed, "value": short(text[s:e]), "patterns": [*around, *(f"{p} | {form}" for p in around)]})
     return out
 
 
@@ -181,10 +206,13 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     `_spans` holds the base spans and those of kind 4 (id): secrets by their keys, and what trusted patterns discover,
     which overlaps neither. A secret may hold a base span, but lies in none.
-    The pattern graph covers all documents. Null texts are empty; repeated rows and null ids stay rows of their own;
-    an empty table gives an empty result.
+    The pattern graph covers all documents. Null texts are empty; repeated rows and null ids stay rows of their own, and
+    count once as a pattern's identifier; very long texts, tokens and neighbours are looked at whole, and patterns of
+    equal score are trusted alike. An empty table gives an empty result; other columns, whatever their names, are not
+    looked at.
     """
-    kept = stored(extract(docs.withColumn("_at", F.monotonically_increasing_id()), [*carry, "_at"]), "found")
+    rows = docs.select(F.struct(*carry).alias("_doc"), "text").withColumn("_at", F.monotonically_increasing_id())
+    kept = stored(extract(rows, ["_doc", "_at"]), "found")
     each = kept.select("_at", F.explode("_found").alias("o")).select("_at", "o.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     trusted = trusted_patterns(stored(edges, "edges"))
@@ -192,7 +220,7 @@ def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     new = unknown.join(trusted, "pattern", "left_semi").groupBy("_at").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("_new"))
     both = kept.drop("_found").join(new.withColumnRenamed("_at", "_of"), F.col("_at") == F.col("_of"), "left")
     known = F.concat("_base", "_keyed")
-    return both.select(*carry, F.array_sort("_base").alias("_base"), F.array_sort(F.when(F.col("_new").isNull(), known).otherwise(F.concat(known, "_new"))).alias("_spans"))
+    return both.select(*[F.col("_doc").getField(c).alias(c) for c in carry], F.array_sort("_base").alias("_base"), F.array_sort(F.when(F.col("_new").isNull(), known).otherwise(F.concat(known, "_new"))).alias("_spans"))
 
 
 def written(spans: Column) -> Column:
@@ -205,7 +233,8 @@ def mask(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
     named = set_aside(docs, "text", "n_chars")
     rows = with_row_index(named, "_row")
-    spans = find_spans(rows, ["_row"]).where(F.size("_spans") > 0).select(F.col("_row").alias("_r"), "_spans")
+    with scratch() as keep:
+        spans = keep(stored(find_spans(rows, ["_row"]).where(F.size("_spans") > 0).select(F.col("_row").alias("_r"), "_spans"), "spans"))
     both = rows.join(spans, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
     at = docs.columns.index("text")
 

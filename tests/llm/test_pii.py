@@ -72,3 +72,44 @@ def test_mask(spark, documents):
     assert got.columns == documents(rows).columns
     assert sorted((r.doc_id, r.text or "", r.n_chars) for r in got.collect()) == [(1, "mail <email> or <phone> é <card>.", 33), (2, "", 0), (3, "clean", 5), (3, "clean", 5)]
     assert pii.mask(documents([])).collect() == [] and pii.op9_pii(documents([])).collect() == []
+
+
+def plain_trusted(edges, rounds, trust, support):
+    """The scoring of the graph, by dictionaries."""
+    score = {v: float(seed) for _, v, seed in edges}
+    for k in range(rounds):
+        of = {}
+        for p, v, _ in edges:
+            of.setdefault(p, []).append(score[v])
+        found = {p: sum(x) / (len(x) + 1) for p, x in of.items() if sum(y > 0 for y in x) >= support and sum(x) / (len(x) + 1) >= trust}
+        score = {v: 1.0 if seed else max((found[p] for p, w, _ in edges if w == v and p in found), default=0.0) for _, v, seed in edges}
+    return found
+
+
+def test_pattern_graph_against_a_plain_version(spark):
+    draw = random.Random(3)
+    for trust in (0.5, 0.7):
+        seeds = {f"v{k}": draw.random() < 0.6 for k in range(80)}
+        edges = {(f"p{draw.randrange(25) if draw.random() < 0.5 else k % 6}", f"v{k}") for k in range(80) for _ in range(draw.randint(1, 4))}
+        edges = [(p, v, seeds[v]) for p, v in sorted(edges)]
+        want = plain_trusted(edges, 3, trust, 3)
+        got = {r.pattern: r.confidence for r in pii.trusted_patterns(spark.createDataFrame(edges, "pattern string, value string, seed boolean"), 3, trust, 3).collect()}
+        assert want and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+        assert want != plain_trusted(edges, 1, trust, 3)
+
+
+def test_contexts_are_whole_words_at_any_distance():
+    far = "x" * 300
+    text = f"{far}   member{' ' * 200}:  4711  {'-' * 100}  {far} end"
+    words = pii.Words(text)
+    s = text.index("4711")
+    assert words.before(s) == [far, "member"] and words.after(s + 4) == "-" * 100
+    assert words.context(s, s + 4)[1] == f"{pii.short(far)} member _" and len(pii.short(far)) < 70
+    assert pii.Words("tel:+49 30").before(4) == ["^", "tel"] and pii.Words("a 12").after(4) == "^"
+
+
+def test_candidates_of_any_length_and_without_digits(spark, documents):
+    rows = [(i, f"contact person is user{i}@mail.example today") for i in range(30)]
+    rows += [(100, "contact person is @nobody today"), (101, "contact person is 7 today"), (102, f"contact person is {'k9' * 5000} today"), (103, "the rain was 7 today"), (104, "contact person is late today")]
+    got = {r.doc_id: r.spans for r in pii.op9_pii(documents(rows)).collect()}
+    assert got[100] == "id:18:25" and got[101] == "id:18:19" and got[102] == "id:18:10018" and not got[103] and not got[104]
