@@ -3,37 +3,41 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, in_fold, stored
-from .simhash import shuffles_removed
+from .common import batch, in_fold, removed, scratch, shuffles_removed, stored
 
-#: Bytes of text that share a vocabulary, and tokens that are worked on together.
-BLOCK, SLICE = 16 << 20, 400_000
-#: The latent states; the most frequent words each have a symbol of their own, the others one of these by spelling.
-STATES, FREQUENT, SPELLINGS = 6, 8192, 8192
-ROUNDS = 4
+#: Bytes of text that share a vocabulary, tokens that are worked on together, and words of a bucket, repeats in blocks included.
+BLOCK, SLICE, BUCKET = 16 << 20, 250_000, 400_000
+#: The latent states, and the rounds of Baum-Welch.
+STATES, ROUNDS = 6, 4
 #: Weight of the corpus-wide distribution in each state's, and of an even spread in each row of transitions, in tokens.
 PRIOR, EVEN = 1000.0, 10.0
+#: How far the first emissions stand off the corpus-wide distribution, in logarithms.
+SPREAD = 0.7
 END = b""
 
-BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("spelling", pa.binary()), ("counts", pa.list_(pa.int64()))])
-BLOCKS_SQL = "block long, doc_id array<long>, learn array<boolean>, lengths binary, tokens binary, words array<binary>, spelling binary, counts array<long>"
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("hashes", pa.binary()), ("counts", pa.binary())])
+BLOCKS_SQL = "block long, doc_id array<long>, learn array<boolean>, lengths binary, tokens binary, words array<binary>, hashes binary, counts binary"
 
 
-def spelling(word: bytes) -> int:
-    """What gives the symbol of a word that is not frequent: a hash of its first two and last three bytes."""
-    return crc32(word[:2] + b" " + word[-3:])
+def packed(tokens: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(tokens.astype(np.int32).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
 
 
 def encode(docs: DataFrame, learn: Column) -> DataFrame:
-    """Blocks of documents whose words are numbered within the block; a text's tokens are its words and one end.
+    """Blocks of documents whose words are numbered within the block, by a hash; a text's tokens are its words and one end.
 
     Words are what ASCII white space parts, A-Z in lower case. A null text is empty. `counts` are of documents that
     learn holds for.
@@ -43,14 +47,17 @@ def encode(docs: DataFrame, learn: Column) -> DataFrame:
         part, number, rows, words, size = TaskContext.get().partitionId(), 0, [], {}, 0
 
         def flush():
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
             lengths = np.array([len(t) for _, _, t in rows], dtype=np.int32)
-            tokens = np.concatenate([t for _, _, t in rows])
-            learned = np.repeat([ok for _, ok, _ in rows], lengths)
-            counts = np.bincount(tokens[learned], minlength=len(words))
-            spelled = np.array([spelling(w) for w in words], dtype=np.uint32)
+            tokens = rank[np.concatenate([t for _, _, t in rows])]
+            counts = np.bincount(tokens[np.repeat([ok for _, ok, _ in rows], lengths)], minlength=len(words))
+            named = list(words)
             return batch(
-                BLOCKS, block=[part << 32 | number], doc_id=[[r[0] for r in rows]], learn=[[r[1] for r in rows]], lengths=[lengths.tobytes()], tokens=[tokens.tobytes()],
-                words=[list(words)], spelling=[spelled.tobytes()], counts=[counts.tolist()],
+                BLOCKS, block=[part << 32 | number], doc_id=[[r[0] for r in rows]], learn=[[r[1] for r in rows]], lengths=[lengths.tobytes()], tokens=[packed(tokens)],
+                words=[[named[k] for k in order]], hashes=[hashes[order].tobytes()], counts=[counts.tobytes()],
             )
 
         for b in batches:
@@ -69,24 +76,65 @@ def encode(docs: DataFrame, learn: Column) -> DataFrame:
     return docs.select("doc_id", learn.alias("_learn"), F.col("text").cast("binary").alias("_text")).mapInArrow(run, BLOCKS_SQL)
 
 
+MEMBERS = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("stats", pa.list_(pa.float64()))])
+MEMBERS_SQL = "kind int, bucket long, block long, first long, ids binary, n binary, stats array<double>"
+TABLE, MEMBER = 0, 1
+
+
+def first_shares(hashes: np.ndarray, n: np.ndarray, states: int) -> np.ndarray:
+    """Training counts put a little off by state and word, each its own way, by the word's hash."""
+    odd = np.random.default_rng(5).integers(0, 1 << 63, states, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    even = ((hashes[:, None] * odd) >> np.uint64(40)).astype(np.float64) / (1 << 24) - 0.5
+    return n[:, None] * np.exp(SPREAD * np.sqrt(12) * even)
+
+
+def vocabulary(blocks: DataFrame, states: int = STATES, per_bucket: int = BUCKET) -> DataFrame:
+    """The words of all blocks, dealt to buckets by their hash.
+
+    Rows of kind MEMBER hold the numbers in the bucket of a block's words from the first one on (ids) and the words'
+    training counts (n); rows of kind TABLE the hashes (ids) and counts of all of a bucket's words, and in stats the
+    tokens, the different words, those that occur once, and each state's sum of the first emissions.
+    """
+    bits = max(0, int(blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]) // per_bucket).bit_length()
+    dealt = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.binary())), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def deal(batches):
+        for b in batches:
+            for block, words, hashes, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3)):
+                words, hashes, counts = words.values, np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.int64)
+                bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                edge = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+                some = list(zip(edge, edge[1:]))
+                yield batch(dealt, bucket=bucket[edge[:-1]], block=[block] * len(some), first=edge[:-1], words=pa.ListArray.from_arrays(pa.array(edge, pa.int32()), words), hashes=[hashes[s:e].tobytes() for s, e in some], counts=[counts[s:e].tobytes() for s, e in some])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        ids = [np.fromiter((known.setdefault(w, len(known)) for w in words.as_py()), np.int32, len(words.as_py())) for words in rows.column("words")]
+        every = np.concatenate(ids)
+        n = np.bincount(every, weights=np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts")]), minlength=len(known)).astype(np.int64)
+        hashes = np.empty(len(known), np.uint64)
+        hashes[every] = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("hashes")])
+        stats = [float(n.sum()), float((n > 0).sum()), float((n == 1).sum()), *first_shares(hashes, n, states).sum(0).tolist()]
+        bucket = rows.column("bucket")[0].as_py()
+        return pa.Table.from_batches([
+            batch(MEMBERS, kind=[TABLE], bucket=[bucket], block=[-1], first=[0], ids=[hashes.tobytes()], n=[n.tobytes()], stats=[stats]),
+            batch(MEMBERS, kind=[MEMBER] * len(ids), bucket=[bucket] * len(ids), block=rows.column("block").combine_chunks(), first=rows.column("first").combine_chunks(), ids=[x.tobytes() for x in ids], n=[n[x].tobytes() for x in ids], stats=[None] * len(ids)),
+        ])
+
+    given = blocks.select("block", "words", "hashes", "counts").mapInArrow(deal, "bucket long, block long, first long, words array<binary>, hashes binary, counts binary")
+    return given.groupBy("bucket").applyInArrow(meet, MEMBERS_SQL)
+
+
 @dataclass(frozen=True)
 class Model:
-    """start, moves and emit are probabilities; totals are the training tokens of each symbol."""
+    """What does not grow with the vocabulary: start and moves are probabilities; n, v: training tokens, known words."""
 
     start: np.ndarray
     moves: np.ndarray
-    emit: np.ndarray
-    frequent: dict[bytes, int]
-    spellings: int
-    totals: np.ndarray
     n: int
     v: int
     unknown: float
 
-    def symbols(self, words: list[bytes], spelled: np.ndarray) -> np.ndarray:
-        own = np.fromiter((self.frequent.get(w, -1) for w in words), np.int64, len(words))
-        return np.where(own >= 0, own, len(self.totals) - self.spellings + spelled.astype(np.int64) % self.spellings)
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -146,143 +194,185 @@ def gathered(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return tokens[np.arange(lengths.sum()) - np.repeat(first - starts, lengths)]
 
 
-def expected(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One pass of Baum-Welch: expected starts, moves and emissions over all texts that are learned from; log likelihood."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-    states, symbols = model.emit.shape
-    names = [f"s{k}" for k in range(states)]
+EMITTED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("emit", pa.binary()), ("n", pa.binary())])
+EMITTED_SQL = "bucket long, block long, first long, emit binary, n binary"
+
+
+def table_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, list[np.ndarray]]:
+    """Hashes and counts of a bucket's words, the rows of the blocks' words, and their numbers in the bucket."""
+    kind = np.array(rows.column("kind"))
+    whole, own = rows.filter(pa.array(kind == TABLE)), rows.filter(pa.array(kind == MEMBER))
+    return np.frombuffer(whole.column("ids")[0].as_py(), np.uint64), np.frombuffer(whole.column("n")[0].as_py(), np.int64), own, [np.frombuffer(x.as_py(), np.int32) for x in own.column("ids")]
 
-    def run(batches):
-        m = shared.value
-        start, moves, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols)), 0.0
-        for b in batches:
-            for learn, lengths, tokens, words, spelled in zip(*(b.column(k).to_pylist() for k in range(5))):
-                lengths, tokens = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(tokens, np.int32)
-                symbol, starts = m.symbols(words, np.frombuffer(spelled, np.uint32)), np.cumsum(lengths) - lengths
-                keep = np.flatnonzero(learn)
-                for some in slices(lengths[keep]):
-                    some = keep[some]
-                    lay = layout(lengths[some])
-                    by_time = np.empty(len(lay.at), np.int64)
-                    by_time[lay.at] = symbol[gathered(tokens, starts[some], lengths[some])]
-                    emitted = m.emit.T[by_time]
-                    alpha, scale = forward(m, emitted, lay.offsets)
-                    beta = backward(m, emitted, scale, lay.offsets)
-                    total += float(np.log10(scale).sum())
-                    first = lay.offsets[1]
-                    later = np.sort(lay.before)
-                    moves += m.moves * (alpha[later].T @ (emitted[first:] * beta[first:] / scale[first:, None]))
-                    gamma = alpha * beta
-                    start += gamma[:first].sum(0)
-                    for k in range(states):
-                        emit[k] += np.bincount(by_time, weights=gamma[:, k], minlength=symbols)
-        table = np.concatenate([emit.T, moves, [start], [[total] + [0.0] * (states - 1)]])
-        ids = np.flatnonzero(table.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(table[ids, k]) for k in range(states)]], names=["symbol", *names])
-
-    parts = blocks.select("learn", "lengths", "tokens", "words", "spelling").mapInArrow(run, "symbol long, " + ", ".join(f"{n} double" for n in names))
-    table = np.zeros((symbols + states + 2, states))
-    for r in parts.groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).collect():
-        table[r.symbol] = r[1:]
-    return table[-2], table[symbols:-2], table[:symbols].T, float(table[-1, 0])
-
-
-def first_model(counts: DataFrame, states: int = STATES, frequent: int = FREQUENT, spellings: int = SPELLINGS) -> Model:
-    """Counts of all training tokens by symbol, with each state's emissions put a little off them, each its own way."""
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
-    top = {bytes(r.word): k for k, r in enumerate(counts.orderBy(F.col("n").desc(), "word").limit(frequent).collect())}
-    shared = counts.sparkSession.sparkContext.broadcast(top)
-
-    def by_symbol(batches):
-        for b in batches:
-            own = [s if (s := shared.value.get(w, -1)) >= 0 else frequent + spelling(w) % spellings for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), b.column(1)], names=["symbol", "n"])
-
-    sums = np.zeros(frequent + spellings)
-    for r in counts.select("word", "n").mapInArrow(by_symbol, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        sums[r.symbol] = r.n
-    draw = np.random.default_rng(5)
-    emit = (sums + 1e-3) * np.exp(draw.normal(0, 0.7, (states, len(sums))))
-    moves = np.full((states, states), 0.1 / max(1, states - 1)) + (0.9 - 0.1 / max(1, states - 1)) * np.eye(states)
-    unknown = min(0.5, max(totals.once / totals.n, 0.5 / (totals.n + 0.5 * (totals.v + 1)))) if totals.n else 1.0
-    return Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True), top, spellings, sums, totals.n, totals.v, unknown)
 
+def dealt_out(own: pa.Table, ids: list[np.ndarray], emit: np.ndarray) -> pa.Table:
+    """(bucket, block, first, emit, n): the emissions of each block's words in each state."""
+    emit = emit.astype(np.float32)
+    return pa.Table.from_batches([batch(EMITTED, **{c: own.column(c).combine_chunks() for c in ("bucket", "block", "first", "n")}, emit=[emit[x].tobytes() for x in ids])])
 
-def improved(model: Model, start: np.ndarray, moves: np.ndarray, emit: np.ndarray) -> Model:
-    shares = (model.totals + 1e-3) / (model.totals + 1e-3).sum()
-    start, moves, emit = start + EVEN / len(start), moves + EVEN / len(start), emit + PRIOR * shares
-    return replace(model, start=start / start.sum(), moves=moves / moves.sum(1, keepdims=True), emit=emit / emit.sum(1, keepdims=True))
 
+def first_emissions(members: DataFrame, sums: np.ndarray) -> DataFrame:
+    """The emissions that training begins with; sums: each state's over all words."""
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, n): how often each word, and the end, occurs in the texts that are learned from."""
-    each = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    return each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    def made(rows: pa.Table) -> pa.Table:
+        hashes, n, own, ids = table_of(rows)
+        return dealt_out(own, ids, first_shares(hashes, n, len(sums)) / sums)
 
+    return members.groupBy("bucket").applyInArrow(made, EMITTED_SQL)
 
-def train(blocks: DataFrame, counts: DataFrame, rounds: int = ROUNDS, **sizes: int) -> Model:
-    model = first_model(counts, **sizes)
+
+def next_emissions(members: DataFrame, counted: DataFrame, totals: np.ndarray, n_all: int) -> DataFrame:
+    """Emissions from the expected counts of all blocks, summed by word; totals: each state's expected tokens."""
+
+    def made(rows: pa.Table, told: pa.Table) -> pa.Table:
+        _, n, own, ids = table_of(rows)
+        of = dict(zip(zip(own.column("block").to_pylist(), own.column("first").to_pylist()), ids))
+        total = PRIOR * np.repeat(n[:, None] / n_all, len(totals), axis=1)
+        for block, first, blob in zip(told.column("block").to_pylist(), told.column("first").to_pylist(), told.column("blob")):
+            total[of[block, first]] += np.frombuffer(blob.as_py(), np.float32).reshape(-1, len(totals))  # a block's words are different
+        return dealt_out(own, ids, total / (totals + PRIOR))
+
+    told = counted.where("block >= 0").select(F.col("bucket").alias("_bucket"), "block", "first", "blob")
+    return members.groupBy("bucket").cogroup(told.groupBy("_bucket")).applyInArrow(made, EMITTED_SQL)
+
+
+def emitted_of(told: pa.Table, words: int, states: int) -> np.ndarray:
+    """The emissions of a block's words."""
+    emit = np.ones((words, states))
+    for first, some in zip(told.column("first").to_pylist(), told.column("emit")):
+        some = np.frombuffer(some.as_py(), np.float32).reshape(-1, states)
+        emit[first : first + len(some)] = some
+    return emit
+
+
+EXPECTED = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("blob", pa.binary()), ("stats", pa.list_(pa.float64()))])
+EXPECTED_SQL = "bucket long, block long, first long, blob binary, stats array<double>"
+
+
+def expected(blocks: DataFrame, emitted: DataFrame, model: Model) -> DataFrame:
+    """One pass of Baum-Welch over all texts that are learned from.
+
+    A row for each bucket and block with the expected emissions (blob) of the block's words by state, and one of bucket
+    -1 for each block with its log likelihood (log10), expected starts, moves and tokens of each state.
+    """
+    states = len(model.start)
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for r in block.to_pylist():
+            lengths, tokens = np.frombuffer(r["lengths"], np.int32).astype(np.int64), unpacked(r["tokens"])
+            starts, keep = np.cumsum(lengths) - lengths, np.flatnonzero(r["learn"])
+            emit = emitted_of(told, int(tokens.max()) + 1, states)
+            start, moves, table, total = np.zeros(states), np.zeros((states, states)), np.zeros((len(emit), states)), 0.0
+            for some in slices(lengths[keep]):
+                some = keep[some]
+                lay = layout(lengths[some])
+                by_time = np.empty(len(lay.at), np.int64)
+                by_time[lay.at] = gathered(tokens, starts[some], lengths[some])
+                given = emit[by_time]
+                alpha, scale = forward(model, given, lay.offsets)
+                beta = backward(model, given, scale, lay.offsets)
+                total += float(np.log10(scale).sum())
+                first = lay.offsets[1]
+                moves += model.moves * (alpha[np.sort(lay.before)].T @ (given[first:] * beta[first:] / scale[first:, None]))
+                alpha *= beta
+                start += alpha[:first].sum(0)
+                for k in range(states):
+                    table[:, k] += np.bincount(by_time, weights=alpha[:, k], minlength=len(table))
+            edge = [*told.column("first").to_pylist()]
+            ends = [f + len(x.as_py()) // (4 * states) for f, x in zip(edge, told.column("emit"))]
+            blobs = [table[s:e].astype(np.float32).tobytes() for s, e in zip(edge, ends)]
+            out.append(batch(EXPECTED, bucket=told.column("bucket").combine_chunks(), block=[r["block"]] * len(edge), first=edge, blob=blobs, stats=[None] * len(edge)))
+            out.append(batch(EXPECTED, bucket=[-1], block=[-1], first=[0], blob=[None], stats=[[total, *start, *moves.ravel(), *table.sum(0)]]))
+        return pa.Table.from_batches(out, EXPECTED)
+
+    return blocks.select("block", "learn", "lengths", "tokens").groupBy("block").cogroup(emitted.select("bucket", F.col("block").alias("_block"), "first", "emit").groupBy("_block")).applyInArrow(run, EXPECTED_SQL)
+
+
+def summed(found: DataFrame, width: int) -> np.ndarray:
+    """The sums of the first elements of the stats of all rows."""
+    row = found.where("stats is not null").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(width)]).first()
+    return np.array(row, dtype=np.float64)
+
+
+def first_model(members: DataFrame, states: int = STATES) -> tuple[Model, np.ndarray]:
+    """Start, moves and the unknown's probability before training, and each state's sum of the first emissions."""
+    n, v, once, *sums = summed(members, 3 + states)
+    moves = np.full((states, states), 0.1 / max(1, states - 1)) + (0.9 - 0.1 / max(1, states - 1)) * np.eye(states)
+    unknown = min(0.5, max(once / n, 0.5 / (n + 0.5 * (v + 1)))) if n else 1.0
+    return Model(np.full(states, 1 / states), moves / moves.sum(1, keepdims=True), int(n), int(v), unknown), np.array(sums)
+
+
+def train(blocks: DataFrame, members: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, DataFrame, list[float]]:
+    """The model, the emissions of each block's words, and the log likelihood (log10) before each round."""
+    model, sums = first_model(members, states)
+    emitted, likelihoods = stored(first_emissions(members, np.maximum(sums, 1e-300)), "emitted"), []
     for _ in range(rounds if model.n else 0):
-        model = improved(model, *expected(blocks, model)[:3])
-    return model
+        counted = stored(expected(blocks, emitted, model), "expected")
+        total, *rest = summed(counted, 1 + states + states * states + states)
+        likelihoods.append(total)
+        rest = np.array(rest)
+        start, moves, totals = rest[:states] + EVEN / states, rest[states:-states].reshape(states, states) + EVEN / states, rest[-states:]
+        model = replace(model, start=start / start.sum(), moves=moves / moves.sum(1, keepdims=True))
+        before, emitted = emitted, stored(next_emissions(members, counted, totals, model.n), "emitted")
+        removed(before, counted)
+    return model, emitted, likelihoods
 
 
 SCORES = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def score(blocks: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+def score(blocks: DataFrame, emitted: DataFrame, model: Model) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, base_score, score (log10) of every text.
 
-    A known word's probability in a state is that of its symbol there, times the word's share of the symbol's training
-    tokens. All unknown words are one further outcome, of the same probability in each state: the share of words seen
-    once, by Good and Turing. So each state's probabilities add up to 1 over the known words and the unknown one.
+    A known word's probability in a state is its emission there. All unknown words are one further outcome, of the same
+    probability in each state: the share of words seen once, by Good and Turing; the known ones share the rest. So each
+    state's probabilities add up to 1 over the known words and the unknown one.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-    asked = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    found = asked.join(counts, "word", "left").select(F.col("block").alias("_block"), "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    with shuffles_removed(blocks.sparkSession):
-        found = stored(found, "found")
-
-    def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        m, out = shared.value, []
-        seen = np.zeros(found.num_rows, np.int64)
-        seen[found.column("pos").to_numpy()] = found.column("n").to_numpy()
-        base_of = np.log10((seen + 0.5) / (m.n + 0.5 * (m.v + 1)))
+    states = len(model.start)
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
         for r in block.to_pylist():
-            lengths, tokens = np.frombuffer(r["lengths"], np.int32).astype(np.int64), np.frombuffer(r["tokens"], np.int32)
+            lengths, tokens = np.frombuffer(r["lengths"], np.int32).astype(np.int64), unpacked(r["tokens"])
             starts = np.cumsum(lengths) - lengths
-            symbol = m.symbols(r["words"], np.frombuffer(r["spelling"], np.uint32))
-            share = np.where(seen > 0, (1 - m.unknown) * seen / np.maximum(m.totals[symbol], 1), m.unknown)
+            emit, seen = emitted_of(told, int(tokens.max()) + 1, states), np.zeros(int(tokens.max()) + 1, np.int64)
+            for first, n in zip(told.column("first").to_pylist(), told.column("n")):
+                n = np.frombuffer(n.as_py(), np.int64)
+                seen[first : first + len(n)] = n
+            base_of = np.log10((seen + 0.5) / (model.n + 0.5 * (model.v + 1)))
+            emit = np.where(seen[:, None] > 0, (1 - model.unknown) * emit, model.unknown)
             result = np.zeros(len(lengths))
             for some in slices(lengths):
                 lay = layout(lengths[some])
-                own = gathered(tokens, starts[some], lengths[some])
-                by_time = np.empty(len(own), np.int64)
-                by_time[lay.at] = own
-                emitted = np.where(seen[by_time, None] > 0, m.emit.T[symbol[by_time]], 1.0)
-                scale = forward(m, emitted, lay.offsets)[1]
-                logs = np.log10(scale)[lay.at] + np.log10(share)[own]
+                by_time = np.empty(len(lay.at), np.int64)
+                by_time[lay.at] = gathered(tokens, starts[some], lengths[some])
+                logs = np.log10(forward(model, emit[by_time], lay.offsets)[1])[lay.at]
                 result[some] = np.add.reduceat(logs, np.cumsum(lengths[some]) - lengths[some])
             known = np.add.reduceat((seen > 0)[tokens].astype(np.int64), starts)
             base = np.add.reduceat(base_of[tokens], starts)
             out.append(batch(SCORES, doc_id=r["doc_id"], learn=r["learn"], n_tokens=lengths, n_known=known, base_score=base, score=result))
         return pa.Table.from_batches(out, SCORES)
 
-    kept = blocks.select("block", "doc_id", "learn", "lengths", "tokens", "words", "spelling")
-    return kept.groupBy("block").cogroup(found.groupBy("_block")).applyInArrow(run, "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+    return blocks.select("block", "doc_id", "learn", "lengths", "tokens").groupBy("block").cogroup(emitted.select(F.col("block").alias("_block"), "first", "emit", "n").groupBy("_block")).applyInArrow(run, "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def op1_hmm(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of doc_id leaves 1 by 5 are held out; a null doc_id is learned from. Null texts are empty and
-    have the end as their one token; repeated rows count each. An empty table gives an empty result; with nothing to
-    learn from, the one unknown outcome is certain and all scores are 0.
+    have the end as their one token; repeated rows count each, so ties need no rule; a text of any length is scored
+    whole. An empty table gives an empty result; with nothing to learn from, the one unknown outcome is certain and all
+    scores are 0. Other columns are not looked at.
+
+    Every word has emissions of its own. They live in a table of buckets of words; in each round blocks of texts get
+    their words' emissions from the buckets and give them the expected counts, both as arrays.
     """
     held_out = in_fold("doc_id", 5, 1)
-    blocks = stored(encode(docs, ~held_out), "blocks")
-    with shuffles_removed(docs.sparkSession):
-        counts = stored(word_counts(blocks), "counts")
-        model = train(blocks, counts)
-    found = score(blocks, counts, model)
+    with shuffles_removed(docs.sparkSession), scratch() as keep:
+        blocks = keep(stored(encode(docs, ~held_out), "blocks"))
+        members = stored(vocabulary(blocks), "members")
+        model, emitted, _ = train(blocks, members)
+        keep(emitted)
+    found = score(blocks, emitted, model)
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,8 +2,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
+import xxhash
 
 from blockloom.llm import hmm
 from blockloom.llm.common import in_fold, stored, table
@@ -13,96 +15,124 @@ def tokens(text):
     return [*(text or "").encode().lower().split(), b""]
 
 
-def symbol(m, w):
-    return m.frequent.get(w, len(m.totals) - m.spellings + hmm.spelling(w) % m.spellings)
-
-
 def texts(n, seed=1):
     draw = random.Random(seed)
     two = [[f"{p}{k}" for k in range(30)] for p in "xy"]
     return [(i, " ".join(draw.choice(two[i % 2]).upper() if draw.random() < 0.1 else draw.choice(two[i % 2]) for _ in range(draw.choice([0, 1, 5, 40])))) for i in range(n)]
 
 
-def fitted(spark, docs):
+def fitted(docs, **sizes):
     blocks = stored(hmm.encode(docs, ~in_fold("doc_id", 5, 1)), "blocks")
-    counts = stored(hmm.word_counts(blocks), "counts")
-    return blocks, counts
-
-
-def plain_score(m, seen, text):
-    """The recursion word by word, without scaling."""
+    return blocks, stored(hmm.vocabulary(blocks, **sizes), "members")
+
+
+def learned(rows):
+    return [tokens(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+
+
+def plain_first(learn, states):
+    """The first model, word by word."""
+    n = Counter(w for t in learn for w in t)
+    raw = {w: hmm.first_shares(np.array([xxhash.xxh64_intdigest(w)], np.uint64), np.array([c]), states)[0] for w, c in n.items()}
+    total = sum(raw.values())
+    moves = np.full((states, states), 0.1 / (states - 1))
+    np.fill_diagonal(moves, 0.9)
+    return np.full(states, 1 / states), moves, {w: x / total for w, x in raw.items()}
+
+
+def plain_round(learn, start, moves, emit):
+    """One round of Baum-Welch by recursions without slices, and the log likelihood before it."""
+    states, n = len(start), Counter(w for t in learn for w in t)
+    s_, m_, e_, logs = np.full(states, hmm.EVEN / states), np.full((states, states), hmm.EVEN / states), {w: hmm.PRIOR * np.full(states, c / sum(n.values())) for w, c in n.items()}, 0.0
+    for t in learn:
+        alpha, scale = [], []
+        for k, w in enumerate(t):
+            a = (start if k == 0 else alpha[-1] @ moves) * emit[w]
+            scale.append(a.sum())
+            alpha.append(a / a.sum())
+        beta = np.ones(states)
+        for k in range(len(t) - 1, -1, -1):
+            e_[t[k]] = e_[t[k]] + alpha[k] * beta
+            if k:
+                back = emit[t[k]] * beta / scale[k]
+                m_ += moves * np.outer(alpha[k - 1], back)
+                beta = moves @ back
+        s_ += alpha[0] * beta
+        logs += sum(map(math.log10, scale))
+    total = sum(e_.values())
+    return s_ / s_.sum(), m_ / m_.sum(1, keepdims=True), {w: x / total for w, x in e_.items()}, logs
+
+
+def plain_score(start, moves, emit, unknown, text):
     a, logs = None, 0.0
     for w in tokens(text):
-        s = symbol(m, w)
-        p = m.emit[:, s] * (1 - m.unknown) * seen[w] / m.totals[s] if seen[w] else np.full(len(m.start), m.unknown)
-        a = (m.start if a is None else a @ m.moves) * p
+        p = (1 - unknown) * emit[w] if w in emit else np.full(len(start), unknown)
+        a = (start if a is None else a @ moves) * p
         logs, a = logs + math.log10(a.sum()), a / a.sum()
     return logs
 
 
 def test_same_as_word_by_word(spark, documents):
     rows = [*texts(120), (500, None), (501, ""), (502, "new words only"), (3, "x1"), (3, "x1"), (None, "y1 y2"), (504, "x1 y1 " * 20000)]
-    docs = documents(rows)
-    learn = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    seen = Counter(w for t in learn for w in tokens(t))
+    learn = learned(rows)
+    seen = Counter(w for t in learn for w in t)
     n, v = sum(seen.values()), len(seen)
-    blocks, counts = fitted(spark, docs)
-    m = hmm.train(blocks, counts, rounds=2, states=3, frequent=20, spellings=16)
-    got = hmm.score(blocks, counts, m).collect()
-    assert len(got) == len(rows)
-    want = Counter()
-    for i, t in rows:
-        base = sum(math.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
-        want[i, len(tokens(t)), sum(seen[w] > 0 for w in tokens(t)), round(base, 4), round(plain_score(m, seen, t), 4)] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
-    each = [sum(m.emit[k, symbol(m, w)] * (1 - m.unknown) * c / m.totals[symbol(m, w)] for w, c in seen.items()) + m.unknown for k in range(3)]
-    assert np.allclose(each, 1, atol=1e-3)  # symbols that no word has keep a trace of probability
-
-
-def test_expected_counts_same_as_all_paths(spark, documents):
-    from itertools import product
-
-    rows = [(0, "a b a"), (2, "b"), (3, "c a b d"), (4, None)]
-    blocks, counts = fitted(spark, documents(rows))
-    m = hmm.first_model(counts, states=2, frequent=4, spellings=3)
-    start, moves, emit, total = hmm.expected(blocks, m)
-    w_start, w_moves, w_emit, w_total = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 7)), 0.0
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 5 == 1:
-            continue
-        sym = [symbol(m, w) for w in tokens(t)]
-        ways = {z: m.start[z[0]] * np.prod([m.moves[a, b] for a, b in zip(z, z[1:])]) * np.prod([m.emit[k, s] for k, s in zip(z, sym)]) for z in product(range(2), repeat=len(sym))}
+    model, likelihood = plain_first(learn, 3), []
+    for _ in range(2):
+        *model, logs = plain_round(learn, *model)
+        likelihood.append(logs)
+    unknown = max(sum(c == 1 for c in seen.values()) / n, 0.5 / (n + 0.5 * (v + 1)))
+    for docs in (documents(rows), documents(rows).repartition(5)):
+        blocks, members = fitted(docs, states=3, per_bucket=20)
+        m, emitted, found = hmm.train(blocks, members, rounds=2, states=3)
+        assert (m.n, m.v) == (n, v) and math.isclose(m.unknown, unknown) and np.allclose(found, likelihood, rtol=1e-5)
+        assert np.allclose(m.start, model[0], rtol=1e-4) and np.allclose(m.moves, model[1], rtol=1e-4)
+        got = {}
+        for r in hmm.score(blocks, emitted, m).collect():
+            got.setdefault(r.doc_id, []).append((r.n_tokens, r.n_known, r.base_score, r.score))
+        want = {}
+        for i, t in rows:
+            base = sum(math.log10((seen[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
+            want.setdefault(i, []).append((len(tokens(t)), sum(seen[w] > 0 for w in tokens(t)), base, plain_score(*model, unknown, t)))
+        assert got.keys() == want.keys()
+        for i, some in want.items():
+            assert np.allclose(sorted(some), sorted(got[i]), rtol=1e-4, atol=1e-4)
+    assert np.allclose(sum(model[2].values()), 1)  # so each state's probabilities, with the unknown's, add up to 1
+
+
+def test_expected_counts_same_as_all_paths():
+    learn = [tokens(t) for t in ("a b a", "b", "c a b d", None)]
+    start, moves, emit = plain_first(learn, 2)
+    *got, logs = plain_round(learn, start, moves, emit)
+    w_start, w_moves, w_logs = np.full(2, hmm.EVEN / 2), np.full((2, 2), hmm.EVEN / 2), 0.0
+    n = Counter(w for t in learn for w in t)
+    w_emit = {w: hmm.PRIOR * np.full(2, c / sum(n.values())) for w, c in n.items()}
+    for t in learn:
+        ways = {z: start[z[0]] * np.prod([moves[a, b] for a, b in zip(z, z[1:])]) * np.prod([emit[w][k] for k, w in zip(z, t)]) for z in product(range(2), repeat=len(t))}
         all_ = sum(ways.values())
-        w_total += math.log10(all_)
+        w_logs += math.log10(all_)
         for z, p in ways.items():
             w_start[z[0]] += p / all_
             for a, b in zip(z, z[1:]):
                 w_moves[a, b] += p / all_
-            for k, s in zip(z, sym):
-                w_emit[k, s] += p / all_
-    assert np.allclose(start, w_start) and np.allclose(moves, w_moves) and np.allclose(emit, w_emit) and math.isclose(total, w_total)
+            for k, w in zip(z, t):
+                w_emit[w][k] += p / all_
+    assert np.allclose(got[0], w_start / w_start.sum()) and np.allclose(got[1], w_moves / w_moves.sum(1, keepdims=True)) and math.isclose(logs, w_logs)
+    assert all(np.allclose(got[2][w], w_emit[w] / sum(w_emit.values())) for w in n)
 
 
 def test_training_raises_likelihood_and_beats_the_base(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    blocks, counts = fitted(spark, docs)
-    m, last = hmm.first_model(counts), -math.inf
-    for _ in range(3):
-        *found, total = hmm.expected(blocks, m)
-        assert total > last
-        last, m = total, hmm.improved(m, *found)
+    blocks, members = fitted(docs)
+    *_, found = hmm.train(blocks, members, rounds=4)
+    assert found == sorted(found) and found[-1] > found[0]
     got = hmm.op1_hmm(docs).collect()
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert len({r.train_tokens for r in got}) == 1 and got[0].train_tokens == sum(r.n_tokens for r in got if not r.held_out)
 
 
-def test_slices_and_blocks_do_not_matter(spark, documents, monkeypatch):
-    rows = texts(60, 4)
-    blocks, counts = fitted(spark, documents(rows))
-    m = hmm.train(blocks, counts, rounds=1)
-    want = {(r.doc_id, round(r.score, 6)) for r in hmm.score(blocks, counts, m).collect()}
-    assert {(r.doc_id, round(r.score, 6)) for r in hmm.score(*fitted(spark, documents(rows).repartition(7)), m).collect()} == want
+def test_slices_do_not_matter(monkeypatch):
     lengths = np.array([3, 1, 9, 2])
     monkeypatch.setattr(hmm, "SLICE", 4)
     assert [x.tolist() for x in hmm.slices(lengths)] == [[2], [0], [3, 1]]
