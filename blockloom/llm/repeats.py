@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, shuffles_removed, stored
+from .common import batch, removed, scratch, shuffles_removed, stored
 
 #: Bytes of a string that counts as repeated, and of the grams of which each string's least hash is its anchor.
 LENGTH, GRAM = 50, 24
@@ -75,11 +75,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The mixed hashes of the grams at these places, a byte of all of them at a time."""
+    """The hashes of the grams at these places, a byte of all of them at a time, mixed twice.
+
+    Anchors are the grams of least hash once mixed; mixed again they spread evenly over buckets.
+    """
     out = np.zeros(len(place), np.uint64)
     for k, x in enumerate(powers(BASE, GRAM)):
         out += (data[place + k].astype(np.uint64) + np.uint64(1)) * x
-    return mixed(out)
+    return mixed(mixed(out))
 
 
 def stretch_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -133,7 +136,7 @@ def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
         strings = np.diff(np.append(first, len(place)))
         kept = place[first] >= 0
         first, strings = first[kept], strings[kept]
-        parts.append(((first + at).astype(np.int32), strings.astype(np.uint8), (place[first] - first).astype(np.uint8), gram[place[first]], piece.of(first, first + strings + LENGTH - 1)))
+        parts.append(((first + at).astype(np.int32), strings.astype(np.uint8), (place[first] - first).astype(np.uint8), mixed(gram[place[first]]), piece.of(first, first + strings + LENGTH - 1)))
     return Runs(*(np.concatenate(x) for x in zip(*parts)))
 
 
@@ -555,7 +558,7 @@ def unfolded(where: DataFrame, replies: DataFrame) -> DataFrame:
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def removed(lengths: np.ndarray, ids: list, pieces: bytes | None, replies: list[bytes]) -> np.ndarray:
+def gone_bytes(lengths: np.ndarray, ids: list, pieces: bytes | None, replies: list[bytes]) -> np.ndarray:
     """Which bytes of a block go."""
     change = np.zeros(int(lengths.sum()) + 1, np.int32)
     if pieces is not None:
@@ -596,12 +599,13 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = stored(blocks(docs), "blocks")
     total, n = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     bits = max(0, total // BUCKET).bit_length()
-    with shuffles_removed(spark):
+    with shuffles_removed(spark), scratch() as keep:
         flags = stored(shared_grams(texts, bits, hot), "flags")
-        made = stored(contexts(texts, flags, bits), "contexts")
+        made = keep(stored(contexts(texts, flags, bits), "contexts"))
+        removed(flags)
         folds = stored(folded(made.where(F.col("kind") == SINGLES), math.isqrt(n) + 1), "folds")
-        replies = stored(answers(made.where(F.col("kind") == STRETCHES).unionByName(folds.where(F.col("kind") == STRETCHES))), "answers")
-        told = stored(unfolded(folds.where(F.col("kind") == FOLDED), replies.where("block < 0")), "unfolded")
+        replies = keep(stored(answers(made.where(F.col("kind") == STRETCHES).unionByName(folds.where(F.col("kind") == STRETCHES))), "answers"))
+        told = keep(stored(unfolded(folds.where(F.col("kind") == FOLDED), replies.where("block < 0")), "unfolded"))
     replies = replies.where("block >= 0").unionByName(told)
     both = made.where(F.col("kind") == PIECES).unionByName(replies).select(F.col("block").alias("_block"), "kind", "blob")
 
@@ -610,7 +614,7 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
         out = []
         for row in block.to_pylist():
             lengths, data = unpack(row["data"], np.int64, np.uint8)
-            gone = removed(lengths, row["doc_id"], next((x for k, x in zip(kinds, blobs) if k == PIECES), None), [x for k, x in zip(kinds, blobs) if k == ANSWERS])
+            gone = gone_bytes(lengths, row["doc_id"], next((x for k, x in zip(kinds, blobs) if k == PIECES), None), [x for k, x in zip(kinds, blobs) if k == ANSWERS])
             counts, spans, kept, at = [], [], [], 0
             for n in lengths.tolist():
                 own = gone[at : at + n]
