@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import removed, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         if n[0] == n[1] and lower.join(upper, "b", "left_semi").isEmpty():
             tops = lower.select(F.col("b").alias("node"), F.col("b").alias("component"))
             return links.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(tops)
-        links = stored(_small_star(_large_star(links)), "links")
+        before, links = links, stored(_small_star(_large_star(links)), "links")
+        removed(before)

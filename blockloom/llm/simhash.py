@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, stored, with_row_index
+from .common import batch, removed, scratch, set_aside, shuffles_removed, stored, with_row_index
 from .components import components
 
 #: Fingerprints whose variants are made at a time, and variants that a bucket holds on average.
 AT_ONCE, PER_BUCKET = 2048, 1 << 20
-#: Variants of one pass; beyond this the space of variants is cut in up to MOST_PASSES parts, one after the other.
+#: Variants of one pass; beyond this the space of variants is cut in up to MOST_PASSES parts, one after the other, so
+#: that the disk holds no more than that share of them at a time. Links are the same either way.
 PER_PASS, MOST_PASSES = 1 << 24, 8
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Variants fall into parts by three parities over these bits: linear, so a part's masks follow from a fingerprint's part.
@@ -27,39 +29,60 @@ SIMILAR = 0.8
 #: Least hashes under BANDS x BAND permutations: a pair at SIMILAR agrees in all of some band but for (1 - 0.8^4)^32 < 5e-8.
 BANDS, BAND = 32, 4
 SALTS, FACTORS, MIXERS = np.random.default_rng(64).integers(0, 1 << 64, (3, BANDS * BAND), dtype=np.uint64) | np.array([[0], [1], [1]], dtype=np.uint64)
-#: Shingles whose permuted hashes are in memory at a time.
-PERMUTED = 2048
+#: Shingles whose permuted hashes are in memory at a time; bytes of text that are hashed together.
+PERMUTED, LOT = 2048, 1 << 20
+#: Least hashes in which texts at SIMILAR agree but for a chance below 1e-7 (102 of 128 on average).
+ALIKE = 75
+#: Rounds in which a bucket's texts meet one of them; texts of a part of a bucket.
+STARS, CELL = 4, 2048
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """The hash of each shingle of so many words, repeats included; one of all words in a shorter text, none without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    line, ends, at = b" ".join(words), [], -1
-    for w in words:
-        ends.append(at := at + len(w) + 1)
-    starts = [0, *(e + 1 for e in ends[:-1])]
+def shingle_lots(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """The hash of each shingle of so many words, repeats included, those of some LOT bytes of text at a time.
+
+    A text of fewer words has one of all words; one without words none.
+    """
+    text, at, words, none = (text or b"").lower(), 0, [], True
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], dtype=np.uint64)
+    while at < len(text):
+        end = m.end() if (m := GAP.search(text, at + LOT)) else len(text)
+        words = [*words[1 - width :], *text[at:end].split()] if width > 1 else text[at:end].split()
+        at = end
+        if len(words) >= width or (at == len(text) and none and words):
+            line, ends, e = b" ".join(words), [], -1
+            for w in words:
+                ends.append(e := e + len(w) + 1)
+            starts = [0, *(x + 1 for x in ends[:-1])]
+            yield np.array([digest(line[s:e], 42) for s, e in zip(starts, ends[min(width, len(words)) - 1 :])], dtype=np.uint64)
+            none = False
+
+
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(np.unique(x) for x in shingle_lots(text, width))]))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
+def fingerprint(lots: Iterable[np.ndarray]) -> int:
     """The 64-bit SimHash of a text's shingles; 0 without any."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):  # a very long text takes no more memory than this many shingles
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in lots:
+        for at in range(0, len(hashes), 65536):
+            ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def bands(distinct: np.ndarray) -> np.ndarray:
-    """A hash of each band of the least permuted hashes of a set of shingles (MinHash)."""
+def least_hashes(distinct: np.ndarray) -> np.ndarray:
+    """The least permuted hashes of a set of shingles (MinHash)."""
     least = np.full(BANDS * BAND, (1 << 64) - 1, dtype=np.uint64)
     for at in range(0, len(distinct), PERMUTED):
         least = np.minimum(least, ((distinct[at : at + PERMUTED, None] ^ SALTS) * FACTORS).min(0))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A hash of each band of the least hashes."""
     mixed = ((least ^ (least >> np.uint64(29))) * MIXERS).reshape(BANDS, BAND).sum(1, dtype=np.uint64)
     return (mixed ^ (mixed >> np.uint64(32))) * SPREAD + np.arange(BANDS, dtype=np.uint64)
 
@@ -67,26 +90,29 @@ def bands(distinct: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, carry: list[str], width: int, banded: bool = False) -> DataFrame:
     """The carried columns and the fingerprint `fp` of each text (a signed long).
 
-    If banded, the set of its shingles follows: `key`, a hash of it, `size`, and `bands`; no bands without words.
+    If banded, the set of its shingles follows: `key`, a hash of it, `size`, `bands`, and `sketch`, a byte of each least
+    hash; no bands without words. Null texts are empty; a very long text is hashed in lots.
     """
     schema = docs.select(*carry).schema.add("fp", "long")
     names = [*carry, "fp"]
     if banded:
-        schema = schema.add("key", "long").add("size", "long").add("bands", T.ArrayType(T.LongType()))
-        names += ["key", "size", "bands"]
+        schema = schema.add("key", "long").add("size", "long").add("bands", T.ArrayType(T.LongType())).add("sketch", "binary")
+        names += ["key", "size", "bands", "sketch"]
 
     def run(batches):
         for b in batches:
-            fp, key, size, some = [], [], [], []
+            fp, key, size, some, sketch = [], [], [], [], []
             for t in b.columns[-1]:
-                hashes = shingles(t.as_py(), width)
-                fp.append(fingerprint(hashes))
+                lots = list(shingle_lots(t.as_py(), width)) if banded else shingle_lots(t.as_py(), width)
+                fp.append(fingerprint(lots))
                 if banded:
-                    distinct = np.unique(hashes)
+                    distinct = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *lots]))
+                    least = least_hashes(distinct)
                     key.append(xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63))
                     size.append(len(distinct))
-                    some.append(bands(distinct).view(np.int64) if len(distinct) else [])
-            more = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(some, pa.list_(pa.int64()))] if banded else []
+                    some.append(bands(least).view(np.int64) if len(distinct) else [])
+                    sketch.append(least.astype(np.uint8).tobytes())
+            more = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(some, pa.list_(pa.int64())), pa.array(sketch, pa.binary())] if banded else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64()), *more], names=names)
 
     return docs.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
@@ -105,26 +131,14 @@ def part_of(x: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-@contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Within, the shuffle files of each finished query go at once instead of whenever the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints `fp`; joined up they tie all pairs at most radius bits apart.
 
     Each fingerprint emits all variants within half the radius. Two fingerprints within the radius share a variant;
     those sharing one are within the radius of each other, so a variant's least fingerprint is linked to each other
     one and the group's pairs are never spelled out. Variants travel as blocks of numbers, dealt by a hash of the
-    variant, so a bucket's size doesn't depend on how alike the fingerprints are. To bound the disk, the space of
-    variants is cut into parts, and every part is one pass over the fingerprints.
+    variant, so a bucket's size doesn't depend on how alike the fingerprints are. To spare the disk, the space of
+    variants is cut into up to MOST_PASSES parts, and every part is one pass over the fingerprints.
     """
     spark = fps.sparkSession
     half = radius // 2 + radius % 2
@@ -181,13 +195,25 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     return found.distinct()
 
 
+def sketched(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches agree in ALIKE places at least, as similar texts do but for 1 in 10^7."""
+    of = lambda end, name: kept.select(F.col("doc_id").alias(end), F.col("sketch").alias(name))
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * BAND) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE))
+
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
     """Those of the stored pairs (a, b) of doc_ids whose sets of shingles have at least this Jaccard similarity."""
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([np.unique(shingles(t.as_py(), width)).tobytes() for t in b.columns[1]], pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([shingles(t.as_py(), width).tobytes() for t in b.columns[1]], pa.binary())], names=["doc_id", "set"])
 
     def alike(batches):
         for b in batches:
@@ -200,39 +226,77 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> D
 
     of = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(named, "doc_id", "left_semi")
     of = stored(of.mapInArrow(sets, "doc_id long, set binary"), "sets")
-    left = stored(pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a"), "left")
+    left = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(alike, "a long, b long"), "verified")
+    found = stored(both.mapInArrow(alike, "a long, b long"), "verified")
+    removed(of)
+    return found
+
+
+def close_pairs(apart: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of (band, doc_id, size, group, sketch) that share a band, are in different groups and alike by sketch.
+
+    A bucket's rows meet in cells of two parts of bounded size, and a cell gives the pairs that are alike, not all.
+    """
+    parts = apart.groupBy("band").agg(F.ceil(F.count("*") / CELL).alias("_parts"))
+    dealt = apart.join(parts, "band").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    dealt = dealt.withColumn("_other", other).select("band", "doc_id", "size", "group", "sketch", "_part", F.least("_part", "_other").alias("_low"), F.greatest("_part", "_other").alias("_high"))
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def cell(rows: pa.Table) -> pa.Table:
+        ids, size, group, part, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "size", "group", "_part", "_low", "_high"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+        a, b = [], []
+        for k in range(len(ids)):
+            fits = (group != group[k]) & (ids > ids[k]) & (np.minimum(size, size[k]) >= np.maximum(size, size[k]) * similar - 1e-9)
+            if low[0] != high[0]:
+                fits &= part != part[k]
+            some = np.flatnonzero(fits)
+            some = some[(sketch[some] == sketch[k]).sum(1) >= ALIKE]
+            a.append(np.full(len(some), ids[k]))
+            b.append(ids[some])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=shape)
+
+    return dealt.groupBy("band", "_low", "_high").applyInArrow(cell, "a long, b long").distinct()
 
 
 def similar_links(kept: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
     """Links (a, b) between doc_ids; joined up they tie all texts whose sets of shingles are this similar.
 
     Equal sets are linked to one of them, which stands for all. Of those, texts that share a band are candidates, and
-    each is compared by its shingles. First, one text of each bucket meets the others, another one by chance in each
-    band, so that a large group of near copies becomes one without its pairs being spelled out; then the pairs of a
-    bucket that are not joined up yet meet.
+    each pair that is alike by its sketches is compared by its shingles. For some rounds one text of each bucket meets
+    those that are not joined up with it yet, another one by chance in each round, so that a large group of near copies
+    becomes one without its pairs being spelled out; then what is still apart in a bucket meets in cells.
     """
-    first = stored(kept.where("size > 0").groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
-    same = kept.where("size > 0").join(first, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    each = kept.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", F.explode("bands").alias("band"))
-    each = stored(each, "bands")
-    buckets = each.groupBy("band").agg(F.min(F.struct(F.xxhash64("doc_id", "band").alias("h"), "doc_id", "size")).alias("c"), F.count("*").alias("n"))
-    buckets = stored(buckets.where("n > 1").select("band", F.col("c.doc_id").alias("centre"), F.col("c.size").alias("centre_size")), "buckets")
-    met = stored(each.join(buckets, "band"), "met")
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * similar - 1e-9
-    pairs = met.where((F.col("doc_id") != F.col("centre")) & fits("size", "centre_size"))
-    pairs = stored(pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
-    stars = verified(pairs, docs, width, similar)
-    named = components(stars)
-    joined = met.join(named, met["doc_id"] == named["node"], "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("group"))
-    joined = stored(joined, "joined")
-    apart = joined.groupBy("band").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band")
-    left = stored(joined.join(apart, "band", "left_semi"), "apart")
-    one, two = (left.select("band", *[F.col(c).alias(f"{c}{k}") for c in ("doc_id", "size", "group")]) for k in (1, 2))
-    rest = one.join(two, "band").where((F.col("doc_id1") < F.col("doc_id2")) & (F.col("group1") != F.col("group2")) & fits("size1", "size2"))
-    rest = rest.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return same.unionByName(stars).unionByName(verified(stored(rest, "rest"), docs, width, similar))
+    words = kept.where("size > 0")
+    first = stored(words.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
+    same = words.join(first, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    reps = stored(words.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "bands", "sketch"), "reps")
+    each = reps.select("doc_id", "size", F.explode("bands").alias("band"))
+    met = stored(each.join(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band", "left_semi"), "met")
+    fits = F.least("size", "c.size") >= F.greatest("size", "c.size") * similar - 1e-9
+    state, links, tested = met.withColumn("group", F.col("doc_id")), None, None
+    for k in range(STARS + 1):
+        centre = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size", "group")).alias("c")
+        apart = stored(state.groupBy("band").agg(centre, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band", "c"), "apart")
+        if apart.isEmpty():
+            break
+        before, met = met, stored(state.join(apart.select("band"), "band", "left_semi"), "met")
+        removed(before)
+        if k < STARS:
+            pairs = met.join(apart, "band").where((F.col("group") != F.col("c.group")) & fits).select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
+            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            alike = stored(sketched(pairs, reps), "alike")
+        else:
+            alike = stored(close_pairs(met.join(reps.select("doc_id", "sketch"), "doc_id"), similar), "alike")
+        found = verified(alike, docs, width, similar)
+        links = found if links is None else links.unionByName(found)
+        if k < STARS:
+            named = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).withColumnRenamed("node", "doc_id")
+            state = met.select("band", "doc_id", "size").join(named, "doc_id", "left").select("band", "doc_id", "size", F.coalesce("component", "doc_id").alias("group"))
+    return same if links is None else same.unionByName(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, similar: float | None = None) -> DataFrame:
@@ -244,13 +308,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, similar: f
     part, but names no component: one with null ids only has a null component_id. An empty table gives an empty
     result; other columns are not looked at.
     """
+    with scratch() as keep:
+        return keep(stored(_near_duplicates(docs, width, radius, similar), "near"))
+
+
+def _near_duplicates(docs: DataFrame, width: int, radius: int, similar: float | None) -> DataFrame:
     kept = stored(fingerprints(docs, ["doc_id"], width, similar is not None), "fingerprints")
     ids = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     named = components(ball_links(ids, radius))
     member = ids.join(named, ids["fp"] == named["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     member = stored(member, "members")
     if similar is not None:
-        links = stored(similar_links(kept, docs, width, similar), "similar")
+        with shuffles_removed(docs.sparkSession), scratch() as keep:
+            links = keep(stored(similar_links(kept, docs, width, similar), "similar"))
         of = stored(kept.select("doc_id", "fp").join(member, "fp").select("doc_id", "component"), "groups")
         for end in ("a", "b"):
             links = links.join(of.select(F.col("doc_id").alias(end), F.col("component").alias(f"_{end}")), end)
@@ -274,8 +344,8 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 4, similar: float = SIMILAR) -> DataFrame:
     """The documents with one of each group of near-duplicates: the one of least doc_id, null last."""
-    rows = with_row_index(docs, "_row")
+    rows = with_row_index(set_aside(docs, "doc_id", "text"), "_row")
     marked = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, radius, similar)
     named = rows.select("_row", F.col("doc_id").alias("_id")).join(marked.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_kept")).select(F.col("_kept._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    return rows.join(first, "_row", "left_semi").drop("_row").toDF(*docs.columns)

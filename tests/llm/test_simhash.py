@@ -15,6 +15,11 @@ def plain_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_shingles(text, width):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def plain_components(nodes, links):
     root = {n: n for n in nodes}
 
@@ -74,6 +79,38 @@ def test_keep_one_finds_edited_copies(spark, documents):
     assert sorted((r.doc_id for r in simhash.keep_one(documents(rows)).collect()), key=str) == sorted([*want, 900], key=str)
 
 
+def test_parts_of_a_bucket_do_not_matter(spark, documents, monkeypatch):
+    draw = random.Random(12)
+    base = [f"w{draw.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        near = list(base)
+        for _ in range(draw.randint(0, 8)):
+            near[draw.randrange(len(near))] = f"x{draw.randrange(9999)}"
+        rows.append((i, " ".join(near)))
+    sets = [plain_shingles(t, 5) for _, t in rows]
+    like = [(i, j) for i, j in combinations(range(60), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = plain_components(range(60), like)
+    docs = documents(rows)
+    kept = simhash.stored(simhash.fingerprints(docs, ["doc_id"], 5, True), "fingerprints")
+    for stars, cell in ((0, 7), (1, 2048), (4, 2048)):
+        monkeypatch.setattr(simhash, "STARS", stars)
+        monkeypatch.setattr(simhash, "CELL", cell)
+        links = [tuple(x) for x in simhash.similar_links(kept, docs, 5, 0.8).collect()]
+        assert set(links) <= set(like) and plain_components(range(60), links) == want
+
+
+def test_lots_of_text_give_the_same_shingles(monkeypatch):
+    draw = random.Random(4)
+    for n in (0, 1, 3, 4, 5, 200):
+        text = "".join(f"W{draw.randrange(50)}" + draw.choice([" ", "\n", "  \t"]) for _ in range(n)).encode()
+        want = sorted(x for y in simhash.shingle_lots(text, 4) for x in y.tolist())
+        monkeypatch.setattr(simhash, "LOT", 5)
+        assert sorted(x for y in simhash.shingle_lots(text, 4) for x in y.tolist()) == want
+        monkeypatch.setattr(simhash, "LOT", 1 << 20)
+        assert f"{simhash.fingerprint(simhash.shingle_lots(text, 4)) & (1 << 64) - 1:016x}" == f"{plain_fingerprint(text.decode(), 4):016x}"
+
+
 def test_passes_do_not_change_links(spark, monkeypatch):
     draw = random.Random(2)
     fps = []
