@@ -3,6 +3,9 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from blockloom.llm import decontaminate, language, mixing
 from blockloom.llm.common import stored, table
@@ -10,7 +13,7 @@ from blockloom.llm.common import stored, table
 from .test_mixing import plain
 from .test_pii import PLAIN
 from .test_pii import plain as plain_spans
-from .test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_components, plain_fingerprint, plain_shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +34,9 @@ def test_each_stage_against_a_plain_version(spark):
 
     ids = sorted(at["language"])
     fp = [plain_fingerprint(raw[i].text, 5) for i in ids]
-    root = plain_components(range(len(ids)), [(i, j) for i, j in combinations(range(len(ids)), 2) if (fp[i] ^ fp[j]).bit_count() <= 4])
+    sets = [plain_shingles(raw[i].text, 5) for i in ids]
+    near = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 4 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0
+    root = plain_components(range(len(ids)), [(i, j) for i, j in combinations(range(len(ids)), 2) if near(i, j)])
     assert set(at["near_duplicates"]) == {ids[k] for k in set(root.values())}
 
     items = [decontaminate.normal(r.text) for r in table(spark, SF, "benchmark").collect()]
@@ -54,6 +59,21 @@ def test_each_stage_against_a_plain_version(spark):
         assert abs(taken[s] - t) <= 3 * max(z for z, r in zip(size, rows) if r[3] == s) + 1 and math.isfinite(float(t))
 
 
+NAMES = ["_row", "_r", "_of", "_lang", "_score", "_items", "_spans", "copy", "_copies", "_at", "_text", "_rate", "__0", "fp", "component_id", "node", "size", "_k0"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_clashing_columns_keep_their_values(spark, documents, stage):
+    rows = [(i, f"the cat number {i} and the dog sat on the mat in house {i * 7} and " + "rain is rain " * (i % 5), "en", f"s{i % 3}") for i in range(30)]
+    docs = documents(rows).drop("size")
+    for k, name in enumerate(NAMES):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    got = pipeline.STAGES[stage][1](spark, docs, SF)
+    assert got.columns == [*docs.columns, "copy_"][: len(got.columns)] and len(got.columns) == len(docs.columns) + (stage == 4)
+    got = stored(got, "clash").collect()
+    assert len(got) > 5 and all(r[name] == f"{k}-{r.doc_id}" for r in got for k, name in enumerate(NAMES))
+
+
 def test_odd_rows_go_through(spark, documents):
     rows = [(i, f"the cat number {i} and the dog sat on the mat in house {i * 7}", "en", "s") for i in range(40)]
     rows += [(50, None, "en", None), (51, "", None, "s"), (None, "the cat and the dog", "en", "t"), (3, rows[3][1], "en", "s")]
