@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written and read again as the next one's documents."""
 
 from blockloom.llm import decontaminate, language, mixing, pii, simhash
-from blockloom.llm.common import stored, table
+from blockloom.llm.common import scratch, stored, table
 
 
 def identify_language(spark, docs, sf_dir):
@@ -44,5 +44,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch() as keep:
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
