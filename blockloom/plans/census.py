@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import channels as ch
 from blockloom.operators import census, lookups, partitions
+from blockloom.operators.encode import channel
 from blockloom.sources import fixtures
 
 #: (name, endpoint bits, levels, weights in 64ths, shared lowest bit)
@@ -13,7 +14,7 @@ COVERED = [(f"plain_{b}_{n}", b, n, False, None) for b in (5, 6) for n in (3, 4)
 
 
 def coverage(spark, d):
-    return lookups.union([census.coverage(spark, b, n, w, s).withColumn("kind", F.lit(name)) for name, b, n, w, s in COVERED]).select("kind", F.col("level").cast("long").alias("level"), "hits", "rmse")
+    return census.coverage(spark, COVERED)
 
 
 def coverage_sql() -> str:
@@ -49,19 +50,28 @@ def ends(spark, d):
 
 
 def channel_values(spark, d):
-    return fixtures.texels(spark, d).select("vec_id", "texel", F.col("r").alias("v"))
+    return fixtures.texels(spark, d).select("vec_id", "texel", F.posexplode(F.array(*"rgba")).alias("channel", "v")).withColumn("channel", F.col("channel").cast("long"))
+
+
+def channel_blocks(spark, d):
+    """(vec_id, channel, values): the 16 values of each of the four channels."""
+    each = fixtures.blocks(spark, d).select("vec_id", F.posexplode(F.array(*[channel(F.col("e"), k) for k in range(4)])).alias("channel", "values"))
+    return each.withColumn("channel", F.col("channel").cast("long"))
+
+
+CHANNEL = ["vec_id", "channel"]
 
 
 def nearest_levels(spark, d):
-    return census.nearest_level_error(channel_values(spark, d), ["vec_id"], "v")
+    return census.nearest_level_error(channel_blocks(spark, d), CHANNEL)
 
 
 def tangent(spark, d):
-    return census.tangent_search(channel_values(spark, d), ["vec_id"], "v")
+    return census.tangent_search(channel_blocks(spark, d), CHANNEL)
 
 
 def best_splits(spark, d):
-    return census.best_split(census.split_sums(channel_values(spark, d), ["vec_id"], "v"), ["vec_id"])
+    return census.best_split(census.split_sums(channel_values(spark, d), CHANNEL, "v"), CHANNEL)
 
 
 def _error(s: str, e: str) -> str:
@@ -69,14 +79,27 @@ def _error(s: str, e: str) -> str:
     return f"CAST(list_sum(list_transform(vs, lambda v: list_min(list_transform([{levels}], lambda m: (v - m) * (v - m))))) AS BIGINT)"
 
 
+CHANNELS = " UNION ALL ".join(f"SELECT vec_id, texel, {k}::BIGINT AS channel, {c} AS v FROM tex" for k, c in enumerate("rgba"))
+
+
+def best_parts_sql(parts: int) -> str:
+    cuts = [f"c{k}" for k in range(1, parts)]
+    at = ["0", *cuts, "16"]
+    gain = " + ".join(f"CASE WHEN {b} > {a} THEN CAST((upto[{b} + 1] - upto[{a} + 1]) * (upto[{b} + 1] - upto[{a} + 1]) AS DOUBLE) / ({b} - {a}) ELSE 0 END" for a, b in zip(at, at[1:]))
+    grids = ", ".join(f"range(17) s{k}({c})" for k, c in enumerate(cuts))
+    rise = " AND ".join(["true", *[f"{a} <= {b}" for a, b in zip(cuts, cuts[1:])]])
+    return f"""WITH {fixtures.SQL_TEXELS}, o AS (SELECT vec_id, channel, list_sort(list(v)) AS v FROM ({CHANNELS}) GROUP BY vec_id, channel), u AS (SELECT vec_id, channel, list_transform(range(17), lambda k: coalesce(list_sum(v[1:k]), 0)::BIGINT) AS upto FROM o),
+    g AS (SELECT vec_id, channel, {', '.join(cuts)}, {gain} AS gain FROM u, {grids} WHERE {rise}) SELECT vec_id, channel, {', '.join(cuts)}, gain FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, channel ORDER BY gain DESC, {', '.join(cuts)}) AS o FROM g) WHERE o = 1"""
+
+
 def tangent_sql() -> str:
-    ctes = [f"{fixtures.SQL_TEXELS}", "r0 AS (SELECT vec_id, min(r) AS s, max(r) AS e, list(r) AS vs FROM tex GROUP BY vec_id)", f"q0 AS (SELECT *, {_error('s', 'e')} AS error FROM r0)"]
+    ctes = [f"{fixtures.SQL_TEXELS}", f"r0 AS (SELECT vec_id, channel, min(v) AS s, max(v) AS e, list(v) AS vs FROM ({CHANNELS}) GROUP BY vec_id, channel)", f"q0 AS (SELECT *, {_error('s', 'e')} AS error FROM r0)"]
     for k in range(1, 5):
-        tries = " UNION ALL ".join(f"SELECT vec_id, vs, 1 AS moved, greatest(s + {i} * ((e - s) >> {k + 2}), 0) AS s, least(e + {j} * ((e - s) >> {k + 2}), 255) AS e FROM q{k - 1}" for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1)))
-        ctes.append(f"t{k} AS (SELECT vec_id, vs, 0 AS moved, s, e FROM q{k - 1} UNION ALL SELECT * FROM ({tries}) WHERE s <= e)")
+        tries = " UNION ALL ".join(f"SELECT vec_id, channel, vs, 1 AS moved, greatest(s + {i} * ((e - s) >> {k + 2}), 0) AS s, least(e + {j} * ((e - s) >> {k + 2}), 255) AS e FROM q{k - 1}" for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1)))
+        ctes.append(f"t{k} AS (SELECT vec_id, channel, vs, 0 AS moved, s, e FROM q{k - 1} UNION ALL SELECT * FROM ({tries}) WHERE s <= e)")
         ctes.append(f"u{k} AS (SELECT *, {_error('s', 'e')} AS error FROM t{k})")
-        ctes.append(f"q{k} AS (SELECT vec_id, s, e, vs, error FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY error, moved, s, e) AS o FROM u{k}) WHERE o = 1)")
-    return f"WITH {', '.join(ctes)} SELECT vec_id, s, e, error FROM q4"
+        ctes.append(f"q{k} AS (SELECT vec_id, channel, s, e, vs, error FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, channel ORDER BY error, moved, s, e) AS o FROM u{k}) WHERE o = 1)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, channel, s, e, error FROM q4"
 
 
 _masks = " UNION ALL ".join(f"SELECT {n} AS subsets, unnest(range(64)) AS partition, unnest([{', '.join(map(str, some))}]::BIGINT[]) AS mask" for n, some in ((2, partitions.TWO), (3, partitions.THREE)))
@@ -102,9 +125,10 @@ def masked_error(spark, d):
 
 QUERIES = {
     "jn8_members": lambda spark, d: partitions.members(spark), "win1_first_texels": lambda spark, d: partitions.first_texels(spark), "win2_anchors": anchored, "sc18_byte_masks": lambda spark, d: partitions.byte_masks(spark), "flt6_best_partition": masked_error,
-    "agg5_agg6_flt5_codebooks": counts, "agg7_ends_of_books": ends, "agg8_jn4_nearest_levels": nearest_levels, "sc16_agg11_tangent_search": tangent, "agg12_jn7_jn9_coverage": coverage, "win3_splits": lambda spark, d: census.split_sums(channel_values(spark, d), ["vec_id"], "v"), "win3_best_split": best_splits,
+    "agg5_agg6_flt5_codebooks": counts, "agg7_ends_of_books": ends, "agg8_jn4_nearest_levels": nearest_levels, "sc16_agg11_tangent_search": tangent, "agg12_jn7_jn9_coverage": coverage, "win3_splits": lambda spark, d: census.split_sums(channel_values(spark, d), CHANNEL, "v"), "win3_best_split": best_splits,
+    "win3_three_parts": lambda spark, d: census.best_parts(channel_blocks(spark, d), CHANNEL, 3), "win3_four_parts": lambda spark, d: census.best_parts(channel_blocks(spark, d), CHANNEL, 4), "agg7_end_sets": lambda spark, d: census.end_sets(census.codebooks(spark, 7, 0, 255)),
 }
-SPLITS = f"{fixtures.SQL_TEXELS}, spl AS (SELECT vec_id, row_number() OVER w AS low_n, CAST(sum(r) OVER w AS BIGINT) AS low_sum, 16 - row_number() OVER w AS high_n, CAST(sum(r) OVER (PARTITION BY vec_id) - sum(r) OVER w AS BIGINT) AS high_sum FROM tex WINDOW w AS (PARTITION BY vec_id ORDER BY r, texel ROWS UNBOUNDED PRECEDING))"
+SPLITS = f"{fixtures.SQL_TEXELS}, spl AS (SELECT vec_id, channel, row_number() OVER w AS low_n, CAST(sum(v) OVER w AS BIGINT) AS low_sum, 16 - row_number() OVER w AS high_n, CAST(sum(v) OVER (PARTITION BY vec_id, channel) - sum(v) OVER w AS BIGINT) AS high_sum FROM ({CHANNELS}) WINDOW w AS (PARTITION BY vec_id, channel ORDER BY v, texel ROWS UNBOUNDED PRECEDING))"
 SQL = {
     "jn8_members": f"WITH {MEM} SELECT * FROM mem",
     "win1_first_texels": f"WITH {MEM} SELECT subsets, partition, subset, min(texel) AS first, count(*) AS texels FROM mem GROUP BY subsets, partition, subset",
@@ -115,9 +139,11 @@ SQL = {
     SELECT vec_id, partition, error FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY error, partition) AS o FROM y) WHERE o = 1""",
     "agg5_agg6_flt5_codebooks": f"WITH f AS (SELECT s, e, {_book(5)} AS book FROM range(1, 255) a(s), range(1, 255) b(e) WHERE s <= e), v AS (SELECT s, e, {_book(7)} AS book FROM range(256) a(s), range(256) b(e) WHERE s <= e) SELECT 'five' AS kind, count(DISTINCT book) AS books, count(*) AS pairs FROM f WHERE 254 - e >= s - 1 UNION ALL SELECT 'five_with_mirrors', count(DISTINCT book), count(*) FROM f UNION ALL SELECT 'seven', count(DISTINCT book), count(*) FROM v",
     "agg7_ends_of_books": f"WITH v AS (SELECT s, e, {_book(7)} AS book FROM range(256) a(s), range(256) b(e) WHERE s <= e) SELECT book, count(*) AS pairs, min(s * 256 + e) // 256 AS least_s, min(s * 256 + e) % 256 AS least_e, max(s * 256 + e) // 256 AS most_s, max(s * 256 + e) % 256 AS most_e FROM v GROUP BY book",
-    "agg8_jn4_nearest_levels": f"WITH {fixtures.SQL_TEXELS}, q AS (SELECT vec_id, min(r) AS s, max(r) AS e, list(r) AS vs FROM tex GROUP BY vec_id) SELECT vec_id, s, e, {_error('s', 'e')} AS error FROM q",
+    "agg8_jn4_nearest_levels": f"WITH {fixtures.SQL_TEXELS}, q AS (SELECT vec_id, channel, min(v) AS s, max(v) AS e, list(v) AS vs FROM ({CHANNELS}) GROUP BY vec_id, channel) SELECT vec_id, channel, s, e, {_error('s', 'e')} AS error FROM q",
+    "win3_three_parts": best_parts_sql(3), "win3_four_parts": best_parts_sql(4),
+    "agg7_end_sets": f"WITH v AS (SELECT s, e, {_book(7)} AS book FROM range(256) a(s), range(256) b(e) WHERE s <= e) SELECT book, string_agg(s || ':' || e, ',' ORDER BY s, e) AS ends FROM v GROUP BY book",
     "sc16_agg11_tangent_search": tangent_sql(),
     "agg12_jn7_jn9_coverage": coverage_sql(),
     "win3_splits": f"WITH {SPLITS} SELECT * FROM spl",
-    "win3_best_split": f"WITH {SPLITS} SELECT vec_id, low_n, low_sum, high_n, high_sum FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY -(CAST(low_sum * low_sum AS DOUBLE) / low_n + CASE WHEN high_n > 0 THEN CAST(high_sum * high_sum AS DOUBLE) / high_n ELSE 0 END), low_n) AS o FROM spl) WHERE o = 1",
+    "win3_best_split": f"WITH {SPLITS} SELECT vec_id, channel, low_n, low_sum, high_n, high_sum FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, channel ORDER BY -(CAST(low_sum * low_sum AS DOUBLE) / low_n + CASE WHEN high_n > 0 THEN CAST(high_sum * high_sum AS DOUBLE) / high_n ELSE 0 END), low_n) AS o FROM spl) WHERE o = 1",
 }
