@@ -1,13 +1,16 @@
 """Whole images: compress, decompress and compare folders of PNG files.
 
-python -m blockloom.images compress|decompress|compare SOURCE TARGET
+python -m blockloom.images [-cde135urh] [--] SOURCE TARGET
+
+-c compress PNG files to block files (default), -d decompress block files to PNG files, -e compare PNG files;
+-1, -3, -5 BC1 (default), BC2, BC3; -u weigh colours alike instead of as the eye does; -r range fit, the only one.
 """
 
 from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.channels import number
@@ -15,24 +18,56 @@ from blockloom.operators import decode, encode, errors, layout
 from blockloom.sources.block_files import as_block_files, as_png_files, read_blocks, read_png, write_files
 
 
+#: What option letters stand for.
+OPTIONS = {
+    "h": ("help", "yes"), "c": ("mode", "compress"), "d": ("mode", "decompress"), "e": ("mode", "compare"), "1": ("codec", "bc1"), "3": ("codec", "bc2"), "5": ("codec", "bc3"),
+    "u": ("metric", "uniform"), "r": ("fit", "range"), "i": ("fit", "iterative"), "w": ("weights", "alpha"), "-": ("options", "end"),
+}
+DEFAULTS = {"mode": "compress", "codec": "bc1", "metric": "perceptual", "fit": "range"}
+DECODERS = {"bc1": lambda blocks: decode.bc1(blocks, True), "bc2": decode.bc2, "bc3": decode.bc3}
+
+
+def parsed(words: list[str]) -> tuple[dict[str, str], list[str]]:
+    """Settings and names from a command line; of letters that say otherwise the last counts, and after -- all are names."""
+    found, names, open_ = dict(DEFAULTS), [], True
+    for word in words:
+        if not (open_ and word.startswith("-")):
+            names.append(word)
+            continue
+        for letter in word[1:]:
+            if letter not in OPTIONS:
+                raise ValueError(f"unknown option {letter!r}")
+            setting, value = OPTIONS[letter]
+            found[setting] = value
+            open_ = open_ and setting != "options"
+    if found["fit"] != "range" or "weights" in found:
+        raise ValueError("only the range fit, without weights, is built")
+    return found, names
+
+
+def same_size(w: Column, h: Column, other_w: Column, other_h: Column) -> Column:
+    """Only images of the same sides can be compared."""
+    return (w == other_w) & (h == other_h)
+
+
 def rgba(pixels: DataFrame) -> DataFrame:
     """Pixels of 1 to 4 channels in an array as r, g, b, a."""
     at = [F.coalesce(F.get("v", F.lit(k)), number(0)) for k in range(4)]
     return layout.normalised(pixels, F.col("channels"), at)
 
 
-def compress(pixels: DataFrame) -> DataFrame:
-    """(path, width, height, block, c): BC1 blocks of images (path, width, height, channels, x, y, v)."""
+def compress(pixels: DataFrame, codec: str = "bc1", metric: str = "uniform") -> DataFrame:
+    """(path, width, height, block, c): the blocks of images (path, width, height, channels, x, y, v)."""
     keys = ["path", "width", "height"]
     texels = rgba(pixels).select(*keys, "x", "y", F.array(*"rgba").alias("v"))
     tiles = layout.tiled(texels, keys, "v").select(*keys, (F.col("block_y") * F.floor(F.col("width") / 4) + F.col("block_x")).alias("block"), F.flatten("texels").alias("e"))
-    return encode.range_fit(tiles, [*keys, "block"])
+    return encode.compressed(tiles, [*keys, "block"], codec, metric)
 
 
-def decompress(blocks: DataFrame) -> DataFrame:
-    """(path, x, y, v): RGBA pixels of BC1 blocks (path, width, height, block, c)."""
+def decompress(blocks: DataFrame, codec: str = "bc1") -> DataFrame:
+    """(path, x, y, v): RGBA pixels of blocks (path, width, height, block, c)."""
     place = blocks.select(F.struct("path", "width").alias("vec_id"), "block", "c")
-    found = decode.bc1(place, True)
+    found = DECODERS[codec](place)
     across = F.floor(F.col("vec_id.width") / 4)
     x, y = F.pmod("block", across) * 4 + F.pmod("texel", F.lit(4)), F.floor(F.col("block") / across) * 4 + F.floor(F.col("texel") / 4)
     return found.select("vec_id.path", x.alias("x"), y.alias("y"), F.array(*"rgba").alias("v"))
@@ -48,18 +83,19 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("name").agg(F.count("*").alias("pixels"), F.sqrt(F.sum(each) / F.count("*")).alias("rms"))
 
 
-def main(mode: str, source: str, target: str) -> None:
-    spark = SparkSession.builder.getOrCreate()
-    name = F.concat(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1), F.lit(".blk" if mode == "compress" else ".png")).alias("name")
-    if mode == "compress":
-        write_files(as_block_files(compress(read_png(spark, source)).select(name, "width", "height", "block", "c")), target)
-    elif mode == "decompress":
-        write_files(as_png_files(decompress(read_blocks(spark, source, 8)).select(name, "x", "y", "v")), target)
-    elif mode == "compare":
-        compare(read_png(spark, source), read_png(spark, target)).show(1000, False)
-    else:
+def main(*words: str) -> None:
+    found, names = parsed(list(words))
+    if "help" in found or len(names) != 2:
         sys.exit(__doc__)
+    spark, (source, target), codec = SparkSession.builder.getOrCreate(), names, found["codec"]
+    name = F.concat(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1), F.lit(".blk" if found["mode"] == "compress" else ".png")).alias("name")
+    if found["mode"] == "compress":
+        write_files(as_block_files(compress(read_png(spark, source), codec, found["metric"]).select(name, "width", "height", "block", "c")), target)
+    elif found["mode"] == "decompress":
+        write_files(as_png_files(decompress(read_blocks(spark, source, encode.CODECS[codec]), codec).select(name, "x", "y", "v")), target)
+    else:
+        compare(read_png(spark, source), read_png(spark, target)).show(1000, False)
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:4])
+    main(*sys.argv[1:])

@@ -110,49 +110,56 @@ def etc1(blocks: DataFrame) -> DataFrame:
     return by_texel(blocks).select("vec_id", "block", "texel", *out, number(255).alias("a"))
 
 
+#: Lowest bits of the five-bit fields of a 16-byte block that modes of FXT1 read.
+FIVES = (*range(64, 121, 5), *range(96, 122, 5), *range(94, 120, 5))
+
+
 def fxt1(blocks: DataFrame) -> DataFrame:
     """Sixteen bytes for 8 by 4 texels, two halves of 16; the mode in the top bits says which of four ways.
 
-    kind: hi, chroma, mixed or alpha; modes without a meaning are read as hi. Each block's colours are worked out once,
-    for its lower and its upper half, before its texels pick from them.
+    kind: hi, chroma, mixed or alpha; modes without a meaning are read as hi. The fields of a block are read once. Each
+    half is a row, whose palette is worked out before its texels pick from it.
     """
     top = span(125, 3)
     kind = F.when(bits(top, 2, 1) == 1, "mixed").when(top == 2, "chroma").when(top == 3, "alpha").otherwise("hi")
-    five = lambda low: replicate(span(low, 5), 5)
-    colour = lambda low: [five(low + 10), five(low + 5), five(low)]
-    zero, full, clear = number(0), number(255), span(124, 1) == 1
-
-    def levels(x: Column, y: Column, parts: int, half: int) -> list[Column]:
+    at = sorted(set(FIVES))
+    whole = lambda p: F.element_at("c", (F.floor(p / 8) + 1).cast("int")) + 256 * F.coalesce(F.get("c", (F.floor(p / 8) + 1).cast("int")), number(0))
+    fields = F.transform(F.array(*[F.lit(p) for p in at]), lambda p: F.pmod(F.floor(whole(p) / F.pow(F.lit(2.0), F.pmod(p, F.lit(8)))), F.lit(32)))
+    flags = {"clear": span(124, 1), "low_0": span(125, 1), "low_1": span(126, 1), "select_0": span(1, 1), "select_1": span(33, 1)}
+    each = blocks.select("vec_id", "block", "c", kind.alias("kind"), fields.alias("f"), *[x.alias(n) for n, x in flags.items()])
+    each = each.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    own = lambda low: F.element_at("f", at.index(low) + 1)
+    raw = lambda low: [own(low + 10), own(low + 5), own(low)]
+    second, zero, full, clear = F.col("half") == 1, number(0), number(255), F.col("clear") == 1
+    either = lambda a, b: F.when(second, b).otherwise(a)
+    # by mode: red, green, blue (and alpha) of each colour as five bits, green of a mixed half as six
+    mixed = [[either(x, y) for x, y in zip(raw(64 + k), raw(94 + k))] for k in (0, 15)]
+    low, select = either(F.col("low_0"), F.col("low_1")), either(F.col("select_0"), F.col("select_1"))
+    greens = [F.when(clear, replicate(mixed[0][1], 5)).otherwise(replicate(mixed[0][1] * 2 + F.pmod(select + low, F.lit(2)), 6)), replicate(mixed[1][1] * 2 + low, 6)]
+    three = [[*raw(64 + 15 * k), own(109 + 5 * k)] for k in range(3)]
+    outer = [either(x, y) for x, y in zip(three[0], three[2])]
+    colours = {"hi": [raw(96), raw(111)], "chroma": [raw(64 + 15 * k) for k in range(4)], "mixed": mixed, "alpha": [*three, outer]}
+    eight = lambda some, n: F.array(*[replicate(c[n], 5) for c in some])
+    picked = [F.when(F.col("kind") == "hi", eight(colours["hi"], n)).when(F.col("kind") == "chroma", eight(colours["chroma"], n)).when(F.col("kind") == "mixed", F.array(*greens) if n == 1 else eight(mixed, n)).otherwise(eight(colours["alpha"], n)) for n in range(3)]
+    alphas = F.when(F.col("kind") == "alpha", eight(colours["alpha"], 3)).otherwise(F.array(full, full, full, full))
+    each = each.select("vec_id", "block", "kind", "c", "half", "clear", *[x.alias(f"p_{n}") for n, x in zip("rgba", [*picked, alphas])])
+
+    def levels(n: str, first: int, last: int, parts: int, half: int) -> list[Column]:
+        x, y = (F.element_at(f"p_{n}", k + 1) for k in (first, last))
         return [x, *[F.floor(((parts - k) * x + k * y + half) / parts) for k in range(1, parts)], y]
 
-    # hi: two colours, five levels between them, and transparent
-    hi = [[*levels(x, y, 6, 3), zero] for x, y in zip(colour(96), colour(111))]
-    hi.append([*[full] * 7, zero])
-    # chroma: four colours as they are
-    four = [colour(64 + 15 * k) for k in range(4)]
-    chroma = [*[[c[k] for c in four] for k in range(3)], [full] * 4]
-    # alpha: three colours with alpha, or levels between two of them for each half
-    three = [[*colour(64 + 15 * k), five(109 + 5 * k)] for k in range(3)]
-
-    def alpha(outer: int) -> list[Column]:
-        return [F.when(clear, F.array(*levels(three[outer][c], three[1][c], 3, 1))).otherwise(F.array(*[t[c] for t in three], zero)) for c in range(4)]
-
-    def mixed(first: int, lsb: int, select: int) -> list[Column]:
-        """Two colours for a half; green's lowest bit comes from elsewhere."""
-        x, y, low = colour(first), colour(first + 15), span(lsb, 1)
-        x[1] = F.when(clear, x[1]).otherwise(replicate(span(first + 5, 5) * 2 + F.pmod(span(select, 1) + low, F.lit(2)), 6))
-        y[1] = replicate(span(first + 20, 5) * 2 + low, 6)
-        out = [F.when(clear, F.array(*levels(p, q, 2, 0), zero)).otherwise(F.array(*levels(p, q, 3, 1))) for p, q in zip(x, y)]
-        return [*out, F.when(clear, F.array(full, full, full, zero)).otherwise(F.array(*[full] * 4))]
-
-    def palette(own_mixed: list[Column], own_alpha: list[Column]) -> list[Column]:
-        return [F.when(F.col("kind") == "hi", F.array(*hi[c])).when(F.col("kind") == "chroma", F.array(*chroma[c])).when(F.col("kind") == "mixed", own_mixed[c]).otherwise(own_alpha[c]) for c in range(4)]
-
-    each = blocks.withColumn("kind", kind).select("vec_id", "block", "kind", "c", *[x.alias(f"low_{n}") for n, x in zip("rgba", palette(mixed(64, 125, 1), alpha(0)))], *[x.alias(f"high_{n}") for n, x in zip("rgba", palette(mixed(94, 126, 33), alpha(2)))])
-    each = by_texel(each, 32)
+    def palette(n: str) -> Column:
+        hi = F.array(*([full] * 7 if n == "a" else levels(n, 0, 1, 6, 3)), zero)
+        half = F.array(full, full, full, zero) if n == "a" else F.array(*levels(n, 0, 1, 2, 0), zero)
+        mixed = F.when(clear, half).otherwise(F.array(*[full] * 4) if n == "a" else F.array(*levels(n, 0, 1, 3, 1)))
+        alpha = F.when(clear, F.array(*levels(n, 3, 1, 3, 1))).otherwise(F.array(*[F.element_at(f"p_{n}", k) for k in (1, 2, 3)], zero))
+        return F.when(F.col("kind") == "hi", hi).when(F.col("kind") == "chroma", F.col(f"p_{n}")).when(F.col("kind") == "mixed", mixed).otherwise(alpha)
+
+    each = each.select("vec_id", "block", "kind", "c", "half", *[palette(n).alias(n) for n in "rgba"])
+    each = by_texel(each, 16).withColumn("texel", F.col("texel") + 16 * F.col("half"))
     t = F.col("texel")
     code3 = F.pmod(F.floor(pick(F.floor(t / 8), [little(3 * k, 3) for k in range(4)]) / F.pow(F.lit(8.0), F.pmod(t, F.lit(8)))), F.lit(8))
-    each = each.select("vec_id", "block", "kind", "texel", (F.when(F.col("kind") == "hi", code3).otherwise(two_bits(0)) + 1).cast("int").alias("place"), *[F.when(t >= 16, F.col(f"high_{n}")).otherwise(F.col(f"low_{n}")).alias(n) for n in "rgba"])
+    each = each.select("vec_id", "block", "kind", "texel", (F.when(F.col("kind") == "hi", code3).otherwise(two_bits(0)) + 1).cast("int").alias("place"), *"rgba")
     return each.select("vec_id", "block", "kind", "texel", *[F.element_at(n, F.col("place")).alias(n) for n in "rgba"])
 
 
@@ -170,3 +177,56 @@ def palette_entry(form: str) -> list[Column]:
     if form == "rgba4":
         return [bits(w, k, 4) * 17 for k in (12, 8, 4, 0)]
     return [replicate(bits(w, 11, 5), 5), replicate(bits(w, 6, 5), 5), replicate(bits(w, 1, 5), 5), bits(w, 0, 1) * 255]
+
+
+def paletted(images: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(keys, level, x, y, r, g, b, a) of images (keys, form, wide, width, height, bytes).
+
+    The bytes are a palette of entries of the form, 256 of them if wide and 16 else, then so many mip levels of codes:
+    bytes if wide, halves of bytes else, the high half first; a level ends with a whole byte. Sides halve from level to
+    level, to 1 at least. Rows with too few bytes are left out.
+    """
+    size = None
+    for form, n in PALETTE_FORMATS.items():
+        size = F.when(F.col("form") == form, n) if size is None else size.when(F.col("form") == form, n)
+    own = images.withColumn("size", size).withColumn("at", F.when(F.col("wide"), 256).otherwise(16) * F.col("size"))
+    parts = []
+
+    def texel_of(k: int):
+        w, at = F.col(f"w{k}"), F.col(f"at{k}")
+        wide, size = F.col("wide"), F.col("size")
+
+        def of(i: Column) -> Column:
+            raw = F.element_at("bytes", (at + F.when(wide, i).otherwise(F.floor(i / 2)) + 1).cast("int"))
+            code = F.when(wide, raw).when(F.pmod(i, F.lit(2)) == 1, F.pmod(raw, F.lit(16))).otherwise(F.floor(raw / 16))
+            return F.struct(F.lit(k).cast("long").alias("level"), F.pmod(i, w).alias("x"), F.floor(i / w).alias("y"), F.slice("bytes", (code * size + 1).cast("int"), size).alias("c"))
+
+        return of
+
+    for k in range(levels):
+        w, h = (F.greatest(F.floor(F.col(c) / (1 << k)), number(1)) for c in ("width", "height"))
+        own = own.withColumns({f"w{k}": w, f"n{k}": w * h, f"at{k}": F.col("at")})
+        own = own.withColumn("at", F.col("at") + F.when(F.col("wide"), F.col(f"n{k}")).otherwise(F.ceil(F.col(f"n{k}") / 2)))
+        parts.append(F.transform(F.sequence(number(0), F.col(f"n{k}") - 1), texel_of(k)))
+    # no filter on the bytes: below the rows' source it would work them out once more
+    each = own.select(*keys, "form", F.explode(F.when(F.size("bytes") >= F.col("at"), F.concat(*parts))).alias("p")).select(*keys, "form", "p.*")
+    entries = {form: palette_entry(form) for form in PALETTE_FORMATS}
+    out = []
+    for k, n in enumerate("rgba"):
+        value = None
+        for form, entry in entries.items():
+            value = F.when(F.col("form") == form, entry[k]) if value is None else value.when(F.col("form") == form, entry[k])
+        out.append(value.alias(n))
+    return each.select(*keys, "level", "x", "y", *out)
+
+
+def volume(blocks: DataFrame, w: int, h: int, d: int) -> DataFrame:
+    """(vec_id, x, y, z, r, g, b, a) of volumes of BC1 layers: blocks (vec_id, block, c), numbered by their offset over 8."""
+    from blockloom.operators.layout import volume_block
+    from blockloom.sources.generators import grid
+
+    each = grid(blocks.sparkSession, x=range(w), y=range(h), z=range(d))
+    layer = F.when(F.col("z") < 4 * (d // 4), F.pmod("z", F.lit(4))).otherwise(0)
+    first = volume_block(number(w), number(h), number(d), F.col("x"), F.col("y"), F.col("z"), 8)
+    place = each.select("x", "y", "z", (F.floor(first / 8) + layer).alias("block"), (4 * F.pmod("y", F.lit(4)) + F.pmod("x", F.lit(4))).alias("texel"))
+    return bc1(blocks, False).join(F.broadcast(place), ["block", "texel"]).select("vec_id", "x", "y", "z", *"rgba")

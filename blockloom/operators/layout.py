@@ -21,6 +21,11 @@ def sizes(w: Column, h: Column) -> dict[str, Column]:
     }
 
 
+def volume_size(w: Column, h: Column, d: Column, size: int) -> Column:
+    """Bytes of a volume of blocks of so many bytes for each layer."""
+    return up(w, 4) * up(h, 4) * d * size
+
+
 def volume_block(w: Column, h: Column, d: Column, x: Column, y: Column, z: Column, size: int) -> Column:
     """Offset of the block of a texel in a volume: slices stacked by four, what remains one by one."""
     across, down, stacked = up(w, 4), up(h, 4), 4 * F.floor(d / 4)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.functions.channels import bits
+
 CHANNELS = (("r", 5), ("g", 6), ("b", 5))
 
 
@@ -14,8 +16,8 @@ def candidates(colours: DataFrame, table: DataFrame, keys: list[str]) -> DataFra
     The table is 2048 rows by its rule, so each channel's lookup is a broadcast join.
     """
     out = colours.select(*keys, "r", "g", "b")
-    for c, bits in CHANNELS:
-        part = table.where(F.col("bits") == bits).select("steps", "side", F.col("value").alias(c), F.col("first").alias(f"{c}_first"), F.col("last").alias(f"{c}_last"), F.col("err").alias(f"{c}_err"))
+    for c, width in CHANNELS:
+        part = table.where(F.col("bits") == width).select("steps", "side", F.col("value").alias(c), F.col("first").alias(f"{c}_first"), F.col("last").alias(f"{c}_last"), F.col("err").alias(f"{c}_err"))
         out = out.join(F.broadcast(part), ["steps", "side", c] if c != "r" else [c])
     error = sum(F.col(f"{c}_err") * F.col(f"{c}_err") for c, _ in CHANNELS)
     return out.select(*keys, "steps", "side", *[f"{c}_{end}" for c, _ in CHANNELS for end in ("first", "last")], error.alias("error"))
@@ -30,7 +32,18 @@ def best(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def units(found: DataFrame) -> DataFrame:
     """Endpoints as numbers from 0 to 1."""
-    return found.select("*", *[(F.col(f"{c}_{end}") / float((1 << bits) - 1)).alias(f"{c}_{end}_unit") for c, bits in CHANNELS for end in ("first", "last")])
+    return found.select("*", *[(F.col(f"{c}_{end}") / float((1 << width) - 1)).alias(f"{c}_{end}_unit") for c, width in CHANNELS for end in ("first", "last")])
+
+
+def block_bytes(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, c): eight bytes of BC1 for the best candidates. Four steps need the greater colour first, three the other
+    way; where the ends stand otherwise they change places, and so does the code."""
+    word = lambda e: F.shiftleft(f"r_{e}", 11) + F.shiftleft(f"g_{e}", 5) + F.col(f"b_{e}")
+    own = found.select(*keys, "steps", "side", word("first").alias("p"), word("last").alias("q"))
+    own = own.withColumn("flip", F.when(F.col("steps") == 4, F.col("p") < F.col("q")).otherwise(F.col("p") > F.col("q")))
+    code = F.when(~F.col("flip"), F.col("side") * 2).when(F.col("side") == 0, 1).when(F.col("steps") == 4, 3).otherwise(2)
+    own = own.select(*keys, F.when(F.col("flip"), F.col("q")).otherwise(F.col("p")).alias("c0"), F.when(F.col("flip"), F.col("p")).otherwise(F.col("q")).alias("c1"), (code * 85).cast("long").alias("codes"))
+    return own.select(*keys, F.array(*[bits(F.col(c), low, 8) for c in ("c0", "c1") for low in (0, 8)], *["codes"] * 4).alias("c"))
 
 
 def decoded(found: DataFrame) -> DataFrame:
@@ -38,8 +51,8 @@ def decoded(found: DataFrame) -> DataFrame:
     from blockloom.functions.channels import replicate
 
     out = found
-    for c, bits in CHANNELS:
-        s, e = replicate(F.col(f"{c}_first"), bits), replicate(F.col(f"{c}_last"), bits)
+    for c, width in CHANNELS:
+        s, e = replicate(F.col(f"{c}_first"), width), replicate(F.col(f"{c}_last"), width)
         beside = F.when(F.col("steps") == 4, F.floor((2 * s + e) / 3)).otherwise(F.floor((s + e) / 2))
         out = out.withColumn(f"{c}_back", F.when(F.col("side") == 0, s).otherwise(beside))
     return out

@@ -107,29 +107,58 @@ def fxt1_sql() -> str:
     return sql_decode(16, rgba, 32, f"{kind} AS kind,")
 
 
+#: Mip levels of the paletted images, which are 8 wide.
+MIPS = 3
+PALETTED = [(form, w) for form in decode.PALETTE_FORMATS for w in (False, True)]
+
+
 def paletted(spark, d):
-    """Each embedding's first 16 bytes as a palette of four entries of each format, met by the codes in its last 16 bytes."""
-    codes = fixtures.codes(spark, d, 64)
-    parts = []
-    for form, size in decode.PALETTE_FORMATS.items():
-        entries = codes.select("vec_id", F.posexplode(F.array(*[F.slice("c", k * size + 1, size) for k in range(4)])).alias("code", "c"))
-        entries = entries.select("vec_id", "code", *[x.alias(n) for x, n in zip(decode.palette_entry(form), "rgba")])
-        wanted = codes.select("vec_id", F.posexplode(F.slice("c", 49, 16)).alias("texel", "byte")).withColumn("code", F.pmod("byte", F.lit(4)).cast("int"))
-        parts.append(wanted.join(entries, ["vec_id", "code"]).select("vec_id", F.lit(form).alias("form"), F.col("texel").cast("long").alias("texel"), "r", "g", "b", "a"))
-    return lookups.union(parts)
+    """Each page as a paletted image of one of the ten formats, as high as its bytes fill all levels: what each level sums up to."""
+    own = lambda values, t: F.element_at(F.array(*[F.lit(v).cast(t) for v in values]), (F.pmod("page_id", F.lit(10)) + 1).cast("int"))
+    images = spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", own([f for f, _ in PALETTED], "string").alias("form"), own([w for _, w in PALETTED], "boolean").alias("wide"), F.octet_length("html").alias("octets"), fixtures.text_bytes(F.col("html")).alias("bytes"))
+    rest = F.col("octets") - own([decode.PALETTE_FORMATS[f] * (256 if w else 16) for f, w in PALETTED], "long")
+    images = images.withColumn("width", F.lit(8).cast("long")).withColumn("height", 4 * F.floor(rest / F.when(F.col("wide"), 42).otherwise(21))).where("height > 0")
+    place = F.col("y") * 8 + F.col("x") + 1
+    return decode.paletted(images, ["page_id"], MIPS).groupBy("page_id", "level").agg(F.count("*").alias("texels"), *[F.sum(F.col(c) * place).alias(f"sum_{c}") for c in "rgba"])
 
 
 def paletted_sql() -> str:
+    forms = ", ".join(f"({k}, '{f}', {w}, {decode.PALETTE_FORMATS[f]})" for k, (f, w) in enumerate(PALETTED))
+    w = "(c[1] + (c[2] << 8))"
+    entry = {
+        "rgb8": ["c[1]", "c[2]", "c[3]", "255"], "rgba8": ["c[1]", "c[2]", "c[3]", "c[4]"], "r5_g6_b5": [*rgb565(w), "255"], "rgba4": [f"{part(w, k, 4)} * 17" for k in (12, 8, 4, 0)],
+        "rgb5_a1": [*[sql_replicate(part(w, k, 5), 5) for k in (11, 6, 1)], f"({w} & 1) * 255"],
+    }
+    value = lambda k: "CASE form " + " ".join(f"WHEN '{f}' THEN {e[k]}" for f, e in entry.items()) + " END"
+    levels = " UNION ALL ".join(f"SELECT page_id, form, wide, size, e, {k} AS level, {8 >> k} AS w, h >> {k} AS h, start + " + " + ".join(["0", *[f"CASE WHEN wide THEN {8 >> j} * (h >> {j}) ELSE {8 >> j} * (h >> {j}) // 2 END" for j in range(k)]]) + " AS start FROM img WHERE h > 0" for k in range(MIPS))
+    return f"""WITH frm(k, form, wide, size) AS (VALUES {forms}), raw AS (SELECT page_id, {fixtures.sql_bytes('html')} AS e FROM pages WHERE html IS NOT NULL),
+    img AS (SELECT *, size * CASE WHEN wide THEN 256 ELSE 16 END AS start, 4 * CAST(floor((len(e) - size * CASE WHEN wide THEN 256 ELSE 16 END) / CASE WHEN wide THEN 42 ELSE 21 END) AS BIGINT) AS h FROM raw JOIN frm ON frm.k = page_id % 10),
+    lev AS ({levels}), cod AS (SELECT page_id, form, level, w, size, e, list_transform(range(w * h), lambda i: CASE WHEN wide THEN e[start + i + 1] WHEN i % 2 = 1 THEN e[start + i // 2 + 1] & 15 ELSE e[start + i // 2 + 1] >> 4 END) AS codes FROM lev),
+    cut AS (SELECT page_id, form, level, w, unnest(range(len(codes))) AS i, unnest(list_transform(codes, lambda q: list_slice(e, q * size + 1, q * size + size))) AS c FROM cod), ent AS (SELECT page_id, form, level, i // w * 8 + i % w + 1 AS place, c FROM cut)
+    SELECT page_id, level, count(*) AS texels, {', '.join(f'CAST(sum({value(k)} * place) AS BIGINT) AS sum_{n}' for k, n in enumerate('rgba'))} FROM ent GROUP BY page_id, level"""
+
+
+#: Sides of the volumes that eight blocks of eight bytes make up: layers by four, and what remains.
+VOLUMES = ((8, 4, 4), (4, 4, 7), (4, 8, 3), (5, 3, 3))
+
+
+def volumes(spark, d):
+    each = [decode.volume(fixtures.codes(spark, d, 8), *v).withColumn("sides", F.lit("x".join(map(str, v)))) for v in VOLUMES]
+    return lookups.union(each)
+
+
+def volumes_sql() -> str:
     parts = []
-    for form, size in decode.PALETTE_FORMATS.items():
-        p = [f"e[{size} * (e[texel + 49] % 4) + {k + 1}]" for k in range(size)]
-        w = f"({p[0]} + ({p[1]} << 8))"
-        r = {
-            "rgb8": [*p[:3], "255"], "rgba8": p, "r5_g6_b5": [*rgb565(w), "255"], "rgba4": [f"{part(w, k, 4)} * 17" for k in (12, 8, 4, 0)],
-            "rgb5_a1": [*[sql_replicate(part(w, k, 5), 5) for k in (11, 6, 1)], f"({w} & 1) * 255"],
-        }[form]
-        parts.append(f"SELECT vec_id, '{form}' AS form, texel, " + ", ".join(f"CAST({x} AS BIGINT) AS {c}" for x, c in zip(r, "rgba")) + " FROM raw, range(16) s(texel)")
-    return f"WITH {fixtures.sql_codes(64)} " + " UNION ALL ".join(parts)
+    for w, h, d in VOLUMES:
+        across, down, stacked = (w + 3) // 4, (h + 3) // 4, 4 * (d // 4)
+        block = f"CASE WHEN z >= {stacked} THEN {across * down * stacked} + x // 4 + {across} * (y // 4 + {down} * (z - {stacked})) ELSE 4 * (x // 4 + {across} * (y // 4 + {down} * (z // 4))) + z % 4 END"
+        parts.append(f"SELECT vec_id, '{w}x{h}x{d}' AS sides, x, y, z, r, g, b, a FROM dec JOIN (SELECT x, y, z, {block} AS block, 4 * (y % 4) + x % 4 AS texel FROM range({w}) s(x), range({h}) t(y), range({d}) u(z)) USING (block, texel)")
+    return f"WITH dec AS ({sql_decode(8, [*sql_colours(0, ''), '255'])}) " + " UNION ALL ".join(parts)
+
+
+def volume_sizes(spark, d):
+    each = grid(spark, w=range(1, 20), h=range(1, 20), d=range(1, 10))
+    return each.select("w", "h", "d", *[layout.volume_size(*[F.col(c) for c in "whd"], n).alias(f"vtc_{n}") for n in (8, 16)])
 
 
 def quantised_texels(spark, d):
@@ -251,7 +280,7 @@ QUERIES = {
     "prj1_normalised": normalised, "prj2_tiles": tiles, "prj3_there_and_back": there_and_back, "prj4_prj8_flt1_sizes": sizes, "prj9_dec6_volume_blocks": volume_blocks, "flt7_updates": updates,
     "dec1_bc1_rgb": lambda spark, d: decode.bc1(fixtures.codes(spark, d, 8), False), "dec2_bc1_rgba": lambda spark, d: decode.bc1(fixtures.codes(spark, d, 8), True), "dec3_bc2": lambda spark, d: decode.bc2(fixtures.codes(spark, d, 16)),
     "dec4_bc3": lambda spark, d: decode.bc3(fixtures.codes(spark, d, 16)), "dec5_bc2_ordered": lambda spark, d: decode.bc2(fixtures.codes(spark, d, 16), True), "dec7_etc1": lambda spark, d: decode.etc1(fixtures.codes(spark, d, 8)),
-    "dec8_dec11_fxt1": lambda spark, d: decode.fxt1(fixtures.codes(spark, d, 16)), "dec12_paletted": paletted,
+    "dec8_dec11_fxt1": lambda spark, d: decode.fxt1(fixtures.codes(spark, d, 16)), "dec12_paletted": paletted, "dec6_volumes": volumes, "prj8_volume_sizes": volume_sizes,
 }
 ERR = f"WITH {QTEX}, er AS (SELECT label, vec_id, CAST(sum({SQ}) AS DOUBLE) / 16 AS error FROM qt GROUP BY label, vec_id)"
 SQL = {
@@ -275,4 +304,6 @@ SQL = {
     "dec7_etc1": etc1_sql(),
     "dec8_dec11_fxt1": fxt1_sql(),
     "dec12_paletted": paletted_sql(),
+    "dec6_volumes": volumes_sql(),
+    "prj8_volume_sizes": "SELECT w, h, d, ((w + 3) // 4) * ((h + 3) // 4) * d * 8 AS vtc_8, ((w + 3) // 4) * ((h + 3) // 4) * d * 16 AS vtc_16 FROM range(1, 20) s(w), range(1, 20) t(h), range(1, 10) u(d)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 from blockloom.operators import decode
 from blockloom.plans import blocks
 from blockloom.sources import fixtures
-from blockloom.sources.block_files import as_block_files, as_png_files, read_blocks, read_png, write_files
+from blockloom.sources.block_files import as_block_files, as_png_files, png_header, read_blocks, read_png, write_files
 from blockloom.streaming.decode import block_stream, decode_available
 
 
 def scratch(spark) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/blockloom-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share; in local mode a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/blockloom-{uuid.uuid4().hex}"
 
 
 def file_round_trip(spark, d):
@@ -38,6 +41,14 @@ def png_round_trip(spark, d):
     return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image"), "x", "y", F.element_at("v", 1).alias("v"))
 
 
+def headers(spark, d):
+    """What the first bytes of each embedding's PNG say; every third file lacks the signature."""
+    pixels = blocks.pixels(spark, d).select("image", "x", "y", F.array("v").alias("v"))
+    files = as_png_files(pixels, "image")
+    content = F.when(F.pmod("image", F.lit(3)) == 0, F.concat(F.lit(b"GIF89a"), "content")).otherwise(F.col("content"))
+    return files.select("image", content.alias("content")).select("image", *[x.alias(n) for n, x in png_header(F.col("content")).items()])
+
+
 def streamed(spark, d):
     """The blocks of the embeddings as a stream, decoded."""
     like = fixtures.embeddings(spark, d)
@@ -45,5 +56,5 @@ def streamed(spark, d):
     return decode_available(stream, lambda df: decode.bc1(fixtures.coded(df, 8), False), scratch(spark))
 
 
-QUERIES = {"src2_snk1_block_files": file_round_trip, "src1_snk2_png_files": png_round_trip, "stream_dec1": streamed}
-SQL = {"src2_snk1_block_files": blocks.SQL["dec1_bc1_rgb"], "src1_snk2_png_files": blocks.SQL["prj3_there_and_back"], "stream_dec1": blocks.SQL["dec1_bc1_rgb"]}
+QUERIES = {"src2_snk1_block_files": file_round_trip, "src1_snk2_png_files": png_round_trip, "stream_dec1": streamed, "flt2_flt3_png_headers": headers}
+SQL = {"src2_snk1_block_files": blocks.SQL["dec1_bc1_rgb"], "src1_snk2_png_files": blocks.SQL["prj3_there_and_back"], "stream_dec1": blocks.SQL["dec1_bc1_rgb"], "flt2_flt3_png_headers": "SELECT vec_id AS image, vec_id % 3 <> 0 AS is_png, " + ", ".join(f"CASE WHEN vec_id % 3 <> 0 THEN {v} END AS {n}" for n, v in (("width", 8), ("height", 8), ("depth", 8), ("colour", 0))) + " FROM embeddings"}

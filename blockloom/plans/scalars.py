@@ -140,9 +140,38 @@ SELECT divisor, shift, m AS multiplier, bool_and(floor(i * m / pow(2, shift)) +
 """
 
 
+def division_search(spark, d):
+    """All (N, A, S, O) with floor((floor(x * N / 2^16) + A * x) / 2^S) + O * (x < 0) = x / divisor, towards zero.
+
+    x runs over i * m * 32 for i of -127 to 127 and m of 0 to the divisor; the first x that fails ends the trial.
+    """
+    each = grid(spark, divisor=range(5, 8, 2), shift=range(4), add=range(2), one=range(2), factor=range(1 << 16))
+    tried = {k: sorted({i * m * 32 for i in range(-127, 128) for m in range(k + 1)}, key=lambda x: (abs(x) % 7 != 6, -abs(x), x)) for k in (5, 7)}
+
+    def fits(x):
+        made = F.floor((F.floor(x * F.col("factor") / 65536) + F.col("add") * x) / F.pow(F.lit(2.0), F.col("shift"))) + F.when(x < 0, F.col("one")).otherwise(0)
+        return made == F.when(x < 0, -F.floor(-x / F.col("divisor"))).otherwise(F.floor(x / F.col("divisor")))
+
+    xs = [F.array(*[F.lit(x).cast("long") for x in some]) for some in tried.values()]
+    # near the largest x only one factor in some thousands passes, so that few meet the whole list
+    first = F.lit(127 * 32).cast("long")
+    some = each.where(fits(first * F.col("divisor")) & fits(first))
+    return some.where(F.forall(F.when(F.col("divisor") == 5, xs[0]).otherwise(xs[1]), fits)).select("divisor", F.col("factor").alias("n"), F.col("add").alias("a"), F.col("shift").alias("s"), F.col("one").alias("o"))
+
+
+DIVISION_SEARCH_SQL = """
+WITH c AS MATERIALIZED (SELECT divisor, s, a, o, n FROM range(5, 8, 2) d(divisor), range(4) q(s), range(2) t(a), range(2) u(o), range(65536) v(n)
+  WHERE ((((127 * 32 * divisor * n) >> 16) + a * 127 * 32 * divisor) >> s) = 127 * 32 AND (((127 * 32 * n) >> 16) + a * 127 * 32) >> s = (127 * 32) // divisor),
+x AS (SELECT DISTINCT divisor, i * m * 32 AS x FROM range(5, 8, 2) d(divisor), range(-127, 128) s(i), range(8) t(m) WHERE m <= divisor)
+SELECT c.divisor, n, a, s, o FROM c JOIN x ON x.divisor = c.divisor GROUP BY c.divisor, n, a, s, o
+HAVING bool_and(CAST(floor((floor(x * n / 65536.0::DOUBLE) + a * x) / pow(2, s)) AS BIGINT) + CASE WHEN x < 0 THEN o ELSE 0 END = CAST(trunc(x / c.divisor) AS BIGINT))
+"""
+
+
 def interpolants(spark, d):
-    each = grid(spark, s=range(0, 256, 15), e=range(0, 256, 15), k=range(5, 8, 2), f=range(1, 7)).where("f < k")
-    return each.select("s", "e", "k", "f", F.floor(((F.col("k") - F.col("f")) * F.col("s") + F.col("f") * F.col("e")) / F.col("k")).alias("value"))
+    each = grid(spark, s=range(256), e=range(256), k=range(5, 8, 2), f=range(1, 7)).where("f < k")
+    value = F.floor(((F.col("k") - F.col("f")) * F.col("s") + F.col("f") * F.col("e")) / F.col("k"))
+    return each.groupBy("k", "f", "s").agg(F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value * (F.col("e") + 1)).alias("moment"))
 
 
 def endpoints(spark, d):
@@ -234,7 +263,7 @@ HALF_ENCODE_SQL = "SELECT h, h AS unsigned, h >> 1 AS signed, (h >> 1) + CASE WH
 
 QUERIES = {
     "sc1_reconstructor": reconstructor, "sc2_reconstruct": reconstruct, "sc3_sc4_residual_coder": residual_coder, "agg13_residual_range": residual_range, "sc5_sc6_srgb": srgb, "sc7_sc8_quantisers": quantisers, "sc9_quantiser_table": quantiser_table,
-    "sc10_odd_floor": odd_floor, "sc11_division": division, "sc12_interpolants": interpolants, "sc13_sc15_endpoints": endpoints, "sc14_weights": weights, "src6_sc17_sc29_pyramid": pyramid, "sc19_sc23_vectors": vectors, "sc24_sc25_half_decode": half_decode, "sc26_sc27_half_encode": half_encode,
+    "sc10_odd_floor": odd_floor, "sc11_division": division, "sc11_division_search": division_search, "sc12_interpolants": interpolants, "sc13_sc15_endpoints": endpoints, "sc14_weights": weights, "src6_sc17_sc29_pyramid": pyramid, "sc19_sc23_vectors": vectors, "sc24_sc25_half_decode": half_decode, "sc26_sc27_half_encode": half_encode,
 }
 SQL = {
     "sc1_reconstructor": "SELECT width, CAST(list_sum(list_transform(range(1, CAST(floor(32 / width) AS BIGINT) + 1), lambda k: CAST(pow(2, 32 - k * width) AS BIGINT))) AS BIGINT) AS multiplier FROM range(1, 17) s(width)",
@@ -246,7 +275,8 @@ SQL = {
     "sc9_quantiser_table": QUANTISER_TABLE_SQL,
     "sc10_odd_floor": "SELECT k, CAST(floor(k / 4.0) AS BIGINT) & 1 = 1 AS odd FROM range(-64, 65) s(k)",
     "sc11_division": DIVISION_SQL,
-    "sc12_interpolants": "SELECT s, e, k, f, ((k - f) * s + f * e) // k AS value FROM range(0, 256, 15) a(s), range(0, 256, 15) b(e), range(5, 8, 2) c(k), range(1, 7) q(f) WHERE f < k",
+    "sc12_interpolants": "SELECT k, f, s, min(v) AS least, max(v) AS most, CAST(sum(v * (e + 1)) AS BIGINT) AS moment FROM (SELECT s, e, k, f, ((k - f) * s + f * e) // k AS v FROM range(256) a(s), range(256) b(e), range(5, 8, 2) c(k), range(1, 7) q(f) WHERE f < k) GROUP BY k, f, s",
+    "sc11_division_search": DIVISION_SEARCH_SQL,
     "sc13_sc15_endpoints": ENDPOINTS_SQL,
     "sc14_weights": WEIGHTS_SQL,
     "src6_sc17_sc29_pyramid": PYRAMID_SQL,

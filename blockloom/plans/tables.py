@@ -57,6 +57,27 @@ def palette_sql(name: str) -> str:
     SELECT CAST(c AS BIGINT) AS "case", CAST(idx AS BIGINT) AS idx, value, pair // 65536 AS first, pair % 65536 AS last, err FROM r WHERE o = 1"""
 
 
+def compact(spark, d):
+    """The compact tables: what the level beside the endpoint, or the palette's second index, takes."""
+    colour = lookups.colour_table(spark).where("side = 1").select(F.format_string("colour_%d_%d", "bits", "steps").alias("name"), "value", "first", "last")
+    parts = [lookups.palette_table(spark, bits, index_bits, cases[0]).where("idx = 1").select(F.lit(n).alias("name"), "value", "first", "last") for n, (bits, index_bits, cases) in PALETTES.items() if len(cases) == 1]
+    return lookups.union([colour, *parts])
+
+
+def compact_sql() -> str:
+    plain = [n for n, (_, _, cases) in PALETTES.items() if len(cases) == 1]
+    parts = [f"SELECT '{n}' AS name, value, first, last FROM ({palette_sql(n)}) WHERE idx = 1" for n in plain]
+    return f"WITH {COLOUR_CTE} SELECT 'colour_' || bits || '_' || steps AS name, value, first, last FROM lut WHERE side = 1 UNION ALL " + " UNION ALL ".join(parts)
+
+
+def deltas(spark, d):
+    """What moving one point from weight 0 up to the next weight adds to the least-squares sums (aa, bb, ab)."""
+    steps = spark.sql("SELECT * FROM VALUES ('three_colours', 2L), ('four_colours', 3L) AS t(kind, parts)")
+    w = F.lit(1.0) / F.col("parts")
+    n = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long")))
+    return steps.select("kind", n.alias("n"), (w * w).alias("aa"), ((1 - w) * (1 - w) - 1).alias("bb"), (w * (1 - w)).alias("ab"))
+
+
 def worst_errors(spark, d):
     """Greatest error of each colour table: the bound that single-colour blocks keep."""
     return lookups.colour_table(spark).groupBy("bits", "steps").agg(F.min("err").alias("least"), F.max("err").alias("most")).select("bits", "steps", "least", "most")
@@ -134,6 +155,7 @@ _BACK = {c: f"CASE WHEN k.side = 0 THEN {sql_replicate(f'{c}_first', w)} WHEN k.
 
 QUERIES = {
     "src7_colour_table": lambda spark, d: lookups.colour_table(spark), "sc28_packed_table": packed, "src7_worst_errors": worst_errors, "agg15_fit_sums": lambda spark, d: lookups.fit_sums(spark), "agg15_fit_sums_four": lambda spark, d: lookups.fit_sums_four(spark), "jn10_swapped_codes": swapped,
+    "src7_compact_tables": compact, "agg15_deltas": deltas,
     "jn1_agg14_fit_sides": fit_sides, "fit4_agg9_four_steps": fit_four, "fit5_fit7_agg10_best": fit_best, "fit2_by_alpha": fit_by_alpha, "agg4_round_trip": round_trip, **{f"src7_{n}": palette(n) for n in PALETTES},
 }
 SQL = {
@@ -145,6 +167,8 @@ SQL = {
     "agg15_fit_sums_four": """WITH a AS (SELECT i, j, k, 9 * i + 4 * (j - i) + (k - j) AS aa9, 9 * (16 - k) + (j - i) + 4 * (k - j) AS bb9, 2 * (j - i) + 2 * (k - j) AS ab9 FROM range(16) s(i), range(17) t(j), range(17) u(k) WHERE i <= j AND j <= k AND k > 0),
     b AS (SELECT *, (aa9 / 9.0::DOUBLE) * (bb9 / 9.0::DOUBLE) - (ab9 / 9.0::DOUBLE) * (ab9 / 9.0::DOUBLE) AS det FROM a) SELECT i, j, k, aa9, bb9, ab9, CASE WHEN abs(det) > 1e-9 THEN 1 / det END AS factor FROM b""",
     "jn10_swapped_codes": SWAPPED_SQL,
+    "src7_compact_tables": compact_sql(),
+    "agg15_deltas": "SELECT kind, n, w * w AS aa, (1 - w) * (1 - w) - 1 AS bb, w * (1 - w) AS ab FROM (SELECT kind, 1.0::DOUBLE / parts AS w FROM (VALUES ('three_colours', 2), ('four_colours', 3)) t(kind, parts)), range(1, 17) s(n)",
     "jn1_agg14_fit_sides": f"WITH {COLOUR_CTE}, {FIRST}, {_sides('one', 'p.vec_id')} SELECT vec_id, {LONGS}, {', '.join(ENDS)}, error FROM way",
     "fit4_agg9_four_steps": f"WITH {COLOUR_CTE}, {FIRST}, {_sides('one', 'p.vec_id')}, {_best('vec_id', 'steps = 4')} SELECT vec_id, {LONGS}, {', '.join(ENDS)}, error, CAST(side * 2 AS BIGINT) AS code FROM pick WHERE o = 1",
     "fit5_fit7_agg10_best": f"WITH {COLOUR_CTE}, {FIRST}, {_sides('one', 'p.vec_id')}, {_best('vec_id')} SELECT vec_id, {LONGS}, {', '.join(ENDS)}, error, CAST(side * 2 AS BIGINT) AS code, {', '.join(f'{c}_{e} / {(1 << w) - 1}.0::DOUBLE AS {c}_{e}_unit' for c, w in single_colour.CHANNELS for e in ('first', 'last'))} FROM pick WHERE o = 1",

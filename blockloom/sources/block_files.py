@@ -69,22 +69,42 @@ def unfiltered(data: bytes, height: int, stride: int, bpp: int) -> np.ndarray:
 
 
 def png_pixels(content: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, pixels of 1 to 4 channels); 8 bits a channel, not interlaced."""
+    """(width, height, pixels of 1 to 4 channels of 8 bits), not interlaced.
+
+    Palettes are looked up, grey of 1, 2 or 4 bits is spread to 8, and a transparent colour or palette entry becomes alpha.
+    """
     if content[:8] != SIGNATURE:
         raise ValueError("not a PNG file")
-    at, parts, head = 8, [], None
+    at, parts, found = 8, [], {}
     while at < len(content):
         (n,), kind = struct.unpack(">I", content[at : at + 4]), content[at + 4 : at + 8]
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", content[at + 8 : at + 21])
-        elif kind == b"IDAT":
-            parts.append(content[at + 8 : at + 8 + n])
+        found[kind] = content[at + 8 : at + 8 + n]
+        if kind == b"IDAT":
+            parts.append(found[kind])
         at += 12 + n
-    width, height, depth, colour, _, _, interlaced = head
-    if depth != 8 or interlaced or colour == 3:
-        raise ValueError("only 8 bits a channel, no palette, no interlace")
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
-    return width, height, unfiltered(zlib.decompress(b"".join(parts)), height, width * channels, channels).reshape(height, width, channels)
+    width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", found[b"IHDR"])
+    if depth == 16 or interlaced:
+        raise ValueError("only 8 bits a channel or less, no interlace")
+    channels, clear = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], found.get(b"tRNS")
+    stride = (width * channels * depth + 7) // 8
+    rows = unfiltered(zlib.decompress(b"".join(parts)), height, stride, max(1, channels * depth // 8))
+    if depth < 8:
+        bits_ = np.unpackbits(rows, axis=1).reshape(height, -1, depth)[:, :width]
+        rows = (bits_ @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
+    pixels = rows.reshape(height, width, channels)
+    if colour == 3:
+        palette = np.frombuffer(found[b"PLTE"], np.uint8).reshape(-1, 3)
+        if clear is not None:
+            alpha = np.full(len(palette), 255, np.uint8)
+            alpha[: len(clear)] = np.frombuffer(clear, np.uint8)
+            palette = np.column_stack([palette, alpha])
+        return width, height, palette[pixels[:, :, 0]]
+    alpha = None
+    if clear is not None:  # one colour, in 16 bits a channel
+        alpha = np.where((pixels == np.frombuffer(clear, ">u2")).all(2), 0, 255).astype(np.uint8)
+    if depth < 8:
+        pixels = (pixels.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    return width, height, pixels if alpha is None else np.dstack([pixels, alpha])
 
 
 def png_bytes(pixels: np.ndarray) -> bytes:
@@ -95,6 +115,14 @@ def png_bytes(pixels: np.ndarray) -> bytes:
     return SIGNATURE + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
 
 
+def png_header(content: Column) -> dict[str, Column]:
+    """Whether a file begins as PNG files do, and its sides, bits a channel and kind of colour; null if it does not."""
+    fine = F.substring(content, 1, 8) == F.lit(SIGNATURE)
+    big = lambda place: sum((F.shiftleft(byte_at(content, place + k), 24 - 8 * k) for k in range(1, 4)), F.shiftleft(byte_at(content, place), 24))
+    fields = {"width": big(17), "height": big(21), "depth": byte_at(content, 25), "colour": byte_at(content, 26)}
+    return {"is_png": fine, **{n: F.when(fine, x) for n, x in fields.items()}}
+
+
 def read_png(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, channels, x, y, v): the pixels of every PNG file below the path, channels in an array."""
 
@@ -141,15 +169,19 @@ class Files(DataSource):
 
 class FilesWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
+        from pyarrow import fs
+
+        # a scheme that no file system is known for raises here, instead of ending up in a local folder
+        system, base = fs.FileSystem.from_uri(self.path)
+        system.create_dir(base, recursive=True)
         for r in rows:
-            own = os.path.join(self.path, f".{r.name}.{os.getpid()}")
-            with open(own, "wb") as f:
+            own = f"{base}/.{r.name}.{os.getpid()}"
+            with system.open_output_stream(own) as f:
                 f.write(r.content)
-            os.replace(own, os.path.join(self.path, r.name))  # a task that runs again puts the same file in its place
+            system.move(own, f"{base}/{r.name}")  # a task that runs again puts the same file in its place
         return WriterCommitMessage()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,27 @@ def coded(vectors: DataFrame, size: int) -> DataFrame:
     return each.select("vec_id", "block", F.slice("e", (F.col("block") * size + 1).cast("int"), size).alias("c"))
 
 
+def text_bytes(text: Column) -> Column:
+    """The UTF-8 bytes of a text as an array of numbers."""
+    latin = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.when(F.length(latin) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.split(latin, ""), lambda c: F.ascii(c).cast("long")))
+
+
+def text_codes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(vec_id, block, c): each text's UTF-8 bytes in whole blocks of so many bytes; what remains is left out."""
+    each = rows.where(F.octet_length(text) >= size).select(F.col(key).alias("vec_id"), text_bytes(F.col(text)).alias("e"))
+    each = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("e") / size) - 1)))
+    return each.select("vec_id", "block", F.slice("e", (F.col("block") * size + 1).cast("int"), size).alias("c"))
+
+
+def sql_bytes(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+def sql_text_codes(table: str, key: str, text: str, size: int) -> str:
+    return f"raw AS (SELECT {key} AS vec_id, {sql_bytes(text)} AS e FROM {table} WHERE strlen({text}) >= {size}), cod AS (SELECT vec_id, k AS block, list_slice(e, k*{size}+1, k*{size}+{size}) AS c FROM (SELECT *, unnest(range(len(e) // {size})) AS k FROM raw))"
+
+
 SQL_BLOCKS = "blk AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5 + 0.5))) AS BIGINT)) AS e FROM embeddings)"
 SQL_TEXELS = SQL_BLOCKS + ", tex AS (SELECT vec_id, label, t AS texel, e[4*t+1] AS r, e[4*t+2] AS g, e[4*t+3] AS b, e[4*t+4] AS a FROM blk, range(16) s(t))"
 

@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,9 +17,9 @@ def test_png_to_blocks_and_back(spark, tmp_path):
         (tmp_path / d).mkdir()
     (tmp_path / "png/a.png").write_bytes(block_files.png_bytes(colour))
     (tmp_path / "png/b.png").write_bytes(block_files.png_bytes(grey))
-    images.main("compress", str(tmp_path / "png"), str(tmp_path / "blocks"))
+    images.main(str(tmp_path / "png"), str(tmp_path / "blocks"))
     assert (tmp_path / "blocks/a.blk").read_bytes()[:8] == (12).to_bytes(4, "little") + (8).to_bytes(4, "little") and (tmp_path / "blocks/a.blk").stat().st_size == 8 + 6 * 8
-    images.main("decompress", str(tmp_path / "blocks"), str(tmp_path / "back"))
+    images.main("-d", str(tmp_path / "blocks"), str(tmp_path / "back"))
     width, height, p = block_files.png_pixels((tmp_path / "back/a.png").read_bytes())
     assert (width, height) == (12, 8) and abs(p[:, :, :3].astype(int) - colour).max() <= 64
     rms = {r.name: (r.pixels, r.rms) for r in images.compare(block_files.read_png(spark, str(tmp_path / "png")), block_files.read_png(spark, str(tmp_path / "back"))).collect()}
@@ -30,3 +33,51 @@ def test_refusals(spark, tmp_path):
         images.compress(pixels).collect()
     with pytest.raises(Exception, match="different sizes"):
         images.compare(pixels, pixels.where(F.col("y") < 4)).collect()
+
+
+def test_alpha_goes_there_and_back(spark, tmp_path):
+    y, x = np.mgrid[0:8, 0:8]
+    own = np.stack([x * 30, y * 30, 255 - x * 30, (x + y) * 17], axis=2).astype(np.uint8)
+    for codec, far in (("3", 8), ("5", 20)):
+        paths = [tmp_path / f"{k}{codec}" for k in ("png", "blocks", "back")]
+        for p in paths:
+            p.mkdir()
+        (paths[0] / "a.png").write_bytes(block_files.png_bytes(own))
+        images.main(f"-u{codec}", str(paths[0]), str(paths[1]))
+        assert (paths[1] / "a.blk").stat().st_size == 8 + 4 * 16
+        images.main(f"-d{codec}", "--", str(paths[1]), str(paths[2]))
+        p = block_files.png_pixels((paths[2] / "a.png").read_bytes())[2].astype(int)
+        assert abs(p[:, :, 3] - own[:, :, 3]).max() <= far and abs(p - own)[:, :, :3].max() <= 90
+
+
+def test_options():
+    assert images.parsed(["-5u", "a", "-d", "--", "-x"]) == ({"mode": "decompress", "codec": "bc3", "metric": "uniform", "fit": "range", "options": "end"}, ["a", "-x"])
+    for word in ("-z", "-i", "-w"):
+        with pytest.raises(ValueError):
+            images.parsed([word])
+
+
+def part(kind, data):
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png(width, height, depth, colour, rows, **chunks):
+    head = part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, 0))
+    return block_files.SIGNATURE + head + b"".join(part(k.encode(), v) for k, v in chunks.items()) + part(b"IDAT", zlib.compress(b"".join(b"\0" + r for r in rows))) + part(b"IEND", b"")
+
+
+def test_png_is_expanded():
+    p = block_files.png_pixels(png(3, 2, 4, 3, [b"\x01\x20", b"\x21\x00"], PLTE=bytes(range(9)), tRNS=b"\x07\x80"))[2]
+    assert p.tolist() == [[[0, 1, 2, 7], [3, 4, 5, 128], [6, 7, 8, 255]], [[6, 7, 8, 255], [3, 4, 5, 128], [0, 1, 2, 7]]]
+    assert block_files.png_pixels(png(2, 1, 8, 3, [b"\x01\x00"], PLTE=bytes(range(6))))[2].tolist() == [[[3, 4, 5], [0, 1, 2]]]
+    assert block_files.png_pixels(png(9, 1, 1, 0, [b"\xa0\x80"]))[2][0, :, 0].tolist() == [255, 0, 255, 0, 0, 0, 0, 0, 255]
+    assert block_files.png_pixels(png(3, 1, 2, 0, [b"\x6c"], tRNS=b"\x00\x02"))[2].tolist() == [[[85, 255], [170, 0], [255, 255]]]
+    assert block_files.png_pixels(png(2, 1, 8, 2, [bytes([1, 2, 3, 4, 5, 6])], tRNS=b"\0\4\0\5\0\6"))[2].tolist() == [[[1, 2, 3, 255], [4, 5, 6, 0]]]
+    with pytest.raises(ValueError):
+        block_files.png_pixels(png(1, 1, 16, 0, [b"\0\0"]))
+
+
+def test_unknown_file_systems_raise(spark):
+    one = spark.createDataFrame([("a", bytearray(b"x"))], "name string, content binary")
+    with pytest.raises(Exception, match="(?i)nosuch"):
+        block_files.write_files(one, "nosuch://place/folder")
