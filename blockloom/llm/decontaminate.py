@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import set_aside, texts
+from .common import scratch, set_aside, stored, texts, with_row_index
 
-#: Edits allowed as a share of an item's length; characters of the items of one scan.
-ERRORS, BLOCK = 0.05, 4_000_000
+#: Edits allowed as a share of an item's length.
+ERRORS = 0.05
+#: Characters of a piece by which it is looked up, and the logarithm of the bits that say which grams pieces begin with.
+GRAM, FILTER = 12, 27
+BASE, SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 NOISE = re.compile(r"[\W_]+")
 
 
@@ -52,86 +54,145 @@ def distance_within(item: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
-class Scan:
-    """Finds the items of one block in normalised texts."""
-
-    def __init__(self, items: list[tuple[int, str]], errors: float) -> None:
-        self.items, self.errors = items, errors
-        self.machine = ahocorasick.Automaton()
-        for k, (_, item) in enumerate(items):
-            for start, piece in pieces(item, errors):
-                self.machine.get(piece, None) or self.machine.add_word(piece, [])
-                self.machine.get(piece).append((k, start + len(piece)))
-        if len(self.machine):
-            self.machine.make_automaton()
-
-    def __call__(self, text: str) -> Iterator[tuple[int, int]]:
-        """(item id, least distance) of each item within its edits somewhere in the text."""
-        if not len(self.machine):
-            return
-        starts: dict[int, set[int]] = {}
-        for end, hits in self.machine.iter(text):
-            for k, upto in hits:
-                starts.setdefault(k, set()).add(end + 1 - upto)
-        for k, at in starts.items():
-            name, item = self.items[k]
-            if item in text:
-                yield name, 0
-                continue
-            most, best, upto = int(len(item) * self.errors), None, -1
-            windows: list[list[int]] = []
-            for s in sorted(at):  # windows that meet are looked at together
-                lo, hi = max(0, s - most), s + len(item) + most
-                if lo <= upto:
-                    windows[-1][1] = hi
-                else:
-                    windows.append([lo, hi])
-                upto = hi
-            for lo, hi in windows if most else ():
-                d = distance_within(item, text[lo:hi], most if best is None else best)
-                if d is not None:
-                    best = d
-            if best is not None:
-                yield name, best
-
-
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of bounded length; items without letters or digits match nothing and are left out."""
-    some, size = [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        if item := normal(row.text):
-            some.append((row.item_id, item))
-            if (size := size + len(item)) > limit:
-                yield some
-                some, size = [], 0
-    if some:
-        yield some
-
-
-def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block: int = BLOCK) -> DataFrame:
-    """docs with `_items`: an array of (item_id, distance) of the benchmark items that each whole text holds.
+def gram_hashes(text: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each n neighbouring characters, by joining up hashes of half as many."""
+    h, width, out, done = text, 1, None, 0
+    while True:
+        if n & width:
+            out = h if out is None else out[: len(h) - done] * np.uint64(pow(BASE, width, 1 << 64)) + h[done:] if len(h) > done else h[:0]
+            done += width
+        if width * 2 > n:
+            break
+        h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
+        width *= 2
+    out = (out ^ (out >> np.uint64(31))) * SPREAD
+    return out ^ (out >> np.uint64(29))
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+
+
+def normalised(batches):
+    """(item_id, item) from (item_id, text)."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([normal(t) for t in texts(b.column(1))], pa.string())], names=["item_id", "item"])
+
+
+def known_pieces(items: DataFrame, errors: float) -> DataFrame:
+    """(_item, start, width, gram): where in its item each piece starts, and the hash of its first characters, GRAM at most."""
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for key, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                codes = characters(item)
+                for start, piece in pieces(item, errors):
+                    width = min(GRAM, len(piece))
+                    for x, v in zip(out, (key, start, width, int(gram_hashes(codes[start : start + width], width).view(np.int64)[0]))):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["_item", "start", "width", "gram"])
+
+    return items.select("_item", "item").mapInArrow(run, "_item long, start long, width long, gram long")
+
+
+def found_grams(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(_row, place, width, gram) of the grams of whole normalised texts that some piece may begin with.
+
+    A table of 2^FILTER bits says which may; it is of that size whatever the benchmark, and lets some others through.
+    """
+    bit = F.shiftrightunsigned("gram", 64 - FILTER) + 1  # bitmaps number from 1
+    parts = found.select("width", bit.alias("bit")).groupBy("width", F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    filters: dict[int, np.ndarray] = {}
+    for r in parts.collect():
+        own = filters.setdefault(r.width, np.zeros((1 << FILTER) // 8, np.uint8))
+        at = (r.k - 1) * len(r.bits)
+        own[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)[: len(own) - at]
+    shared = rows.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for key, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                codes = characters(normal(text))
+                for width, own in shared.value.items():
+                    if len(codes) >= width:
+                        h = gram_hashes(codes, width)
+                        k = (h >> np.uint64(64 - FILTER)).astype(np.int64)
+                        place = np.flatnonzero(own[k >> 3] >> (k & 7).astype(np.uint8) & 1)
+                        for x, v in zip(out, (np.full(len(place), key), place, np.full(len(place), width), h[place].view(np.int64))):
+                            x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["_row", "place", "width", "gram"])
+
+    return rows.select("_row", F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_row long, place long, width long, gram long")
+
+
+def least_edits(item: str, text: str, starts: list[int], errors: float) -> int | None:
+    """Edits of an item that begins near one of these places; None if there are too many."""
+    if item in text:
+        return 0
+    most, best, upto = int(len(item) * errors), None, -1
+    windows: list[list[int]] = []
+    for s in sorted(starts):  # windows that meet are looked at together
+        lo, hi = max(0, s - most), s + len(item) + most
+        if lo <= upto:
+            windows[-1][1] = hi
+        else:
+            windows.append([lo, hi])
+        upto = hi
+    for lo, hi in windows if most else ():
+        d = distance_within(item, text[lo:hi], most if best is None else best)
+        if d is not None:
+            best = d
+    return best
+
+
+def verified(candidates: DataFrame, errors: float) -> DataFrame:
+    """(_row, item_id, distance) of the candidates (_row, text, item_id, item, starts), which come in order of rows."""
+
+    def run(batches):
+        last, text = None, ""
+        for b in batches:
+            out = [[], [], []]
+            for row, said, name, item, starts in zip(b.column(0).to_pylist(), b.column(1), *(b.column(k).to_pylist() for k in (2, 3, 4))):
+                if row != last:
+                    last, text = row, normal(said.as_py().decode("utf-8", "replace"))
+                if (d := least_edits(item, text, starts, errors)) is not None:
+                    for x, v in zip(out, (row, name, d)):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["_row", "item_id", "distance"])
+
+    return candidates.mapInArrow(run, "_row long, item_id long, distance int")
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
+    """docs with `_items`: an array of (item_id, distance) of the benchmark items that each whole text holds, or null.
 
     An item matches if some substring of the document's text, both normalised, is within errors times the item's
-    length in edits. A benchmark larger than a block is met block by block, one narrow pass each, so that what a task
-    holds is bounded. Null texts and empty ones hold nothing; repeated items count once, repeated documents each for
-    itself; the documents' other columns pass through.
+    length in edits. One of an item's pieces stays whole in a match: texts' grams that a bit table lets through meet the
+    pieces' first characters in a join, and each candidate's window is measured. So neither benchmark nor documents
+    pass through the driver.
+
+    Items without letters or digits match nothing; one of fewer than 20 characters allows no edit. Null texts and empty
+    ones hold nothing; very long texts are looked at whole. Repeated items count once, repeated documents each for
+    itself; items of one document are in order of item_id, null last, then distance. Other columns pass through, but for
+    one named `_items`, which is replaced.
     """
-    shape = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-    found = docs.drop("_items").withColumn("_items", F.lit(None).cast("array<struct<item_id:bigint,distance:int>>"))
-    at = found.columns.index("text")
-    for items in blocks(benchmark, block):
-
-        def run(batches, items=items):
-            scan = Scan(items, errors)
-            for b in batches:
-                hits = []
-                for t, had in zip(texts(b.column(at)), b.column(b.num_columns - 1).to_pylist()):
-                    new = [{"item_id": i, "distance": d} for i, d in scan(normal(t))]
-                    hits.append(sorted([*(had or []), *new], key=lambda x: (x["item_id"] is None, x["item_id"], x["distance"])) or None)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hits, shape)], names=b.schema.names)
-
-        found = found.mapInArrow(run, found.schema)
-    return found
+    docs = docs.drop("_items")
+    rows = with_row_index(set_aside(docs, "text"), "_row")
+    with scratch() as keep:
+        items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).mapInArrow(normalised, "item_id long, item string").distinct().where("item <> ''")
+        items = stored(items.withColumn("_item", F.monotonically_increasing_id()), "items")
+        found = stored(known_pieces(items, errors), "pieces")
+        hits = stored(found_grams(rows, found), "hits")
+        met = hits.join(found, ["width", "gram"]).select("_row", "_item", (F.col("place") - F.col("start")).alias("at"))
+        met = met.groupBy("_row", "_item").agg(F.collect_set("at").alias("starts"))
+        met = stored(met.join(items, "_item").select("_row", "item_id", "item", "starts"), "candidates")
+        asked = rows.select("_row", F.col("text").cast("binary").alias("_text")).join(met, "_row").select("_row", "_text", "item_id", "item", "starts")
+        each = F.struct(F.col("item_id").isNull().alias("none"), "item_id", "distance")
+        got = verified(asked.sortWithinPartitions("_row"), errors).groupBy("_row").agg(F.array_sort(F.collect_list(each)).alias("_got"))
+        got = keep(stored(got.select(F.col("_row").alias("_of"), F.transform("_got", lambda x: F.struct(x["item_id"].alias("item_id"), x["distance"].alias("distance"))).alias("_items")), "got"))
+    return rows.join(got, F.col("_row") == F.col("_of"), "left").drop("_row", "_of").toDF(*docs.columns, "_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

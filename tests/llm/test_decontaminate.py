@@ -48,11 +48,29 @@ def test_same_as_every_item_against_every_text(spark, documents):
         ids = tuple(sorted(hits, key=lambda x: (x is None, x)))
         want.add((i, bool(hits), len(hits), ids, min(hits.values(), default=None)))
     assert got == want
-    small = d.find_items(documents(rows), bench, block=50).collect()
-    assert sorted(map(repr, small)) == sorted(map(repr, d.find_items(documents(rows), bench).collect()))
     assert "size" in d.clean(documents(rows), bench).columns
 
 
+def test_gram_hashes():
+    codes = d.characters("the cat and the dog sat on the é mat and the cat and the dog")
+    for n in range(1, 13):
+        got = d.gram_hashes(codes, n)
+        assert len(got) == len(codes) - n + 1
+        seen = {}
+        for k, h in enumerate(got.tolist()):
+            assert seen.setdefault(h, codes[k : k + n].tolist()) == codes[k : k + n].tolist()
+        assert len(seen) == len({tuple(codes[k : k + n].tolist()) for k in range(len(got))})
+
+
+def test_a_full_bit_table_changes_nothing(spark, documents, monkeypatch):
+    rows = [(k, f"some words and question number {k} of the set, as it was put in that year" if k % 3 else "other words") for k in range(30)]
+    bench = spark.createDataFrame([(k, f"Question number {k} of the set as it wes put in that year") for k in range(30)], "item_id long, text string")
+    want = sorted(map(repr, d.find_items(documents(rows), bench).collect()))
+    monkeypatch.setattr(d, "FILTER", 15)
+    monkeypatch.setattr(d, "GRAM", 2)
+    assert sorted(map(repr, d.find_items(documents(rows), bench).collect())) == want
+
+
 def test_empty(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.op7_decontaminate(documents([]), bench).collect() == []
