@@ -114,5 +114,5 @@ def mixed(docs: DataFrame) -> DataFrame:
         name += "_"
     with scratch() as keep:
         taken = keep(stored(mix(rows.select("_row", "doc_id", "source", "text"), ["_row"]).where("_copies > 0").select("_row", "_copies"), "taken"))
-    both = rows.join(taken.select(F.col("_row").alias("_of"), "_copies"), F.col("_row") == F.col("_of"))
+    both = rows.join(taken.select(F.col("_row").alias("_of"), "_copies").hint("merge"), F.col("_row") == F.col("_of"))
     return both.select(*[c for c in rows.columns if c != "_row"], F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).toDF(*docs.columns, name)

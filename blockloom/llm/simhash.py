@@ -33,8 +33,10 @@ SALTS, FACTORS, MIXERS = np.random.default_rng(64).integers(0, 1 << 64, (3, BAND
 PERMUTED, LOT = 2048, 1 << 20
 #: Least hashes in which texts at SIMILAR agree but for a chance below 1e-7 (102 of 128 on average).
 ALIKE = 75
+#: Bits of a set's parities: in each the number of shingles that fall on it, odd or even.
+PARITIES_OF_SET = 1024
 #: Rounds in which a bucket's texts meet one of them; texts of a part of a bucket.
-STARS, CELL = 4, 2048
+STARS, CELL = 3, 2048
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -87,11 +89,32 @@ def bands(least: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * SPREAD + np.arange(BANDS, dtype=np.uint64)
 
 
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """For each of some bits, whether an odd number of a set's shingles falls on it, packed.
+
+    Sets that differ in n shingles differ in n of these bits at most.
+    """
+    return np.packbits(np.bincount((distinct >> np.uint64(32)).astype(np.int64) % PARITIES_OF_SET, minlength=PARITIES_OF_SET) % 2 == 1)
+
+
+def alike(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray, similar: float) -> np.ndarray:
+    """Whether sets can be this similar by their sketches (rows of bytes) and sizes.
+
+    Their least hashes agree in ALIKE places at least, as those of similar sets do but for 1 in 10^7; and they differ in
+    no more shingles than similar sets of these sizes can, of which the parities are a lower bound.
+    """
+    n = BANDS * BAND
+    apart = np.bitwise_count(np.ascontiguousarray(x[..., n:]).view(np.uint64) ^ np.ascontiguousarray(y[..., n:]).view(np.uint64)).sum(-1, dtype=np.int64)
+    near = apart <= (x_size + y_size) * (1 - similar) / (1 + similar) + 1e-6
+    near[near] = ((x if x.ndim == 1 else x[near])[..., :n] == y[near][:, :n]).sum(-1) >= ALIKE
+    return near
+
+
 def fingerprints(docs: DataFrame, carry: list[str], width: int, banded: bool = False) -> DataFrame:
     """The carried columns and the fingerprint `fp` of each text (a signed long).
 
     If banded, the set of its shingles follows: `key`, a hash of it, `size`, `bands`, and `sketch`, a byte of each least
-    hash; no bands without words. Null texts are empty; a very long text is hashed in lots.
+    hash and the parities; no bands without words. Null texts are empty; a very long text is hashed in lots.
     """
     schema = docs.select(*carry).schema.add("fp", "long")
     names = [*carry, "fp"]
@@ -111,7 +134,7 @@ def fingerprints(docs: DataFrame, carry: list[str], width: int, banded: bool = F
                     key.append(xxhash.xxh64_intdigest(distinct.tobytes(), 7) - (1 << 63))
                     size.append(len(distinct))
                     some.append(bands(least).view(np.int64) if len(distinct) else [])
-                    sketch.append(least.astype(np.uint8).tobytes())
+                    sketch.append(least.astype(np.uint8).tobytes() + parities(distinct).tobytes())
             more = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(some, pa.list_(pa.int64())), pa.array(sketch, pa.binary())] if banded else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64()), *more], names=names)
 
@@ -195,16 +218,22 @@ def ball_links(fps: DataFrame, radius: int) -> DataFrame:
     return found.distinct()
 
 
-def sketched(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sketches agree in ALIKE places at least, as similar texts do but for 1 in 10^7."""
-    of = lambda end, name: kept.select(F.col("doc_id").alias(end), F.col("sketch").alias(name))
+def rows_of(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), -1)
+
+
+def sketched(pairs: DataFrame, kept: DataFrame, similar: float) -> DataFrame:
+    """Those of the pairs (a, b) that can be this similar by their sketches."""
+    of = lambda end, name: kept.select(F.col("doc_id").alias(end), F.col("sketch").alias(name), F.col("size").alias(f"{name}_size"))
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * BAND) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= ALIKE))
+            if b.num_rows:
+                fits = alike(rows_of(b.column(2)), rows_of(b.column(3)), b.column(4).to_numpy(), b.column(5).to_numpy(), similar)
+                yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(fits))
 
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    return both.select("a", "b", "x", "y", "x_size", "y_size").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
@@ -215,7 +244,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> D
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.columns[0], pa.array([shingles(t.as_py(), width).tobytes() for t in b.columns[1]], pa.binary())], names=["doc_id", "set"])
 
-    def alike(batches):
+    def compared(batches):
         for b in batches:
             kept = []
             for x, y in zip(b.columns[2], b.columns[3]):
@@ -228,7 +257,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, similar: float) -> D
     of = stored(of.mapInArrow(sets, "doc_id long, set binary"), "sets")
     left = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     both = left.join(of.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    found = stored(both.mapInArrow(alike, "a long, b long"), "verified")
+    found = stored(both.mapInArrow(compared, "a long, b long"), "verified")
     removed(of)
     return found
 
@@ -246,14 +275,14 @@ def close_pairs(apart: DataFrame, similar: float) -> DataFrame:
 
     def cell(rows: pa.Table) -> pa.Table:
         ids, size, group, part, low, high = (rows.column(c).to_numpy() for c in ("doc_id", "size", "group", "_part", "_low", "_high"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * BAND)
+        sketch = rows_of(rows.column("sketch"))
         a, b = [], []
         for k in range(len(ids)):
             fits = (group != group[k]) & (ids > ids[k]) & (np.minimum(size, size[k]) >= np.maximum(size, size[k]) * similar - 1e-9)
             if low[0] != high[0]:
                 fits &= part != part[k]
             some = np.flatnonzero(fits)
-            some = some[(sketch[some] == sketch[k]).sum(1) >= ALIKE]
+            some = some[alike(sketch[k], sketch[some], size[k], size[some], similar)]
             a.append(np.full(len(some), ids[k]))
             b.append(ids[some])
         return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=shape)
@@ -267,31 +296,34 @@ def similar_links(kept: DataFrame, docs: DataFrame, width: int, similar: float)
     Equal sets are linked to one of them, which stands for all. Of those, texts that share a band are candidates, and
     each pair that is alike by its sketches is compared by its shingles. For some rounds one text of each bucket meets
     those that are not joined up with it yet, another one by chance in each round, so that a large group of near copies
-    becomes one without its pairs being spelled out; then what is still apart in a bucket meets in cells.
+    becomes one without its pairs being spelled out, first the one that shares most; then what is still apart in a bucket
+    meets in cells.
     """
     words = kept.where("size > 0")
     first = stored(words.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets")
     same = words.join(first, "key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = stored(words.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "bands", "sketch"), "reps")
+    reps = words.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     each = reps.select("doc_id", "size", F.explode("bands").alias("band"))
-    met = stored(each.join(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band", "left_semi"), "met")
+    shared = stored(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = stored(each.join(shared, "band"), "met")
+    # a text of which others are copies shares its bands with most of them
+    known = stored(met.groupBy("doc_id").agg(F.sum("n").alias("score")), "known")
     fits = F.least("size", "c.size") >= F.greatest("size", "c.size") * similar - 1e-9
-    state, links, tested = met.withColumn("group", F.col("doc_id")), None, None
+    state, links = met.select("band", "doc_id", "size", F.col("doc_id").alias("group")), None
     for k in range(STARS + 1):
-        centre = F.min(F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size", "group")).alias("c")
-        apart = stored(state.groupBy("band").agg(centre, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band", "c"), "apart")
+        order = -F.col("score") if k == 0 else F.xxhash64("doc_id", F.lit(k))
+        centre = F.min(F.struct(order.alias("h"), "doc_id", "size", "group")).alias("c")
+        apart = stored((state.join(known, "doc_id") if k == 0 else state).groupBy("band").agg(centre, F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("band", "c"), "apart")
         if apart.isEmpty():
             break
         before, met = met, stored(state.join(apart.select("band"), "band", "left_semi"), "met")
         removed(before)
         if k < STARS:
             pairs = met.join(apart, "band").where((F.col("group") != F.col("c.group")) & fits).select(F.col("doc_id").alias("a"), F.col("c.doc_id").alias("b")).distinct()
-            pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            alike = stored(sketched(pairs, reps), "alike")
+            near = stored(sketched(pairs, kept, similar), "alike")
         else:
-            alike = stored(close_pairs(met.join(reps.select("doc_id", "sketch"), "doc_id"), similar), "alike")
-        found = verified(alike, docs, width, similar)
+            near = stored(close_pairs(met.join(kept.select("doc_id", "sketch"), "doc_id"), similar), "alike")
+        found = verified(near, docs, width, similar)
         links = found if links is None else links.unionByName(found)
         if k < STARS:
             named = components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).withColumnRenamed("node", "doc_id")

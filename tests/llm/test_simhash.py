@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
 from blockloom.llm import components, simhash
@@ -100,6 +101,26 @@ def test_parts_of_a_bucket_do_not_matter(spark, documents, monkeypatch):
         assert set(links) <= set(like) and plain_components(range(60), links) == want
 
 
+def test_sketches_let_similar_sets_through():
+    draw = np.random.default_rng(5)
+    caught = 0
+    for k in range(400):
+        n = int(draw.integers(5, 3000))
+        share = draw.random() ** 0.5
+        a = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) < share], draw.integers(0, 1 << 64, int(len(a) * (1 - share)), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        similar = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        x, y = (np.frombuffer(simhash.least_hashes(s).astype(np.uint8).tobytes() + simhash.parities(s).tobytes(), np.uint8)[None] for s in (a, b))
+        found = simhash.alike(x, y, np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+        assert found == simhash.alike(x[0], y, len(a), np.array([len(b)]), 0.8)[0]
+        assert found or similar < 0.8
+        caught += not found
+        assert not found or similar > 0.5
+    assert caught > 100
+
+
 def test_lots_of_text_give_the_same_shingles(monkeypatch):
     draw = random.Random(4)
     for n in (0, 1, 3, 4, 5, 200):
