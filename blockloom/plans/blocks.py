@@ -245,7 +245,7 @@ FROM (SELECT *, (w + 3) // 4 AS aw, (h + 3) // 4 AS ah FROM range(5, 14, 4) s(w)
 
 
 def updates(spark, d):
-    each = grid(spark, x=range(0, 10), y=range(0, 9, 2), w=range(1, 11), h=range(1, 11, 3)).where("x + w <= 10 and y + h <= 10")
+    each = grid(spark, x=range(10), y=range(10), w=range(1, 11), h=range(1, 11)).where("x + w <= 10 and y + h <= 10")
     return each.select("x", "y", "w", "h", layout.update_is_legal(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.lit(10), F.lit(10)).alias("legal"))
 
 
@@ -295,7 +295,7 @@ SQL = {
     "prj3_there_and_back": f"WITH {PIX} SELECT * FROM pix",
     "prj4_prj8_flt1_sizes": SIZES_SQL,
     "prj9_dec6_volume_blocks": VOLUME_SQL,
-    "flt7_updates": "SELECT x, y, w, h, x % 4 = 0 AND y % 4 = 0 AND (w % 4 = 0 OR x + w = 10) AND (h % 4 = 0 OR y + h = 10) AS legal FROM range(10) s(x), range(0, 9, 2) t(y), range(1, 11) u(w), range(1, 11, 3) v(h) WHERE x + w <= 10 AND y + h <= 10",
+    "flt7_updates": "SELECT x, y, w, h, x % 4 = 0 AND y % 4 = 0 AND (w % 4 = 0 OR x + w = 10) AND (h % 4 = 0 OR y + h = 10) AS legal FROM range(10) s(x), range(10) t(y), range(1, 11) u(w), range(1, 11) v(h) WHERE x + w <= 10 AND y + h <= 10",
     "dec1_bc1_rgb": sql_decode(8, [*sql_colours(0, ""), "255"]),
     "dec2_bc1_rgba": sql_decode(8, [*sql_colours(0, ""), f"CASE WHEN {little(0, 2)} <= {little(2, 2)} AND {two_bits(4)} = 3 THEN 0 ELSE 255 END"]),
     "dec3_bc2": sql_decode(16, [*sql_colours(8, "true"), BC2_ALPHA]),

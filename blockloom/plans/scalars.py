@@ -211,22 +211,24 @@ SELECT *, greatest(abs(u), abs(v)) + w AS p, CASE WHEN x * x + y * y <= 1 THEN s
 
 
 def vectors(spark, d):
-    """Four-component arithmetic on the first twelve numbers of each embedding: a, b and c."""
-    at = lambda o, k: F.element_at("embedding", o + k + 1).cast("double")
+    """Four-component arithmetic on each three neighbouring quads of each embedding: a, b and c."""
+    at = lambda o, k: F.element_at("e", o + k + 1).cast("double")
     four = lambda f: F.array(*[f(at(0, k), at(4, k), at(8, k)) for k in range(4)])
     made = {
         "splat_x": lambda a, b, c: at(0, 0), "splat_w": lambda a, b, c: at(0, 3), "total": lambda a, b, c: a + b, "difference": lambda a, b, c: a - b, "product": lambda a, b, c: a * b,
         "multiply_add": lambda a, b, c: a * b + c, "negative_multiply_subtract": lambda a, b, c: -(a * b - c), "reciprocal": lambda a, b, c: F.when(a != 0, 1 / a),
         "least": lambda a, b, c: F.least(a, b), "most": lambda a, b, c: F.greatest(a, b), "truncated": lambda a, b, c: (a * 100).cast("long").cast("double"),
     }
-    rows = fixtures.embeddings(spark, d).select("vec_id", F.posexplode(F.arrays_zip(*[four(f).alias(n) for n, f in made.items()])).alias("lane", "x"), F.exists(four(lambda a, b, c: a - b), lambda x: x < 0).alias("any_less"))
-    return rows.select("vec_id", F.col("lane").cast("long").alias("lane"), *[F.col("x")[n].alias(n) for n in made], "any_less")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("embedding") / 4) - 3))
+    each = fixtures.embeddings(spark, d).withColumn("quad", starts).select("vec_id", "quad", F.slice("embedding", (F.col("quad") * 4 + 1).cast("int"), 12).alias("e"))
+    rows = each.select("vec_id", "quad", F.posexplode(F.arrays_zip(*[four(f).alias(n) for n, f in made.items()])).alias("lane", "x"), F.exists(four(lambda a, b, c: a - b), lambda x: x < 0).alias("any_less"))
+    return rows.select("vec_id", "quad", F.col("lane").cast("long").alias("lane"), *[F.col("x")[n].alias(n) for n in made], "any_less")
 
 
 VECTORS_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-l AS (SELECT vec_id, lane, e[lane + 1] AS a, e[lane + 5] AS b, e[lane + 9] AS c, e FROM v, range(4) s(lane))
-SELECT vec_id, lane, e[1] AS splat_x, e[4] AS splat_w, a + b AS total, a - b AS difference, a * b AS product, a * b + c AS multiply_add, -(a * b - c) AS negative_multiply_subtract,
+WITH v AS (SELECT vec_id, quad, list_slice(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 4 * quad + 1, 4 * quad + 12) AS e FROM embeddings, range(14) q(quad)),
+l AS (SELECT vec_id, quad, lane, e[lane + 1] AS a, e[lane + 5] AS b, e[lane + 9] AS c, e FROM v, range(4) s(lane))
+SELECT vec_id, quad, lane, e[1] AS splat_x, e[4] AS splat_w, a + b AS total, a - b AS difference, a * b AS product, a * b + c AS multiply_add, -(a * b - c) AS negative_multiply_subtract,
 CASE WHEN a <> 0 THEN 1 / a END AS reciprocal, least(a, b) AS least, greatest(a, b) AS most, trunc(a * 100) + 0.0::DOUBLE AS truncated, e[1] < e[5] OR e[2] < e[6] OR e[3] < e[7] OR e[4] < e[8] AS any_less FROM l
 """
 
