@@ -13,6 +13,8 @@ from .common import batch, stored
 
 #: Vectors of a shard, of a group of shards, of a block of queries and of a leaf.
 SHARD, GROUP, BLOCK, LEAF = 4096, 16384, 4096, 64
+#: Bytes of vectors of a group and of a block at most, where vectors are so wide that fewer fit.
+BYTES = 64 << 20
 #: Products of this size and less are summed exactly in doubles.
 EXACT = 1 << 53
 
@@ -108,13 +110,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
 
     Null vectors, and those holding null or non-finite components, take no part. Vectors of another length than the
     query's are no candidates for it; empty vectors score 0 with each other. A null vec_id makes no query; as a
-    candidate it comes after all others of its score. Scores are exact while the sums of products fit a long. Other
+    candidate it comes after all others of its score. Repeated rows are rows of their own; of equal scores the smaller
+    vec_id comes first, then the earlier row. Vectors of any width are met in as small cells as keep to BYTES. Scores are exact while the sums of products fit a long. Other
     columns are not looked at; an empty table gives an empty result.
     """
     kept = stored(whole_numbers(vectors, scale), "vectors")
     asks = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     counts = kept.groupBy("_size").agg(F.count("*").alias("n"), F.sum(asks.cast("long")).alias("q"))
-    counts = counts.select("_size", F.greatest(F.ceil(F.col("n") / group), F.lit(1)).alias("_groups"), F.greatest(F.ceil(F.col("q") / block), F.lit(1)).alias("_blocks"))
+    fit = F.greatest(F.floor(F.lit(BYTES) / (8 * F.greatest("_size", F.lit(1)))), F.lit(1))
+    parts = lambda n, most: F.greatest(F.ceil(F.col(n) / F.least(F.lit(most), fit)), F.lit(1))
+    counts = counts.select("_size", parts("n", group).alias("_groups"), parts("q", block).alias("_blocks"))
     dealt = kept.join(counts, "_size").withColumn("_hash", F.xxhash64("_row"))
     deal = lambda n: F.pmod(F.col("_hash"), F.col(n))
     cells = ["_size", "_group", "_block"]

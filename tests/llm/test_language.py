@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -65,3 +66,52 @@ def test_temperature_of_calibrated_logits():
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     classes = np.array([draw.choice(3, p=x) for x in p])
     assert abs(language.temperature(logits * 5, classes) - 5) < 0.6
+
+
+def test_leader_same_as_a_plain_version(monkeypatch):
+    monkeypatch.setattr(language, "FEATURES", 12)
+    draw = np.random.default_rng(3)
+    rows = []
+    for _ in range(60):
+        ids = np.sort(draw.choice(12, draw.integers(1, 6), replace=False))
+        x = draw.random(len(ids)) + 0.1
+        rows.append((int(draw.integers(0, 3)), ids, x / np.sqrt(x @ x)))
+    weights, bias = language.fit(rows, 3)
+
+    # each weight by itself, with numbers and dictionaries
+    z, n = {}, {}
+    l1, l2 = language.L1, language.L2
+
+    def weight(key):
+        own, m = z.get(key, 0.0), n.get(key, 0.0)
+        a, b = (l1, l2) if key[0] != "bias" else (0.0, 0.0)
+        return 0.0 if abs(own) <= a else -(own - math.copysign(a, own)) / ((language.BETA + math.sqrt(m)) / language.ALPHA + b)
+
+    order = np.random.default_rng(11)
+    for _ in range(language.EPOCHS):
+        for k in order.permutation(len(rows)):
+            y, ids, x = rows[k]
+            used = {(f, c): v for f, v in [*zip(ids.tolist(), x.tolist()), ("bias", 1.0)] for c in range(3)}
+            now = {key: weight(key) for key in used}
+            scores = [sum(now[key] * v for key, v in used.items() if key[1] == c) for c in range(3)]
+            total = sum(math.exp(t) for t in scores)
+            for key, v in used.items():
+                g = (math.exp(scores[key[1]]) / total - (key[1] == y)) * v
+                m = n.get(key, 0.0)
+                z[key] = z.get(key, 0.0) + g - (math.sqrt(m + g * g) - math.sqrt(m)) / language.ALPHA * now[key]
+                n[key] = m + g * g
+    assert np.allclose(weights, [[weight((f, c)) for c in range(3)] for f in range(12)]) and np.allclose(bias, [weight(("bias", c)) for c in range(3)])
+
+
+def test_weights_of_grams_same_as_a_plain_version(monkeypatch):
+    text = "Ein Text, der über Grenzen geht."
+    found = language.counts(text)
+    low = f" {text.lower()} "
+    grams = [low[k : k + n] for n in (2, 3) for k in range(len(low) - n + 1)]
+    assert found.sum() == len(grams) and (found > 0).sum() <= len(set(grams))
+    alone = {g: np.flatnonzero(language.counts(g) - language.counts(g[1:]) > 0) for g in set(grams)}
+    assert all(set(np.flatnonzero(found)) & set(x) for x in alone.values())
+    idf = np.linspace(1, 2, language.FEATURES)
+    ids, x = language.weighted(found, idf)
+    want = [(1 + math.log(found[k])) * idf[k] for k in ids]
+    assert np.allclose(x, np.array(want) / math.sqrt(sum(w * w for w in want)))

@@ -26,6 +26,14 @@ def test_same_as_all_pairs(spark):
     assert sorted(repr(tuple(r)) for r in topk.top_k(table, shard=50, group=100, block=7).collect()) == want
 
 
+def test_wide_vectors(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(i, [float(draw.randint(-3, 3)) for _ in range(3000)]) for i in range(120)]
+    monkeypatch.setattr(topk, "BYTES", 8 * 3000 * 25)
+    got = topk.op5_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(repr(tuple(r)) for r in got) == plain(rows)
+
+
 def test_empty_and_few(spark):
     shape = "vec_id long, embedding array<float>"
     assert topk.op5_topk(spark.createDataFrame([], shape)).collect() == []
