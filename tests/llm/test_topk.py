@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from blockloom.llm import topk
 
 
@@ -23,7 +25,35 @@ def test_same_as_all_pairs(spark):
     table = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     want = plain(rows)
     assert sorted(repr(tuple(r)) for r in topk.op5_topk(table).collect()) == want
-    assert sorted(repr(tuple(r)) for r in topk.top_k(table, shard=50, group=100, block=7).collect()) == want
+    assert sorted(repr(tuple(r)) for r in topk.top_k(table, shard=50, cell=100, block=7, boxes=3).collect()) == want
+
+
+def test_far_cells_are_not_visited(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    centres = draw.normal(0, 40, (30, 4))
+    rows = [(i, (centres[i % 30] + draw.normal(0, 0.2, 4)).round(2).tolist()) for i in range(3000)]
+    sent = []
+
+    def counted(df, name, plain=topk.stored):
+        found = plain(df, name)
+        if name == "visits":
+            sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(topk, "stored", counted)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), cell=100, shard=50).collect()
+    assert sorted(repr(tuple(r)) for r in got) == plain([(i, np.float32(v).astype(float).tolist()) for i, v in rows])
+    assert 0 < sent[0] < 60 * 30 / 3  # of 60 queries and 30 cells or more
+
+
+def test_splits_deal_every_vector():
+    draw = np.random.default_rng(1)
+    v = draw.integers(-9, 9, (500, 3))
+    own = topk.Splits.of(v[:80], 7)
+    leaf = own.deal(v)
+    assert set(leaf) <= set(range(7)) and len(set(leaf)) == 7 and np.bincount(leaf).max() < 200
+    assert set(topk.Splits.of(np.ones((20, 3), np.int64), 5).deal(v)) == {0}
+    assert set(topk.Splits.of(np.zeros((0, 3), np.int64), 5).deal(v)) == {0}
 
 
 def test_wide_vectors(spark, monkeypatch):
