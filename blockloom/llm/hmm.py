@@ -314,8 +314,9 @@ def train(blocks: DataFrame, members: DataFrame, rounds: int = ROUNDS, states: i
         rest = np.array(rest)
         start, moves, totals = rest[:states] + EVEN / states, rest[states:-states].reshape(states, states) + EVEN / states, rest[-states:]
         model = replace(model, start=start / start.sum(), moves=moves / moves.sum(1, keepdims=True))
-        before, emitted = emitted, stored(next_emissions(members, counted, totals, model.n), "emitted")
-        removed(before, counted)
+        removed(emitted)
+        emitted = stored(next_emissions(members, counted, totals, model.n), "emitted")
+        removed(counted)
     return model, emitted, likelihoods
 
 
