@@ -31,10 +31,19 @@ def by_texel(blocks: DataFrame, n: int = 16) -> DataFrame:
     return blocks.withColumn("texel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
 
 
+def right(x: Column, places: Column) -> Column:
+    """A number without so many of its lowest bits."""
+    return F.call_function("shiftright", x, places.cast("int"))
+
+
+def low_bits(x: Column, n: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
 def two_bits(first: int) -> Column:
     """The two-bit code of the texel, codes starting at this byte."""
     t = F.col("texel")
-    return F.pmod(F.floor(byte(first + F.floor(t / 4)) / F.pow(F.lit(2.0), 2 * F.pmod(t, F.lit(4)))), F.lit(4))
+    return low_bits(right(byte(first + F.shiftright(t, 2)), 2 * low_bits(t, 2)), 2)
 
 
 def rgb565(c: Column) -> list[Column]:
@@ -48,42 +57,51 @@ def pick(code: Column, options: list[Column]) -> Column:
     return out
 
 
-def colours(first: int, always_four: bool) -> tuple[list[Column], Column, Column]:
-    """r, g, b of the texel, its code, and whether the block has four colours; interpolants are rounded down."""
-    c0, c1, code = little(first, 2), little(first + 2, 2), two_bits(first + 4)
-    four = F.lit(True) if always_four else c0 > c1
-    out = []
-    for a, b in zip(rgb565(c0), rgb565(c1)):
+def with_palette(blocks: DataFrame, first: int, always_four: bool) -> DataFrame:
+    """Adds p_r, p_g, p_b, the four values that codes pick from, and whether the block has four colours.
+
+    They are worked out once for a block, before its texels; interpolants are rounded down.
+    """
+    c0, c1 = little(first, 2), little(first + 2, 2)
+    own = blocks.withColumns({"_c0": c0, "_c1": c1})
+    four = F.lit(True) if always_four else F.col("_c0") > F.col("_c1")
+    out = {"four": four}
+    for n, a, b in zip("rgb", rgb565(F.col("_c0")), rgb565(F.col("_c1"))):
         third, fourth = F.when(four, F.floor((2 * a + b) / 3)).otherwise(F.floor((a + b) / 2)), F.when(four, F.floor((a + 2 * b) / 3)).otherwise(number(0))
-        out.append(pick(code, [a, b, third, fourth]))
-    return out, code, four
+        out[f"p_{n}"] = F.array(a, b, third, fourth)
+    return own.withColumns(out)
+
+
+def picked(palette: str, code: Column) -> Column:
+    return F.element_at(palette, (code + 1).cast("int"))
+
+
+def texel_colours(own: DataFrame, first: int, alpha: Column) -> DataFrame:
+    code = F.col("code")
+    each = by_texel(own).withColumn("code", two_bits(first + 4))
+    return each.select("vec_id", "block", "texel", *[picked(f"p_{n}", code).alias(n) for n in "rgb"], alpha.alias("a"))
 
 
 def bc1(blocks: DataFrame, alpha: bool) -> DataFrame:
     """Eight bytes; with alpha, code 3 of a three-colour block is transparent."""
-    rgb, code, four = colours(0, False)
-    a = F.when(~four & (code == 3), number(0)).otherwise(number(255)) if alpha else number(255)
-    return by_texel(blocks).select("vec_id", "block", "texel", *[x.alias(n) for x, n in zip([*rgb, a], "rgba")])
+    a = F.when(~F.col("four") & (F.col("code") == 3), number(0)).otherwise(number(255)) if alpha else number(255)
+    return texel_colours(with_palette(blocks, 0, False), 0, a)
 
 
 def bc2(blocks: DataFrame, honour_order: bool = False) -> DataFrame:
     """Sixteen bytes: four bits of alpha for each texel, then colours, always four of them unless the order is honoured."""
-    rgb, _, _ = colours(8, not honour_order)
     t = F.col("texel")
-    a = F.pmod(F.floor(byte(F.floor(t / 2)) / F.pow(F.lit(16.0), F.pmod(t, F.lit(2)))), F.lit(16)) * 17
-    return by_texel(blocks).select("vec_id", "block", "texel", *[x.alias(n) for x, n in zip([*rgb, a], "rgba")])
+    return texel_colours(with_palette(blocks, 8, not honour_order), 8, low_bits(right(byte(F.shiftright(t, 1)), 4 * low_bits(t, 1)), 4) * 17)
 
 
 def bc3(blocks: DataFrame) -> DataFrame:
     """Sixteen bytes: two alphas with three-bit codes, seven levels or five and the extremes, then colours."""
-    rgb, _, _ = colours(8, True)
     a0, a1, t = byte(0), byte(1), F.col("texel")
-    half = F.when(t < 8, little(2, 3)).otherwise(little(5, 3))
-    code = F.pmod(F.floor(half / F.pow(F.lit(8.0), F.pmod(t, F.lit(8)))), F.lit(8))
-    seven = [a0, a1, *[F.floor(((7 - k) * a0 + k * a1) / 7) for k in range(1, 7)]]
-    five = [a0, a1, *[F.floor(((5 - k) * a0 + k * a1) / 5) for k in range(1, 5)], number(0), number(255)]
-    a = F.when(a0 > a1, pick(code, seven)).otherwise(pick(code, five))
-    return by_texel(blocks).select("vec_id", "block", "texel", *[x.alias(n) for x, n in zip([*rgb, a], "rgba")])
+    seven = F.array(a0, a1, *[F.floor(((7 - k) * a0 + k * a1) / 7) for k in range(1, 7)])
+    five = F.array(a0, a1, *[F.floor(((5 - k) * a0 + k * a1) / 5) for k in range(1, 5)], number(0), number(255))
+    own = with_palette(blocks, 8, True).withColumns({"p_a": F.when(a0 > a1, seven).otherwise(five), "low": little(2, 3), "high": little(5, 3)})
+    code = low_bits(right(F.when(t < 8, F.col("low")).otherwise(F.col("high")), 3 * low_bits(t, 3)), 3)
+    return texel_colours(own, 8, picked("p_a", code))
 
 
 #: Intensity modifiers (small, large) by table codeword: fixed values.
@@ -91,23 +109,33 @@ MODIFIERS = ((2, 8), (5, 17), (9, 29), (13, 42), (18, 60), (24, 80), (33, 106),
 
 
 def etc1(blocks: DataFrame) -> DataFrame:
-    """Eight bytes, the highest first; texels go down columns. Texel is row by row in the result, as everywhere."""
-    wide, flip = bits(byte(3), 1, 1) == 1, bits(byte(3), 0, 1) == 1
-    x, y = F.pmod("texel", F.lit(4)), F.floor(F.col("texel") / 4)
-    second = F.when(flip, y >= 2).otherwise(x >= 2)
+    """Eight bytes, the highest first; texels go down columns. Texel is row by row in the result, as everywhere.
+
+    What the codes of each half pick from is worked out once for a block, before its texels.
+    """
+    wide = bits(byte(3), 1, 1) == 1
+    own = blocks.select("vec_id", "block", (bits(byte(3), 0, 1) == 1).alias("flip"), big(4, 2).alias("msb"), big(6, 2).alias("lsb"), *[x.alias(n) for n, x in (("t0", bits(byte(3), 5, 3)), ("t1", bits(byte(3), 2, 3)))], *_bases(wide))
+    small, large = (F.array(*[number(m[k]) for m in MODIFIERS]) for k in (0, 1))
+    own = own.withColumns({f"{n}{h}": F.element_at(table, (F.col(f"t{h}") + 1).cast("int")) for h in (0, 1) for n, table in (("small", small), ("large", large))})
+    clip = lambda x: F.least(number(255), F.greatest(number(0), x))
+    own = own.withColumns({f"p_{c}{h}": F.array(*[clip(F.col(f"{c}{h}") + sign * F.col(f"{n}{h}")) for sign in (1, -1) for n in ("small", "large")]) for c in "rgb" for h in (0, 1)})
+    each = by_texel(own)
+    x, y = low_bits(F.col("texel"), 2), F.shiftright("texel", 2)
     place = x * 4 + y  # down columns
-    table = F.when(second, bits(byte(3), 2, 3)).otherwise(bits(byte(3), 5, 3))
-    at = lambda word: F.pmod(F.floor(word / F.pow(F.lit(2.0), place)), F.lit(2))
-    msb, lsb = at(big(4, 2)), at(big(6, 2))
-    size = F.when(lsb == 0, pick(table, [number(a) for a, _ in MODIFIERS])).otherwise(pick(table, [number(b) for _, b in MODIFIERS]))
-    change = F.when(msb == 1, -size).otherwise(size)
+    code = low_bits(right(F.col("msb"), place), 1) * 2 + low_bits(right(F.col("lsb"), place), 1)
+    each = each.withColumns({"second": F.when(F.col("flip"), y >= 2).otherwise(x >= 2), "code": code})
+    return each.select("vec_id", "block", "texel", *[F.when(F.col("second"), picked(f"p_{c}1", F.col("code"))).otherwise(picked(f"p_{c}0", F.col("code"))).alias(c) for c in "rgb"], number(255).alias("a"))
+
+
+def _bases(wide: Column) -> list[Column]:
+    """The base colour of both halves, by channel: five bits and a difference, or four bits each."""
     out = []
     for k, n in enumerate("rgb"):
         five, delta = bits(byte(k), 3, 5), bits(byte(k), 0, 3)
         moved = F.pmod(five + F.when(delta > 3, delta - 8).otherwise(delta), F.lit(32))
-        base = F.when(wide, replicate(F.when(second, moved).otherwise(five), 5)).otherwise(F.when(second, bits(byte(k), 0, 4)).otherwise(bits(byte(k), 4, 4)) * 17)
-        out.append(F.least(number(255), F.greatest(number(0), base + change)).alias(n))
-    return by_texel(blocks).select("vec_id", "block", "texel", *out, number(255).alias("a"))
+        out.append(F.when(wide, replicate(five, 5)).otherwise(bits(byte(k), 4, 4) * 17).alias(f"{n}0"))
+        out.append(F.when(wide, replicate(moved, 5)).otherwise(bits(byte(k), 0, 4) * 17).alias(f"{n}1"))
+    return out
 
 
 #: Lowest bits of the five-bit fields of a 16-byte block that modes of FXT1 read.
@@ -158,7 +186,7 @@ def fxt1(blocks: DataFrame) -> DataFrame:
     each = each.select("vec_id", "block", "kind", "c", "half", *[palette(n).alias(n) for n in "rgba"])
     each = by_texel(each, 16).withColumn("texel", F.col("texel") + 16 * F.col("half"))
     t = F.col("texel")
-    code3 = F.pmod(F.floor(pick(F.floor(t / 8), [little(3 * k, 3) for k in range(4)]) / F.pow(F.lit(8.0), F.pmod(t, F.lit(8)))), F.lit(8))
+    code3 = low_bits(right(pick(F.shiftright(t, 3), [little(3 * k, 3) for k in range(4)]), 3 * low_bits(t, 3)), 3)
     each = each.select("vec_id", "block", "kind", "texel", (F.when(F.col("kind") == "hi", code3).otherwise(two_bits(0)) + 1).cast("int").alias("place"), *"rgba")
     return each.select("vec_id", "block", "kind", "texel", *[F.element_at(n, F.col("place")).alias(n) for n in "rgba"])
 

@@ -130,11 +130,13 @@ def paletted_sql() -> str:
         "rgb5_a1": [*[sql_replicate(part(w, k, 5), 5) for k in (11, 6, 1)], f"({w} & 1) * 255"],
     }
     value = lambda k: "CASE form " + " ".join(f"WHEN '{f}' THEN {e[k]}" for f, e in entry.items()) + " END"
-    levels = " UNION ALL ".join(f"SELECT page_id, form, wide, size, e, {k} AS level, {8 >> k} AS w, h >> {k} AS h, start + " + " + ".join(["0", *[f"CASE WHEN wide THEN {8 >> j} * (h >> {j}) ELSE {8 >> j} * (h >> {j}) // 2 END" for j in range(k)]]) + " AS start FROM img WHERE h > 0" for k in range(MIPS))
+    levels = " UNION ALL ".join(f"SELECT page_id, form, wide, {k} AS level, {8 >> k} AS w, h >> {k} AS h, start + " + " + ".join(["0", *[f"CASE WHEN wide THEN {8 >> j} * (h >> {j}) ELSE {8 >> j} * (h >> {j}) // 2 END" for j in range(k)]]) + " AS start FROM img WHERE h > 0" for k in range(MIPS))
     return f"""WITH frm(k, form, wide, size) AS (VALUES {forms}), raw AS (SELECT page_id, {fixtures.sql_bytes('html')} AS e FROM pages WHERE html IS NOT NULL),
     img AS (SELECT *, size * CASE WHEN wide THEN 256 ELSE 16 END AS start, 4 * CAST(floor((len(e) - size * CASE WHEN wide THEN 256 ELSE 16 END) / CASE WHEN wide THEN 42 ELSE 21 END) AS BIGINT) AS h FROM raw JOIN frm ON frm.k = page_id % 10),
-    lev AS ({levels}), cod AS (SELECT page_id, form, level, w, size, e, list_transform(range(w * h), lambda i: CASE WHEN wide THEN e[start + i + 1] WHEN i % 2 = 1 THEN e[start + i // 2 + 1] & 15 ELSE e[start + i // 2 + 1] >> 4 END) AS codes FROM lev),
-    cut AS (SELECT page_id, form, level, w, unnest(range(len(codes))) AS i, unnest(list_transform(codes, lambda q: list_slice(e, q * size + 1, q * size + size))) AS c FROM cod), ent AS (SELECT page_id, form, level, i // w * 8 + i % w + 1 AS place, c FROM cut)
+    lev AS ({levels}), byt AS (SELECT page_id, unnest(e) AS v, unnest(range(len(e))) AS pos FROM raw),
+    pal AS (SELECT page_id, code, [max(v) FILTER (k = 0), max(v) FILTER (k = 1), max(v) FILTER (k = 2), max(v) FILTER (k = 3)] AS c FROM (SELECT page_id, v, pos // size AS code, pos % size AS k FROM byt JOIN (SELECT page_id, size, start FROM img) USING (page_id) WHERE pos < start) GROUP BY page_id, code),
+    cod AS (SELECT page_id, form, level, w, CASE WHEN wide THEN pos - start ELSE 2 * (pos - start) + odd END AS i, CASE WHEN wide THEN v WHEN odd = 1 THEN v & 15 ELSE v >> 4 END AS code, h FROM byt JOIN lev USING (page_id), range(2) o(odd) WHERE pos >= start AND (odd = 0 OR NOT wide) AND CASE WHEN wide THEN pos - start ELSE 2 * (pos - start) + odd END < w * h),
+    ent AS (SELECT page_id, form, level, i // w * 8 + i % w + 1 AS place, c FROM cod JOIN pal USING (page_id, code))
     SELECT page_id, level, count(*) AS texels, {', '.join(f'CAST(sum({value(k)} * place) AS BIGINT) AS sum_{n}' for k, n in enumerate('rgba'))} FROM ent GROUP BY page_id, level"""
 
 

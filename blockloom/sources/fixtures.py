@@ -44,8 +44,9 @@ def text_bytes(text: Column) -> Column:
 def text_codes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(vec_id, block, c): each text's UTF-8 bytes in whole blocks of so many bytes; what remains is left out."""
     each = rows.where(F.octet_length(text) >= size).select(F.col(key).alias("vec_id"), text_bytes(F.col(text)).alias("e"))
-    each = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.size("e") / size) - 1)))
-    return each.select("vec_id", "block", F.slice("e", (F.col("block") * size + 1).cast("int"), size).alias("c"))
+    # blocks are cut within the row, so that no row carries the whole text's bytes along
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.size("e") / size) - 1), lambda k: F.struct(k.alias("block"), F.slice("e", (k * size + 1).cast("int"), size).alias("c")))
+    return each.select("vec_id", F.explode(own).alias("x")).select("vec_id", "x.block", "x.c")
 
 
 def sql_bytes(text: str) -> str:
@@ -53,7 +54,8 @@ def sql_bytes(text: str) -> str:
 
 
 def sql_text_codes(table: str, key: str, text: str, size: int) -> str:
-    return f"raw AS (SELECT {key} AS vec_id, {sql_bytes(text)} AS e FROM {table} WHERE strlen({text}) >= {size}), cod AS (SELECT vec_id, k AS block, list_slice(e, k*{size}+1, k*{size}+{size}) AS c FROM (SELECT *, unnest(range(len(e) // {size})) AS k FROM raw))"
+    chunk = ", ".join(f"CAST('0x' || substr(h, {2 * i + 1}, 2) AS BIGINT)" for i in range(size))
+    return f"raw AS (SELECT {key} AS vec_id, unnest(regexp_extract_all(hex(encode({text})), '.{{{2 * size}}}')) AS h, unnest(range(strlen({text}) // {size})) AS block FROM {table} WHERE strlen({text}) >= {size}), cod AS (SELECT vec_id, block, [{chunk}] AS c FROM raw)"
 
 
 SQL_BLOCKS = "blk AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(least(255, greatest(0, floor((CAST(x AS DOUBLE) + 1) * 127.5 + 0.5))) AS BIGINT)) AS e FROM embeddings)"
