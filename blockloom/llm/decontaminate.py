@@ -14,7 +14,7 @@ from .common import scratch, set_aside, stored, texts, with_row_index
 #: Edits allowed as a share of an item's length.
 ERRORS = 0.05
 #: Characters of a piece by which it is looked up, and the logarithm of the bits that say which grams pieces begin with.
-GRAM, FILTER = 12, 27
+GRAM, FILTER = 12, 25
 BASE, SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 NOISE = re.compile(r"[\W_]+")
 

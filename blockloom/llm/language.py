@@ -86,6 +86,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int) -> tuple[n
     for _ in range(EPOCHS):
         for k in draw.permutation(len(rows)):
             y, ids, x = rows[k]
+            x = x.astype(np.float64)
             w, b = leader(z[ids], n[ids], L1, L2), leader(bz, bn, 0, 0)
             g = softmax(x @ w + b)
             g[y] -= 1
@@ -150,11 +151,12 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE) ->
                 values.append(x.astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary()), pa.array(values, pa.binary())], names=["lang", "apart", "ids", "x"])
 
-    rows = [(names.index(r.lang), np.frombuffer(r.ids, np.uint32).astype(np.int64), np.frombuffer(r.x, np.float32).astype(np.float64), r.apart) for r in chosen.mapInArrow(features, "lang string, apart boolean, ids binary, x binary").collect()]
-    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    # the sample stays in the bytes that it comes in, to spare the driver's memory
+    found = sorted(chosen.mapInArrow(features, "lang string, apart boolean, ids binary, x binary").collect(), key=lambda r: (r.lang, r.ids, r.x))
+    rows = [(names.index(r.lang), np.frombuffer(r.ids, np.uint32), np.frombuffer(r.x, np.float32), r.apart) for r in found]
     weights, bias = fit([r[:3] for r in rows if not r[3]], len(names))
     apart = [r for r in rows if r[3]]
-    logits = np.array([x @ weights[ids] + bias for _, ids, x, _ in apart]).reshape(-1, len(names))
+    logits = np.array([x.astype(np.float64) @ weights[ids] + bias for _, ids, x, _ in apart]).reshape(-1, len(names))
     return Model(names, idf, weights, bias, temperature(logits, np.array([r[0] for r in apart], dtype=int)))
 
 
