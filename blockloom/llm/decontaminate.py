@@ -14,7 +14,7 @@ from .common import scratch, set_aside, stored, texts, with_row_index
 #: Edits allowed as a share of an item's length.
 ERRORS = 0.05
 #: Characters of a piece by which it is looked up, and the logarithm of the bits that say which grams pieces begin with.
-GRAM, FILTER = 12, 25
+GRAM, FILTER = 12, 27
 BASE, SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 NOISE = re.compile(r"[\W_]+")
 
@@ -97,7 +97,8 @@ def known_pieces(items: DataFrame, errors: float) -> DataFrame:
 
 
 def found_grams(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(_row, place, width, gram) of the grams of whole normalised texts that some piece may begin with.
+    """(_row, said, place, width, gram) of the texts with grams that some piece may begin with: the normalised text, and
+    the grams in arrays. Only these texts travel.
 
     A table of 2^FILTER bits says which may; it is of that size whatever the benchmark, and lets some others through.
     """
@@ -110,21 +111,27 @@ def found_grams(rows: DataFrame, found: DataFrame) -> DataFrame:
         own[at : at + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)[: len(own) - at]
     shared = rows.sparkSession.sparkContext.broadcast(filters)
 
+    numbers = pa.list_(pa.int64())
+
     def run(batches):
         for b in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for key, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                codes = characters(normal(text))
-                for width, own in shared.value.items():
+                said = normal(text)
+                codes, own = characters(said), [[], [], []]
+                for width, bits in shared.value.items():
                     if len(codes) >= width:
                         h = gram_hashes(codes, width)
                         k = (h >> np.uint64(64 - FILTER)).astype(np.int64)
-                        place = np.flatnonzero(own[k >> 3] >> (k & 7).astype(np.uint8) & 1)
-                        for x, v in zip(out, (np.full(len(place), key), place, np.full(len(place), width), h[place].view(np.int64))):
+                        place = np.flatnonzero(bits[k >> 3] >> (k & 7).astype(np.uint8) & 1)
+                        for x, v in zip(own, (place, np.full(len(place), width), h[place].view(np.int64))):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], names=["_row", "place", "width", "gram"])
+                if any(len(x) for x in own[0]):
+                    for x, v in zip(out, (key, said.encode("utf-8", "surrogatepass"), *map(np.concatenate, own))):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), numbers, numbers, numbers))], names=["_row", "said", "place", "width", "gram"])
 
-    return rows.select("_row", F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_row long, place long, width long, gram long")
+    return rows.select("_row", F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_row long, said binary, place array<long>, width array<long>, gram array<long>")
 
 
 def least_edits(item: str, text: str, starts: list[int], errors: float) -> int | None:
@@ -148,7 +155,7 @@ def least_edits(item: str, text: str, starts: list[int], errors: float) -> int |
 
 
 def verified(candidates: DataFrame, errors: float) -> DataFrame:
-    """(_row, item_id, distance) of the candidates (_row, text, item_id, item, starts), which come in order of rows."""
+    """(_row, item_id, distance) of the candidates (_row, said, item_id, item, starts), which come in order of rows."""
 
     def run(batches):
         last, text = None, ""
@@ -156,7 +163,7 @@ def verified(candidates: DataFrame, errors: float) -> DataFrame:
             out = [[], [], []]
             for row, said, name, item, starts in zip(b.column(0).to_pylist(), b.column(1), *(b.column(k).to_pylist() for k in (2, 3, 4))):
                 if row != last:
-                    last, text = row, normal(said.as_py().decode("utf-8", "replace"))
+                    last, text = row, said.as_py().decode("utf-8", "surrogatepass")
                 if (d := least_edits(item, text, starts, errors)) is not None:
                     for x, v in zip(out, (row, name, d)):
                         x.append(v)
@@ -185,12 +192,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) ->
         items = stored(items.withColumn("_item", F.monotonically_increasing_id()), "items")
         found = stored(known_pieces(items, errors), "pieces")
         hits = stored(found_grams(rows, found), "hits")
-        met = hits.join(found, ["width", "gram"]).select("_row", "_item", (F.col("place") - F.col("start")).alias("at"))
+        each = hits.select("_row", F.explode(F.arrays_zip("place", "width", "gram")).alias("x")).select("_row", "x.*")
+        met = each.join(found, ["width", "gram"]).select("_row", "_item", (F.col("place") - F.col("start")).alias("at"))
         met = met.groupBy("_row", "_item").agg(F.collect_set("at").alias("starts"))
         met = stored(met.join(items, "_item").select("_row", "item_id", "item", "starts"), "candidates")
-        asked = rows.select("_row", F.col("text").cast("binary").alias("_text")).join(met, "_row").select("_row", "_text", "item_id", "item", "starts")
-        each = F.struct(F.col("item_id").isNull().alias("none"), "item_id", "distance")
-        got = verified(asked.sortWithinPartitions("_row"), errors).groupBy("_row").agg(F.array_sort(F.collect_list(each)).alias("_got"))
+        asked = hits.select("_row", "said").join(met, "_row").select("_row", "said", "item_id", "item", "starts")
+        one = F.struct(F.col("item_id").isNull().alias("none"), "item_id", "distance")
+        got = verified(asked.sortWithinPartitions("_row"), errors).groupBy("_row").agg(F.array_sort(F.collect_list(one)).alias("_got"))
         got = keep(stored(got.select(F.col("_row").alias("_of"), F.transform("_got", lambda x: F.struct(x["item_id"].alias("item_id"), x["distance"].alias("distance"))).alias("_items")), "got"))
     return rows.join(got, F.col("_row") == F.col("_of"), "left").drop("_row", "_of").toDF(*docs.columns, "_items")
 
