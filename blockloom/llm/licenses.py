@@ -75,6 +75,19 @@ def passages(said: Column) -> Column:
     return F.array_distinct(F.concat(F.array(said), F.split(said, "\n"), sentences))
 
 
+def mostly_known(words: Column, weights: Weights, least: float) -> Column:
+    """Whether enough of a passage's length lies in words of the templates; if not, its cosine with none can be this high.
+
+    Words of no template count as if they occurred once, which is the least that they can weigh.
+    """
+    known = F.array_intersect(F.array_distinct(words), F.array(*[F.lit(w) for w in weights.idf]))
+    idf = F.create_map(*[F.lit(x) for pair in weights.idf.items() for x in pair])
+    weight = lambda w: F.length(F.bin(F.size(F.filter(words, lambda x: x == w)).cast("long"))) * F.element_at(idf, w)
+    mass = F.aggregate(known, F.lit(0).cast("long"), lambda total, w: total + (weight(w) * weight(w)).cast("long"))
+    others = (F.size(F.array_distinct(words)) - F.size(known)) * float(weights.rare) ** 2
+    return mass * (1 - least**2) >= others * (least**2 * 0.999)
+
+
 def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
     """A small table of the templates' own, told apart by no more than ASCII words and numbers, to be broadcast."""
     names, kinds = zip(*(c.split() for c in columns.split(", ")))
@@ -102,7 +115,7 @@ def best_templates(near: DataFrame, weights: Weights, least: float) -> DataFrame
     norms = inline(spark, [(k, name, sum(x * x for x in v.values())) for k, (name, v) in enumerate(weights.vectors)], "k int, license string, size bigint")
     anchors = F.array(*[F.lit(w) for w in weights.anchors(least)])
     each = near.select("_row", F.explode("_near").alias("x")).select("_row", F.col("x.paragraph").alias("paragraph"), F.posexplode(passages(F.col("x.said"))).alias("piece", "said"))
-    each = each.select("_row", "paragraph", "piece", words_of(F.col("said")).alias("words")).where(F.arrays_overlap("words", anchors))
+    each = each.select("_row", "paragraph", "piece", words_of(F.col("said")).alias("words")).where(F.arrays_overlap("words", anchors) & mostly_known(F.col("words"), weights, least))
     passage = ["_row", "paragraph", "piece"]
     counts = each.select(*passage, F.explode("words").alias("word")).groupBy(*passage, "word").agg(F.count("*").alias("n")).join(idf, "word", "left")
     own = F.length(F.bin("n")).cast("long") * F.coalesce("idf", F.lit(weights.rare))
