@@ -196,11 +196,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) ->
         met = each.join(found, ["width", "gram"]).select("_row", "_item", (F.col("place") - F.col("start")).alias("at"))
         met = met.groupBy("_row", "_item").agg(F.collect_set("at").alias("starts"))
         met = stored(met.join(items, "_item").select("_row", "item_id", "item", "starts"), "candidates")
-        asked = hits.select("_row", "said").join(met, "_row").select("_row", "said", "item_id", "item", "starts")
+        asked = hits.select("_row", "said").join(met.hint("merge"), "_row").select("_row", "said", "item_id", "item", "starts")
         one = F.struct(F.col("item_id").isNull().alias("none"), "item_id", "distance")
         got = verified(asked.sortWithinPartitions("_row"), errors).groupBy("_row").agg(F.array_sort(F.collect_list(one)).alias("_got"))
         got = keep(stored(got.select(F.col("_row").alias("_of"), F.transform("_got", lambda x: F.struct(x["item_id"].alias("item_id"), x["distance"].alias("distance"))).alias("_items")), "got"))
-    return rows.join(got, F.col("_row") == F.col("_of"), "left").drop("_row", "_of").toDF(*docs.columns, "_items")
+    return rows.join(got.hint("merge"), F.col("_row") == F.col("_of"), "left").drop("_row", "_of").toDF(*docs.columns, "_items")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
