@@ -116,6 +116,7 @@ def best_templates(near: DataFrame, weights: Weights, least: float) -> DataFrame
     anchors = F.array(*[F.lit(w) for w in weights.anchors(least)])
     each = near.select("_row", F.explode("_near").alias("x")).select("_row", F.col("x.paragraph").alias("paragraph"), F.posexplode(passages(F.col("x.said"))).alias("piece", "said"))
     each = each.select("_row", "paragraph", "piece", words_of(F.col("said")).alias("words")).where(F.arrays_overlap("words", anchors) & mostly_known(F.col("words"), weights, least))
+    each = stored(each, "passages")  # few are left, and they are read three times
     passage = ["_row", "paragraph", "piece"]
     counts = each.select(*passage, F.explode("words").alias("word")).groupBy(*passage, "word").agg(F.count("*").alias("n")).join(idf, "word", "left")
     own = F.length(F.bin("n")).cast("long") * F.coalesce("idf", F.lit(weights.rare))
