@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, hmm, language, licenses, mixing, pii, repeats, simhash, topk
+from . import chat, decontaminate, hmm, language, licenses, lines, mixing, negatives, pii, repeats, simhash, topk, whitening
 from .common import table
 
 QUERIES = {
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_simhash": lambda spark, d: simhash.op8_simhash(table(spark, d, "documents")),
     "op9_pii": lambda spark, d: pii.op9_pii(table(spark, d, "documents")),
     "op10_repeats": lambda spark, d: repeats.op10_repeats(table(spark, d, "documents")),
+    "op11_negatives": lambda spark, d: negatives.op11_negatives(table(spark, d, "embeddings")),
+    "op12_lines": lambda spark, d: lines.op12_lines(table(spark, d, "documents")),
+    "op13_whitening": lambda spark, d: whitening.op13_whitening(table(spark, d, "embeddings")),
 }
-ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL, "op6_licenses": licenses.oracle()}
+ORACLE_SQL = {"op3_mix": mixing.OP3_SQL, "op5_topk": topk.OP5_SQL, "op6_licenses": licenses.oracle(), "op11_negatives": negatives.OP11_SQL, "op12_lines": lines.OP12_SQL}
