@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import batch, set_aside
+from .common import batch, scratch, set_aside, stored
 
 #: Code points that a key has at least, and documents that may hold it before all but the first lose it.
 LEAST, MOST = 10, 1
@@ -117,9 +117,11 @@ def deduplicated(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataF
     whatever their names; of clashing names, the two new ones get as many underscores as make them others.
     """
     aside = set_aside(docs, "doc_id", "text")
-    held = repeated(exploded(docs, least), most)
-    met = exploded(docs, least).join(held, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    dropped = met.groupBy("d1", "d2").agg(F.collect_set("k").alias("_dropped"))
+    # both are written: a join splits a hot key only where its sides come straight from a shuffle, not from a grouping
+    with scratch() as keep:
+        held = stored(repeated(exploded(docs, least), most), "held")
+        met = exploded(docs, least).join(held, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+        dropped = keep(stored(met.groupBy("d1", "d2").agg(F.collect_set("k").alias("_dropped")), "dropped"))
 
     def named(batches):
         for b in batches:
