@@ -1,20 +1,22 @@
 """Whole images: compress, decompress and compare folders of PNG files.
 
-python -m blockloom.images [-cde135urh] [--] SOURCE TARGET
+python -m blockloom.images [-cde135uriwh] [--] SOURCE TARGET
 
 -c compress PNG files to block files (default), -d decompress block files to PNG files, -e compare PNG files;
--1, -3, -5 BC1 (default), BC2, BC3; -u weigh colours alike instead of as the eye does; -r range fit, the only one.
+-1, -3, -5 BC1 (default), BC2, BC3; -u weigh colours alike instead of as the eye does; -r range fit, -i iterative cluster
+fit (default: cluster fit); -w weigh texels by their alpha.
 """
 
 from __future__ import annotations
 
 import sys
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.functions.channels import number
-from blockloom.operators import decode, encode, errors, layout
+from blockloom.operators import cluster, decode, encode, errors, layout
 from blockloom.sources.block_files import as_block_files, as_png_files, read_blocks, read_png, write_files
 
 
@@ -23,7 +25,7 @@ OPTIONS = {
     "h": ("help", "yes"), "c": ("mode", "compress"), "d": ("mode", "decompress"), "e": ("mode", "compare"), "1": ("codec", "bc1"), "3": ("codec", "bc2"), "5": ("codec", "bc3"),
     "u": ("metric", "uniform"), "r": ("fit", "range"), "i": ("fit", "iterative"), "w": ("weights", "alpha"), "-": ("options", "end"),
 }
-DEFAULTS = {"mode": "compress", "codec": "bc1", "metric": "perceptual", "fit": "range"}
+DEFAULTS = {"mode": "compress", "codec": "bc1", "metric": "perceptual", "fit": "cluster"}
 DECODERS = {"bc1": lambda blocks: decode.bc1(blocks, True), "bc2": decode.bc2, "bc3": decode.bc3}
 
 
@@ -40,8 +42,8 @@ def parsed(words: list[str]) -> tuple[dict[str, str], list[str]]:
             setting, value = OPTIONS[letter]
             found[setting] = value
             open_ = open_ and setting != "options"
-    if found["fit"] != "range" or "weights" in found:
-        raise ValueError("only the range fit, without weights, is built")
+    if found["fit"] == "range" and "weights" in found:
+        raise ValueError("the range fit takes the box of all texels, whatever their weights")
     return found, names
 
 
@@ -56,12 +58,16 @@ def rgba(pixels: DataFrame) -> DataFrame:
     return layout.normalised(pixels, F.col("channels"), at)
 
 
-def compress(pixels: DataFrame, codec: str = "bc1", metric: str = "uniform") -> DataFrame:
-    """(path, width, height, block, c): the blocks of images (path, width, height, channels, x, y, v)."""
+def compress(pixels: DataFrame, codec: str = "bc1", metric: str = "uniform", fit: str = "range", weighted: bool = False) -> DataFrame:
+    """(path, width, height, block, c): the blocks of images (path, width, height, channels, x, y, v).
+
+    fit is range, cluster or iterative; the last two can weigh texels by their alpha.
+    """
+    colours = encode.range_fit if fit == "range" else partial(cluster.cluster_fit, three=codec == "bc1", weighted=weighted, iterate=fit == "iterative")
     keys = ["path", "width", "height"]
     texels = rgba(pixels).select(*keys, "x", "y", F.array(*"rgba").alias("v"))
     tiles = layout.tiled(texels, keys, "v").select(*keys, (F.col("block_y") * F.floor(F.col("width") / 4) + F.col("block_x")).alias("block"), F.flatten("texels").alias("e"))
-    return encode.compressed(tiles, [*keys, "block"], codec, metric)
+    return encode.compressed(tiles, [*keys, "block"], codec, metric, colours)
 
 
 def decompress(blocks: DataFrame, codec: str = "bc1") -> DataFrame:
@@ -90,7 +96,7 @@ def main(*words: str) -> None:
     spark, (source, target), codec = SparkSession.builder.getOrCreate(), names, found["codec"]
     name = F.concat(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1), F.lit(".blk" if found["mode"] == "compress" else ".png")).alias("name")
     if found["mode"] == "compress":
-        write_files(as_block_files(compress(read_png(spark, source), codec, found["metric"]).select(name, "width", "height", "block", "c")), target)
+        write_files(as_block_files(compress(read_png(spark, source), codec, found["metric"], found["fit"], "weights" in found).select(name, "width", "height", "block", "c")), target)
     elif found["mode"] == "decompress":
         write_files(as_png_files(decompress(read_blocks(spark, source, encode.CODECS[codec]), codec).select(name, "x", "y", "v")), target)
     else:

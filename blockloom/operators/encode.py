@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,12 +67,12 @@ def ramp_alpha(blocks: DataFrame) -> DataFrame:
 CODECS = {"bc1": 8, "bc2": 16, "bc3": 16}
 
 
-def compressed(blocks: DataFrame, keys: list[str], codec: str = "bc1", metric: str = "uniform") -> DataFrame:
+def compressed(blocks: DataFrame, keys: list[str], codec: str = "bc1", metric: str = "uniform", colours: Callable[[DataFrame, list[str], str], DataFrame] = range_fit) -> DataFrame:
     """(keys, c): the bytes of blocks (keys, e) of 64 RGBA values; bc2 and bc3 have eight bytes of alpha before the colours."""
     if codec == "bc1":
-        return range_fit(blocks, keys, metric)
+        return colours(blocks, keys, metric).select(*keys, "c")
     own = blocks.withColumn("alpha", explicit_alpha(F.col("e"))) if codec == "bc2" else ramp_alpha(blocks)
-    return range_fit(own, [*keys, "alpha"], metric).select(*keys, F.concat("alpha", "c").alias("c"))
+    return colours(own, [*keys, "alpha"], metric).select(*keys, F.concat("alpha", "c").alias("c"))
 
 
 def mixed_half(halves: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from blockloom.operators import decode
 from blockloom.plans import blocks
 from blockloom.sources import fixtures
-from blockloom.sources.block_files import as_block_files, as_png_files, png_header, read_blocks, read_png, write_files
+from blockloom.sources.block_files import as_block_files, as_png_files, byte_at, png_header, read_blocks, read_png, write_files
 from blockloom.streaming.decode import block_stream, decode_available
 
 
@@ -41,6 +41,23 @@ def png_round_trip(spark, d):
     return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image"), "x", "y", F.element_at("v", 1).alias("v"))
 
 
+def interlaced_round_trip(spark, d):
+    """Texts of the pages as interlaced RGB images of 61 pixels a row, written and read: sums over their channels by row.
+
+    The last row is filled up with blanks; images of pages are as large as the pages.
+    """
+    pages = fixtures.dealt(spark.read.parquet(f"{d}/pages.parquet").where("octet_length(html) > 0").select("page_id", "html"))
+    each = F.rpad(F.encode("html", "UTF-8"), (F.ceil(F.octet_length("html") / 183) * 183).cast("int"), F.lit(b" "))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.octet_length("b") / 3) - 1), lambda k: F.substring("b", (k * 3 + 1).cast("int"), F.lit(3)))
+    pixels = pages.select("page_id", each.alias("b")).select("page_id", F.posexplode(cut).alias("at", "p"))
+    pixels = pixels.select(F.format_string("%d.png", "page_id").alias("name"), F.pmod("at", F.lit(61)).cast("long").alias("x"), F.floor(F.col("at") / 61).alias("y"), F.array(*[byte_at(F.col("p"), k + 1) for k in range(3)]).alias("v"))
+    path = scratch(spark)
+    write_files(as_png_files(pixels, interlaced=True), path)
+    own = read_png(spark, path).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("page_id"), "width", "height", "x", "y", "v")
+    sums = [F.sum(F.element_at("v", k + 1) * (F.col("x") + 1) * (F.col("y") + 1)).alias(f"sum_{c}") for k, c in enumerate("rgb")]
+    return own.groupBy("page_id", "width", "height").agg(F.count("*").alias("pixels"), *sums)
+
+
 def headers(spark, d):
     """What the first bytes of each embedding's PNG say; every third file lacks the signature."""
     pixels = blocks.pixels(spark, d).select("image", "x", "y", F.array("v").alias("v"))
@@ -56,5 +73,8 @@ def streamed(spark, d):
     return decode_available(stream, lambda df: decode.bc1(fixtures.coded(df, 8), False), scratch(spark))
 
 
-QUERIES = {"src2_snk1_block_files": file_round_trip, "src1_snk2_png_files": png_round_trip, "stream_dec1": streamed, "flt2_flt3_png_headers": headers}
-SQL = {"src2_snk1_block_files": blocks.SQL["dec1_bc1_rgb"], "src1_snk2_png_files": blocks.SQL["prj3_there_and_back"], "stream_dec1": blocks.SQL["dec1_bc1_rgb"], "flt2_flt3_png_headers": "SELECT vec_id AS image, vec_id % 3 <> 0 AS is_png, " + ", ".join(f"CASE WHEN vec_id % 3 <> 0 THEN {v} END AS {n}" for n, v in (("width", 8), ("height", 8), ("depth", 8), ("colour", 0))) + " FROM embeddings"}
+INTERLACED_SQL = """WITH p AS (SELECT page_id, hex(encode(html)) AS h, strlen(html) AS n FROM pages WHERE strlen(html) > 0), f AS (SELECT page_id, h || repeat('20', (183 - n % 183) % 183) AS h FROM p),
+    x AS (SELECT page_id, unnest(regexp_extract_all(h, '.{6}')) AS t, unnest(range(strlen(h) // 6)) AS o, strlen(h) // 366 AS height FROM f), c AS (SELECT page_id, height, (o % 61 + 1) * (o // 61 + 1) AS k, [CAST('0x' || substr(t, 2 * i + 1, 2) AS BIGINT) FOR i IN range(3)] AS v FROM x)
+    SELECT page_id, 61::BIGINT AS width, height, count(*) AS pixels, CAST(sum(v[1] * k) AS BIGINT) AS sum_r, CAST(sum(v[2] * k) AS BIGINT) AS sum_g, CAST(sum(v[3] * k) AS BIGINT) AS sum_b FROM c GROUP BY page_id, height"""
+QUERIES = {"src2_snk1_block_files": file_round_trip, "src1_snk2_png_files": png_round_trip, "stream_dec1": streamed, "flt2_flt3_png_headers": headers, "src1_interlaced_pages": interlaced_round_trip}
+SQL = {"src1_interlaced_pages": INTERLACED_SQL, "src2_snk1_block_files": blocks.SQL["dec1_bc1_rgb"], "src1_snk2_png_files": blocks.SQL["prj3_there_and_back"], "stream_dec1": blocks.SQL["dec1_bc1_rgb"], "flt2_flt3_png_headers": "SELECT vec_id AS image, vec_id % 3 <> 0 AS is_png, " + ", ".join(f"CASE WHEN vec_id % 3 <> 0 THEN {v} END AS {n}" for n, v in (("width", 8), ("height", 8), ("depth", 8), ("colour", 0))) + " FROM embeddings"}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Passes of an interlaced image: first column and row, steps right and down (fixed values).
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def byte_at(content: Column, place: Column | int) -> Column:
@@ -69,7 +71,7 @@ def unfiltered(data: bytes, height: int, stride: int, bpp: int) -> np.ndarray:
 
 
 def png_pixels(content: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, pixels of 1 to 4 channels of 8 bits), not interlaced.
+    """(width, height, pixels of 1 to 4 channels of 8 bits).
 
     Palettes are looked up, grey of 1, 2 or 4 bits is spread to 8, and a transparent colour or palette entry becomes alpha.
     """
@@ -83,15 +85,22 @@ def png_pixels(content: bytes) -> tuple[int, int, np.ndarray]:
             parts.append(found[kind])
         at += 12 + n
     width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", found[b"IHDR"])
-    if depth == 16 or interlaced:
-        raise ValueError("only 8 bits a channel or less, no interlace")
+    if depth == 16:
+        raise ValueError("only 8 bits a channel or less")
     channels, clear = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour], found.get(b"tRNS")
-    stride = (width * channels * depth + 7) // 8
-    rows = unfiltered(zlib.decompress(b"".join(parts)), height, stride, max(1, channels * depth // 8))
-    if depth < 8:
-        bits_ = np.unpackbits(rows, axis=1).reshape(height, -1, depth)[:, :width]
-        rows = (bits_ @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
-    pixels = rows.reshape(height, width, channels)
+    data, at = zlib.decompress(b"".join(parts)), 0
+    pixels = np.zeros((height, width, channels), np.uint8)
+    for x, y, right, down in PASSES if interlaced else ((0, 0, 1, 1),):
+        own = pixels[y::down, x::right]
+        if not own.size:  # a pass of no pixels has no rows, not even their filters
+            continue
+        stride = (own.shape[1] * channels * depth + 7) // 8
+        rows = unfiltered(data[at : at + len(own) * (stride + 1)], len(own), stride, max(1, channels * depth // 8))
+        at += len(own) * (stride + 1)
+        if depth < 8:
+            bits_ = np.unpackbits(rows, axis=1).reshape(len(own), -1, depth)[:, : own.shape[1]]
+            rows = (bits_ @ (1 << np.arange(depth)[::-1])).astype(np.uint8)
+        own[:] = rows.reshape(own.shape)
     if colour == 3:
         palette = np.frombuffer(found[b"PLTE"], np.uint8).reshape(-1, 3)
         if clear is not None:
@@ -107,12 +116,19 @@ def png_pixels(content: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels if alpha is None else np.dstack([pixels, alpha])
 
 
-def png_bytes(pixels: np.ndarray) -> bytes:
+def png_bytes(pixels: np.ndarray, interlaced: bool = False, filter_: int = 0) -> bytes:
+    """An image of 8 bits a channel; rows are filtered by none (0) or by the pixel above (2)."""
     height, width, channels = pixels.shape
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)
-    rows = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)], axis=1)
-    return SIGNATURE + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, int(interlaced))
+    rows = []
+    for x, y, right, down in PASSES if interlaced else ((0, 0, 1, 1),):
+        own = pixels[y::down, x::right]
+        if own.size:
+            flat = own.reshape(len(own), -1)
+            flat = np.diff(flat, axis=0, prepend=np.zeros((1, flat.shape[1]), np.uint8)) if filter_ == 2 else flat
+            rows.append(np.concatenate([np.full((len(own), 1), filter_, np.uint8), flat], axis=1).tobytes())
+    return SIGNATURE + part(b"IHDR", head) + part(b"IDAT", zlib.compress(b"".join(rows))) + part(b"IEND", b"")
 
 
 def png_header(content: Column) -> dict[str, Column]:
@@ -140,7 +156,7 @@ def read_png(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, width long, height long, channels long, x long, y long, v array<long>")
 
 
-def as_png_files(pixels: DataFrame, name: str = "name") -> DataFrame:
+def as_png_files(pixels: DataFrame, name: str = "name", interlaced: bool = False) -> DataFrame:
     """(name, content) from (name, x, y, v): one row per image."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -148,7 +164,7 @@ def as_png_files(pixels: DataFrame, name: str = "name") -> DataFrame:
         v = np.array(rows.column("v").to_pylist(), np.uint8)
         image = np.zeros((y.max() + 1, x.max() + 1, v.shape[1]), np.uint8)
         image[y, x] = v
-        return pa.table({name: rows.column(name).slice(0, 1), "content": pa.array([png_bytes(image)], pa.binary())})
+        return pa.table({name: rows.column(name).slice(0, 1), "content": pa.array([png_bytes(image, interlaced, 2 * interlaced)], pa.binary())})
 
     return pixels.select(name, "x", "y", "v").groupBy(name).applyInArrow(run, f"{name} {pixels.schema[name].dataType.simpleString()}, content binary")
 

@@ -41,12 +41,24 @@ def text_bytes(text: Column) -> Column:
     return F.when(F.length(latin) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.split(latin, ""), lambda c: F.ascii(c).cast("long")))
 
 
+def numbers(code: Column, size: int) -> Column:
+    """So many bytes, a multiple of four, as an array of numbers: four at a time, as parts of one number."""
+    words = [F.conv(F.hex(F.substring(code, 4 * k + 1, 4)), 16, 10).cast("long") for k in range(size // 4)]
+    return F.array(*[F.shiftright(w, s).bitwiseAND(F.lit(255).cast("long")) for w in words for s in (24, 16, 8, 0)])
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than can run at once, such as a file of one row group, dealt out evenly."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+
+
 def text_codes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(vec_id, block, c): each text's UTF-8 bytes in whole blocks of so many bytes; what remains is left out."""
-    each = rows.where(F.octet_length(text) >= size).select(F.col(key).alias("vec_id"), text_bytes(F.col(text)).alias("e"))
+    each = dealt(rows.where(F.octet_length(text) >= size).select(key, text)).select(F.col(key).alias("vec_id"), F.encode(F.col(text), "UTF-8").alias("b"), F.floor(F.octet_length(text) / size).alias("n"))
     # blocks are cut within the row, so that no row carries the whole text's bytes along
-    own = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.size("e") / size) - 1), lambda k: F.struct(k.alias("block"), F.slice("e", (k * size + 1).cast("int"), size).alias("c")))
-    return each.select("vec_id", F.explode(own).alias("x")).select("vec_id", "x.block", "x.c")
+    own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.substring("b", (k * size + 1).cast("int"), F.lit(size)))
+    return each.select("vec_id", F.posexplode(own).alias("block", "c")).select("vec_id", F.col("block").cast("long").alias("block"), numbers(F.col("c"), size).alias("c"))
 
 
 def sql_bytes(text: str) -> str:

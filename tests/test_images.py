@@ -51,12 +51,48 @@ def test_alpha_goes_there_and_back(spark, tmp_path):
 
 
 def test_options():
-    assert images.parsed(["-5u", "a", "-d", "--", "-x"]) == ({"mode": "decompress", "codec": "bc3", "metric": "uniform", "fit": "range", "options": "end"}, ["a", "-x"])
-    for word in ("-z", "-i", "-w"):
+    assert images.parsed(["-5u", "a", "-d", "--", "-x"]) == ({"mode": "decompress", "codec": "bc3", "metric": "uniform", "fit": "cluster", "options": "end"}, ["a", "-x"])
+    assert images.parsed(["-riw"])[0] == {"mode": "compress", "codec": "bc1", "metric": "perceptual", "fit": "iterative", "weights": "alpha"}
+    for word in ("-z", "-rw"):
         with pytest.raises(ValueError):
             images.parsed([word])
 
 
+def test_fits_by_option(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    own = draw.integers(0, 256, (16, 16, 4)).astype(np.uint8)
+    own[:8, :, 3] = 0
+    (tmp_path / "png").mkdir()
+    (tmp_path / "png/a.png").write_bytes(block_files.png_bytes(own, True))
+    far = {}
+    for word in ("-ur", "-u", "-ui", "-uw", "-ui5"):
+        images.main(word, str(tmp_path / "png"), str(tmp_path / f"blocks{word}"))
+        images.main("-d5" if "5" in word else "-d", str(tmp_path / f"blocks{word}"), str(tmp_path / f"back{word}"))
+        p = block_files.png_pixels((tmp_path / f"back{word}/a.png").read_bytes())[2].astype(int)
+        far[word] = ((p - own)[:, :, :3] ** 2).sum()
+    assert far["-ui"] <= far["-u"] < far["-ur"] and far["-u"] < far["-uw"] and far["-ui"] <= far["-ui5"]
+
+
+def test_interlaced():
+    draw = np.random.default_rng(2)
+    for channels in (1, 2, 3, 4):
+        for height, width in ((1, 1), (1, 5), (3, 2), (8, 8), (13, 17)):
+            own = draw.integers(0, 256, (height, width, channels)).astype(np.uint8)
+            for kind in (0, 2):
+                assert (block_files.png_pixels(block_files.png_bytes(own, True, kind))[2] == own).all()
+    # a palette of four in two bits a pixel, 5 by 3: the passes' rows packed by hand
+    own = draw.integers(0, 4, (3, 5))
+    rows = b""
+    for x, y, right, down in block_files.PASSES:
+        for line in own[y::down, x::right]:
+            if len(line):
+                bits = "".join(f"{v:02b}" for v in line)
+                rows += b"\0" + int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    head = part(b"IHDR", struct.pack(">IIBBBBB", 5, 3, 2, 3, 0, 0, 1))
+    content = block_files.SIGNATURE + head + part(b"PLTE", bytes(range(12))) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    assert (block_files.png_pixels(content)[2][:, :, 0] == own * 3).all()
+
+
 def part(kind, data):
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
