@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Passes of an interlaced image: first column and row, steps right and down (fixed values).
@@ -204,3 +205,91 @@ class FilesWriter(DataSourceWriter):
 def write_files(df: DataFrame, path: str) -> None:
     df.sparkSession.dataSource.register(Files)
     df.select(F.col("name").cast("string").alias("name"), "content").write.format("content_files").option("path", path).mode("append").save()
+
+
+#: Blocks of a task at most, and of a record batch.
+RANGE, BATCH = 1 << 18, 1 << 13
+
+
+class BlockRange(InputPartition):
+    """Blocks first to last (excluded) of a file, of which all blocks are count."""
+
+    def __init__(self, path: str, count: int, first: int, last: int) -> None:
+        self.path, self.count, self.first, self.last = path, count, first, last
+
+
+class BlockFiles(DataSource):
+    """Reads block files below option path by ranges of blocks, each a task: (path, width, height, block, c).
+
+    Options: size, bytes of a block (8 or 16); range, blocks of a task at most. The path is one that pyarrow's file
+    systems know. Comparisons of block with numbers are pushed down: tasks read no bytes of other blocks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "block_files"
+
+    def schema(self) -> str:
+        return "path string, width long, height long, block long, c array<long>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return BlockFilesReader(self.options["path"], int(self.options["size"]), int(self.options.get("range", RANGE)))
+
+
+class BlockFilesReader(DataSourceReader):
+    def __init__(self, path: str, size: int, range_: int) -> None:
+        self.path, self.size, self.range, self.low, self.high = path, size, range_, 0, 1 << 62
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds on block; all filters are looked at by Spark as well."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("block",):
+                if isinstance(f, EqualTo | GreaterThanOrEqual | GreaterThan):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThanOrEqual | LessThan):
+                    self.high = min(self.high, f.value + (not isinstance(f, LessThan)))
+                if isinstance(f, In) and f.value:
+                    self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value) + 1)
+            yield f
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.path)
+        found = system.get_file_info(base)
+        files = [found] if found.is_file else [f for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and not f.base_name.startswith((".", "_"))]
+        out = []
+        for f in files:
+            count, rest = divmod(f.size - 8, self.size)
+            if count < 0 or rest:
+                raise ValueError(f"not a file of whole blocks: {f.path}")
+            first, last = max(0, self.low), min(count, self.high)
+            out += [BlockRange(f.path, count, at, min(at + self.range, last)) for at in range(first, last, self.range)]
+        return out or [BlockRange("", 0, 0, 0)]
+
+    def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        if part.first >= part.last:
+            return
+        with fs.FileSystem.from_uri(self.path)[0].open_input_file(part.path) as file:
+            width, height = struct.unpack("<ii", file.read(8))
+            if width % 4 or height % 4 or width * height != 16 * part.count:
+                raise ValueError(f"not a file of whole blocks: {part.path}")
+            file.seek(8 + part.first * self.size)
+            for at in range(part.first, part.last, BATCH):
+                n = min(BATCH, part.last - at)
+                codes = np.frombuffer(file.read(n * self.size), np.uint8).astype(np.int64)
+                whole = lambda x: pa.array(np.full(n, x, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(codes) + 1, self.size), pa.int32()), pa.array(codes))
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), whole(width), whole(height), pa.array(np.arange(at, at + n)), lists], names=["path", "width", "height", "block", "c"])
+
+
+def read_block_ranges(spark: SparkSession, path: str, size: int, range_: int = RANGE) -> DataFrame:
+    """The same rows as read_blocks: a file of any size spreads over tasks, and filters on block leave out what they can.
+
+    For file systems that pyarrow knows; read_blocks takes every path that Spark can read.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(BlockFiles)
+    return spark.read.format("block_files").option("path", path).option("size", size).option("range", range_).load()

@@ -117,3 +117,25 @@ def test_unknown_file_systems_raise(spark):
     one = spark.createDataFrame([("a", bytearray(b"x"))], "name string, content binary")
     with pytest.raises(Exception, match="(?i)nosuch"):
         block_files.write_files(one, "nosuch://place/folder")
+
+
+def test_one_file_over_several_tasks(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    for name, size, blocks in (("a", 8, 700), ("b", 8, 5), ("none", 8, 0)):
+        (tmp_path / f"{name}.blk").write_bytes(struct.pack("<ii", 4 * blocks, 4) + draw.integers(0, 256, blocks * size).astype(np.uint8).tobytes())
+    path = str(tmp_path)
+    own, plain = block_files.read_block_ranges(spark, path, 8, 64), block_files.read_blocks(spark, path, 8)
+    held = lambda df: sorted((r.path[-5:], r.width, r.height, r.block, tuple(r.c)) for r in df.collect())
+    assert own.rdd.getNumPartitions() == 11 + 1 and held(own) == held(plain) and len(held(own)) == 705
+    some = own.where("block >= 600 and block < 650")
+    assert some.rdd.getNumPartitions() == 1 and held(some) == held(plain.where("block >= 600 and block < 650"))
+    assert held(own.where("block in (3, 650)")) == held(plain.where("block in (3, 650)"))
+    assert held(own.where("block > 4 and block <= 6 or block = 9")) == held(plain.where("block > 4 and block <= 6 or block = 9"))
+    assert own.where("block = 1000").collect() == [] and own.where("block < 0").collect() == []
+    assert len(block_files.read_block_ranges(spark, str(tmp_path / "a.blk"), 8).collect()) == 700
+    (tmp_path / "odd.blk").write_bytes(struct.pack("<ii", 4, 4) + b"123")
+    with pytest.raises(Exception, match="whole blocks"):
+        block_files.read_block_ranges(spark, path, 8).collect()
+    (tmp_path / "odd.blk").write_bytes(struct.pack("<ii", 8, 4) + b"12345678")
+    with pytest.raises(Exception, match="whole blocks"):
+        block_files.read_block_ranges(spark, path, 8).collect()
