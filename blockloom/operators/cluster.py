@@ -55,44 +55,87 @@ def principal_axis(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return v
 
 
+def rounded(n: np.ndarray, det: np.ndarray, top: int, whole: int) -> np.ndarray:
+    """whole * n / det, of 0 to 255, to the nearest of the steps from 0 to top."""
+    return np.clip(np.floor((2 * top * whole * n + 255 * det) / (510 * det)), 0, top)
+
+
+class Splits:
+    """The normal equations of all splits of blocks whose texels are in order: sums of shares, and of shares by channel."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, levels: tuple[int, ...], metric: tuple[int, ...]) -> None:
+        self.whole, self.a, self.metric = levels[0], split_shares(levels), metric
+        alike = (w == w[:1]).all()
+        own = w[:1] if alike else w  # sums of shares are the same for all blocks where weights are
+        once = own @ self.a
+        self.aa = own @ (self.a * self.a)
+        self.bb, self.ab = self.whole**2 * own.sum(1, keepdims=True) - 2 * self.whole * once + self.aa, self.whole * once - self.aa
+        self.det = self.aa * self.bb - self.ab * self.ab
+        self.wx = w[:, :, None] * x
+        self.sums, self.squares = self.wx.sum(1), (self.wx * x).sum(1)
+        self.ax = [self.wx[:, :, k] @ self.a for k in range(3)]
+
+    def bounds(self) -> np.ndarray:
+        """What no ends can be below: the error of the exact solution, which needs no rounding; infinite where there is none."""
+        total, bad = self.whole * self.sums, self.det <= 0
+        det = np.where(bad, 1, self.det) / self.whole**2
+        cross = np.einsum("btk,bk->bt", self.wx, total * self.metric) @ self.a
+        cross *= 2 * (self.ab + self.aa) / det
+        square = self.ax[0] * self.ax[0]
+        square *= self.metric[0]
+        for m, ax in zip(self.metric[1:], self.ax[1:]):
+            own = ax * ax
+            square += own if m == 1 else m * own
+        square *= (self.bb + 2 * self.ab + self.aa) / det
+        cross -= square
+        cross -= (self.aa / det) * ((total * total) @ self.metric)[:, None]
+        cross += self.whole**2 * (self.squares @ self.metric)[:, None]
+        if len(bad) == 1:
+            cross[:, bad[0]] = np.inf
+        else:
+            cross[bad] = np.inf
+        return cross
+
+    def solved(self, block: np.ndarray, split: np.ndarray, bits: tuple[int, ...]) -> tuple[np.ndarray, list]:
+        """Errors and ends, by channel, of some splits of some blocks."""
+        row = block if len(self.det) > 1 else np.zeros_like(block)
+        aa, bb, ab, det = (z[row, split] for z in (self.aa, self.bb, self.ab, self.det))
+        error, ends, whole = np.zeros(len(block)), [], self.whole
+        for k, width in enumerate(bits):
+            ax = self.ax[k][block, split]
+            bx = whole * self.sums[block, k] - ax
+            own = [rounded(n, det, (1 << width) - 1, whole) for n in (ax * bb - bx * ab, bx * aa - ax * ab)]
+            p, q = (expanded(g, width) for g in own)
+            error += self.metric[k] * (p * (aa * p + 2 * (ab * q - whole * ax)) + q * (bb * q - 2 * whole * bx) + whole * whole * self.squares[block, k])
+            ends.append(own)
+        return error, ends
+
+
 def best_split(x: np.ndarray, w: np.ndarray, axis: np.ndarray, levels: tuple[int, ...], bits: tuple[int, ...], metric: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """(error, ends): the split of texels in order of their projection (then place) that leaves the least squared error.
 
     The error is in squares of the levels' whole share, infinite where no split has an answer; ends are (blocks, 2, 3)
-    in as many bits as the channels have. The first split counts among equals.
+    in as many bits as the channels have. The first split counts among equals. Rounding ends to their bits cannot lower
+    an error, so only those splits are rounded whose exact solution is no worse than the best rounded so far.
     """
+    n = len(x)
     order = np.argsort(np.einsum("bti,bi->bt", x, axis), axis=1, kind="stable")
     x, w = np.take_along_axis(x, order[:, :, None], 1).astype(np.float64), np.take_along_axis(w, order, 1).astype(np.float64)
-    a, whole = split_shares(levels), levels[0]
-    total, once = w.sum(1, keepdims=True), w @ a
-    aa = w @ (a * a)
-    bb, ab = whole * whole * total - 2 * whole * once + aa, whole * once - aa
-    det = aa * bb - ab * ab
-    fine = det > 0
-    det[~fine] = 1
-    half, twice, error, ends = 255 * det, 510 * det, np.where(fine, 0.0, np.inf), []
-
-    def rounded(n: np.ndarray, top: int) -> np.ndarray:
-        """n over det as a share of 255 in steps of the top, to the nearest."""
-        n *= 2 * top * whole
-        n += half
-        n /= twice
-        np.floor(n, out=n)
-        np.maximum(n, 0, out=n)
-        return np.minimum(n, top, out=n)
-
-    for k, width in enumerate(bits):
-        wx = w * x[:, :, k]
-        ax = wx @ a
-        bx = whole * wx.sum(1, keepdims=True) - ax
-        own = [rounded(ax * bb - bx * ab, (1 << width) - 1), rounded(bx * aa - ax * ab, (1 << width) - 1)]
-        p, q = (expanded(g, width) for g in own)
-        rest = p * (aa * p + 2 * (ab * q - whole * ax)) + q * (bb * q - 2 * whole * bx) + whole * whole * (wx * x[:, :, k]).sum(1, keepdims=True)
-        error += rest if metric[k] == 1 else metric[k] * rest
-        ends.append(own)
-    best = error.argmin(1)
-    pick = lambda z: np.take_along_axis(z, best[:, None], 1)[:, 0]
-    return pick(error), np.stack([np.stack([pick(own[e]) for own in ends], 1) for e in (0, 1)], 1).astype(np.int64)
+    error, ends = np.full(n, np.inf), np.zeros((n, 2, 3), np.int64)
+    if not n:
+        return error, ends
+    splits = Splits(x, w, levels, metric)
+    bound = splits.bounds()
+    first = bound.argmin(1)
+    some = np.flatnonzero(np.isfinite(bound[np.arange(n), first]))
+    error[some] = splits.solved(some, first[some], bits)[0]
+    block, split = np.nonzero(bound <= np.where(np.isfinite(error), error, -1)[:, None] * (1 + 1e-9) + 1e-3)
+    found, solved = splits.solved(block, split, bits)
+    order = np.lexsort((split, found, block))
+    at = order[np.unique(block[order], return_index=True)[1]]
+    error[block[at]] = found[at]
+    ends[block[at]] = np.stack([np.stack([own[e][at] for own in solved], 1) for e in (0, 1)], 1).astype(np.int64)
+    return error, ends
 
 
 def fitted(x: np.ndarray, w: np.ndarray, levels: tuple[int, ...], bits: tuple[int, ...], metric: tuple[int, ...], iterate: bool) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -152,12 +195,18 @@ def block_bytes(e: np.ndarray, metric: tuple[int, ...], three: bool, weighted: b
     return out, best.astype(np.int64), error.astype(np.int64)
 
 
+def pixels(column: pa.Array) -> np.ndarray:
+    """(blocks, 16, 4) of arrays of 64 numbers, or of 64 bytes each."""
+    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8) if pa.types.is_binary(column.type) else column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64).reshape(-1, 16, 4)
+
+
 def in_steps(batches, columns: list[str], work):
     """Hands blocks e of 64 numbers on in steps; columns come along, before what the work gives for them."""
     for b in batches:
         for at in range(0, b.num_rows, STEP):
             some = b.slice(at, STEP)
-            e = some.column("e").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, 16, 4)
+            e = pixels(some.column("e"))
             new = work(e)
             yield pa.RecordBatch.from_arrays([*(some.column(c) for c in columns), *new.values()], names=[*columns, *new])
 
@@ -167,7 +216,7 @@ def shape(blocks: DataFrame, columns: list[str]) -> str:
 
 
 def cluster_fit(blocks: DataFrame, keys: list[str], metric: str = "uniform", three: bool = True, weighted: bool = False, iterate: bool = False) -> DataFrame:
-    """(keys, c, error, box_error): eight bytes of BC1 for blocks (keys, e) of 64 RGBA values, their squared error by the
+    """(keys, c, error, box_error): eight bytes of BC1 for blocks (keys, e) of 64 RGBA values or bytes, their squared error by the
     metric, and that of the range fit.
 
     The colours are split in runs along the principal axis in all ways, three or four colours to a block, and ends are

@@ -30,15 +30,19 @@ def fit_query(**options):
 
 def text_pixels(rows, key, text):
     """Whole texts as blocks of 16 RGBA pixels, 64 bytes each; what remains of a text is left out."""
-    return fixtures.text_codes(rows, key, text, 64).select(F.col("vec_id").alias(key), "block", F.col("c").alias("e"))
+    return fixtures.text_blocks(rows, key, text, 64).select(F.col("vec_id").alias(key), "block", F.col("c").alias("e"))
+
+
+#: What tells byte strings apart: a sum of bytes by powers of 257.
+DIGEST = 1_000_000_007
 
 
 def documents(spark, d):
     """Each document's bytes as blocks of pixels: how many, their error by the cluster fit and by the box, and a sum over all bytes."""
     blocks = text_pixels(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
     found = cluster.cluster_fit(blocks, ["doc_id", "block"])
-    digest = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: F.pmod(a * 257 + x, F.lit(1_000_000_007)))
-    each = found.select("doc_id", "error", "box_error", F.pmod(digest * (F.pmod("block", F.lit(1009)) + 1), F.lit(1_000_000_007)).alias("digest"))
+    digest = sum(F.element_at("c", k + 1) * pow(257, k, DIGEST) for k in range(8))
+    each = found.select("doc_id", "error", "box_error", F.pmod(F.pmod(digest, F.lit(DIGEST)) * (F.pmod("block", F.lit(1009)) + 1), F.lit(DIGEST)).alias("digest"))
     return each.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.sum("error").alias("error"), F.sum("box_error").alias("box_error"), F.count_if(F.col("error") > F.col("box_error")).alias("worse"), F.sum("digest").alias("digest"))
 
 
@@ -182,9 +186,9 @@ def round_trip_sql() -> str:
 
 def documents_sql() -> str:
     px = f"{fixtures.sql_text_codes('documents', 'doc_id', 'text', 64)}, px AS MATERIALIZED (SELECT vec_id, block, t AS texel, c[4*t+1] AS r, c[4*t+2] AS g, c[4*t+3] AS b, 1 AS w FROM cod, range(16) s(t))"
-    digest = "list_reduce([0::BIGINT] || c, lambda a, x: (a * 257 + x) % 1000000007)"
+    digest = "(" + " + ".join(f"c[{k + 1}] * {pow(257, k, DIGEST)}" for k in range(8)) + f") % {DIGEST}"
     return f"""WITH {px}, {sql_fit('px', 'vec_id, block')}, bx AS (SELECT vec_id, block, error FROM (WITH {sql_coded('bb', 'px', [('box', True)], 'vec_id, block', METRICS['uniform'])} SELECT * FROM bb))
-    SELECT vec_id AS doc_id, count(*) AS blocks, CAST(sum(best.error) AS BIGINT) AS error, CAST(sum(bx.error) AS BIGINT) AS box_error, count(*) FILTER (best.error > bx.error) AS worse, CAST(sum({digest} * (block % 1009 + 1) % 1000000007) AS BIGINT) AS digest
+    SELECT vec_id AS doc_id, count(*) AS blocks, CAST(sum(best.error) AS BIGINT) AS error, CAST(sum(bx.error) AS BIGINT) AS box_error, count(*) FILTER (best.error > bx.error) AS worse, CAST(sum({digest} * (block % 1009 + 1) % {DIGEST}) AS BIGINT) AS digest
     FROM best JOIN bx USING (vec_id, block) GROUP BY vec_id"""
 
 

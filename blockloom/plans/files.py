@@ -44,14 +44,14 @@ def png_round_trip(spark, d):
 
 
 def file_ranges(spark, d):
-    """Texts of the pages as block files of one row of blocks, read by ranges of 64 blocks from the ninth on, and summed up.
+    """Texts of the pages as block files of one row of blocks, read by ranges of 4096 blocks, of each from the ninth on, and summed up.
 
     What remains of a page after its last whole block is left out."""
     pages = fixtures.text_codes(spark.read.parquet(f"{d}/pages.parquet"), "page_id", "html", 16)
     each = pages.withColumn("width", 4 * F.count("*").over(Window.partitionBy("vec_id")))
     path = scratch(spark)
     write_files(as_block_files(each.select(F.format_string("%d.blk", "vec_id").alias("name"), "width", F.lit(4).cast("long").alias("height"), "block", "c")), path)
-    found = read_block_ranges(spark, path, 16, 64).where("block >= 8")
+    found = read_block_ranges(spark, path, 16, 4096).where("block >= 8")
     code = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: F.pmod(a * 257 + x, F.lit(1_000_000_007)))
     each = found.select(F.regexp_extract("path", r"(\d+)\.blk$", 1).cast("long").alias("page_id"), "width", F.pmod(code * (F.pmod("block", F.lit(1009)) + 1), F.lit(1_000_000_007)).alias("code"))
     return each.groupBy("page_id", "width").agg(F.count("*").alias("blocks"), F.sum("code").alias("digest"))

@@ -211,15 +211,16 @@ def write_files(df: DataFrame, path: str) -> None:
 RANGE, BATCH = 1 << 18, 1 << 13
 
 
-class BlockRange(InputPartition):
-    """Blocks first to last (excluded) of a file, of which all blocks are count."""
+class BlockRanges(InputPartition):
+    """What one task reads: of some files (path, all blocks), blocks first to last (excluded)."""
 
-    def __init__(self, path: str, count: int, first: int, last: int) -> None:
-        self.path, self.count, self.first, self.last = path, count, first, last
+    def __init__(self, parts: list[tuple[str, int, int, int]]) -> None:
+        self.parts = parts
 
 
 class BlockFiles(DataSource):
-    """Reads block files below option path by ranges of blocks, each a task: (path, width, height, block, c).
+    """Reads block files below option path by ranges of blocks: (path, width, height, block, c). A large file is read by
+    several tasks, small ones share a task.
 
     Options: size, bytes of a block (8 or 16); range, blocks of a task at most. The path is one that pyarrow's file
     systems know. Comparisons of block with numbers are pushed down: tasks read no bytes of other blocks.
@@ -258,31 +259,37 @@ class BlockFilesReader(DataSourceReader):
         system, base = fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(base)
         files = [found] if found.is_file else [f for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if f.is_file and not f.base_name.startswith((".", "_"))]
-        out = []
+        out, held = [[]], 0
         for f in files:
             count, rest = divmod(f.size - 8, self.size)
             if count < 0 or rest:
                 raise ValueError(f"not a file of whole blocks: {f.path}")
-            first, last = max(0, self.low), min(count, self.high)
-            out += [BlockRange(f.path, count, at, min(at + self.range, last)) for at in range(first, last, self.range)]
-        return out or [BlockRange("", 0, 0, 0)]
-
-    def read(self, part: BlockRange) -> Iterator[pa.RecordBatch]:
+            at, last = max(0, self.low), min(count, self.high)
+            while at < last:
+                if held == self.range:
+                    out.append([])
+                    held = 0
+                n = min(last - at, self.range - held)
+                out[-1].append((f.path, count, at, at + n))
+                at, held = at + n, held + n
+        return [BlockRanges(parts) for parts in out]
+
+    def read(self, task: BlockRanges) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        if part.first >= part.last:
-            return
-        with fs.FileSystem.from_uri(self.path)[0].open_input_file(part.path) as file:
-            width, height = struct.unpack("<ii", file.read(8))
-            if width % 4 or height % 4 or width * height != 16 * part.count:
-                raise ValueError(f"not a file of whole blocks: {part.path}")
-            file.seek(8 + part.first * self.size)
-            for at in range(part.first, part.last, BATCH):
-                n = min(BATCH, part.last - at)
-                codes = np.frombuffer(file.read(n * self.size), np.uint8).astype(np.int64)
-                whole = lambda x: pa.array(np.full(n, x, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(codes) + 1, self.size), pa.int32()), pa.array(codes))
-                yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), whole(width), whole(height), pa.array(np.arange(at, at + n)), lists], names=["path", "width", "height", "block", "c"])
+        system, _ = fs.FileSystem.from_uri(self.path)
+        for path, count, first, last in task.parts:
+            with system.open_input_file(path) as file:
+                width, height = struct.unpack("<ii", file.read(8))
+                if width % 4 or height % 4 or width * height != 16 * count:
+                    raise ValueError(f"not a file of whole blocks: {path}")
+                file.seek(8 + first * self.size)
+                for at in range(first, last, BATCH):
+                    n = min(BATCH, last - at)
+                    codes = np.frombuffer(file.read(n * self.size), np.uint8).astype(np.int64)
+                    whole = lambda x, n=n: pa.array(np.full(n, x, np.int64))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(codes) + 1, self.size), pa.int32()), pa.array(codes))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), whole(width), whole(height), pa.array(np.arange(at, at + n)), lists], names=["path", "width", "height", "block", "c"])
 
 
 def read_block_ranges(spark: SparkSession, path: str, size: int, range_: int = RANGE) -> DataFrame:

@@ -53,12 +53,17 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
 
 
-def text_codes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def text_blocks(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(vec_id, block, c): each text's UTF-8 bytes in whole blocks of so many bytes; what remains is left out."""
     each = dealt(rows.where(F.octet_length(text) >= size).select(key, text)).select(F.col(key).alias("vec_id"), F.encode(F.col(text), "UTF-8").alias("b"), F.floor(F.octet_length(text) / size).alias("n"))
     # blocks are cut within the row, so that no row carries the whole text's bytes along
     own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.substring("b", (k * size + 1).cast("int"), F.lit(size)))
-    return each.select("vec_id", F.posexplode(own).alias("block", "c")).select("vec_id", F.col("block").cast("long").alias("block"), numbers(F.col("c"), size).alias("c"))
+    return each.select("vec_id", F.posexplode(own).alias("block", "c")).select("vec_id", F.col("block").cast("long").alias("block"), "c")
+
+
+def text_codes(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The same, with the bytes as arrays of numbers."""
+    return text_blocks(rows, key, text, size).select("vec_id", "block", numbers(F.col("c"), size).alias("c"))
 
 
 def sql_bytes(text: str) -> str:

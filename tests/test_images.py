@@ -126,7 +126,7 @@ def test_one_file_over_several_tasks(spark, tmp_path):
     path = str(tmp_path)
     own, plain = block_files.read_block_ranges(spark, path, 8, 64), block_files.read_blocks(spark, path, 8)
     held = lambda df: sorted((r.path[-5:], r.width, r.height, r.block, tuple(r.c)) for r in df.collect())
-    assert own.rdd.getNumPartitions() == 11 + 1 and held(own) == held(plain) and len(held(own)) == 705
+    assert own.rdd.getNumPartitions() == 12 and held(own) == held(plain) and len(held(own)) == 705
     some = own.where("block >= 600 and block < 650")
     assert some.rdd.getNumPartitions() == 1 and held(some) == held(plain.where("block >= 600 and block < 650"))
     assert held(own.where("block in (3, 650)")) == held(plain.where("block in (3, 650)"))
