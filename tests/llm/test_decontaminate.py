@@ -53,13 +53,61 @@ def test_same_as_every_item_against_every_text(spark, documents):
 
 def test_gram_hashes():
     codes = d.characters("the cat and the dog sat on the é mat and the cat and the dog")
-    for n in range(1, 13):
-        got = d.gram_hashes(codes, n)
-        assert len(got) == len(codes) - n + 1
+    grams, every = d.Grams(codes), set()
+    for n in range(1, 21):
+        got = grams.of(n)
+        assert len(got) == len(codes) - n + 1 and (d.Grams(codes[3 : 3 + n]).of(n) == got[3]).all()
         seen = {}
         for k, h in enumerate(got.tolist()):
             assert seen.setdefault(h, codes[k : k + n].tolist()) == codes[k : k + n].tolist()
         assert len(seen) == len({tuple(codes[k : k + n].tolist()) for k in range(len(got))})
+        assert not every & set(seen)
+        every |= set(seen)
+
+
+def test_items_that_share_an_opening(spark, documents, monkeypatch):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    opening = "Which of the following statements about the subject is true: "
+    bench = [(k, opening + " ".join(word() for _ in range(9))) for k in range(150)]
+    rows = [(k, f"{' '.join(word() for _ in range(30))} {opening} {' '.join(word() for _ in range(30))}") for k in range(150)]
+    edited = list(bench[3][1])
+    for at in range(5, 70, 11):  # the edits spoil the opening and leave the rest whole
+        edited[at] = "#" if edited[at] == " " else "q"
+    rows += [(500, "some " + bench[7][1] + " more"), (501, "".join(edited)), (502, bench[9][1].replace("e", "e", 1)[:-9] + "x" + bench[9][1][-8:])]
+    sent = []
+
+    def counted(df, name, plain=d.stored):
+        out = plain(df, name)
+        if name == "candidates":
+            sent.append(sum(len(r.asked) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(d, "stored", counted)
+    got = {r.doc_id: tuple(r["items"]) for r in d.op7_decontaminate(documents(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    items = {i: d.normal(t) for i, t in bench}
+    assert got == {i: tuple(k for k, x in items.items() if least(x, d.normal(t)) <= int(len(x) * d.ERRORS)) if i >= 500 else () for i, t in rows} and got[500] == (7,) and got[502] == (9,)
+    assert 2 <= sent[0] < 20  # of 150 times 153
+
+
+def test_pieces_keep_the_pigeonhole():
+    draw = random.Random(5)
+    for _ in range(500):
+        item = "".join(draw.choice("abcdef ") for _ in range(draw.randint(1, 300)))
+        plain = d.pieces(item, d.ERRORS)
+        some = d.apart(item, d.ERRORS, [draw.random() < 0.4 for _ in plain])
+        assert len(some) == len(plain) == int(len(item) * d.ERRORS) + 1
+        ends = [(s, s + len(p)) for s, p in some]
+        assert all(item[s:e] == p and e > s for (s, e), (_, p) in zip(ends, some)) and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+        assert all(len(p) <= 20 for _, p in plain)
+
+
+def test_very_long_text(spark, documents):
+    bench = [(1, "the quick brown fox jumps over the lazy dog and runs away"), (2, "quick brown")]
+    long = "lorem ipsum dolor " * 120_000
+    rows = [(1, long), (2, long + bench[0][1].upper() + long), (3, long.replace(" ", "") + " " + bench[0][1].replace("lazy", "lasy"))]
+    got = {r.doc_id: (tuple(r["items"]), r.least_distance) for r in d.op7_decontaminate(documents(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {1: ((), None), 2: ((1, 2), 0), 3: ((1, 2), 0)}
 
 
 def test_a_full_bit_table_changes_nothing(spark, documents, monkeypatch):
@@ -67,7 +115,6 @@ def test_a_full_bit_table_changes_nothing(spark, documents, monkeypatch):
     bench = spark.createDataFrame([(k, f"Question number {k} of the set as it wes put in that year") for k in range(30)], "item_id long, text string")
     want = sorted(map(repr, d.find_items(documents(rows), bench).collect()))
     monkeypatch.setattr(d, "FILTER", 15)
-    monkeypatch.setattr(d, "GRAM", 2)
     assert sorted(map(repr, d.find_items(documents(rows), bench).collect())) == want
 
 
