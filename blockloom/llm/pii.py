@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -28,16 +29,20 @@ WRAP = "\"'`.,;:!?()[]{}<>|*$#&%=~"
 WHOLE = re.compile(r"\S+")
 #: Words, forms and values that are longer than this go by their hash.
 LONG = 128
-#: Secrets by their key: quoted, or as a long run. The runs end at quotes or are taken whole, so it is linear as well.
+#: A key and a sign that a candidate follows within its token, as in `user="a7"`; what follows may be quoted.
+SIGNED = re.compile(r"[^\W\d][\w-]*+[\"']?(?::=|=>|=|:(?!//))[\"']?(?=\S*[0-9@])")
+#: Secrets by their key, of which some are seeds: quoted, or as a long run. The runs end at quotes or are taken whole, so it is linear as well.
 KEYED = re.compile(
     r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?(?:[_-][a-z0-9_-]{0,32})?[\"']?\s{0,8}(?::=|=>|[:=])\s{0,8}"
     r"(?:([\"'])(?P<quoted>[^\s\"']++)\1|(?P<bare>[A-Za-z0-9_+/.=-]{16,}+))"
 )
 LETTER = re.compile(r"[A-Za-z]")
-#: Length of a quoted secret; digits of a bare one.
-SECRET, SECRET_DIGITS = 8, 4
+#: Length of a quoted secret that may be a seed; digits of a bare one; one secret of so many is a seed, by its value's hash.
+SECRET, SECRET_DIGITS, SEEDS = 8, 4, 10
 #: Rounds of scoring; confidence and number of distinct known identifiers from which a pattern is trusted.
 ROUNDS, TRUST, SUPPORT = 3, 0.8, 4
+#: Share of identifiers of one outline in a pattern that are known, from which the others of that outline count as well.
+SHARE = 0.05
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -78,12 +83,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def keyed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the secrets that follow a key such as `token =`, but for those that lie within a base span."""
+    """(kind, start, end) of the seeds among secrets that follow a key such as `token =`, but for those that lie within a base span.
+
+    One in SEEDS is a seed, by its value, whatever text it stands in; the contexts have to find the others.
+    """
     out = []
     for m in KEYED.finditer(text) if DIGIT.search(text) else ():
         name = "quoted" if m["quoted"] else "bare"
         value, (s, e) = m[name], m.span(name)
         fine = len(value) >= SECRET if name == "quoted" else len(DIGIT.findall(value)) >= SECRET_DIGITS
+        fine = fine and zlib.crc32(value.encode("utf-8", "surrogatepass")) % SEEDS == 0
         if fine and LETTER.search(value) and DIGIT.search(value) and not any(b <= s and e <= f for _, b, f in base):
             out.append((KINDS.index("id"), s, e))
     return out
@@ -95,6 +104,12 @@ def shape(value: str) -> str:
     return f"hex{len(value)}" if len(value) >= 16 and re.fullmatch(r"[0-9a-f]+", value) and not value.isdigit() else runs
 
 
+def outline(value: str) -> str:
+    """The kinds of characters of an identifier that mixes letters and digits, whatever its length; else nothing."""
+    kinds = {"a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "a" if c.isalpha() else c for c in set(value)}
+    return "".join(sorted(kinds))[:LONG] if "9" in kinds and kinds & {"a", "A"} and "@" not in kinds else ""
+
+
 def short(x: str) -> str:
     """A name of bounded length for a text of any length."""
     return x if len(x) <= LONG else f"#{hashlib.sha256(x.encode('utf-8', 'surrogatepass')).hexdigest()}"
@@ -146,18 +161,21 @@ def occurrences(text: str, seeds: list[tuple[int, int, int]]) -> list[dict]:
         if reach > m.start():
             continue
         lead = len(m[0]) - len(m[0].lstrip(WRAP))
-        if value := m[0].strip(WRAP):
+        if key := SIGNED.match(m[0], lead):
+            lead = key.end()
+        if value := m[0][lead:].strip(WRAP):
+            lead += len(m[0][lead:]) - len(m[0][lead:].lstrip(WRAP))
             spans.append((m.start() + lead, m.start() + lead + len(value), False))
     words = Words(text) if spans else None
     for s, e, seed in spans:
         form, around = short(shape(text[s:e])), words.context(s, e)
-        out.append({"start": s, "end": e, "seed": seed, "value": short(text[s:e]), "patterns": [*around, *(f"{p} | {form}" for p in around)]})
+        out.append({"start": s, "end": e, "seed": seed, "value": short(text[s:e]), "outline": outline(text[s:e]), "patterns": [*around, *(f"{p} | {form}" for p in around)]})
     return out
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
-FOUND_SQL = "_base array<struct<kind:int,start:bigint,end:bigint>>, _keyed array<struct<kind:int,start:bigint,end:bigint>>, _found array<struct<start:bigint,end:bigint,seed:boolean,value:string,patterns:array<string>>>"
+FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("seed", pa.bool_()), ("value", pa.string()), ("outline", pa.string()), ("patterns", pa.list_(pa.string()))]))
+FOUND_SQL = "_base array<struct<kind:int,start:bigint,end:bigint>>, _keyed array<struct<kind:int,start:bigint,end:bigint>>, _found array<struct<start:bigint,end:bigint,seed:boolean,value:string,outline:string,patterns:array<string>>>"
 
 
 def extract(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -178,20 +196,24 @@ def extract(docs: DataFrame, carry: list[str]) -> DataFrame:
     return docs.select(*carry, F.col("text").cast("binary").alias("_text")).mapInArrow(run, f"{fields}, {FOUND_SQL}")
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """(pattern, confidence) of the patterns that mostly hold known identifiers.
+def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """(pattern, confidence) of the patterns that mostly hold known identifiers, or such as look like them.
 
-    edges: distinct (pattern, value, seed). A pattern is scored by the mean score of its identifiers, with one unknown
-    identifier added; an identifier that is no seed gets the score of its best trusted pattern. Scores pass to and fro
-    for some rounds, so patterns that share identifiers with trusted ones gain; seeds and identifiers that an earlier
-    round found alike are its support. A context without a form so brings in new forms. What a round finds is written, so that
-    each join deals both of its sides anew and Spark can split a pattern that holds much of the graph.
+    edges: distinct (pattern, value, seed, outline). A pattern is scored by the mean score of its identifiers, with one
+    unknown identifier added; an identifier that is no seed gets the score of its best trusted pattern. Where at least
+    support known identifiers of a pattern have one outline, and they are the given share of all of that outline there,
+    the others of it count in full: a minority of seeds is enough for a context of secrets, and numbers or words, which
+    have no outline, do not gain by it. Scores pass to and fro for some rounds, so patterns that share identifiers with
+    trusted ones gain; seeds and identifiers that an earlier round found alike are its support. A context without a form
+    so brings in new forms. What a round finds is written, so that each join deals both of its sides anew and Spark can
+    split a pattern that holds much of the graph.
     """
-    enough = F.sum((F.col("score") > 0).cast("long")) >= support
 
     def score(scored: DataFrame) -> DataFrame:
-        found = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), enough.alias("enough"))
-        return stored(found.where(F.col("enough") & (F.col("confidence") >= trust)).drop("enough"), "patterns")
+        alike = scored.groupBy("pattern", "outline").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.sum((F.col("score") > 0).cast("long")).alias("known"))
+        full = (F.col("outline") != "") & (F.col("known") >= support) & (F.col("known") >= share * F.col("n"))
+        found = alike.groupBy("pattern").agg((F.sum(F.when(full, F.col("n")).otherwise(F.col("score"))) / (F.sum("n") + 1)).alias("confidence"), F.sum("known").alias("known"))
+        return stored(found.where((F.col("known") >= support) & (F.col("confidence") >= trust)).drop("known"), "patterns")
 
     patterns = score(edges.withColumn("score", F.col("seed").cast("double")))
     for _ in range(rounds - 1):
@@ -204,25 +226,31 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, trust: float = TRUS
 def find_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The carried columns with `_base` and `_spans`, arrays of (kind, start, end) in code points, by kind, then start.
 
-    `_spans` holds the base spans and those of kind 4 (id): secrets by their keys, and what trusted patterns discover,
-    which overlaps neither. A secret may hold a base span, but lies in none.
+    `_spans` holds the base spans and those of kind 4 (id): the seeds among keyed secrets, and what trusted patterns
+    discover, which overlaps neither. A secret may hold a base span, but lies in none. An identifier has a digit or an @.
     The pattern graph covers all documents. Null texts are empty; repeated rows and null ids stay rows of their own, and
     count once as a pattern's identifier; very long texts, tokens and neighbours are looked at whole, and patterns of
     equal score are trusted alike. An empty table gives an empty result; other columns, whatever their names, are not
     looked at.
     """
     rows = docs.select(F.struct(*carry).alias("_doc"), "text").withColumn("_at", F.monotonically_increasing_id())
-    kept = stored(extract(rows, ["_doc", "_at"]), "found")
-    each = kept.select("_at", F.explode("_found").alias("o")).select("_at", "o.*")
-    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    trusted = trusted_patterns(stored(edges, "edges"))
-    unknown = each.where(~F.col("seed")).select("_at", "start", "end", F.explode("patterns").alias("pattern"))
-    new = unknown.join(trusted, "pattern", "left_semi").groupBy("_at").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("_new"))
+    with scratch() as keep:
+        kept = keep(stored(extract(rows, ["_doc", "_at"]), "found"))
+        new = keep(stored(discovered(kept), "new"))
     both = kept.drop("_found").join(new.withColumnRenamed("_at", "_of"), F.col("_at") == F.col("_of"), "left")
     known = F.concat("_base", "_keyed")
     return both.select(*[F.col("_doc").getField(c).alias(c) for c in carry], F.array_sort("_base").alias("_base"), F.array_sort(F.when(F.col("_new").isNull(), known).otherwise(F.concat(known, "_new"))).alias("_spans"))
 
 
+def discovered(kept: DataFrame) -> DataFrame:
+    """(_at, _new): the spans that trusted patterns add to each row, of which none is a seed."""
+    each = kept.select("_at", F.explode("_found").alias("o")).select("_at", "o.*")
+    edges = each.select(F.explode("patterns").alias("pattern"), "value", "seed", "outline").groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.max("outline").alias("outline"))
+    trusted = trusted_patterns(stored(edges, "edges"))
+    unknown = each.where(~F.col("seed")).select("_at", "start", "end", F.explode("patterns").alias("pattern"))
+    return unknown.join(trusted, "pattern", "left_semi").groupBy("_at").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias("_new"))
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
@@ -230,7 +258,12 @@ def written(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows."""
+    """The documents with each span replaced by its kind in angle brackets; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones and those without spans as they are; of spans that overlap, the first and longest
+    counts. Repeated documents are masked alike, texts of any length whole; all columns stay, whatever their names. An
+    empty table stays empty.
+    """
     named = set_aside(docs, "text", "n_chars")
     rows = with_row_index(named, "_row")
     with scratch() as keep:
