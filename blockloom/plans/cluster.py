@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from blockloom.operators import cluster, decode, encode
+from blockloom.operators import alpha, cluster, decode, encode
 from blockloom.operators.encode import METRICS
 from blockloom.plans.census import MEM
 from blockloom.plans.tables import sql_replicate
@@ -196,11 +196,31 @@ def _fit(weighted: bool = False, **options) -> str:
     return f"WITH {_pixels(weighted)}, {sql_fit('px', 'vec_id', **options)} SELECT vec_id, {HEX} AS bytes, error FROM best"
 
 
+def alphas(spark, d):
+    """Alpha bytes of the embeddings' blocks by the better of both books, with their error."""
+    return alpha.both_books(vectors(spark, d), ["vec_id"]).select("vec_id", hex_bytes("alpha").alias("bytes"), "error")
+
+
+def alphas_sql() -> str:
+    inner = "list_filter(v, lambda x: x > 0 AND x < 255)"
+    levels = {True: ", ".join(["b", "a", *(f"({7 - k} * b + {k} * a) // 7" for k in range(1, 7))]), False: ", ".join(["a", "b", *(f"({5 - k} * a + {k} * b) // 5" for k in range(1, 5)), "0", "255"])}
+    ends = f"SELECT vec_id, v, 0 AS book, list_min(v) AS low, list_max(v) AS high FROM bl UNION ALL SELECT vec_id, v, 1, coalesce(list_min({inner}), 0), coalesce(list_max({inner}), 0) FROM bl"
+    word = lambda h: "(" + " + ".join(f"(codes[{8 * h + k + 1}] << {3 * k})" for k in range(8)) + ")"
+    return f"""WITH {fixtures.SQL_TEXELS}, bl AS (SELECT vec_id, list(a ORDER BY texel) AS v FROM tex GROUP BY vec_id), en AS ({ends}),
+    mv AS (SELECT vec_id, v, book, i, j, low + i AS a, high - j AS b FROM en, range({alpha.MOVES}) s(i), range({alpha.MOVES}) t(j) WHERE low + i < high - j OR (book = 1 AND low + i <= high - j)),
+    lv AS (SELECT *, CASE WHEN book = 0 THEN [{levels[True]}] ELSE [{levels[False]}] END AS l FROM mv),
+    cd AS (SELECT *, list_transform(v, lambda x: list_min(list_transform(range(8), lambda k: (x - l[k + 1]) * (x - l[k + 1]) * 8 + k))) AS m FROM lv),
+    er AS (SELECT *, CAST(list_sum(list_transform(m, lambda x: x // 8)) AS BIGINT) AS error, list_transform(m, lambda x: CAST(x % 8 AS BIGINT)) AS codes FROM cd),
+    best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY error, book, i, j) AS o FROM er),
+    byt AS (SELECT vec_id, error, CASE WHEN book = 0 THEN [b, a] ELSE [a, b] END || [{word(0)} & 255, ({word(0)} >> 8) & 255, {word(0)} >> 16, {word(1)} & 255, ({word(1)} >> 8) & 255, {word(1)} >> 16] AS c FROM best WHERE o = 1)
+    SELECT vec_id, {HEX} AS bytes, error FROM byt"""
+
+
 QUERIES = {
-    "win3_agg15_cluster_fit": fit_query(), "win3_cluster_fit_four_perceptual": fit_query(metric="perceptual", three=False), "prj7_iterative_fit": fit_query(iterate=True), "prj7_weighted_fit": fit_query(weighted=True),
+    "jn4_agg11_both_books": alphas, "win3_agg15_cluster_fit": fit_query(), "win3_cluster_fit_four_perceptual": fit_query(metric="perceptual", three=False), "prj7_iterative_fit": fit_query(iterate=True), "prj7_weighted_fit": fit_query(weighted=True),
     "scale_win3_documents": documents, "flt6_two_stage_partitions": partitions_of, "agg4_cluster_round_trip": round_trip,
 }
 SQL = {
-    "win3_agg15_cluster_fit": _fit(), "win3_cluster_fit_four_perceptual": _fit(metric="perceptual", three=False), "prj7_iterative_fit": _fit(rounds=SQL_ROUNDS), "prj7_weighted_fit": _fit(weighted=True),
+    "jn4_agg11_both_books": alphas_sql(), "win3_agg15_cluster_fit": _fit(), "win3_cluster_fit_four_perceptual": _fit(metric="perceptual", three=False), "prj7_iterative_fit": _fit(rounds=SQL_ROUNDS), "prj7_weighted_fit": _fit(weighted=True),
     "scale_win3_documents": documents_sql(), "flt6_two_stage_partitions": partition_sql(), "agg4_cluster_round_trip": round_trip_sql(),
 }
