@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.functions.channels import bits
+from blockloom.functions.channels import bits, replicate
 
 CHANNELS = (("r", 5), ("g", 6), ("b", 5))
 
@@ -30,6 +30,35 @@ def best(found: DataFrame, keys: list[str]) -> DataFrame:
     return picked.select(*keys, (-F.col("x.minus")).alias("steps"), "x.side", *[F.col(f"x.{c}") for c in rest], "x.error", (F.col("x.side") * 2).alias("code"))
 
 
+def packed_entry(first: Column, last: Column, err: Column) -> Column:
+    """A table's entry in one number: start in 8 bits, end in 8, squared error in 16."""
+    return F.shiftleft(first, 24).bitwiseOR(F.shiftleft(last, 16)).bitwiseOR(err * err)
+
+
+#: The order in which equal errors are taken: (steps, side).
+WAYS = ((4, 0), (4, 1), (3, 0), (3, 1))
+
+
+def best_packed(colours: DataFrame, table: DataFrame) -> DataFrame:
+    """The colours with steps, side, ends, error and code of the best of the four ways, read from packed entries.
+
+    The table becomes 256 rows of four entries for each width, a broadcast for each channel; errors are added within the
+    row, so nothing is shuffled and rows need no key. The same as best() of candidates(). A colour with a null channel has nulls.
+    """
+    own = F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("minus"), "side", packed_entry(F.col("first"), F.col("last"), F.col("err")).alias("entry"))))
+    packed = table.groupBy("bits", "value").agg(F.transform(own, lambda x: x["entry"]).alias("entries"))
+    out = colours
+    for c, width in CHANNELS:
+        part = packed.where(F.col("bits") == width).select(F.col("value").alias("_value"), F.col("entries").alias(f"_{c}"))
+        out = out.join(F.broadcast(part), F.col(c) == F.col("_value"), "left").drop("_value")
+    errors = [sum(bits(F.col(f"_{c}")[k], 0, 16) for c, _ in CHANNELS) for k in range(len(WAYS))]
+    out = out.withColumn("_pick", F.least(*[e * len(WAYS) + k for k, e in enumerate(errors)]))
+    out = out.withColumn("_way", F.pmod("_pick", F.lit(len(WAYS))).cast("int"))
+    ends = [bits(F.col(f"_{c}")[F.col("_way")], low, 8).alias(f"{c}_{end}") for c, _ in CHANNELS for end, low in (("first", 24), ("last", 16))]
+    steps, side = (F.when(F.col("_pick").isNotNull(), F.array(*[F.lit(w[k]).cast("long") for w in WAYS])[F.coalesce("_way", F.lit(0))]) for k in (0, 1))
+    return out.select(*colours.columns, steps.alias("steps"), side.alias("side"), *ends, F.floor(F.col("_pick") / len(WAYS)).alias("error"), (side * 2).alias("code"))
+
+
 def units(found: DataFrame) -> DataFrame:
     """Endpoints as numbers from 0 to 1."""
     return found.select("*", *[(F.col(f"{c}_{end}") / float((1 << width) - 1)).alias(f"{c}_{end}_unit") for c, width in CHANNELS for end in ("first", "last")])
@@ -48,8 +77,6 @@ def block_bytes(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def decoded(found: DataFrame) -> DataFrame:
     """Adds the colour that the chosen endpoints and code give back."""
-    from blockloom.functions.channels import replicate
-
     out = found
     for c, width in CHANNELS:
         s, e = replicate(F.col(f"{c}_first"), width), replicate(F.col(f"{c}_last"), width)

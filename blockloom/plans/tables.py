@@ -86,8 +86,7 @@ def worst_errors(spark, d):
 def packed(spark, d):
     """Each entry in one number: start in 8 bits, end in 8, squared error in 16, and read back."""
     t = lookups.colour_table(spark)
-    p = F.shiftleft("first", 24).bitwiseOR(F.shiftleft("last", 16)).bitwiseOR(F.col("err") * F.col("err"))
-    t = t.withColumn("packed", p)
+    t = t.withColumn("packed", single_colour.packed_entry(F.col("first"), F.col("last"), F.col("err")))
     return t.select("bits", "steps", "side", "value", "packed", ch.bits(F.col("packed"), 24, 8).alias("first"), ch.bits(F.col("packed"), 16, 8).alias("last"), ch.bits(F.col("packed"), 0, 16).alias("err_sq"))
 
 
