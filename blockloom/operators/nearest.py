@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 def bins(values: DataFrame, column: str, n: int) -> list[float]:
     """At most n - 1 splits that part the values about evenly, for Bucketizer; equal ones once."""
     found = values.approxQuantile(column, [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    return [float("-inf"), *(sorted(set(found)) or [0.0]), float("inf")]
+    return [float("-inf"), *(sorted({x for x in found if math.isfinite(x)}) or [0.0]), float("inf")]
 
 
 def in_bins(rows: DataFrame, column: str, splits: list[float], out: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """All queries of the texture operators with their SQL."""
 
-from blockloom.plans import blocks, census, cluster, encoding, files, fits, scalars, scale, tables
+from blockloom.plans import applied, blocks, census, cluster, encoding, files, fits, scalars, scale, tables
 
-MODULES = (scalars, tables, blocks, census, cluster, encoding, files, fits, scale)
+MODULES = (applied, scalars, tables, blocks, census, cluster, encoding, files, fits, scale)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: s for m in MODULES for name, s in m.SQL.items()}
