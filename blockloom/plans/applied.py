@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import channels as ch
 from blockloom.functions import halves
-from blockloom.operators import census, layout, lookups, partitions
-from blockloom.plans.census import MEM, _anchors, _book
+from blockloom.operators import census, decode, encode, errors, layout, lookups, nearest, partitions
+from blockloom.plans.census import CHANNELS, MEM, _anchors, _book, channel_blocks
+from blockloom.plans.encoding import _box
 from blockloom.plans.fits import LINE_PIXELS, line_pixels
 from blockloom.plans.scalars import CODER_SQL, _sql_half, _sql_spread
 from blockloom.sources import fixtures
@@ -147,6 +148,73 @@ def document_book_ends(spark, d):
     return pairs.groupBy("book").agg(F.sum("n").alias("blocks"), F.array_join(listed, ",").alias("ends"), F.min(F.col("s") * 256 + F.col("e")).alias("least"), F.max(F.col("s") * 256 + F.col("e")).alias("most"))
 
 
+def document_coverage(spark, d):
+    """How many of 256 values each level of the documents' codebooks of five and seven steps takes, and how far the others are off
+    the nearest lower one, or else the nearest higher one."""
+    at = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(f).cast("long").alias("f")) for k in (5, 7) for f in range(k + 1)])).alias("at")
+    key = (F.col("at.k") * 16 + F.col("at.f")).alias("key")
+    made = F.floor(((F.col("at.k") - F.col("at.f")) * F.col("s") + F.col("at.f") * F.col("e")) / F.col("at.k"))
+    hits = document_ends(spark, d).select("s", "e").distinct().select("s", "e", at).select(key, made.cast("double").alias("value")).distinct()
+    values = spark.range(256).select(F.col("id").cast("double").alias("value"), at).select(key, "value")
+    found = nearest.nearest_hits(values, hits, "key", "value", 4)
+    hit = F.col("below") == F.col("value")
+    far = F.when(hit, 0.0).otherwise(F.coalesce(F.col("value") - F.col("below"), F.col("above") - F.col("value"), F.lit(256.0)))
+    return found.groupBy(F.floor(F.col("key") / 16).alias("steps"), F.pmod("key", F.lit(16)).alias("level")).agg(F.count_if(hit).alias("hits"), F.sqrt(F.sum(far * far) / 256).alias("rmse"))
+
+
+def line_blocks(spark, d):
+    """(kind, upper, lower, n): blocks that line items' pixels name, and how often: one channel alone, the whole colour, and two
+    values of one channel, one for each half of the block."""
+    px = line_pixels(spark, d)
+    alone = lambda c, v: F.array(*[F.when(c == k, v).otherwise(0) for k in range(3)])
+    one = px.select(F.posexplode(F.array(*"rgb")).alias("c", "v")).select(F.lit("one_channel").alias("kind"), alone(F.col("c"), F.col("v")).alias("upper")).withColumn("lower", F.col("upper"))
+    whole = px.select(F.lit("one_colour").alias("kind"), F.array(*"rgb").alias("upper"), F.array(*"rgb").alias("lower"))
+    c = F.pmod("l_linenumber", F.lit(3))
+    two = px.select(F.lit("two_values").alias("kind"), alone(c, F.least("r", "g")).alias("upper"), alone(c, F.greatest("r", "g")).alias("lower"))
+    return one.unionByName(whole).unionByName(two).groupBy("kind", "upper", "lower").agg(F.count("*").alias("n"))
+
+
+def line_harness(spark, d):
+    """Encodes and decodes these blocks: least, greatest and mean-square error by kind, as the harness sums up."""
+    half = lambda c: F.concat(*[F.concat(F.col(c), F.array(F.lit(255).cast("long")))] * 8)
+    each = line_blocks(spark, d).select(F.struct("kind", "upper", "lower", "n").alias("vec_id"), F.concat(half("upper"), half("lower")).alias("e"))
+    back = decode.bc1(encode.range_fit(each, ["vec_id"]).withColumn("block", F.lit(0).cast("long")), False)
+    own = F.when(F.col("texel") < 8, F.col("vec_id.upper")).otherwise(F.col("vec_id.lower"))
+    found = back.withColumn("own", own).groupBy("vec_id").agg((F.sum(errors.squared(*[(F.element_at("own", k + 1), F.col(c)) for k, c in enumerate("rgb")])) / 16).alias("error"))
+    n = F.col("vec_id.n")
+    return found.groupBy("vec_id.kind").agg(F.sum(n).alias("blocks"), F.sqrt(F.min("error")).alias("least"), F.sqrt(F.max("error")).alias("most"), F.sqrt(F.sum(F.col("error") * n) / F.sum(n)).alias("rms"))
+
+
+_pick = lambda v: ", ".join(f"CASE WHEN c = {k} THEN {v} ELSE 0 END" for k in range(3))
+HARNESS_TEX = f"""{LINE_PIXELS}, gn AS (SELECT 'one_channel' AS label, [{_pick('v')}] AS up, [{_pick('v')}] AS lo FROM (SELECT unnest([0, 1, 2]) AS c, unnest([r, g, b]) AS v FROM px) UNION ALL SELECT 'one_colour', [r, g, b], [r, g, b] FROM px
+UNION ALL SELECT 'two_values', [{_pick('least(r, g)')}], [{_pick('greatest(r, g)')}] FROM (SELECT *, l_linenumber % 3 AS c FROM px)), ge AS MATERIALIZED (SELECT label, up, lo, count(*) AS n, row_number() OVER () AS vec_id FROM gn GROUP BY label, up, lo),
+tex AS (SELECT vec_id, label, texel, {', '.join(f'CASE WHEN texel < 8 THEN up[{k}] ELSE lo[{k}] END AS {c}' for k, c in enumerate('rgb', 1))} FROM ge, range(16) s(texel))"""
+
+
+def split_fits(spark, d):
+    """Each channel of an embedding's block in three runs of its ordered values, at weights 1, a half and 0: the split whose
+    least-squares ends leave least, by the sums of the split tables. A table's row holds all splits of n values, so that a
+    block meets one row."""
+    sums = lookups.fit_sums(spark).where("factor is not null").groupBy("n").agg(F.collect_list(F.struct("i", "j", "aa", "bb", "ab", "factor")).alias("splits"))
+    own = channel_blocks(spark, d).select("vec_id", "channel", F.array_sort("values").alias("v"), F.size("values").cast("long").alias("n"))
+    upto = F.transform(F.sequence(F.lit(0), F.size("v")), lambda k: F.aggregate(F.slice("v", 1, k), F.lit(0).cast("long"), lambda a, x: a + x))
+    own = own.select("vec_id", "channel", "n", upto.alias("upto")).join(F.broadcast(sums), "n")
+
+    def fitted(x):
+        p = lambda k: F.element_at("upto", (k + 1).cast("int"))
+        middle = (p(x["j"]) - p(x["i"])) / 2
+        first, last = p(x["i"]) + middle, p(F.col("n")) - p(x["j"]) + middle
+        s, e = (first * x["bb"] - last * x["ab"]) * x["factor"], (last * x["aa"] - first * x["ab"]) * x["factor"]
+        return F.struct((s * first + e * last).alias("gain"), (-x["i"]).alias("i"), (-x["j"]).alias("j"), s.alias("start"), e.alias("end"))
+
+    best = own.select("vec_id", "channel", F.array_max(F.transform("splits", fitted)).alias("x"))
+    return best.select("vec_id", "channel", (-F.col("x.i")).alias("i"), (-F.col("x.j")).alias("j"), "x.start", "x.end", "x.gain")
+
+
+SPLIT_SQL = f"""WITH {fixtures.SQL_TEXELS}, o AS (SELECT vec_id, channel, list_sort(list(v)) AS v FROM ({CHANNELS}) GROUP BY vec_id, channel), u AS (SELECT vec_id, channel, list_transform(range(17), lambda k: coalesce(list_sum(v[1:k]), 0)::BIGINT) AS upto FROM o),
+sm AS (SELECT i, j, i + (j - i) / 4.0::DOUBLE AS aa, 16 - j + (j - i) / 4.0::DOUBLE AS bb, (j - i) / 4.0::DOUBLE AS ab FROM range(16) s(i), range(17) t(j) WHERE j >= i AND NOT (i = 0 AND j = 0)), sf AS (SELECT *, 1 / (aa * bb - ab * ab) AS factor FROM sm WHERE abs(aa * bb - ab * ab) > 1e-9),
+x AS (SELECT *, upto[i + 1] + (upto[j + 1] - upto[i + 1]) / 2.0::DOUBLE AS f, upto[17] - upto[j + 1] + (upto[j + 1] - upto[i + 1]) / 2.0::DOUBLE AS l FROM u, sf), y AS (SELECT *, (f * bb - l * ab) * factor AS st, (l * aa - f * ab) * factor AS en FROM x)
+SELECT vec_id, channel, i, j, st AS start, en AS "end", gain FROM (SELECT *, st * f + en * l AS gain, row_number() OVER (PARTITION BY vec_id, channel ORDER BY st * f + en * l DESC, i, j) AS o FROM y) WHERE o = 1"""
 ENDS_CTE = f"{fixtures.sql_text_codes('documents', 'source', 'text', 8)}, en AS (SELECT vec_id AS source, least(c[1], c[2]) AS s, greatest(c[1], c[2]) AS e, count(*) AS n FROM cod GROUP BY ALL)"
 
 
@@ -206,6 +274,7 @@ x % 4 = 0 AND y % 4 = 0 AND (least(h - y, 8) % 4 = 0 OR y + least(h - y, 8) = h)
 QUERIES = {
     "sc24_sc27_event_halves": event_halves, "sc5_sc10_line_channels": line_channels, "sc1_sc4_agg13_line_residuals": line_residuals, "sc11_event_divisions": event_divisions, "sc12_sc14_document_levels": document_levels,
     "src6_sc17_sc29_embedding_directions": embedding_directions, "agg5_agg6_flt5_document_books": document_books, "agg7_document_book_ends": document_book_ends, "jn10_swapped_blocks": swapped_blocks, "sc18_jn8_win1_win2_subsets": embedding_subsets, "prj4_prj8_prj9_flt1_flt4_pages": page_sizes,
+    "agg12_jn7_document_coverage": document_coverage, "agg4_src3_src5_line_harness": line_harness, "agg15_split_fits": split_fits,
 }
 SQL = {
     "sc24_sc27_event_halves": f"WITH en AS (SELECT event_id, {_sql_encode('value', 11)} AS h, {_sql_encode('(value - 100)', 10)} AS signed_h FROM events) SELECT event_id, h, signed_h, back, signed_back FROM (SELECT *, {_sql_half('back', 11)}, {_sql_half('signed_back', 10).replace('(h ', '(signed_h ').replace('WHEN h ', 'WHEN signed_h ')} FROM en)",
@@ -224,4 +293,9 @@ SQL = {
     m AS (SELECT vec_id, subsets, partition, subset, count(*) AS texels, arg_min(r, texel) AS first_red, CAST(sum(r << (8 * (texel % 4))) AS BIGINT) AS masked, CAST(sum(r) AS BIGINT) AS red FROM hd JOIN tex USING (vec_id) JOIN mem USING (subsets, partition, texel) GROUP BY vec_id, subsets, partition, subset)
     SELECT vec_id, subsets, partition, subset, texels, first_red, tex.r AS anchor_red, masked, red FROM m JOIN anc USING (subsets, partition, subset) JOIN tex USING (vec_id) WHERE tex.texel = anchor""",
     "prj4_prj8_prj9_flt1_flt4_pages": PAGES_SQL,
+    "agg12_jn7_document_coverage": f"""WITH {ENDS_CTE}, lv AS (SELECT k, f FROM range(5, 8, 2) a(k), range(8) b(f) WHERE f <= k), hit AS (SELECT DISTINCT k, f, ((k - f) * s + f * e) // k AS h FROM en, lv),
+    nr AS (SELECT k, f, v, max(h) FILTER (h <= v) AS below, min(h) FILTER (h >= v) AS above FROM lv CROSS JOIN range(256) t(v) LEFT JOIN hit USING (k, f) GROUP BY k, f, v)
+    SELECT k AS steps, f AS level, count(*) FILTER (below = v) AS hits, sqrt(CAST(sum(CASE WHEN below = v THEN 0 ELSE coalesce(v - below, above - v, 256) * coalesce(v - below, above - v, 256) END) AS DOUBLE) / 256) AS rmse FROM nr GROUP BY k, f""",
+    "agg4_src3_src5_line_harness": f"WITH {_box(HARNESS_TEX)}, er AS (SELECT vec_id, label, CAST(sum(err) AS DOUBLE) / 16 AS error FROM cod WHERE o = 1 GROUP BY vec_id, label) SELECT er.label AS kind, CAST(sum(n) AS BIGINT) AS blocks, sqrt(min(error)) AS least, sqrt(max(error)) AS most, sqrt(sum(error * n) / sum(n)) AS rms FROM er JOIN ge USING (vec_id) GROUP BY er.label",
+    "agg15_split_fits": SPLIT_SQL,
 }

@@ -25,29 +25,35 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ALL))
 def test_same_as_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, SF)
-    found = duck.execute(registry.ORACLE_SQL[name])
+    df = registry.ALL[name](spark, SF)
+    found = duck.execute(registry.ALL_SQL[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == sorted(df.columns)
     want = sorted(map(repr, found.fetchall()))
     assert sorted(repr(tuple(r)) for r in df.select(*names).collect()) == want and want
 
 
+def test_queries_read_a_table(spark, tmp_path):
+    for name, f in registry.QUERIES.items():
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
+            f(spark, str(tmp_path / "none"))
+
+
 def test_counts_of_codebooks(spark):
-    assert {r.kind: r.books for r in registry.QUERIES["agg5_agg6_flt5_codebooks"](spark, SF).collect()} == {"five": 9829, "five_with_mirrors": 19532, "seven": 23569}
+    assert {r.kind: r.books for r in registry.RULES["agg5_agg6_flt5_codebooks"](spark, SF).collect()} == {"five": 9829, "five_with_mirrors": 19532, "seven": 23569}
 
 
 def test_errors_keep_their_bound(spark):
-    assert {(r.bits, r.steps): r.most for r in registry.QUERIES["src7_worst_errors"](spark, SF).where("most is not null").collect()}.keys() == {(5, 3), (5, 4), (6, 3), (6, 4)}
+    assert {(r.bits, r.steps): r.most for r in registry.RULES["src7_worst_errors"](spark, SF).where("most is not null").collect()}.keys() == {(5, 3), (5, 4), (6, 3), (6, 4)}
     worst = lookups.colour_table(spark).where("side = 1").groupBy("bits", "steps").agg(F.max("err").alias("e")).collect()
     assert {(r.bits, r.steps): r.e for r in worst} == {(5, 3): 2, (5, 4): 1, (6, 3): 1, (6, 4): 1}
 
 
 def test_partitions_cover_each_texel_once(spark):
     assert partitions.members(spark).groupBy("subsets", "partition").agg(F.count_distinct("texel").alias("n")).where("n <> 16").isEmpty()
-    assert registry.QUERIES["win2_anchors"](spark, SF).where("not inside").isEmpty()
+    assert registry.RULES["win2_anchors"](spark, SF).where("not inside").isEmpty()
 
 
 def test_swapped_ends_decode_alike(spark):
