@@ -92,13 +92,18 @@ def event_divisions(spark, d):
     return each.groupBy("event_type", "divisor", "shift").agg(F.sum(F.when(F.col("found") != F.col("want"), F.col("n")).otherwise(0)).alias("wrong"), F.sum(F.col("found") * F.col("n")).alias("total"))
 
 
+def heads(rows, key):
+    """(vec_id, c): the first four bytes of each whole eight of the texts, as numbers; no others are looked at."""
+    return fixtures.text_blocks(rows, key, "text", 8).select("vec_id", fixtures.numbers(F.col("c"), 4).alias("c"))
+
+
 def document_levels(spark, d):
     """Two bytes at the head of each eight of a document as ends: levels of five and seven steps, and of palettes of 1 to 4
     index bits, each times its place, summed up by document."""
     s, e = F.col("c")[0], F.col("c")[1]
     sums = {f"steps_{k}": sum(ch.between(s, e, k, f) * f for f in range(1, k)) for k in (5, 7)}
     sums |= {f"index_{n}": sum(ch.weighted(s, e, w) * (i + 1) for i, w in enumerate(some)) for n, some in ch.WEIGHTS.items()}
-    each = fixtures.text_codes(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", 8)
+    each = heads(spark.read.parquet(f"{d}/documents.parquet"), "doc_id")
     return each.groupBy(F.col("vec_id").alias("doc_id")).agg(F.count("*").alias("blocks"), *[F.sum(x).alias(n) for n, x in sums.items()])
 
 
@@ -126,7 +131,7 @@ def document_ends(spark, d):
     """(source, s, e, n): the ends that the first two bytes of each eight of the documents are, in order; at most 32896 a source,
     counted in each task before they are shuffled."""
     rows = spark.read.parquet(f"{d}/documents.parquet").select(F.struct("source").alias("own"), "text")
-    each = fixtures.text_codes(rows, "own", "text", 8)
+    each = heads(rows, "own")
     return each.groupBy(F.col("vec_id.source").alias("source"), F.least(F.col("c")[0], F.col("c")[1]).alias("s"), F.greatest(F.col("c")[0], F.col("c")[1]).alias("e")).agg(F.count("*").alias("n"))
 
 
