@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import channels as ch
 from blockloom.operators import census, decode, errors
+from blockloom.operators.nearest import bins, in_bins
 from blockloom.plans import blocks
 from blockloom.plans.census import _error
 from blockloom.sources import fixtures
@@ -36,12 +37,29 @@ def summed_sql(name: str, decoder_sql: str) -> str:
     return f"SELECT vec_id, count(*) AS texels, {', '.join(f'CAST(sum({c} * (texel + 1)) AS BIGINT) AS sum_{c}' for c in 'rgba')} FROM ({own}) GROUP BY vec_id"
 
 
-def in_blocks(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows of each key in order, by 16: block and texel, without what is left over. A key of any size is one sort."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    whole = F.count("*").over(Window.partitionBy(key))
-    each = rows.withColumn("_n", n.cast("long")).withColumn("_all", whole)
-    return each.where(F.col("_n") < 16 * F.floor(F.col("_all") / 16)).withColumn("block", F.floor(F.col("_n") / 16)).withColumn("texel", F.pmod("_n", F.lit(16))).drop("_n", "_all")
+def in_blocks(rows: DataFrame, key: str, order: list[str], n: int | None = None) -> DataFrame:
+    """Rows of each key in order, by 16: block and texel, without what is left over.
+
+    Rows are dealt to ranges of the first column of the order, a number or a time, so that a key of any size spreads over
+    tasks: each range of a key is sorted by itself, and how many rows of its key lie in ranges before it comes from one row
+    for each range. n is the number of ranges, by default that of shuffle partitions. Rows that share key and first column
+    are sorted together. A null key is a key like any other; in the order nulls come first.
+    """
+    n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col(order[0])
+    if rows.schema[order[0]].dataType.typeName() == "timestamp_ntz":  # has no cast to numbers
+        first = first.cast("timestamp")
+    first = first.cast("double")
+    first = F.when(first.isNull(), float("-inf")).when(F.isnan(first), float("inf")).otherwise(first)
+    each = rows.withColumn("_first", first).withColumn("_key", F.struct(key))  # a struct is never null, so that null keys join as well
+    each = in_bins(each, "_first", bins(each, "_first", n), "_bin").drop("_first")
+    near = each.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_bin").orderBy(*order)).cast("long") - 1)
+    by = Window.partitionBy("_key")
+    before = F.coalesce(F.sum("_held").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edges = each.groupBy("_key", "_bin").agg(F.count("*").alias("_held")).select("_key", "_bin", before.alias("_before"), F.sum("_held").over(by).alias("_all"))
+    at = F.col("_n") + F.col("_before")
+    met = near.join(edges, ["_key", "_bin"]).where(at < 16 * F.floor(F.col("_all") / 16))
+    return met.select(*rows.columns, F.floor(at / 16).alias("block"), F.pmod(at, F.lit(16)).alias("texel"))
 
 
 def pixel_errors(spark, d):
