@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 from .license_texts import TEMPLATES
 
 #: Words of any English text: a passage that shares only these with a template is not looked at further, if that is safe.
@@ -75,17 +76,32 @@ def passages(said: Column) -> Column:
     return F.array_distinct(F.concat(F.array(said), F.split(said, "\n"), sentences))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often it is used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """A map from each word to how often it occurs: the words in order, cut where another one begins."""
+    runs = lambda s: bound(F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2))), lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p - 1), F.coalesce(F.get(at, k + 1), F.size(s) + 1) - p)))
+    return F.when(F.size(words) > 0, F.map_from_entries(bound(F.array_sort(words), runs)))
+
+
 def mostly_known(words: Column, weights: Weights, least: float) -> Column:
     """Whether enough of a passage's length lies in words of the templates; if not, its cosine with none can be this high.
 
     Words of no template count as if they occurred once, which is the least that they can weigh.
     """
-    known = F.array_intersect(F.array_distinct(words), F.array(*[F.lit(w) for w in weights.idf]))
     idf = F.create_map(*[F.lit(x) for pair in weights.idf.items() for x in pair])
-    weight = lambda w: F.length(F.bin(F.size(F.filter(words, lambda x: x == w)).cast("long"))) * F.element_at(idf, w)
-    mass = F.aggregate(known, F.lit(0).cast("long"), lambda total, w: total + (weight(w) * weight(w)).cast("long"))
-    others = (F.size(F.array_distinct(words)) - F.size(known)) * float(weights.rare) ** 2
-    return mass * (1 - least**2) >= others * (least**2 * 0.999)
+
+    def enough(n: Column, known: Column) -> Column:
+        own = F.transform(known, lambda w: F.length(F.bin(F.element_at(n, w).cast("long"))).cast("long") * F.element_at(idf, w))
+        mass = F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total + x * x)
+        others = (F.size(n) - F.size(known)) * float(weights.rare) ** 2
+        return mass * (1 - least**2) >= others * (least**2 * 0.999)
+
+    learned = F.array(*[F.lit(w) for w in weights.idf])
+    return bound(counted(words), lambda n: bound(F.array_intersect(F.map_keys(n), learned), lambda known: enough(n, known)))
 
 
 def inline(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -114,8 +130,8 @@ def best_templates(near: DataFrame, weights: Weights, least: float) -> DataFrame
     vectors = sparse(inline(spark, [(k, *of(v)) for k, (_, v) in enumerate(weights.vectors)], "k int, words string, numbers string"), "weight")
     norms = inline(spark, [(k, name, sum(x * x for x in v.values())) for k, (name, v) in enumerate(weights.vectors)], "k int, license string, size bigint")
     anchors = F.array(*[F.lit(w) for w in weights.anchors(least)])
-    each = near.select("_row", F.explode("_near").alias("x")).select("_row", F.col("x.paragraph").alias("paragraph"), F.posexplode(passages(F.col("x.said"))).alias("piece", "said"))
-    each = each.select("_row", "paragraph", "piece", words_of(F.col("said")).alias("words")).where(F.arrays_overlap("words", anchors) & mostly_known(F.col("words"), weights, least))
+    each = near.select("_row", F.explode("_near").alias("x")).select("_row", F.col("x.paragraph").alias("paragraph"), F.posexplode(F.transform(passages(F.col("x.said")), words_of)).alias("piece", "words"))
+    each = each.where(F.arrays_overlap("words", anchors) & mostly_known(F.col("words"), weights, least))
     each = stored(each, "passages")  # few are left, and they are read three times
     passage = ["_row", "paragraph", "piece"]
     counts = each.select(*passage, F.explode("words").alias("word")).groupBy(*passage, "word").agg(F.count("*").alias("n")).join(idf, "word", "left")
@@ -145,15 +161,17 @@ def scan(files: DataFrame, path: Column, text: Column, carry: list[str], least:
     near = near_paragraphs(text, weights, least)
     near = F.when(holds_licence & (F.size(near) > 0), F.concat(near, F.array(F.struct(F.lit(0).alias("paragraph"), text.alias("said"))))).otherwise(near)
     rows = files.select(*carry, path.alias("path"), near.alias("_near"), F.monotonically_increasing_id().alias("_row"))
-    rows = stored(rows.withColumn("_dir", F.regexp_extract(F.coalesce("path", F.lit("")), r"(?s)^(.*)/[^/]*$", 1)), "paragraphs")
-    close = best_templates(rows.where(F.size("_near") > 0), weights, least).withColumnRenamed("_row", "_at")
-    own = rows.drop("_near").join(close, F.col("_row") == F.col("_at"), "left")
+    with scratch() as keep:
+        rows = stored(rows.withColumn("_dir", F.regexp_extract(F.coalesce("path", F.lit("")), r"(?s)^(.*)/[^/]*$", 1)), "paragraphs")
+        close = best_templates(rows.where(F.size("_near") > 0), weights, least).withColumnRenamed("_row", "_at")
+        # the result reads these rows twice, and no passage any more
+        own = keep(stored(rows.drop("_near").join(close, F.col("_row") == F.col("_at"), "left").drop("_at"), "own"))
     named = own.where(F.col("_own").isNotNull() & F.regexp_extract("path", r"[^/]*$", 0).rlike(LICENCE_FILE))
     per_dir = named.groupBy(F.col("_dir").alias("_above")).agg(F.min(F.struct(F.col("_own.minus").alias("minus"), "path", F.col("_own.license").alias("license"))).alias("_held"))
     # each directory once, with itself and all directories above it
     parts = F.split("_dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("_above")))
-    dirs = rows.where(F.col("path").isNotNull()).groupBy("_dir").agg(F.count("*").alias("_n")).select(F.col("_dir").alias("_of"), F.explode(above).alias("a"))
+    dirs = own.where(F.col("path").isNotNull()).groupBy("_dir").agg(F.count("*").alias("_n")).select(F.col("_dir").alias("_of"), F.explode(above).alias("a"))
     nearest = dirs.select("_of", "a.*").join(per_dir, "_above").groupBy("_of").agg(F.max_by("_held", "depth").alias("_held"))
     both = own.join(nearest, (F.col("_dir") == F.col("_of")) & F.col("path").isNotNull(), "left")
     has = F.col("_own").isNotNull()
