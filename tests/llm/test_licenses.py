@@ -1,11 +1,13 @@
 import math
+import pathlib
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from blockloom.llm import licenses
-from blockloom.llm.common import table
+from blockloom.llm.common import shared_dir, table
 
 MIT = """The MIT License (MIT)
 
@@ -109,3 +111,28 @@ def test_some_documents_inherit(spark):
 def test_empty(spark, documents):
     assert licenses.op6_licenses(documents([])).collect() == []
     assert [r.license for r in licenses.op6_licenses(documents([(None, None, None, None)])).collect()] == [None]
+
+
+def test_words_are_counted_once_and_bound_the_cosine(spark):
+    weights, draw = licenses.Weights(), random.Random(6)
+    some = [*list(weights.idf)[::9], "zebra", "quux", "naïve"]
+    rows = [[], ["zebra"], *[[draw.choice(some) for _ in range(draw.randrange(1, 60))] for _ in range(60)], [*(some * 40), *["license"] * 5000]]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(rows)], "k int, words array<string>")
+    found = df.select("k", licenses.counted(F.col("words")).alias("n"), licenses.mostly_known(F.col("words"), weights, 0.75).alias("near")).collect()
+    for r in found:
+        n = Counter(rows[r.k])
+        assert (r.n or {}) == n
+        mass = sum((c.bit_length() * weights.idf[w]) ** 2 for w, c in n.items() if w in weights.idf)
+        others = sum(w not in weights.idf for w in n) * weights.rare**2
+        if n:
+            assert r.near == (mass * (1 - 0.75**2) >= others * (0.75**2 * 0.999))
+    assert {r.near for r in found if rows[r.k]} == {True, False}
+
+
+def test_only_the_rows_of_the_result_stay_stored(spark):
+    files = spark.createDataFrame([("a/LICENSE", MIT), ("a/b/x", "nothing"), (None, None)], "path string, text string")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*")) if folder.exists() else set()
+    found = licenses.scan(files, F.col("path"), F.col("text"), [])
+    assert [p.name.split("-")[0] for p in set(folder.glob("*")) - before] == ["own"]
+    assert {(r.path, r.license, r.inherited) for r in found.collect()} == {("a/LICENSE", "MIT", False), ("a/b/x", "MIT", True), (None, None, False)}
