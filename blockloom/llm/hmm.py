@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -22,6 +24,8 @@ STATES, ROUNDS = 6, 4
 PRIOR, EVEN = 1000.0, 10.0
 #: How far the first emissions stand off the corpus-wide distribution, in logarithms.
 SPREAD = 0.7
+#: Steps of the forward recursion between two scalings; a double holds the product of as many emissions.
+STEPS = 8
 END = b""
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -36,6 +40,41 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
 
 
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Tokens in each text, all tokens by number, and the words of the numbers; the end is number 0."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).fill_null(b"").view(pa.string())))
+    of = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    coded = pa.concat_arrays([pa.array([END.decode()]), parts.flatten()]).dictionary_encode()
+    tokens = coded.indices.to_numpy()[1:]
+    full = np.flatnonzero(tokens)  # white space at a text's edges gives empty parts
+    lengths = np.bincount(of[full], minlength=len(texts)) + 1
+    placed = np.zeros(lengths.sum(), np.int32)
+    placed[np.arange(len(full)) + of[full]] = tokens[full]
+    return lengths, placed, coded.dictionary.view(pa.binary())
+
+
+def whole(values: pa.Array) -> pa.Array:
+    """The values as one list."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def filled(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows in lots of so many bytes of text, the third column; the row that reaches them ends a lot."""
+    rows, left = [], size
+    for b in batches:
+        grown, at = np.cumsum(pc.binary_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < b.num_rows:
+            before = int(grown[at - 1]) if at else 0
+            upto = min(b.num_rows, int(np.searchsorted(grown, before + left)) + 1)
+            rows.append(b.slice(at, upto - at))
+            left, at = left - int(grown[upto - 1]) + before, upto
+            if left <= 0:
+                yield rows
+                rows, left = [], size
+    if rows:
+        yield rows
+
+
 def encode(docs: DataFrame, learn: Column) -> DataFrame:
     """Blocks of documents whose words are numbered within the block, by a hash; a text's tokens are its words and one end.
 
@@ -44,35 +83,21 @@ def encode(docs: DataFrame, learn: Column) -> DataFrame:
     """
 
     def run(batches):
-        part, number, rows, words, size = TaskContext.get().partitionId(), 0, [], {}, 0
-
-        def flush():
-            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+        part = TaskContext.get().partitionId()
+        for number, rows in enumerate(filled(batches, BLOCK)):
+            ids, ok, texts = (pa.concat_arrays(c) for c in zip(*[r.columns for r in rows]))
+            lengths, tokens, words = numbered(texts)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
             order = np.argsort(hashes, kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
-            lengths = np.array([len(t) for _, _, t in rows], dtype=np.int32)
-            tokens = rank[np.concatenate([t for _, _, t in rows])]
-            counts = np.bincount(tokens[np.repeat([ok for _, ok, _ in rows], lengths)], minlength=len(words))
-            named = list(words)
-            return batch(
-                BLOCKS, block=[part << 32 | number], doc_id=[[r[0] for r in rows]], learn=[[r[1] for r in rows]], lengths=[lengths.tobytes()], tokens=[packed(tokens)],
-                words=[[named[k] for k in order]], hashes=[hashes[order].tobytes()], counts=[counts.tobytes()],
+            tokens = rank[tokens]
+            counts = np.bincount(tokens[np.repeat(ok.to_numpy(zero_copy_only=False), lengths)], minlength=len(words))
+            yield batch(
+                BLOCKS, block=[part << 32 | number], doc_id=whole(ids.cast(pa.int64())), learn=whole(ok), lengths=[lengths.astype(np.int32).tobytes()], tokens=[packed(tokens)],
+                words=whole(words.take(pa.array(order))), hashes=[hashes[order].tobytes()], counts=[counts.tobytes()],
             )
 
-        for b in batches:
-            for i, ok, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = text.as_py() or b""
-                own = text.lower().split()
-                own.append(END)
-                rows.append((i, ok, np.fromiter((words.setdefault(w, len(words)) for w in own), np.int32, len(own))))
-                size += len(text)
-                if size >= BLOCK:
-                    yield flush()
-                    number, rows, words, size = number + 1, [], {}, 0
-        if rows:
-            yield flush()
-
     return docs.select("doc_id", learn.alias("_learn"), F.col("text").cast("binary").alias("_text")).mapInArrow(run, BLOCKS_SQL)
 
 
@@ -91,9 +116,9 @@ def first_shares(hashes: np.ndarray, n: np.ndarray, states: int) -> np.ndarray:
 def vocabulary(blocks: DataFrame, states: int = STATES, per_bucket: int = BUCKET) -> DataFrame:
     """The words of all blocks, dealt to buckets by their hash.
 
-    Rows of kind MEMBER hold the numbers in the bucket of a block's words from the first one on (ids) and the words'
-    training counts (n); rows of kind TABLE the hashes (ids) and counts of all of a bucket's words, and in stats the
-    tokens, the different words, those that occur once, and each state's sum of the first emissions.
+    Rows of kind MEMBER hold the numbers in the bucket of a block's words from the first one on (ids); rows of kind
+    TABLE the hashes (ids) and training counts (n) of all of a bucket's words, and in stats the tokens, the different
+    words, those that occur once, and each state's sum of the first emissions.
     """
     bits = max(0, int(blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]) // per_bucket).bit_length()
     dealt = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("words", pa.list_(pa.binary())), ("hashes", pa.binary()), ("counts", pa.binary())])
@@ -108,17 +133,18 @@ def vocabulary(blocks: DataFrame, states: int = STATES, per_bucket: int = BUCKET
                 yield batch(dealt, bucket=bucket[edge[:-1]], block=[block] * len(some), first=edge[:-1], words=pa.ListArray.from_arrays(pa.array(edge, pa.int32()), words), hashes=[hashes[s:e].tobytes() for s, e in some], counts=[counts[s:e].tobytes() for s, e in some])
 
     def meet(rows: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        ids = [np.fromiter((known.setdefault(w, len(known)) for w in words.as_py()), np.int32, len(words.as_py())) for words in rows.column("words")]
-        every = np.concatenate(ids)
-        n = np.bincount(every, weights=np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts")]), minlength=len(known)).astype(np.int64)
-        hashes = np.empty(len(known), np.uint64)
+        words = rows.column("words").combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        every, known = coded.indices.to_numpy(), len(coded.dictionary)
+        ids = np.split(every, np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
+        n = np.bincount(every, weights=np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts")]), minlength=known).astype(np.int64)
+        hashes = np.empty(known, np.uint64)
         hashes[every] = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("hashes")])
         stats = [float(n.sum()), float((n > 0).sum()), float((n == 1).sum()), *first_shares(hashes, n, states).sum(0).tolist()]
         bucket = rows.column("bucket")[0].as_py()
         return pa.Table.from_batches([
             batch(MEMBERS, kind=[TABLE], bucket=[bucket], block=[-1], first=[0], ids=[hashes.tobytes()], n=[n.tobytes()], stats=[stats]),
-            batch(MEMBERS, kind=[MEMBER] * len(ids), bucket=[bucket] * len(ids), block=rows.column("block").combine_chunks(), first=rows.column("first").combine_chunks(), ids=[x.tobytes() for x in ids], n=[n[x].tobytes() for x in ids], stats=[None] * len(ids)),
+            batch(MEMBERS, kind=[MEMBER] * len(ids), bucket=[bucket] * len(ids), block=rows.column("block").combine_chunks(), first=rows.column("first").combine_chunks(), ids=[x.tobytes() for x in ids], n=[None] * len(ids), stats=[None] * len(ids)),
         ])
 
     given = blocks.select("block", "words", "hashes", "counts").mapInArrow(deal, "bucket long, block long, first long, words array<binary>, hashes binary, counts binary")
@@ -141,40 +167,57 @@ class Layout:
     """Documents, longest first, with their tokens by time: the tokens at a time are those of the first documents."""
 
     at: np.ndarray
-    before: np.ndarray
     offsets: np.ndarray
 
 
 def layout(lengths: np.ndarray) -> Layout:
-    """For lengths that don't rise: each token's place, and the place before it for all but the first ones."""
+    """For lengths that don't rise: each token's place, and where the places of each time begin."""
     alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")
     offsets = np.concatenate([[0], np.cumsum(alive)])
     time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     rank = np.repeat(np.arange(len(lengths)), lengths)
-    later = time > 0
-    return Layout(offsets[time] + rank, offsets[time[later] - 1] + rank[later], offsets)
+    return Layout(offsets[time] + rank, offsets)
+
+
+def before(offsets: np.ndarray) -> np.ndarray:
+    """The places of the tokens before, for the places of all times but the first."""
+    alive = np.diff(offsets)
+    return np.arange(offsets[1], offsets[-1]) - np.repeat(alive[:-1], alive[1:])
 
 
 def forward(model: Model, emitted: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities and the scales: a text's likelihood is the product of its tokens' scales."""
-    alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
-    a = None
-    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        a = (model.start if a is None else a[: e - s] @ model.moves) * emitted[s:e]
-        total = a.sum(1)
-        a = a / total[:, None]
-        alpha[s:e], scale[s:e] = a, total
+    """Scaled forward probabilities and the scales: a text's likelihood is the product of its tokens' scales.
+
+    Within the recursion they are scaled once in STEPS times; what that leaves out is made up for all tokens together.
+    """
+    alpha, total, every = np.empty_like(emitted), np.empty(len(emitted)), np.ones(len(model.start))
+    edges, scaled = offsets.tolist(), np.zeros(len(emitted), bool)
+    np.multiply(model.start, emitted[: edges[1]], out=alpha[: edges[1]])
+    for k, (p, s, e) in enumerate(zip(edges, edges[1:], edges[2:]), 1):
+        if k % STEPS == 0:
+            total[p:s] = alpha[p:s] @ every
+            alpha[p:s] /= total[p:s, None]
+            scaled[p:s] = True
+        a = alpha[s:e]
+        np.dot(alpha[p : p + e - s], model.moves, out=a)
+        a *= emitted[s:e]
+    left = alpha @ every
+    alpha /= left[:, None]
+    scale = np.where(scaled, total, left)
+    scale[edges[1] :] /= np.where(scaled, 1.0, left)[before(offsets)]
     return alpha, scale
 
 
-def backward(model: Model, emitted: np.ndarray, scale: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    beta = np.ones_like(emitted)
-    weighted = emitted / scale[:, None]
+def backward(model: Model, emitted: np.ndarray, scale: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled backward probabilities, and for all tokens but a text's first the scaled emissions times these."""
+    beta, weighted = np.ones_like(emitted), emitted / scale[:, None]
     steps = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
-    back = model.moves.T
+    back = np.ascontiguousarray(model.moves.T)
     for (s, _), (t, u) in zip(steps[-2::-1], steps[:0:-1]):
-        beta[s : s + u - t] = (weighted[t:u] * beta[t:u]) @ back
-    return beta
+        w = weighted[t:u]
+        w *= beta[t:u]
+        np.dot(w, back, out=beta[s : s + u - t])
+    return beta, weighted
 
 
 def slices(lengths: np.ndarray):
@@ -205,23 +248,23 @@ def table_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table, list[np.
     return np.frombuffer(whole.column("ids")[0].as_py(), np.uint64), np.frombuffer(whole.column("n")[0].as_py(), np.int64), own, [np.frombuffer(x.as_py(), np.int32) for x in own.column("ids")]
 
 
-def dealt_out(own: pa.Table, ids: list[np.ndarray], emit: np.ndarray) -> pa.Table:
-    """(bucket, block, first, emit, n): the emissions of each block's words in each state."""
+def dealt_out(own: pa.Table, ids: list[np.ndarray], emit: np.ndarray, n: np.ndarray | None) -> pa.Table:
+    """(bucket, block, first, emit, n): the emissions of each block's words in each state, and their training counts."""
     emit = emit.astype(np.float32)
-    return pa.Table.from_batches([batch(EMITTED, **{c: own.column(c).combine_chunks() for c in ("bucket", "block", "first", "n")}, emit=[emit[x].tobytes() for x in ids])])
+    return pa.Table.from_batches([batch(EMITTED, **{c: own.column(c).combine_chunks() for c in ("bucket", "block", "first")}, emit=[emit[x].tobytes() for x in ids], n=[None if n is None else n[x].tobytes() for x in ids])])
 
 
-def first_emissions(members: DataFrame, sums: np.ndarray) -> DataFrame:
-    """The emissions that training begins with; sums: each state's over all words."""
+def first_emissions(members: DataFrame, sums: np.ndarray, last: bool = False) -> DataFrame:
+    """The emissions that training begins with; sums: each state's over all words. Only the last ones come with counts."""
 
     def made(rows: pa.Table) -> pa.Table:
         hashes, n, own, ids = table_of(rows)
-        return dealt_out(own, ids, first_shares(hashes, n, len(sums)) / sums)
+        return dealt_out(own, ids, first_shares(hashes, n, len(sums)) / sums, n if last else None)
 
     return members.groupBy("bucket").applyInArrow(made, EMITTED_SQL)
 
 
-def next_emissions(members: DataFrame, counted: DataFrame, totals: np.ndarray, n_all: int) -> DataFrame:
+def next_emissions(members: DataFrame, counted: DataFrame, totals: np.ndarray, n_all: int, last: bool = False) -> DataFrame:
     """Emissions from the expected counts of all blocks, summed by word; totals: each state's expected tokens."""
 
     def made(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -230,7 +273,7 @@ def next_emissions(members: DataFrame, counted: DataFrame, totals: np.ndarray, n
         total = PRIOR * np.repeat(n[:, None] / n_all, len(totals), axis=1)
         for block, first, blob in zip(told.column("block").to_pylist(), told.column("first").to_pylist(), told.column("blob")):
             total[of[block, first]] += np.frombuffer(blob.as_py(), np.float32).reshape(-1, len(totals))  # a block's words are different
-        return dealt_out(own, ids, total / (totals + PRIOR))
+        return dealt_out(own, ids, total / (totals + PRIOR), n if last else None)
 
     told = counted.where("block >= 0").select(F.col("bucket").alias("_bucket"), "block", "first", "blob")
     return members.groupBy("bucket").cogroup(told.groupBy("_bucket")).applyInArrow(made, EMITTED_SQL)
@@ -269,12 +312,12 @@ def expected(blocks: DataFrame, emitted: DataFrame, model: Model) -> DataFrame:
                 lay = layout(lengths[some])
                 by_time = np.empty(len(lay.at), np.int64)
                 by_time[lay.at] = gathered(tokens, starts[some], lengths[some])
-                given = emit[by_time]
+                given = np.take(emit, by_time, axis=0)
                 alpha, scale = forward(model, given, lay.offsets)
-                beta = backward(model, given, scale, lay.offsets)
+                beta, weighted = backward(model, given, scale, lay.offsets)
                 total += float(np.log10(scale).sum())
                 first = lay.offsets[1]
-                moves += model.moves * (alpha[np.sort(lay.before)].T @ (given[first:] * beta[first:] / scale[first:, None]))
+                moves += model.moves * (np.take(alpha, before(lay.offsets), axis=0).T @ weighted[first:])
                 alpha *= beta
                 start += alpha[:first].sum(0)
                 for k in range(states):
@@ -306,8 +349,10 @@ def first_model(members: DataFrame, states: int = STATES) -> tuple[Model, np.nda
 def train(blocks: DataFrame, members: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, DataFrame, list[float]]:
     """The model, the emissions of each block's words, and the log likelihood (log10) before each round."""
     model, sums = first_model(members, states)
-    emitted, likelihoods = stored(first_emissions(members, np.maximum(sums, 1e-300)), "emitted"), []
-    for _ in range(rounds if model.n else 0):
+    likelihoods = []
+    rounds = rounds if model.n else 0
+    emitted = stored(first_emissions(members, np.maximum(sums, 1e-300), last=not rounds), "emitted")
+    for k in range(rounds):
         counted = stored(expected(blocks, emitted, model), "expected")
         total, *rest = summed(counted, 1 + states + states * states + states)
         likelihoods.append(total)
@@ -315,7 +360,7 @@ def train(blocks: DataFrame, members: DataFrame, rounds: int = ROUNDS, states: i
         start, moves, totals = rest[:states] + EVEN / states, rest[states:-states].reshape(states, states) + EVEN / states, rest[-states:]
         model = replace(model, start=start / start.sum(), moves=moves / moves.sum(1, keepdims=True))
         removed(emitted)
-        emitted = stored(next_emissions(members, counted, totals, model.n), "emitted")
+        emitted = stored(next_emissions(members, counted, totals, model.n, last=k == rounds - 1), "emitted")
         removed(counted)
     return model, emitted, likelihoods
 
@@ -348,7 +393,7 @@ def score(blocks: DataFrame, emitted: DataFrame, model: Model) -> DataFrame:
                 lay = layout(lengths[some])
                 by_time = np.empty(len(lay.at), np.int64)
                 by_time[lay.at] = gathered(tokens, starts[some], lengths[some])
-                logs = np.log10(forward(model, emit[by_time], lay.offsets)[1])[lay.at]
+                logs = np.log10(forward(model, np.take(emit, by_time, axis=0), lay.offsets)[1])[lay.at]
                 result[some] = np.add.reduceat(logs, np.cumsum(lengths[some]) - lengths[some])
             known = np.add.reduceat((seen > 0)[tokens].astype(np.int64), starts)
             base = np.add.reduceat(base_of[tokens], starts)

@@ -1,10 +1,13 @@
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from blockloom.llm import hmm
@@ -143,3 +146,91 @@ def test_empty(spark, documents):
     only = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = hmm.op1_hmm(documents([(only, "a b")])).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, round(r.score, 9)) for r in got] == [(True, 3, 0, 0, 0.0, 0.0)]
+
+
+class Counted(np.ndarray):
+    """An array that counts what is done to it and to what comes of it."""
+
+    done = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kw):
+        Counted.done += 1
+        plain = [x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs]
+        into = {"out": tuple(x.view(np.ndarray) if isinstance(x, Counted) else x for x in out)} if out else {}
+        found = getattr(ufunc, method)(*plain, **into, **kw)
+        return out[0] if out else found.view(Counted) if isinstance(found, np.ndarray) else found
+
+
+def test_steps_are_scaled_together():
+    lengths = np.array([4000, 3999, 17, 9, 8, 7, 1])
+    lay, draw = hmm.layout(lengths), np.random.default_rng(3)
+    model = hmm.Model(np.array([0.2, 0.5, 0.3]), draw.dirichlet([1, 1, 1], 3), 1, 1, 0.1)
+    emitted = draw.random((lengths.sum(), 3)) * 1e-25  # eight of them are still a double
+    Counted.done = 0
+    alpha, scale = hmm.forward(model, emitted.view(Counted), lay.offsets)
+    assert Counted.done < 2 * lengths[0]
+    Counted.done = 0
+    beta = hmm.backward(model, emitted.view(Counted), scale, lay.offsets)[0]
+    assert Counted.done < 2 * lengths[0]
+    first = np.cumsum(lengths) - lengths
+    for f, n in zip(first, lengths):
+        own, a, b = emitted[lay.at[f : f + n]], None, np.ones(3)
+        for k, at in enumerate(lay.at[f : f + n]):
+            a = (model.start if a is None else a @ model.moves) * own[k]
+            assert math.isclose(scale[at], a.sum(), rel_tol=1e-9)
+            a = a / a.sum()
+            assert np.allclose(alpha[at], a, rtol=1e-9)
+        for k in range(n - 1, -1, -1):
+            at = lay.at[f + k]
+            assert np.allclose(beta[at], b, rtol=1e-9)
+            b = model.moves @ (own[k] * b / scale[at])
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_tokens_of_odd_bytes(kind):
+    draw = random.Random(4)
+    some = [*(bytes([k]) for k in range(256)), *[b" "] * 40, *[b"\xc3\x89", b"\xe2\x80\x83", b"AZ", b"\r\n"] * 5]
+    rows = [None, b"", b" ", b"  A ", b"\x00", *(b"".join(draw.choice(some) for _ in range(draw.randrange(50))) for _ in range(500))]
+    lengths, found, words = hmm.numbered(pa.array(rows, kind))
+    words, at = words.to_pylist(), 0
+    for text, n in zip(rows, lengths):
+        assert [words[k] for k in found[at : at + n]] == [*(text or b"").lower().split(), b""]
+        at += n
+    assert at == len(found) and len(set(words)) == len(words)
+
+
+def test_no_python_step_for_each_token():
+    calls = 0
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(called)
+    try:
+        hmm.numbered(pa.array([b"one two three " * 30_000]))
+    finally:
+        sys.setprofile(None)
+    assert calls < 1000
+
+
+def test_blocks_end_where_they_are_full():
+    draw = random.Random(7)
+    rows = [(i, True, None if n == 0 else b"w" * n) for i, n in enumerate(draw.choice([0, 1, 9, 10, 11, 35]) for _ in range(300))]
+    want, size = [[]], 0
+    for i, _, text in rows:
+        if size >= 20:
+            want, size = [*want, []], 0
+        want[-1].append(i)
+        size += len(text or b"")
+    for some in (1, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[k : k + some]], t) for c, t in enumerate([pa.int64(), pa.bool_(), pa.binary()])], ["i", "ok", "text"]) for k in range(0, 300, some)]
+        assert [[i for b in lot for i in b.column(0).to_pylist()] for lot in hmm.filled(batches, 20)] == want
+
+
+def test_counts_travel_once(spark, documents):
+    blocks, members = fitted(documents(texts(60)), states=3, per_bucket=20)
+    assert members.where(f"kind = {hmm.MEMBER} and n is not null").count() == 0
+    assert hmm.first_emissions(members, np.ones(3)).where("n is not null").count() == 0
+    _, emitted, _ = hmm.train(blocks, members, rounds=1, states=3)
+    assert emitted.where("n is null").count() == 0 and emitted.count() > 0
