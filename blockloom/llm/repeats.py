@@ -1,8 +1,9 @@
-"""Removal of repeated byte strings: anchored suffixes, sorted by mergesort with hash-compared common extensions."""
+"""Removal of repeated byte strings: anchored suffixes, sorted by mergesort through their common extensions."""
 
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,10 @@ from .common import batch, removed, scratch, shuffles_removed, stored
 
 #: Bytes of a string that counts as repeated, and of the grams of which each string's least hash is its anchor.
 LENGTH, GRAM = 50, 24
-#: Bytes of text of a block, per bucket, and that are hashed together; strings that are sorted together.
-BLOCK, BUCKET, STEP, SORTED = 1 << 20, 8 << 20, 1 << 18, 250_000
+#: Bytes of text of a block, per bucket, and that are hashed together; strings that are sorted together. Blocks and buckets
+#: exchange a row each, so that rows are as many as the square of the text over BLOCK * BUCKET: these are as large as memory lets
+#: them be, and a row costs little.
+BLOCK, BUCKET, STEP, SORTED = 3 << 20, 10 << 20, 1 << 18, 60_000
 #: Bytes of stretches that are compared together.
 LOT = 1 << 20
 #: A gram with more different surroundings than this is dealt by the strings around it instead of by itself.
@@ -56,18 +59,6 @@ class Hashes:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.prefix[end] - self.prefix[start]) * self.down[start]
 
-    def common(self, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at p and q, up to most, by binary search over hashes."""
-        found = np.zeros(len(p), np.int64)
-        step = 1 << (int(most.max(initial=1)).bit_length() - 1)
-        while step:
-            a, b = p + found, q + found
-            fits = np.flatnonzero(found + step <= most)
-            a, b = a[fits], b[fits]
-            found[fits[self.of(a, a + step) == self.of(b, b + step)]] += step
-            step >>= 1
-        return found
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * SPREAD
@@ -130,8 +121,9 @@ def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         place = (least & low).astype(np.int64)
-        begin = np.arange(at, at + len(place))
-        place[begin + LENGTH > upto[np.searchsorted(upto, begin, side="right")]] = -1
+        ends = np.unique(upto[np.searchsorted(upto, at, side="right") : np.searchsorted(upto, at + len(place) + LENGTH)]) - at
+        over = (ends[:, None] - np.arange(1, LENGTH)).ravel()  # strings that begin here reach beyond a document's end
+        place[over[(over >= 0) & (over < len(place))]] = -1
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         strings = np.diff(np.append(first, len(place)))
         kept = place[first] >= 0
@@ -140,16 +132,21 @@ def runs(data: np.ndarray, lengths: np.ndarray) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*parts)))
 
 
+#: One of each for a process: blocks times buckets values pass through them, most of them small.
+COMPRESSOR, DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
-    head = np.array([len(a.tobytes()) for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head.tobytes(), *(a.tobytes() for a in arrays)]))
+    return COMPRESSOR.compress(b"".join([struct.pack(f"<{len(arrays)}q", *[a.nbytes for a in arrays]), *[a.tobytes() for a in arrays]]))
 
 
 def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    ends = 8 * len(types) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, len(types)))])
-    return [np.frombuffer(raw[s:e], t) for s, e, t in zip(ends, ends[1:], types)]
+    raw, out, at = DECOMPRESSOR.decompress(blob), [], 8 * len(types)
+    for n, t in zip(struct.unpack_from(f"<{len(types)}q", raw), types):
+        out.append(np.frombuffer(raw[at : at + n], t))  # a copy, so that numbers are aligned
+        at += n
+    return out
 
 
 BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("size", pa.int64()), ("data", pa.binary())])
@@ -187,17 +184,29 @@ def given_back(table: pa.Table) -> pa.Table:
 
 
 def groups_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal keys together, the first key leading, and where each group starts in it."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+    """An order that brings equal keys together, and where each group starts in it.
+
+    Several keys are sorted by a hash of them all; where different ones share a hash, all are sorted key by key.
+    """
+    h = keys[0].astype(np.uint64)
+    for k in keys[1:]:
+        h = mixed(h) + k.astype(np.uint64)
+    for order in (np.argsort(h), None):
+        order = np.lexsort(keys) if order is None else order
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for k in keys:
+            some = k[order]
+            new[1:] |= some[1:] != some[:-1]
+        some = h[order]
+        if not (new[1:] & (some[1:] == some[:-1])).any():
+            break
     return order, np.flatnonzero(new)
 
 
-def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Which of n buckets, equal ranges of all hashes, each hash is in."""
+    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def cuts(sorted_buckets: np.ndarray) -> list[tuple[int, int]]:
@@ -214,12 +223,19 @@ def distinct_grams(found: Runs, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
     Surroundings are counted by the power of two that is not below their number.
     """
-    grams, place = np.unique(found.gram, return_inverse=True)
-    count = lambda key: np.bincount(place[(o := groups_of(found.gram, key))[0][o[1]]], minlength=len(grams))
-    return grams, count(doc) > 1, np.ceil(np.log2(np.maximum(count(found.whole), 1))).astype(np.uint8)
-
-
-def shared_grams(texts: DataFrame, bits: int, hot_from: int = HOT) -> DataFrame:
+    order, begin = groups_of(found.gram)
+    if not len(order):
+        return found.gram, np.zeros(0, bool), np.zeros(0, np.uint8)
+    own, n = doc[order], np.diff(np.append(begin, len(order)))
+    number, around = np.repeat(np.arange(len(begin)), n), np.ones(len(begin), np.int64)
+    again = np.repeat(n > 1, n)
+    number, whole = number[again], found.whole[order[again]]
+    first = (o := groups_of(number, whole))[0][o[1]]
+    around[n > 1] = np.bincount(number[first], minlength=len(begin))[n > 1]
+    return found.gram[order[begin]], np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin), np.ceil(np.log2(around)).astype(np.uint8)
+
+
+def shared_grams(texts: DataFrame, buckets: int, hot_from: int = HOT) -> DataFrame:
     """(flag_of, bucket, n, shared, hot): for each block, of its distinct grams in order, which other documents have too.
 
     A hot gram has more surroundings than hot_from, each block's counted by themselves.
@@ -232,15 +248,16 @@ def shared_grams(texts: DataFrame, bits: int, hot_from: int = HOT) -> DataFrame:
                 lengths, data = unpack(blob.as_py(), np.int64, np.uint8)
                 found = runs(data, lengths)
                 grams, several, around = distinct_grams(found, run_docs(lengths, found.first))
-                bucket = bucket_of(grams, bits)
+                bucket = bucket_of(grams, buckets)
                 some = cuts(bucket)
-                packed = [[x(s, e) for s, e in some] for x in (lambda s, e: grams[s:e].astype(np.uint32).tobytes(), lambda s, e: np.packbits(several[s:e]).tobytes(), lambda s, e: around[s:e].tobytes())]
+                low, near = grams.astype(np.uint32).tobytes(), around.tobytes()
+                packed = [low[4 * s : 4 * e] for s, e in some], [np.packbits(several[s:e]).tobytes() for s, e in some], [near[s:e] for s, e in some]
                 yield batch(shape, bucket=[int(bucket[s]) for s, _ in some], block=[block] * len(some), grams=packed[0], several=packed[1], around=packed[2])
 
     def meet(rows: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x.as_py(), np.uint32) for x in rows.column("grams")]
-        several = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(g)) for x, g in zip(rows.column("several"), grams)]
-        around = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("around")])
+        grams = [np.frombuffer(x, np.uint32) for x in rows.column("grams").to_pylist()]
+        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(g)) for x, g in zip(rows.column("several").to_pylist(), grams)]
+        around = np.frombuffer(b"".join(rows.column("around").to_pylist()), np.uint8)
         _, place, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
         inside = np.bincount(place, weights=np.concatenate(several), minlength=len(count)) > 0
         many = np.bincount(place, weights=np.exp2(around, dtype=np.float64), minlength=len(count)) > hot_from
@@ -270,19 +287,39 @@ def same_bytes(data: np.ndarray, p: np.ndarray, q: np.ndarray, size: np.ndarray)
     return out
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that sorts as they do; zeros follow the end."""
+    out = np.zeros(len(data), np.uint64)
+    for k in range(min(8, len(data))):
+        out[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    return out
+
+
 def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorts the suffixes at these places by their first bytes, length of them, within each group.
 
     Groups lie together, and all suffixes of one have the same length. Returns the order and, for each sorted suffix,
     whether it differs from the one before it. A bottom-up mergesort: every suffix finds its rank in the neighbouring
-    run by binary search, each comparison being a binary search for the common extension. Suffixes found equal are then
-    verified byte for byte; where hashes have lied, that group is sorted by its bytes.
+    run by binary search, each comparison going through their common extension by eight bytes at a time. Of suffixes with
+    equal hashes one takes part for all, and they are then verified byte for byte; where hashes have lied, that group is
+    sorted by its bytes.
     """
     data, n = hashes.data, len(place)
-    whole = hashes.of(place, place + length)
-    order = np.arange(n)
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, n))
+    edges = lambda group: np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    all_begin = edges(group)
+    all_size = np.diff(np.append(all_begin, n))
+    group = np.repeat(np.arange(len(all_begin)), all_size)
+    all_whole = hashes.of(place, place + length)
+    member, first = groups_of(group, all_whole)
+    held = np.diff(np.append(first, n))
+    in_order = np.argsort(group[member[first]], kind="stable")
+    first, held = first[in_order], held[in_order]
+    head = member[first]
+    whole, all_place, all_length = all_whole[head], place, length
+    place, length = place[head], length[head]
+    order = np.arange(len(head))
+    begin = edges(group[head])
+    size = np.diff(np.append(begin, len(head)))
     start, end = np.repeat(begin, size), np.repeat(begin + size, size)
 
     def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -290,11 +327,14 @@ def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray, length: np
         out = np.zeros(len(a), np.int8)
         other = np.flatnonzero(whole[a] != whole[b])
         p, q = place[a[other]], place[b[other]]
-        longest = hashes.common(p, q, length[a[other]] - 1)
-        out[other] = np.where(data[p + longest] < data[q + longest], -1, 1)
+        while len(other):  # their hashes differ, so that their bytes do before they end
+            x, y = words[p], words[q]
+            out[other] = np.where(x < y, -1, 1)
+            equal = np.flatnonzero(x == y)
+            other, p, q = other[equal], p[equal] + 8, q[equal] + 8
         return out
 
-    width = 1
+    width, words = 1, eights(data) if len(head) > len(size) else None
     while len(size) and width < size.max():
         at = np.flatnonzero(end - start > width)
         pair = start[at] + (at - start[at]) // (2 * width) * (2 * width)
@@ -315,6 +355,9 @@ def suffix_sort(hashes: Hashes, place: np.ndarray, group: np.ndarray, length: np
         merged[pair + own + (low - base)] = order[at]
         order = merged
         width *= 2
+    order = member[byte_places(first[order], held[order])]
+    place, length, whole = all_place, all_length, all_whole
+    start, end = np.repeat(all_begin, all_size), np.repeat(all_begin + all_size, all_size)
     new = np.ones(n, bool)
     new[1:] = (group[1:] != group[:-1]) | (whole[order[1:]] != whole[order[:-1]])
     same = np.flatnonzero(~new)
@@ -357,7 +400,7 @@ def leaders(data: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.nda
         own = size[some]
         sorted_, new = suffix_sort(Hashes(data[byte_places(start[some], own)]), np.cumsum(own) - own, key[some], own)
         member, head = some[sorted_], np.flatnonzero(new)
-        leader[member] = np.repeat(member[head], np.diff(np.append(head, len(member))))
+        leader[member] = np.repeat(np.minimum.reduceat(member, head), np.diff(np.append(head, len(member))))
 
     todo = order[np.repeat(n > 1, n)]
     total, at = np.cumsum(size[todo]), 0
@@ -380,18 +423,26 @@ CONTEXTS_SQL = "kind int, block long, bucket long, first long, blob binary"
 PIECES, STRETCHES, ANSWERS, SINGLES, FOLDED = range(5)
 
 
-def stretches_blob(offset: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray, start: np.ndarray) -> bytes:
-    return pack(offset.astype(np.uint8), size.astype(np.uint8), least, data[byte_places(start, size)])
+def stretches_blobs(offset: np.ndarray, size: np.ndarray, least: np.ndarray, data: np.ndarray, start: np.ndarray, rows: list[tuple[int, int]]) -> list[bytes]:
+    """The stretches of each row, from one to another (excluded), packed; their bytes are gathered a bounded number at a time."""
+    end = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    own, at = np.empty(end[-1], np.uint8), 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(end, end[at] + STEP, side="right")) - 1)
+        own[end[at] : end[upto]] = data[byte_places(start[at:upto], size[at:upto])]
+        at = upto
+    offset, size = offset.astype(np.uint8), size.astype(np.uint8)
+    return [pack(offset[s:e], size[s:e], least[s:e], own[end[s] : end[e]]) for s, e in rows]
 
 
-def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
+def contexts(texts: DataFrame, flags: DataFrame, buckets: int) -> DataFrame:
     """The stretches around shared grams, by bucket, the strings around hot ones, and where in the block each occurs."""
 
     def run(block: pa.Table, flags: pa.Table) -> pa.Table:
         out = []
         flags = flags.sort_by("bucket")
         size = flags.column("n").to_pylist()
-        bits_of = lambda name: np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(flags.column(name), size))]).astype(bool)
+        bits_of = lambda name: np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(flags.column(name).to_pylist(), size))]).astype(bool)
         shared, hot = bits_of("shared"), bits_of("hot")
         for row in block.to_pylist():
             lengths, data = unpack(row["data"], np.int64, np.uint8)
@@ -414,7 +465,7 @@ def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
             leader = leaders(data, first, stretch, whole, route, offset)
             lead = np.flatnonzero(leader == np.arange(len(leader)))
             kind = np.where(offset[lead] >= ALONE, SINGLES, STRETCHES)
-            bucket = bucket_of(route[lead], bits)
+            bucket = bucket_of(route[lead], buckets)
             order = np.lexsort((bucket, kind))
             lead, kind, bucket = lead[order], kind[order], bucket[order]
             number = np.empty(len(leader), np.int64)
@@ -422,10 +473,12 @@ def contexts(texts: DataFrame, flags: DataFrame, bits: int) -> DataFrame:
             number = number[leader]
             least = np.full(len(lead), NOBODY)
             np.minimum.at(least, number, ids[run_docs(lengths, first)])
-            out.append(batch(CONTEXTS, kind=[PIECES], block=[row["block"]], bucket=[-1], first=[0], blob=[pack(np.diff(first, prepend=0).astype(np.int32), number.astype(np.int32), strings, least)]))
-            for s, e in cuts(bucket + (kind == SINGLES) * (1 << 40)):
-                some = lead[s:e]
-                out.append(batch(CONTEXTS, kind=[int(kind[s])], block=[row["block"]], bucket=[int(bucket[s])], first=[s], blob=[stretches_blob(offset[some], stretch[some], least[s:e], data, first[some])]))
+            some = cuts(bucket + (kind == SINGLES) * (1 << 40))
+            at = [s for s, _ in some]
+            blobs = [pack(np.diff(first, prepend=0).astype(np.int32), number.astype(np.int32), strings, least)]
+            blobs += stretches_blobs(offset[lead], stretch[lead], least, data, first[lead], some)
+            # all rows in one batch: there are as many as buckets
+            out.append(batch(CONTEXTS, kind=[PIECES, *kind[at].tolist()], block=[row["block"]] * len(blobs), bucket=[-1, *bucket[at].tolist()], first=[0, *at], blob=blobs))
         return given_back(pa.Table.from_batches(out, CONTEXTS))
 
     return texts.select("block", "doc_id", "data").groupBy("block").cogroup(flags.groupBy("flag_of")).applyInArrow(run, CONTEXTS_SQL)
@@ -444,7 +497,7 @@ class Stretches:
 
     @staticmethod
     def of(rows: pa.Table) -> Stretches:
-        parts = [unpack(x.as_py(), np.uint8, np.uint8, np.int64, np.uint8) for x in rows.column("blob")]
+        parts = [unpack(x, np.uint8, np.uint8, np.int64, np.uint8) for chunk in rows.column("blob").iterchunks() for x in chunk.to_pylist()]
         offset, size, least, data = (np.concatenate(x) for x in zip(*parts))
         size = size.astype(np.int64)
         return Stretches(offset, size, least, data, np.cumsum(size) - size, np.cumsum([0, *(len(p[0]) for p in parts)]))
@@ -506,8 +559,10 @@ def answers(stretches: DataFrame) -> DataFrame:
         useful = holder[reply] < x.least[member]
         reply, member = reply[useful], member[useful]
         cut = np.searchsorted(member, x.cut)
-        blobs = [pack((member[s:e] - f + r).astype(np.int32), at[reply[s:e]].astype(np.uint8), length[reply[s:e]].astype(np.uint8), holder[reply[s:e]]) for s, e, f, r in zip(cut, cut[1:], x.cut, rows.column("first").to_pylist())]
-        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=rows.column("block").combine_chunks(), bucket=rows.column("bucket").combine_chunks(), first=rows.column("first").combine_chunks(), blob=blobs)]))
+        told = np.flatnonzero(cut[1:] > cut[:-1])  # what has no answer gets no row
+        some = rows.select(["block", "bucket", "first"]).take(told)
+        blobs = [pack((member[s:e] - f + r).astype(np.int32), at[reply[s:e]].astype(np.uint8), length[reply[s:e]].astype(np.uint8), holder[reply[s:e]]) for s, e, f, r in zip(cut[told], cut[told + 1], x.cut[told], some.column("first").to_pylist())]
+        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[ANSWERS] * len(blobs), **{c: some.column(c).combine_chunks() for c in some.column_names}, blob=blobs)]))
 
     return stretches.groupBy("bucket").applyInArrow(meet, CONTEXTS_SQL)
 
@@ -527,7 +582,7 @@ def folded(singles: DataFrame, folds: int) -> DataFrame:
         name = -1 - rows.column("_fold")[0].as_py()
         where = pack(np.array(rows.column("block")), np.array(rows.column("first")), np.diff(x.cut), number[leader], x.least, held[lead])
         bucket = rows.column("bucket")[0].as_py()
-        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[STRETCHES, FOLDED], block=[name] * 2, bucket=[bucket] * 2, first=[0, 0], blob=[stretches_blob(x.offset[lead], x.size[lead], held[lead], x.data, x.start[lead]), where])]))
+        return given_back(pa.Table.from_batches([batch(CONTEXTS, kind=[STRETCHES, FOLDED], block=[name] * 2, bucket=[bucket] * 2, first=[0, 0], blob=[*stretches_blobs(x.offset[lead], x.size[lead], held[lead], x.data, x.start[lead], [(0, len(lead))]), where])]))
 
     dealt = singles.withColumn("_fold", F.pmod(F.xxhash64("block"), F.lit(folds)))
     return dealt.groupBy("bucket", "_fold").applyInArrow(meet, CONTEXTS_SQL)
@@ -547,8 +602,9 @@ def unfolded(where: DataFrame, replies: DataFrame) -> DataFrame:
             member = np.flatnonzero(held[number] < least)
             edge = np.cumsum(np.concatenate([[0], n]))
             cut = np.searchsorted(member, edge)
-            blobs = [pack((member[s:e] - f + r).astype(np.int32), np.zeros(e - s, np.uint8), np.ones(e - s, np.uint8), held[number[member[s:e]]]) for s, e, f, r in zip(cut, cut[1:], edge, first)]
-            out.append(batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=block, bucket=[row["bucket"]] * len(blobs), first=first, blob=blobs))
+            some = np.flatnonzero(cut[1:] > cut[:-1])
+            blobs = [pack((member[s:e] - f + r).astype(np.int32), np.zeros(e - s, np.uint8), np.ones(e - s, np.uint8), held[number[member[s:e]]]) for s, e, f, r in zip(cut[some], cut[some + 1], edge[some], first[some])]
+            out.append(batch(CONTEXTS, kind=[ANSWERS] * len(blobs), block=block[some], bucket=[row["bucket"]] * len(blobs), first=first[some], blob=blobs))
         return given_back(pa.Table.from_batches(out, CONTEXTS))
 
     told = replies.select(F.col("block").alias("_of"), F.col("bucket").alias("_in"), "blob")
@@ -598,10 +654,10 @@ def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     texts = stored(blocks(docs), "blocks")
     total, n = texts.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bits = max(0, total // BUCKET).bit_length()
+    buckets = total // BUCKET + 1
     with shuffles_removed(spark), scratch() as keep:
-        flags = stored(shared_grams(texts, bits, hot), "flags")
-        made = keep(stored(contexts(texts, flags, bits), "contexts"))
+        flags = stored(shared_grams(texts, buckets, hot), "flags")
+        made = keep(stored(contexts(texts, flags, buckets), "contexts"))
         removed(flags)
         folds = stored(folded(made.where(F.col("kind") == SINGLES), math.isqrt(n) + 1), "folds")
         replies = keep(stored(answers(made.where(F.col("kind") == STRETCHES).unionByName(folds.where(F.col("kind") == STRETCHES))), "answers"))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from blockloom.llm import repeats
 
@@ -120,6 +121,37 @@ def test_a_phrase_with_many_surroundings_in_one_block(spark, documents):
     assert sorted(repr(tuple(r)) for r in repeats.op10_repeats(docs).collect()) == plain(rows)
 
 
+def test_blocks_and_buckets_exchange_few_rows(spark, documents):
+    """A block gives all its buckets' rows in one batch, and what has no answer comes back as no row."""
+    docs = documents(corpus(4)).repartition(6)
+    blocks = repeats.stored(repeats.blocks(docs), "blocks")
+    flags = repeats.stored(repeats.shared_grams(blocks, 37), "flags")
+    steps = []
+
+    class Step:
+        def __getattr__(self, name):
+            return lambda *a: steps.append(a[0]) if name == "applyInArrow" else self
+
+    repeats.contexts(Step(), Step(), 37)
+    for row in blocks.select("block", "doc_id", "data").collect():
+        one = spark.createDataFrame([row], "block long, doc_id array<long>, data binary").toArrow()
+        made = steps[0](one, flags.where(F.col("flag_of") == row.block).toArrow())
+        assert made.num_rows > 10 and len(made.to_batches()) == 1
+    stretches = repeats.contexts(blocks, flags, 37).where(F.col("kind") == repeats.STRETCHES)
+    told = repeats.answers(stretches).collect()
+    assert 0 < len(told) < stretches.count() and all(len(repeats.unpack(r.blob, np.int32, np.uint8, np.uint8, np.int64)[0]) for r in told)
+
+
+def test_groups_where_hashes_collide(monkeypatch):
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 9, 500).astype(np.uint64), draw.integers(0, 9, 500).astype(np.uint8)
+    for _ in range(2):
+        order, begin = repeats.groups_of(a, b)
+        pairs = [(int(x), int(y)) for x, y in zip(a[order], b[order])]
+        assert sorted(order.tolist()) == list(range(500)) and len(begin) == len(set(pairs)) == len({pairs[k] for k in begin})
+        monkeypatch.setattr(repeats, "mixed", lambda h: np.zeros(len(h), np.uint64))
+
+
 def test_text_of_several_megabytes(spark, documents):
     draw = random.Random(7)
     words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 9))) for _ in range(2000)]
