@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from blockloom.functions.channels import bits, number, replicate
 
@@ -193,59 +200,82 @@ def fxt1(blocks: DataFrame) -> DataFrame:
 
 #: Palette entries by format: bytes of an entry.
 PALETTE_FORMATS = {"rgb8": 3, "rgba8": 4, "r5_g6_b5": 2, "rgba4": 2, "rgb5_a1": 2}
+#: Of entries of two bytes, the lowest first, where each channel begins and how many bits it has.
+PACKED = {"r5_g6_b5": ((11, 5), (5, 6), (0, 5)), "rgba4": ((12, 4), (8, 4), (4, 4), (0, 4)), "rgb5_a1": ((11, 5), (6, 5), (1, 5), (0, 1))}
+
+
+def palette_entries(form: str, raw: np.ndarray) -> np.ndarray:
+    """r, g, b, a of palette entries, of which raw has the bytes in a row each."""
+    out = np.full((len(raw), 4), 255, np.uint8)
+    if form not in PACKED:
+        out[:, : raw.shape[1]] = raw
+        return out
+    w = raw[:, 0].astype(np.uint16) | raw[:, 1].astype(np.uint16) << 8
+    for k, (at, n) in enumerate(PACKED[form]):
+        v = w >> at & (1 << n) - 1
+        out[:, k] = v * 255 if n == 1 else v << 8 - n | v >> 2 * n - 8
+    return out
+
+
+def paletted_levels(data: bytes, form: str, wide: bool, width: int, height: int, levels: int) -> list[np.ndarray]:
+    """The mip levels of a paletted image as arrays of its rows, texels and channels; none if it has too few bytes."""
+    raw, size, n = np.frombuffer(data, np.uint8), PALETTE_FORMATS[form], 256 if wide else 16
+    sides = [(max(width >> k, 1), max(height >> k, 1)) for k in range(levels)]
+    held = [w * h if wide else (w * h + 1) // 2 for w, h in sides]
+    if len(raw) < n * size + sum(held):
+        return []
+    entries, at, out = palette_entries(form, raw[: n * size].reshape(n, size)), n * size, []
+    for (w, h), m in zip(sides, held):
+        codes = raw[at : at + m]
+        if not wide:
+            codes = np.stack([codes >> 4, codes & 15], axis=1).ravel()[: w * h]
+        out.append(entries[codes].reshape(h, w, 4))
+        at += m
+    return out
+
+
+def by_level(images: DataFrame, keys: list[str], levels: int, columns: str, rows_of: Callable[[np.ndarray, int], tuple]) -> DataFrame:
+    """(keys, level, columns) of paletted images: a row for each level, with what rows_of says of its texels and the image's width."""
+    shape = StructType([images.schema[k] for k in keys]).add("level", "long")
+    for c in columns.split(", "):
+        shape.add(*c.split(" "))
+    types = to_arrow_schema(shape).types
 
+    def run(batches):
+        def found():
+            for b in batches:
+                for *own, form, wide, width, height, data in zip(*(c.to_pylist() for c in b.columns)):
+                    if form in PALETTE_FORMATS and None not in (wide, width, height, data):
+                        for k, texels in enumerate(paletted_levels(data, form, wide, width, height, levels)):
+                            yield *own, k, *rows_of(texels, width)
 
-def palette_entry(form: str) -> list[Column]:
-    """r, g, b, a of a palette entry of bytes `c`; words have the lowest byte first."""
-    if form in ("rgb8", "rgba8"):
-        return [byte(0), byte(1), byte(2), byte(3) if form == "rgba8" else number(255)]
-    w = little(0, 2)
-    if form == "r5_g6_b5":
-        return [*rgb565(w), number(255)]
-    if form == "rgba4":
-        return [bits(w, k, 4) * 17 for k in (12, 8, 4, 0)]
-    return [replicate(bits(w, 11, 5), 5), replicate(bits(w, 6, 5), 5), replicate(bits(w, 1, 5), 5), bits(w, 0, 1) * 255]
+        rows = found()
+        while some := list(itertools.islice(rows, 256)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=shape.names)
+
+    return images.select(*keys, "form", "wide", F.col("width").cast("long"), F.col("height").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, shape)
 
 
 def paletted(images: DataFrame, keys: list[str], levels: int) -> DataFrame:
-    """(keys, level, x, y, r, g, b, a) of images (keys, form, wide, width, height, bytes).
+    """(keys, level, width, height, data) of images (keys, form, wide, width, height, bytes); data has r, g, b, a of each texel, row by row.
 
     The bytes are a palette of entries of the form, 256 of them if wide and 16 else, then so many mip levels of codes:
     bytes if wide, halves of bytes else, the high half first; a level ends with a whole byte. Sides halve from level to
-    level, to 1 at least. Rows with too few bytes are left out.
+    level, to 1 at least. Rows with too few bytes are left out. An image is decoded within its row: its palette once,
+    then its texels by their codes.
     """
-    size = None
-    for form, n in PALETTE_FORMATS.items():
-        size = F.when(F.col("form") == form, n) if size is None else size.when(F.col("form") == form, n)
-    own = images.withColumn("size", size).withColumn("at", F.when(F.col("wide"), 256).otherwise(16) * F.col("size"))
-    parts = []
-
-    def texel_of(k: int):
-        w, at = F.col(f"w{k}"), F.col(f"at{k}")
-        wide, size = F.col("wide"), F.col("size")
-
-        def of(i: Column) -> Column:
-            raw = F.element_at("bytes", (at + F.when(wide, i).otherwise(F.floor(i / 2)) + 1).cast("int"))
-            code = F.when(wide, raw).when(F.pmod(i, F.lit(2)) == 1, F.pmod(raw, F.lit(16))).otherwise(F.floor(raw / 16))
-            return F.struct(F.lit(k).cast("long").alias("level"), F.pmod(i, w).alias("x"), F.floor(i / w).alias("y"), F.slice("bytes", (code * size + 1).cast("int"), size).alias("c"))
-
-        return of
-
-    for k in range(levels):
-        w, h = (F.greatest(F.floor(F.col(c) / (1 << k)), number(1)) for c in ("width", "height"))
-        own = own.withColumns({f"w{k}": w, f"n{k}": w * h, f"at{k}": F.col("at")})
-        own = own.withColumn("at", F.col("at") + F.when(F.col("wide"), F.col(f"n{k}")).otherwise(F.ceil(F.col(f"n{k}") / 2)))
-        parts.append(F.transform(F.sequence(number(0), F.col(f"n{k}") - 1), texel_of(k)))
-    # no filter on the bytes: below the rows' source it would work them out once more
-    each = own.select(*keys, "form", F.explode(F.when(F.size("bytes") >= F.col("at"), F.concat(*parts))).alias("p")).select(*keys, "form", "p.*")
-    entries = {form: palette_entry(form) for form in PALETTE_FORMATS}
-    out = []
-    for k, n in enumerate("rgba"):
-        value = None
-        for form, entry in entries.items():
-            value = F.when(F.col("form") == form, entry[k]) if value is None else value.when(F.col("form") == form, entry[k])
-        out.append(value.alias(n))
-    return each.select(*keys, "level", "x", "y", *out)
+    return by_level(images, keys, levels, "width long, height long, data binary", lambda texels, _: (texels.shape[1], texels.shape[0], texels.tobytes()))
+
+
+def paletted_sums(images: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """(keys, level, texels, sum_r, sum_g, sum_b, sum_a) of the same images: each channel times y * width + x + 1, of all texels of a level."""
+
+    def sums(texels: np.ndarray, width: int) -> tuple:
+        h, w, _ = texels.shape
+        place = np.add.outer(np.arange(h) * width, np.arange(1, w + 1)).ravel()
+        return h * w, *(place @ texels.reshape(-1, 4).astype(np.int64)).tolist()
+
+    return by_level(images, keys, levels, "texels long, sum_r long, sum_g long, sum_b long, sum_a long", sums)
 
 
 def volume(blocks: DataFrame, w: int, h: int, d: int) -> DataFrame:

@@ -115,11 +115,12 @@ PALETTED = [(form, w) for form in decode.PALETTE_FORMATS for w in (False, True)]
 def paletted(spark, d):
     """Each page as a paletted image of one of the ten formats, as high as its bytes fill all levels: what each level sums up to."""
     own = lambda values, t: F.element_at(F.array(*[F.lit(v).cast(t) for v in values]), (F.pmod("page_id", F.lit(10)) + 1).cast("int"))
-    images = spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", own([f for f, _ in PALETTED], "string").alias("form"), own([w for _, w in PALETTED], "boolean").alias("wide"), F.octet_length("html").alias("octets"), fixtures.text_bytes(F.col("html")).alias("bytes"))
+    pages = fixtures.dealt(spark.read.parquet(f"{d}/pages.parquet").where("html is not null").select("page_id", "html"))
+    images = pages.select("page_id", own([f for f, _ in PALETTED], "string").alias("form"), own([w for _, w in PALETTED], "boolean").alias("wide"), F.octet_length("html").alias("octets"), F.encode("html", "UTF-8").alias("bytes"))
     rest = F.col("octets") - own([decode.PALETTE_FORMATS[f] * (256 if w else 16) for f, w in PALETTED], "long")
     images = images.withColumn("width", F.lit(8).cast("long")).withColumn("height", 4 * F.floor(rest / F.when(F.col("wide"), 42).otherwise(21))).where("height > 0")
-    place = F.col("y") * 8 + F.col("x") + 1
-    return decode.paletted(images, ["page_id"], MIPS).groupBy("page_id", "level").agg(F.count("*").alias("texels"), *[F.sum(F.col(c) * place).alias(f"sum_{c}") for c in "rgba"])
+    found = decode.paletted_sums(images, ["page_id"], MIPS)
+    return found.groupBy("page_id", "level").agg(*[F.sum(c).alias(c) for c in ("texels", *(f"sum_{c}" for c in "rgba"))])
 
 
 def paletted_sql() -> str:

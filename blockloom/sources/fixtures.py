@@ -48,9 +48,9 @@ def numbers(code: Column, size: int) -> Column:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """A table that is read in fewer tasks than can run at once, such as a file of one row group, dealt out evenly."""
-    tasks = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
+    """A table that may be read in fewer tasks than can run at once, dealt out evenly: a file of one row group is one task's, whatever its size."""
+    tasks, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows if min(parts, len(rows.inputFiles())) >= tasks else rows.repartition(max(tasks, parts))
 
 
 def text_blocks(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from blockloom.operators import decode, lookups, partitions
 from blockloom.plans import registry
-from blockloom.sources import block_files
+from blockloom.sources import block_files, fixtures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -73,6 +73,49 @@ def test_swapped_ends_decode_alike(spark):
         assert a == b or r.r == [red[0], red[1], (2 * red[0] + red[1]) // 3, (red[0] + 2 * red[1]) // 3][code]
 
 
+def test_paletted_images_are_decoded_within_their_rows(spark):
+    """Texel by texel, odd sides and missing bytes as well; no texel is a row before the sums."""
+    draw = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, (form, size) in enumerate([*decode.PALETTE_FORMATS.items(), *decode.PALETTE_FORMATS.items()]):
+        wide, (width, height), n = k % 2 == 0, [(8, 8), (5, 3), (1, 7), (6, 1)][k % 4], 256 if k % 2 == 0 else 16
+        data = draw.integers(0, 256, 2000).astype(np.uint8).tolist()
+        at = n * size
+        for level in range(3):
+            w, h = max(width >> level, 1), max(height >> level, 1)
+            for i in range(w * h):
+                code = data[at + i] if wide else data[at + i // 2] >> 4 if i % 2 == 0 else data[at + i // 2] & 15
+                c = data[code * size : (code + 1) * size]
+                v = c[0] | c[1] << 8
+                five, six = lambda x: (x & 31) << 3 | (x & 31) >> 2, lambda x: (x & 63) << 2 | (x & 63) >> 4
+                rgba = {"rgb8": [*c, 255], "rgba8": c, "r5_g6_b5": [five(v >> 11), six(v >> 5), five(v), 255], "rgba4": [(v >> s & 15) * 17 for s in (12, 8, 4, 0)], "rgb5_a1": [five(v >> 11), five(v >> 6), five(v >> 1), (v & 1) * 255]}[form]
+                want.setdefault((k, level, w, h), []).extend(rgba)
+            at += w * h if wide else (w * h + 1) // 2
+        rows.append((k, form, wide, width, height, bytes(data[:at])))
+        rows.append((100 + k, form, wide, width, height, bytes(data[: at - 1])))
+    rows += [(200, None, True, 8, 8, b"x" * 2000), (201, "rgb8", True, 8, 8, None), (202, "rgb8", True, 8, 8, b"")]
+    images = spark.createDataFrame(rows, "id long, form string, wide boolean, width long, height long, bytes binary")
+    assert {(r.id, r.level, r.width, r.height): list(r.data) for r in decode.paletted(images, ["id"], 3).collect()} == want
+    sizes = {r[0]: r[3] for r in rows}
+    for r in decode.paletted_sums(images, ["id"], 3).collect():
+        (w, h), texels = next((key[2:], x) for key, x in want.items() if key[:2] == (r.id, r.level))
+        assert r.texels == w * h and [r.sum_r, r.sum_g, r.sum_b, r.sum_a] == [sum(texels[4 * i + c] * (i // w * sizes[r.id] + i % w + 1) for i in range(w * h)) for c in range(4)]
+    assert "Generate" not in registry.QUERIES["dec12_paletted"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "sha2(cast(id as string), 512) as t").coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")  # more splits than can run at once, of which one holds all rows
+    try:
+        rows = spark.read.parquet(str(tmp_path / "one"))
+        held = lambda df: df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert rows.rdd.getNumPartitions() >= 4 and len(held(rows)) == 1
+        assert max(r["count"] for r in held(fixtures.dealt(rows))) < 1500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_png_filters_and_refusals(spark):
     draw = np.random.default_rng(1)
     for channels in (1, 2, 3, 4):
