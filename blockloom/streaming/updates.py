@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from blockloom.operators import layout
 
 #: What an update is: its image, its place in time (ts, then seq), the part that it replaces, and what it puts there.
 UPDATE = ["image", "ts", "seq", "x", "y", "w", "h", "code"]
 CURRENT = "image long, block long, at long, seq long, code long, updates long"
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: The state lies on disk. What an update's part is gets repeated by each of the conditions on it; as one method that is longer
+#: than the JVM compiles (8000 bytes), so that such stages are left to shorter ones.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 def legal(width: int, height: int):
@@ -27,27 +27,21 @@ def legal(width: int, height: int):
 
 def touched(updates: DataFrame, width: int, height: int) -> DataFrame:
     """(image, block, at, seq, code): a row for each block that a legal update replaces, at in microseconds; blocks are numbered row by row."""
-    span = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / 4), F.floor((F.col(a) + F.col(n) - 1) / 4)))
-    each = updates.where(legal(width, height)).withColumn("bx", span("x", "w")).withColumn("by", span("y", "h"))
-    return each.select("image", (F.col("by") * -(-width // 4) + F.col("bx")).alias("block"), F.unix_micros("ts").alias("at"), "seq", "code")
+    blocks = lambda n: F.shiftright(F.col(n) + 3, 2)
+    each = updates.where(legal(width, height)).select("image", F.unix_micros("ts").alias("at"), "seq", "code", F.shiftright("x", 2).alias("bx"), F.shiftright("y", 2).alias("by"), blocks("w").alias("across"), blocks("h").alias("down"))
+    each = each.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") * F.col("down") - 1)))
+    row, column = F.col("by") + F.expr("k div across"), F.col("bx") + F.pmod("k", "across")
+    return each.select("image", (row * -(-width // 4) + column).cast("long").alias("block"), "at", "seq", "code")
 
 
-class CurrentBlock(StatefulProcessor):
-    """Keeps each block's latest update in time and how many there were; what comes late changes the count alone."""
+def latest(touched: DataFrame) -> DataFrame:
+    """(image, block, at, seq, code, updates): each block's latest update in time, and how many there were.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "at long, seq long, code long, updates long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best, n = (tuple(self.current.get()[:3]), self.current.get()[3]) if self.current.exists() else (None, 0)
-        for r in rows:
-            own, n = (r["at"], r["seq"], r["code"]), n + 1
-            best = own if best is None or own[:2] >= best[:2] else best
-        self.current.update((*best, n))
-        yield Row(image=key[0], block=key[1], at=best[0], seq=best[1], code=best[2], updates=n)
-
-    def close(self) -> None:
-        pass
+    On a stream this is what Spark keeps as state: a task's rows of a block are one before they meet it, and what comes late
+    changes the count alone. Of updates alike in time and place the greatest code stays.
+    """
+    each = touched.groupBy("image", "block").agg(F.max(F.struct("at", "seq", "code")).alias("x"), F.count("*").alias("updates"))
+    return each.select("image", "block", "x.at", "x.seq", "x.code", "updates")
 
 
 @contextmanager
@@ -75,9 +69,8 @@ def apply_available(updates: DataFrame, width: int, height: int, out: str) -> tu
     the version with the most updates is the current one. Illegal updates go to a table of their own.
     """
     spark = updates.sparkSession
-    with settings(spark, ROCKS):
-        state = touched(updates, width, height).groupBy("image", "block").transformWithState(CurrentBlock(), CURRENT, "Update", "None")
-        kept = state.writeStream.outputMode("update").foreachBatch(lambda df, n: written(df, n, out))
+    with settings(spark, SETTINGS):
+        kept = latest(touched(updates, width, height)).writeStream.outputMode("update").foreachBatch(lambda df, n: written(df, n, out))
         refused = updates.where(~legal(width, height)).writeStream.format("parquet").option("path", f"{out}/refused")
         for name, query in (("versions", kept), ("refused", refused)):
             query.option("checkpointLocation", f"{out}/progress-{name}").trigger(availableNow=True).start().awaitTermination()
@@ -87,5 +80,7 @@ def apply_available(updates: DataFrame, width: int, height: int, out: str) -> tu
 def current(spark: SparkSession, out: str) -> DataFrame:
     """(image, block, ts, seq, code, updates): the blocks as they stand."""
     versions = spark.read.schema(f"{CURRENT}, batch long").parquet(f"{out}/versions")
+    if len({f.split("/batch=")[1].split("/")[0] for f in versions.inputFiles()}) == 1:  # one batch has each block once
+        return versions.select("image", "block", F.timestamp_micros("at").alias("ts"), "seq", "code", "updates")
     last = F.max_by(F.struct("at", "seq", "code"), "updates").alias("x")
     return versions.groupBy("image", "block").agg(last, F.max("updates").alias("updates")).select("image", "block", F.timestamp_micros("x.at").alias("ts"), "x.seq", "x.code", "updates")

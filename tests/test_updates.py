@@ -87,3 +87,16 @@ def test_nulls_are_refused(spark):
     rows = spark.createDataFrame([(1, None, 1, 0, 0, 4, 4, 5), (1, datetime.datetime(2024, 1, 1), 2, 0, 0, 4, 4, 5), (1, datetime.datetime(2024, 1, 1), 3, 0, 0, None, 4, 5)], SHAPE)
     assert [r.fine for r in rows.select(updates.legal(WIDTH, HEIGHT).alias("fine")).collect()] == [False, True, False]
     assert updates.touched(rows, WIDTH, HEIGHT).where(F.col("seq") == 1).isEmpty()
+
+
+def test_updates_alike_in_time_and_place_end_alike(spark, tmp_path):
+    """The state is an aggregate of Spark's own: what comes first does not matter, and no row goes through Python."""
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, start, 7, 0, 0, 8, 4, code) for code in (5, 9, 2)] + [(1, start - datetime.timedelta(seconds=1), 8, 4, 0, 4, 4, 30), (2, start, 1, 20, 8, 2, 2, 4)]
+    for k, order in enumerate((rows, rows[::-1])):
+        source, out = str(tmp_path / f"in{k}"), str(tmp_path / f"out{k}")
+        spark.createDataFrame(order, SHAPE).coalesce(1).write.parquet(source)
+        now, refused = updates.apply_available(stream(spark, source), WIDTH, HEIGHT, out)
+        assert held(now) == {(1, 0): (7, 9, 3), (1, 1): (7, 9, 4), (2, 17): (1, 4, 1)} and refused.isEmpty()
+    plan = updates.latest(updates.touched(stream(spark, source), WIDTH, HEIGHT))._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan and "Python" not in plan
